@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import ogg, pii, preference, quality, sharding
+from foliospark.llm import near_dedup, ogg, packing, pii, preference, quality, sharding
 from foliospark.llm.shared import documents
 
 
@@ -14,6 +14,12 @@ def op5_ogg_media(spark, sf_dir):
     return ogg.media_columns(documents(spark, sf_dir))
 
 
+def op6_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_preference_pairs(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return preference.format_pairs(preference.neighbours(turns))
@@ -23,6 +29,10 @@ def op8_personal_data(spark, sf_dir):
     return pii.pii_columns(documents(spark, sf_dir))
 
 
+def op9_near_duplicates(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_virtual_slots(spark, sf_dir):
     """Law ``bytes``: slots are dealt so that shards hold nearly equal bytes."""
     from pyspark.sql import functions as F
@@ -39,8 +49,10 @@ QUERIES = {
     for f in (
         op1_quality_rules,
         op5_ogg_media,
+        op6_packing,
         op7_preference_pairs,
         op8_personal_data,
+        op9_near_duplicates,
         op10_virtual_slots,
     )
 }
