@@ -201,12 +201,12 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def bitmap(ids: DataFrame, column: str, bits: int = BITS) -> bytes:
     """Fixed-size bitmap of hashed ids: 2**bits bits reach the driver, whatever the input."""
     h = F.pmod(F.xxhash64(column), F.lit(1 << bits))
-    words = ids.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("n")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")
+    words = ids.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h + 1)").alias("n")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(h + 1))").alias("m")
     )
     out = bytearray((1 << bits) // 8)
     for n, m in words.collect():
-        # a bucket covers 32768 numbers; the first bucket is number 1, but for the number 0 itself
+        # Spark counts positive numbers from 1: h + 1 is bit h % 32768 of bucket 1 + h // 32768
         at = (n - 1) * 4096
         out[at : at + len(m)] = m
     return bytes(out)
