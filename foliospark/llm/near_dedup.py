@@ -198,9 +198,12 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def bitmap(ids: DataFrame, column: str, bits: int = BITS) -> bytes:
-    """Fixed-size bitmap of hashed ids: 2**bits bits reach the driver, whatever the input."""
-    h = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+def bitmap(ids: DataFrame, column: str, bits: int = BITS, hashed: bool = False) -> bytes:
+    """Fixed-size bitmap of hashed ids: 2**bits bits reach the driver, whatever the input.
+
+    ``hashed``: the column holds numbers below 2**bits already.
+    """
+    h = F.col(column) if hashed else F.pmod(F.xxhash64(column), F.lit(1 << bits))
     words = ids.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h + 1)").alias("n")).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(h + 1))").alias("m")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import near_dedup, ogg, packing, pii, preference, quality, sharding
+from foliospark.llm import near_dedup, ogg, packing, pii, preference, quality, sharding, substring_dedup
 from foliospark.llm.shared import documents
 
 
@@ -10,6 +10,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality_query(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_ogg_media(spark, sf_dir):
     return ogg.media_columns(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op4_substring_dedup,
         op5_ogg_media,
         op6_packing,
         op7_preference_pairs,
