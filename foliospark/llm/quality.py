@@ -121,16 +121,15 @@ def frequent_lines(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataF
     return counted.where(F.col("n_docs") > max_line_docs)
 
 
-def removed_words(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
-    """Documents that lose lines: doc_id, text_hash, n_removed_lines, n_removed_words."""
+def removed_lines(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
+    """Lines that documents lose: doc_id, text_hash, line_hash, words, lines (times it stands there)."""
     rows = line_rows(docs).groupBy("doc_id", "text_hash", "host", "line_hash").agg(
-        F.sum("words").alias("words"), F.count(F.lit(1)).alias("lines"), F.max("words").alias("each")
+        F.sum("words").alias("words"), F.count(F.lit(1)).alias("lines")
     )
     hot = frequent_lines(docs, max_line_docs).withColumnRenamed("host", "hot_host")
-    hit = rows.join(hot, (rows["host"].eqNullSafe(hot["hot_host"])) & (rows["line_hash"] == hot["line_hash"]))
-    hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return hit.groupBy("doc_id", "text_hash").agg(
-        F.sum("lines").alias("n_removed_lines"), F.sum("words").alias("n_removed_words")
+    hit = rows.join(hot, rows["host"].eqNullSafe(hot["hot_host"]) & (rows["line_hash"] == hot["line_hash"]))
+    return hit.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select(
+        "doc_id", "text_hash", rows["line_hash"], "words", "lines"
     )
 
 
@@ -145,7 +144,10 @@ def quality_columns(
     own = [c for c in keep if c != "doc_id"]
     marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
     base = base_features(marked, ["doc_id", "__hash", *(c for c in own if c != "text")])
-    lost = removed_words(docs.select("doc_id", "text", "source"), max_line_docs)
+    lost = removed_lines(docs.select("doc_id", "text", "source"), max_line_docs).groupBy("doc_id", "text_hash").agg(
+        F.sum("lines").alias("n_removed_lines"), F.sum("words").alias("n_removed_words"),
+        F.collect_set("line_hash").alias("removed"),
+    )
     lost = lost.withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
     out = base.join(lost, base["doc_id"].eqNullSafe(lost["__id"]) & (base["__hash"] == lost["__text"]), "left")
     left = F.col("n_words") - F.coalesce("n_removed_words", F.lit(0))
@@ -156,27 +158,31 @@ def quality_columns(
         (~F.col("base_failed") & ~(gone & depleted)).alias("kept"),
         F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"),
         F.coalesce("n_removed_words", F.lit(0)).cast("long").alias("n_removed_words"),
-        "__hash", *(c for c in own if c != "text"),
+        "__hash", "removed", *(c for c in own if c != "text"),
     )
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
-    return quality_columns(docs).drop("__hash")
+    return quality_columns(docs).drop("__hash", "removed")
 
 
 def clean_documents(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, **limits) -> DataFrame:
-    """Documents that pass, with their columns; lines above the limit are cut from the text.
+    """Documents that pass, with their columns and without the lines above the limit.
 
-    Frequent lines are removed from a document by a join of its lines; only
-    documents that hold one are rebuilt, the others keep their text untouched.
+    A document's removed lines come as a set of line hashes, no longer than the document.
     """
     verdict = quality_columns(docs, max_line_docs, **limits).where("kept")
-    verdict = verdict.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__text")).distinct()
+    verdict = verdict.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__text"), "removed")
+    verdict = verdict.dropDuplicates(["__id", "__text"])
     marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    passed = marked.join(
-        verdict, marked["doc_id"].eqNullSafe(verdict["__id"]) & (marked["__hash"] == verdict["__text"]), "left_semi"
-    )
-    return passed.drop("__hash")
+    passed = marked.join(verdict, marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")))
+
+    def stays(line: Column) -> Column:
+        return ~F.array_contains("removed", F.xxhash64(F.btrim(F.regexp_replace(F.lower(line), BLANK_RUN, " "))))
+
+    cut = F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut)
+    return passed.withColumn("text", text).select(*docs.columns)
 
 
 _SEPARATED = "regexp_split_to_array(trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\\x20\\x09-\\x0D]+')"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import near_dedup, ogg, packing, pii, preference, quality, sharding, substring_dedup
+from foliospark.llm import mixing, near_dedup, ogg, packing, pii, preference, quality, secrets, sharding, substring_dedup
 from foliospark.llm.shared import documents
 
 
@@ -10,6 +10,15 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality_query(documents(spark, sf_dir))
 
 
+def op2_source_mixing(spark, sf_dir):
+    """Target weights in proportion to the square root of a source's bytes."""
+    return mixing.mix_sources(documents(spark, sf_dir)).drop("text_hash")
+
+
+def op3_secret_scan(spark, sf_dir):
+    return secrets.secret_columns(documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -52,6 +61,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_source_mixing,
+        op3_secret_scan,
         op4_substring_dedup,
         op5_ogg_media,
         op6_packing,
