@@ -1,10 +1,66 @@
-"""A training corpus from ``documents``: filter, deduplicate, redact, mix, pack."""
+"""A training corpus from ``documents``: filter, deduplicate, redact, mix, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's ``docs``.  Stages 1 to 4
+return the columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.llm import mixing, near_dedup, packing, quality, secrets
+from foliospark.llm.shared import documents, materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; lines above the limit go from those that stay."""
+    return quality.clean_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id."""
+    kept = near_dedup.near_duplicates(docs, text_hash=True).where("kept")
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
+    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    same = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__hash"] == kept["__text"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text."""
+    return secrets.redact_secrets(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order of the schedule; the next stage packs in that order."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences, each split of the written files in its order."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("secret scan", secret_scan),
+    ("source mix", source_mix),
+    ("packing", pack),
+]
+
+#: Not expressible in SQL: minhash rounds, the random field and the tokenizer; tests use brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies all stages to ``documents``; what a stage returns is written and read again."""
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs

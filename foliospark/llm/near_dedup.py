@@ -16,9 +16,9 @@ member: rows stay linear in the bucket's size and memory is constant.  3. A
 pair whose minhashes agree too rarely is dropped (``SURE`` is over four
 standard deviations below the threshold); the rest is confirmed on the full
 sets.  4. Links become components.  5. Rounds follow in which buckets are
-sorted in another random order and only pairs across components are formed,
-until a round finds no link: links that a star within a bucket passes over are
-found without forming all pairs.
+sorted in another random order, and members of different components that come
+to stand beside each other are paired, until a round finds no link: links that
+a star within a bucket passes over are found without forming all pairs.
 
 Shuffles carry ids and hashes.  Sets are shuffled only for documents that met
 another one; a bitmap of fixed size (``BITS``) that is broadcast spares most
@@ -102,7 +102,7 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel(), kind))
 
 
-_SIGNED = "key long, n_shingles long, set_hi long, set_lo long, sig array<int>, bands array<long>"
+_SIGNED = "key long, text_hash long, n_shingles long, set_hi long, set_lo long, sig array<int>, bands array<long>"
 
 
 def signed(docs: DataFrame, words_in: int = 2) -> DataFrame:
@@ -113,7 +113,7 @@ def signed(docs: DataFrame, words_in: int = 2) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 sizes, identity, sigs = [], [], []
-                for s in sets_of(part.column(1), words_in):
+                for s in sets_of(part.column(2), words_in):
                     sizes.append(len(s))
                     identity.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sigs.append(signature(s))
@@ -123,13 +123,14 @@ def signed(docs: DataFrame, words_in: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array(sizes, pa.int64()),
                         pa.array(two[:, 0], pa.int64(), mask=none),
                         pa.array(two[:, 1], pa.int64(), mask=none),
                         _lists(sig.astype(np.uint32).view(np.int32), pa.int32()),
                         _lists(_bands(sig), pa.int64()),
                     ],
-                    ["key", "n_shingles", "set_hi", "set_lo", "sig", "bands"],
+                    ["key", "text_hash", "n_shingles", "set_hi", "set_lo", "sig", "bands"],
                 )
 
     return docs.mapInArrow(run, _SIGNED)
@@ -169,27 +170,23 @@ def _pairs_in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _pairs_across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (k, order, rep, component) sorted by key and order: pairs across components.
+    """From rows (k, order, rep, component) sorted by key and order: members beside each other in a bucket
+    (next or next but one) whose components differ.
 
-    Each member meets the bucket's first one, the one before and the latest of another component.
+    A component's members beside each other give nothing, so pairs stay linear in the rows of the others.
     """
-    key = None
-    first = last = other = (0, 0)
+    held = [np.zeros(0, dtype=np.int64)] * 3
     for batch in batches:
-        out_a, out_b = [], []
-        ks, _, ds, cs = (c.to_pylist() for c in batch.columns)
-        for k, d, c in zip(ks, ds, cs, strict=True):
-            if k != key:
-                key, first, last, other = k, (d, c), (d, c), None
-                continue
-            if last[1] != c:
-                other = last
-            for x in {first, last, other} - {None}:
-                if x[1] != c:
-                    out_a.append(x[0])
-                    out_b.append(d)
-            last = (d, c)
-        yield _distinct(np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64))
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3)]
+        k, d, c = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
+        old = len(held[0])
+        held = [k[-2:], d[-2:], c[-2:]]
+        out = []
+        for step in (1, 2):
+            at = np.arange(max(step, old), len(k))
+            at = at[(k[at] == k[at - step]) & (c[at] != c[at - step])]
+            out.append((d[at - step], d[at]))
+        yield _distinct(np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]))
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -276,14 +273,21 @@ def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: int
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words_in: int = 2, threshold: int = THRESHOLD
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    words_in: int = 2,
+    threshold: int = THRESHOLD,
+    text_hash: bool = False,
 ) -> DataFrame:
-    """Key, n_shingles, component_id (smallest linked key) and kept of every row."""
+    """Key, n_shingles, component_id (smallest linked key), kept and, if asked for, text_hash of every row."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     parts = spark.conf.get("spark.sql.shuffle.partitions")
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    s = materialize(signed(rows, words_in), "signed")
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(key).cast("long").alias("key"), body.alias("text"))
+    hashed = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(body, F.lit(""))), body)
+    s = materialize(signed(hashed, words_in), "signed")
     reps = materialize(
         s.where("n_shingles > 0 and key is not null")
         .groupBy("set_hi", "set_lo")
@@ -318,11 +322,12 @@ def near_duplicates(
         groups = components(links)
     final = reps.select("set_hi", "set_lo", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     final = final.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
-    out = s.select("key", "n_shingles", "set_hi", "set_lo").join(final, ["set_hi", "set_lo"], "left")
+    out = s.select("key", "text_hash", "n_shingles", "set_hi", "set_lo").join(final, ["set_hi", "set_lo"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.col("component"))
     return out.select(
         F.col("key").alias(key),
         "n_shingles",
         component.alias("component_id"),
         F.col("key").eqNullSafe(component).alias("kept"),
+        *(["text_hash"] if text_hash else []),
     )
