@@ -11,11 +11,9 @@ a group meet along many pairs.
 
 Steps.  1. Sets are hashed in one pass; equal sets collapse to the smallest
 id, so exact copies never enter a bucket twice.  2. Table keys are sorted, and
-a streaming pass pairs each member of a bucket with its first and previous
-member: rows stay linear in the bucket's size and memory is constant.  3. A
-pair whose minhashes agree too rarely is dropped (``SURE`` is over four
-standard deviations below the threshold); the rest is confirmed on the full
-sets.  4. Links become components.  5. Rounds follow in which buckets are
+a streaming pass pairs each member of a bucket with its first one: rows stay
+linear in the bucket's size and memory is constant.  3. Every pair is
+confirmed on the full sets.  4. Links become components.  5. Rounds follow in which buckets are
 sorted in another random order, and members of different components that come
 to stand beside each other are paired, until a round finds no link: links that
 a star within a bucket passes over are found without forming all pairs.
@@ -49,7 +47,6 @@ from foliospark.session import ship
 THRESHOLD = 80  # per cent
 M = 12
 R = 3
-SURE = 0.6
 BITS = 25
 _ALONE = U64(0x51ED270B2A6B3C5D)
 _C = U64(0x9E3779B97F4A7C15)
@@ -102,11 +99,11 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel(), kind))
 
 
-_SIGNED = "key long, text_hash long, n_shingles long, set_hi long, set_lo long, sig array<int>, bands array<long>"
+_SIGNED = "key long, text_hash long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
 def signed(docs: DataFrame, words_in: int = 2) -> DataFrame:
-    """Set size, set identity (128 bits), minhashes and short signatures of every row."""
+    """Set size, set identity (128 bits) and short signatures of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,10 +124,9 @@ def signed(docs: DataFrame, words_in: int = 2) -> DataFrame:
                         pa.array(sizes, pa.int64()),
                         pa.array(two[:, 0], pa.int64(), mask=none),
                         pa.array(two[:, 1], pa.int64(), mask=none),
-                        _lists(sig.astype(np.uint32).view(np.int32), pa.int32()),
                         _lists(_bands(sig), pa.int64()),
                     ],
-                    ["key", "text_hash", "n_shingles", "set_hi", "set_lo", "sig", "bands"],
+                    ["key", "text_hash", "n_shingles", "set_hi", "set_lo", "bands"],
                 )
 
     return docs.mapInArrow(run, _SIGNED)
@@ -147,46 +143,42 @@ _PAIR = "a long, b long"
 
 
 def _pairs_in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (k, rep) sorted by both: each member with the bucket's first and previous one."""
-    key = first = last = None
+    """From rows (k, rep) sorted by both: each member with the bucket's first one."""
+    key = first = None
     for batch in batches:
         k = batch.column(0).to_numpy(zero_copy_only=False)
         d = batch.column(1).to_numpy(zero_copy_only=False)
         if not len(k):
             continue
         if key is not None:  # carry the open bucket's state in front
-            k, d = np.concatenate([[key, key], k]), np.concatenate([[first, last], d])
+            k, d = np.concatenate([[key], k]), np.concatenate([[first], d])
         new = np.ones(len(k), dtype=bool)
         new[1:] = k[1:] != k[:-1]
         starts = np.flatnonzero(new)
         head = d[starts][np.cumsum(new) - 1]
         inner = np.flatnonzero(~new)
-        if key is not None:
-            inner = inner[inner > 1]
-        a = np.concatenate([head[inner], d[inner - 1]])
-        b = np.concatenate([d[inner], d[inner]])
-        key, first, last = k[-1], head[-1], d[-1]
-        yield _distinct(a, b)
+        key, first = k[-1], head[-1]
+        yield _distinct(head[inner], d[inner])
 
 
-def _pairs_across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (k, order, rep, component) sorted by key and order: members beside each other in a bucket
-    (next or next but one) whose components differ.
+def _pairs_across(threshold: int):
+    """From rows (k, order, rep, component, size) sorted by key and order: neighbours in a bucket whose
+    components differ and whose set sizes allow a link.
 
     A component's members beside each other give nothing, so pairs stay linear in the rows of the others.
     """
-    held = [np.zeros(0, dtype=np.int64)] * 3
-    for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3)]
-        k, d, c = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
-        old = len(held[0])
-        held = [k[-2:], d[-2:], c[-2:]]
-        out = []
-        for step in (1, 2):
-            at = np.arange(max(step, old), len(k))
-            at = at[(k[at] == k[at - step]) & (c[at] != c[at - step])]
-            out.append((d[at - step], d[at]))
-        yield _distinct(np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64)] * 4
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4)]
+            k, d, c, n = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
+            held = [x[-1:] for x in (k, d, c, n)]
+            least, most = np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1])
+            at = np.flatnonzero((k[1:] == k[:-1]) & (c[1:] != c[:-1]) & (100 * least >= threshold * most))
+            yield _distinct(d[at], d[at + 1])
+
+    return run
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -257,19 +249,10 @@ def _confirm(threshold: int):
     return run
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs (u, v) whose full sets reach the threshold."""
-    x = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
-    y = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda e: e))
-    likely = (
-        pairs.join(x, "a").join(y, "b")
-        .where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-        .where(agree >= int(SURE * 2 * M * R))
-        .select("a", "b")
-    )
     s, t = sets.select(F.col("id").alias("a"), F.col("s")), sets.select(F.col("id").alias("b"), F.col("s").alias("t"))
-    return likely.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_confirm(threshold), "u long, v long")
+    return pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_confirm(threshold), "u long, v long")
 
 
 def near_duplicates(
@@ -291,8 +274,8 @@ def near_duplicates(
     reps = materialize(
         s.where("n_shingles > 0 and key is not null")
         .groupBy("set_hi", "set_lo")
-        .agg(F.min(F.struct("key", "n_shingles", "sig", "bands")).alias("m"))
-        .select("set_hi", "set_lo", F.col("m.key").alias("rep"), "m.n_shingles", "m.sig", "m.bands"),
+        .agg(F.min(F.struct("key", "n_shingles", "bands")).alias("m"))
+        .select("set_hi", "set_lo", F.col("m.key").alias("rep"), "m.n_shingles", "m.bands"),
         "sets",
     )
     keyed = table_keys(reps, ["rep"]).select("k", "rep").repartition(int(parts), "k").sortWithinPartitions("k", "rep")
@@ -301,25 +284,25 @@ def near_duplicates(
         pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "met"
     )
     sets = materialize(sets_table(rows, met, words_in), "shingles")
-    links = materialize(confirmed(pairs, reps, sets, threshold), "confirmed")
+    links = materialize(confirmed(pairs, sets, threshold), "confirmed")
     near = reps.join(met.withColumnRenamed("id", "rep"), "rep", "left_semi")
     turn, groups = 0, components(links)
     while True:
         turn += 1
         labels = near.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "rep", "bands", F.coalesce("component", "rep").alias("component")
+            "rep", "bands", "n_shingles", F.coalesce("component", "rep").alias("component")
         )
-        keyed = table_keys(labels, ["rep", "component"]).select(
-            "k", F.xxhash64("k", "rep", F.lit(turn)).alias("o"), "rep", "component"
+        keyed = table_keys(labels, ["rep", "component", "n_shingles"]).select(
+            "k", F.xxhash64("k", "rep", F.lit(turn)).alias("o"), "rep", "component", "n_shingles"
         )
         keyed = keyed.repartition(int(parts), "k").sortWithinPartitions("k", "o", "rep")
-        across = keyed.mapInArrow(_pairs_across, _PAIR).distinct().join(pairs, ["a", "b"], "left_anti")
+        across = keyed.mapInArrow(_pairs_across(threshold), _PAIR).distinct().join(pairs, ["a", "b"], "left_anti")
         across = materialize(across, "across")
-        found = materialize(confirmed(across, reps, sets, threshold), "confirmed")
+        found = materialize(confirmed(across, sets, threshold), "confirmed")
         if found.isEmpty():
             break
-        links, pairs = links.union(found), pairs.union(across)
-        groups = components(links)
+        pairs = pairs.union(across)
+        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
     final = reps.select("set_hi", "set_lo", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     final = final.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
     out = s.select("key", "text_hash", "n_shingles", "set_hi", "set_lo").join(final, ["set_hi", "set_lo"], "left")
