@@ -46,7 +46,7 @@ from foliospark.session import ship
 
 WINDOW = 35
 ANCHOR = 8
-SHARD = 512
+SHARD = 8192  # contents of some 60 words: an automaton of at most a few hundred MB
 MAX_REFERENCE_WORDS = 2_000_000
 
 
