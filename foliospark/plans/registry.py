@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from foliospark.plans import operations, retrieval, text
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+QUERIES = {**text.QUERIES, **retrieval.QUERIES, **operations.QUERIES}
+SQL = {**text.SQL, **retrieval.SQL, **operations.SQL}
