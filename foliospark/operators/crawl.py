@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions.urls import CrawlPolicy, canonical_url, in_scope
+from foliospark.session import materialize
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, policy: CrawlPolicy) -> DataFrame:
@@ -26,6 +27,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, policy: CrawlPolicy) -> DataFrame:
         here = frontier.join(pages, F.col("url") == F.col("canonical_url")).select(
             "url", F.lit(depth).alias("depth"), "n", "links", "accepted"
         )
+        # each round is written, as the next one reads it three times
+        here = materialize(here, "crawl")
         found = here if found is None else found.union(here)
         if depth == policy.max_depth:
             break
@@ -35,6 +38,6 @@ def crawl(pages: DataFrame, seeds: DataFrame, policy: CrawlPolicy) -> DataFrame:
         first = step.groupBy("url").agg(F.min(F.struct("n", "pos")).alias("m"))
         fresh = first.join(found.select("url"), "url", "left_anti")
         order = W.orderBy("m.n", "m.pos", "url")
-        frontier = fresh.select("url", F.row_number().over(order).cast("long").alias("n"))
+        frontier = materialize(fresh.select("url", F.row_number().over(order).cast("long").alias("n")), "frontier")
     placed = found.where("accepted").withColumn("place", F.row_number().over(W.orderBy("depth", "n", "url")))
     return placed.where(F.col("place") <= policy.max_pages).select("url", "depth", F.col("place").cast("long").alias("place"))

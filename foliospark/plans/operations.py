@@ -114,11 +114,16 @@ def run_status(spark, sf_dir):
 
 @query()
 def crawl_frontier(spark, sf_dir):
-    """Breadth-first crawl from the first page; order and caps are checked in the tests on a hand-made site."""
-    pages = I.page_documents(_fetched(spark, sf_dir)).select("page_id", "url", "canonical_url", "links", "accepted")
-    pages = pages.dropDuplicates(["canonical_url"])
-    seeds = pages.where("page_id = 1").select("url", F.lit(0).alias("n"), F.regexp_extract("url", "^([a-z]+://[^/]+)", 1).alias("base"))
-    return K.crawl(pages, seeds, U.CrawlPolicy("pages", max_pages=40, max_depth=3))
+    """Breadth-first crawl of a site made of the pages, each of which links to two more; see the tests for order and caps."""
+    site = "https://site.example.org/p/"
+    p = _fetched(spark, sf_dir).where("status = 200")
+    child = lambda k: F.concat(F.lit('<a href="/p/'), (2 * F.col("page_id") + k).cast("string"), F.lit('">more</a>'))
+    html = F.replace("html", F.lit("</article>"), F.concat(child(1), child(2), F.lit("</article>")))
+    url = F.concat(F.lit(site), F.col("page_id").cast("string"))
+    fetched = p.select("source_id", url.alias("url"), "status", html.alias("html"))
+    pages = I.page_documents(fetched).select("canonical_url", "links", "accepted").persist()  # read once for each depth
+    seeds = spark.createDataFrame([(f"{site}1", 0, "https://site.example.org/p")], "url string, n int, base string")
+    return K.crawl(pages, seeds, U.CrawlPolicy("pages", max_pages=40, max_depth=4))
 
 
 # Operations -------------------------------------------------------------------------------------------
@@ -126,11 +131,12 @@ def crawl_frontier(spark, sf_dir):
 
 @query(f"""WITH {D.SOURCES_SQL}, {D.SNAPSHOTS_SQL}, lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY fetched_at DESC, id DESC) AS n FROM snapshot) WHERE n = 1),
  l AS (SELECT src.*, lat.status, lat.error, fetched_at, coalesce(greatest(floor(epoch_us({D.AS_OF_SQL} - fetched_at) / 6e7), 0), 1000000)::BIGINT AS lag_minutes FROM src LEFT JOIN lat USING (source_id))
-SELECT source_id, trust_score, coalesce(fetched_at, TIMESTAMP '1970-01-01 00:00:00') AS last_synced_at, lag_minutes,
+SELECT source_id, trust_score::DOUBLE AS trust_score, coalesce(fetched_at, TIMESTAMP '1970-01-01 00:00:00') AS last_synced_at, lag_minutes,
  CASE WHEN lag_minutes <= 60 THEN 'healthy' WHEN lag_minutes <= 240 THEN 'degraded' ELSE 'failing' END AS health, status AS last_status,
  CASE WHEN status = 'failed' THEN coalesce(error, 'unknown') END AS error FROM l""")
 def source_freshness(spark, sf_dir):
-    return O.source_freshness(D.sources(spark, sf_dir), D.snapshots(spark, sf_dir), D.as_of())
+    out = O.source_freshness(D.sources(spark, sf_dir), D.snapshots(spark, sf_dir), D.as_of())
+    return out.withColumn("trust_score", F.col("trust_score").cast("double"))
 
 
 @query(f"WITH {_EVENTS} SELECT id, source_id, url, event_type, severity, detected_at FROM feed WHERE severity = 'critical' ORDER BY detected_at DESC, id LIMIT 20")
