@@ -1,48 +1,12 @@
-"""Tables written to the folder that driver and executors share."""
+"""What the queries of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.session import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary one is set only where it is unset (tests)."""
-    sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not place:
-        place = tempfile.mkdtemp(prefix="folio-shared-")
-        sc.setCheckpointDir(place)
-    return place
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session may have ended first; the folder is then the cluster's to clean
-        pass
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back.
-
-    Cuts the lineage: a lost executor costs a reread, not a recomputation.
-    The table lives until the driver's interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "materialize", "shared_dir"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
