@@ -88,7 +88,7 @@ def source_freshness(sources: DataFrame, snapshots: DataFrame, as_of: Column) ->
     latest = snapshots.groupBy("source_id").agg(F.max(F.struct("fetched_at", "id", "status", "error")).alias("s"))
     both = sources.join(latest, "source_id", "left")
     lag = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("s.fetched_at").cast("timestamp"))) / 6e7)
-    lag = F.coalesce(F.greatest(lag, F.lit(0)), F.lit(NEVER)).cast("long")
+    lag = F.when(lag.isNull(), NEVER).otherwise(F.greatest(lag, F.lit(0))).cast("long")
     health = F.when(lag <= 60, "healthy").when(lag <= 240, "degraded").otherwise("failing")
     return both.select(
         *sources.columns,

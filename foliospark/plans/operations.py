@@ -130,7 +130,7 @@ def crawl_frontier(spark, sf_dir):
 
 
 @query(f"""WITH {D.SOURCES_SQL}, {D.SNAPSHOTS_SQL}, lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY fetched_at DESC, id DESC) AS n FROM snapshot) WHERE n = 1),
- l AS (SELECT src.*, lat.status, lat.error, fetched_at, coalesce(greatest(floor(epoch_us({D.AS_OF_SQL} - fetched_at) / 6e7), 0), 1000000)::BIGINT AS lag_minutes FROM src LEFT JOIN lat USING (source_id))
+ l AS (SELECT src.*, lat.status, lat.error, fetched_at, (CASE WHEN fetched_at IS NULL THEN 1000000 ELSE greatest(floor(epoch_us({D.AS_OF_SQL} - fetched_at) / 6e7), 0) END)::BIGINT AS lag_minutes FROM src LEFT JOIN lat USING (source_id))
 SELECT source_id, trust_score::DOUBLE AS trust_score, coalesce(fetched_at, TIMESTAMP '1970-01-01 00:00:00') AS last_synced_at, lag_minutes,
  CASE WHEN lag_minutes <= 60 THEN 'healthy' WHEN lag_minutes <= 240 THEN 'degraded' ELSE 'failing' END AS health, status AS last_status,
  CASE WHEN status = 'failed' THEN coalesce(error, 'unknown') END AS error FROM l""")
