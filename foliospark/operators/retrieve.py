@@ -21,9 +21,13 @@ from foliospark.functions.lexicon import (
     REFERENCE,
     SCHEMA_TYPES,
     SEARCH_SYNONYMS,
+    STOPWORDS,
 )
 
 
+MAX_SHORT = 10_000
+
+
 @dataclass(frozen=True)
 class Filters:
     """Filters of a search; unset ones don't apply."""
@@ -92,61 +96,78 @@ def with_terms(queries: DataFrame) -> DataFrame:
 
 def chunk_tokens(chunks: DataFrame) -> DataFrame:
     """Adds the distinct full-text tokens of text and title; an index build would store them."""
-    both = F.concat_ws(" ", "text", "title")
-    return chunks.withColumn("tokens", F.array_distinct(T.tokens(both)))
+    if "tokens" in chunks.columns:
+        return chunks
+    runs = F.regexp_extract_all(F.lower(F.concat_ws(" ", "text", "title")), F.lit("[a-z0-9_]{2,}"), F.lit(0))
+    return chunks.withColumn("tokens", F.array_except(runs, F.array(*map(F.lit, STOPWORDS))))
 
 
-def matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pairs of query and chunk that match at all, with ilike_score and fts_score.
+def _like(column: str) -> Column:
+    return F.ilike(column, F.concat(F.lit("%"), "query", F.lit("%")))
 
-    A chunk matches by one token of the query: an equi-join of exploded tokens
-    on the small query side.  It also matches if text or title hold the whole
-    query as a substring.  With three words or more such a hit contains one of
-    the query's inner words whole; shorter queries are tried one by one.
-    """
-    q, c = with_terms(queries), chunk_tokens(chunks)
-    own = c.select("chunk_id", F.explode("tokens").alias("token"))
-    asked = q.select("query_id", F.explode("terms").alias("token"))
-    by_token = own.join(F.broadcast(asked), "token").select("query_id", "chunk_id")
-    short = q.where(F.size("terms") < 3).select("query_id", "query")
-    wide = c.select("chunk_id", "text", "title").join(
-        F.broadcast(short),
-        F.ilike("text", F.concat(F.lit("%"), "query", F.lit("%")))
-        | F.ilike("title", F.concat(F.lit("%"), "query", F.lit("%"))),
-    )
-    pairs = by_token.union(wide.select("query_id", "chunk_id")).distinct()
-    return score_pairs(pairs.join(F.broadcast(q), "query_id").join(c, "chunk_id"))
 
+def _ilike_score() -> Column:
+    """0.8 for the text and 0.2 for the title, if they hold the whole query."""
+    return F.when(_like("text"), 0.8).otherwise(0.0) + F.when(_like("title"), 0.2).otherwise(0.0)
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """ilike_score: 0.8 for the text, 0.2 for the title.  fts_score: share of matched terms.
 
-    The full-text score is the best of all terms (only if each occurs), all
-    expanded terms (likewise) and any term.
+def matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs of query and chunk that match at all: query_id, chunk_id, ilike_score, fts_score.
+
+    A chunk matches by one term of the query: an equi-join of exploded tokens
+    with the small query side, summed to hit counts, without text.  It also
+    matches if text or title hold the whole query as a substring.  With three
+    terms or more all inner ones are then tokens of the chunk, so only pairs
+    with that many hits are looked at; shorter queries are tried one by one,
+    which needs their table broadcast: at most ``MAX_SHORT`` of them are taken
+    at once.
+
+    The full-text score is the best of all terms (if each occurs), all expanded
+    terms (likewise) and the share of terms that occur.
     """
-    inside = lambda c: F.ilike(c, F.concat(F.lit("%"), "query", F.lit("%")))
-    hit = lambda t: F.size(F.array_intersect(F.col(t), F.col("tokens")))
-    share = lambda t: F.when(F.size(t) == 0, 0.0).otherwise(hit(t) / F.greatest(F.size(t), F.lit(1)))
-    whole = lambda t: F.when((F.size(t) > 0) & (hit(t) == F.size(t)), 1.0).otherwise(0.0)
-    return pairs.select(
-        "*",
-        (F.when(inside("text"), 0.8).otherwise(0.0) + F.when(inside("title"), 0.2).otherwise(0.0)).alias("ilike_score"),
-        F.greatest(whole("terms"), whole("expanded"), share("terms")).alias("fts_score"),
-    )
+    q = with_terms(queries).select("query_id", "query", "terms", "expanded")
+    c = chunks.select("chunk_id", "text", "title")
+    own = chunk_tokens(chunks).select("chunk_id", F.explode("tokens").alias("token"))
+    asked = q.select(
+        "query_id", F.size("terms").alias("n"), F.size("expanded").alias("n_expanded"), "terms", F.explode("expanded").alias("token")
+    ).withColumn("own", F.array_contains("terms", F.col("token")).cast("int")).drop("terms")
+    hits = own.join(asked, "token").groupBy("query_id", "chunk_id").agg(
+        F.sum("own").alias("hits"), F.count(F.lit(1)).alias("hits_expanded"),
+        F.max("n").alias("n"), F.max("n_expanded").alias("n_expanded"),
+    )
+    hits = hits.where("hits > 0")
+    whole = (F.col("hits") == F.col("n")) | (F.col("hits_expanded") == F.col("n_expanded"))
+    scored = hits.withColumn("fts_score", F.when(whole, 1.0).otherwise(F.col("hits") / F.col("n")))
+    short = q.where(F.size("terms") < 3).select("query_id", "query")
+    if len(short.select("query_id").head(MAX_SHORT + 1)) > MAX_SHORT:
+        raise ValueError(f"more than {MAX_SHORT} queries of less than three terms: ask in blocks")
+    likely = hits.where("n >= 3 and hits >= n - 2").select("query_id", "chunk_id").join(q.select("query_id", "query"), "query_id")
+    found = likely.join(c, "chunk_id").select("query_id", "chunk_id", _ilike_score().alias("ilike_score"))
+    wide = c.join(F.broadcast(short), _like("text") | _like("title")).select("query_id", "chunk_id", _ilike_score().alias("ilike_score"))
+    substring = found.where("ilike_score > 0").union(wide)
+    both = scored.select("query_id", "chunk_id", "fts_score").join(substring, ["query_id", "chunk_id"], "full")
+    return both.select(
+        "query_id", "chunk_id",
+        F.coalesce("ilike_score", F.lit(0.0)).alias("ilike_score"), F.coalesce("fts_score", F.lit(0.0)).alias("fts_score"),
+    )
 
 
 def candidate_limit(top_k: int) -> int:
     return max(5 * top_k, 25)
 
 
-def candidates(matched: DataFrame, top_k: int) -> DataFrame:
-    """The best by substring score, full-text score and last change; ties by chunk id."""
+def candidates(queries: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
+    """The best matches by substring score, full-text score and last change; ties by chunk id.
+
+    Ranking sees narrow rows; terms and text are joined to what is left.
+    """
+    dated = matches(queries, chunks).join(chunks.select("chunk_id", "last_changed_at"), "chunk_id")
     order = W.partitionBy("query_id").orderBy(
         F.desc("ilike_score"), F.desc("fts_score"), F.desc("last_changed_at"), "chunk_id"
     )
-    return matched.withColumn("candidate_rank", F.row_number().over(order)).where(
-        F.col("candidate_rank") <= candidate_limit(top_k)
-    )
+    ranked = dated.withColumn("candidate_rank", F.row_number().over(order))
+    kept = ranked.where(F.col("candidate_rank") <= candidate_limit(top_k)).drop("last_changed_at")
+    return kept.join(chunks.drop("tokens"), "chunk_id").join(with_terms(queries), "query_id")
 
 
 def normalized(vector: Column) -> Column:
@@ -173,7 +194,7 @@ def attach_semantic(found: DataFrame, query_vectors: DataFrame, chunk_vectors: D
     """semantic_score of candidates only: vectors (chunk_id, vector) are joined after the limit."""
     q = query_vectors.select("query_id", normalized(F.col("vector")).alias("qv"))
     c = chunk_vectors.select("chunk_id", normalized(F.col("vector")).alias("cv"))
-    both = found.join(F.broadcast(q), "query_id", "left").join(c, "chunk_id", "left")
+    both = found.join(q, "query_id", "left").join(c, "chunk_id", "left")
     return both.withColumn("semantic_score", cosine(F.col("qv"), F.col("cv"))).drop("qv", "cv")
 
 
@@ -249,7 +270,7 @@ def search(
     if not 1 <= top_k <= 50:
         raise ValueError("top_k must be from 1 to 50")
     pool = apply_filters(chunks, filters) if filters else chunks
-    found = candidates(matches(queries, pool), top_k)
+    found = candidates(queries, pool, top_k)
     if query_vectors is not None and chunk_vectors is not None:
         found = attach_semantic(found, query_vectors, chunk_vectors)
     else:

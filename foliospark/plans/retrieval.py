@@ -11,7 +11,7 @@ from foliospark.operators import evaluate as E
 from foliospark.operators import rank
 from foliospark.operators import retrieve as R
 from foliospark.plans import sqltext as S
-from foliospark.session import ship
+from foliospark.session import materialize, ship
 from foliospark.sources import tables as D
 
 QUERIES, SQL = {}, {}
@@ -28,6 +28,17 @@ def query(sql: str | None = None):
     return add
 
 
+_built: dict[tuple[str, str], object] = {}
+
+
+def _index(spark, sf_dir):
+    """Chunks with their tokens: the search index, built once for a session and table folder."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _built:
+        _built[at] = materialize(R.chunk_tokens(D.chunks(spark, sf_dir)), "index")
+    return _built[at]
+
+
 def _joined(c: str):
     return F.array_join(F.sort_array(F.array_distinct(c)), ",")
 
@@ -62,7 +73,7 @@ def query_bigrams(spark, sf_dir):
  (CASE WHEN contains(lower(text), query) THEN 0.8 ELSE 0 END + CASE WHEN contains(lower(title), query) THEN 0.2 ELSE 0 END)::DOUBLE AS ilike_score
  FROM q JOIN chunk ON contains(lower(text), query) OR contains(lower(title), query)""")
 def search_ilike(spark, sf_dir):
-    found = R.matches(D.search_queries(spark, sf_dir), D.chunks(spark, sf_dir)).where("ilike_score > 0")
+    found = R.matches(D.search_queries(spark, sf_dir), _index(spark, sf_dir)).where("ilike_score > 0")
     return found.select("query_id", "chunk_id", "ilike_score")
 
 
@@ -100,14 +111,14 @@ _TOKENS = f"tok AS (SELECT *, list_distinct({S.tokens(chr(40) + 'text || chr(32)
 
 @query(f"""WITH {D.CHUNKS_SQL}, {D.QUERIES_SQL}, {_TOKENS} SELECT query_id, count(*) AS chunks FROM asked JOIN tok ON list_has_any(tokens, terms) GROUP BY query_id""")
 def fts_match_any(spark, sf_dir):
-    c = R.chunk_tokens(D.chunks(spark, sf_dir)).select("chunk_id", F.explode("tokens").alias("t"))
+    c = _index(spark, sf_dir).select("chunk_id", F.explode("tokens").alias("t"))
     q = _with_terms(spark, sf_dir).select("query_id", F.explode("terms").alias("t"))
     return c.join(F.broadcast(q), "t").select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query(f"""WITH {D.CHUNKS_SQL}, {D.QUERIES_SQL}, {_TOKENS} SELECT query_id, chunk_id FROM asked JOIN tok ON len(terms) > 0 AND list_has_all(tokens, terms)""")
 def fts_match_all(spark, sf_dir):
-    c = R.chunk_tokens(D.chunks(spark, sf_dir)).select("chunk_id", F.explode("tokens").alias("t"))
+    c = _index(spark, sf_dir).select("chunk_id", F.explode("tokens").alias("t"))
     q = _with_terms(spark, sf_dir).select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("t"))
     hits = c.join(F.broadcast(q), "t").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     return hits.where("k = n").select("query_id", "chunk_id")
@@ -117,7 +128,7 @@ def fts_match_all(spark, sf_dir):
 def fts_rank(spark, sf_dir):
     """Cover density of stemmed terms over candidates, best first; checked in the tests on hand-made texts."""
     ship(spark)
-    found = R.candidates(R.matches(D.search_queries(spark, sf_dir), D.chunks(spark, sf_dir)), TOP_K)
+    found = R.candidates(D.search_queries(spark, sf_dir), _index(spark, sf_dir), TOP_K)
     both = F.concat_ws(" ", "text", "title")
     score = F.greatest(rank.rank_column(both, F.col("terms")), rank.rank_column(both, F.col("terms"), any_of=True))
     return found.select("query_id", "chunk_id", F.round(score, 6).alias("fts_rank"))
@@ -167,7 +178,7 @@ _SIGNAL = f"WITH {_PAIRS} SELECT query_id, chunk_id, round(SIGNAL, 6) AS SIGNAL
 
 
 def _candidates(spark, sf_dir):
-    found = R.candidates(R.matches(D.search_queries(spark, sf_dir), D.chunks(spark, sf_dir)), TOP_K)
+    found = R.candidates(D.search_queries(spark, sf_dir), _index(spark, sf_dir), TOP_K)
     return found.withColumn("semantic_score", F.lit(0.0))
 
 
