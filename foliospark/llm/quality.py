@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.shared import materialize
+
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -171,8 +173,11 @@ def clean_documents(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, **limit
 
     A document's removed lines come as a set of line hashes, no longer than the document.
     """
-    verdict = quality_columns(docs, max_line_docs, **limits).where("kept")
-    verdict = verdict.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__text"), "removed")
+    verdict = quality_columns(docs, max_line_docs, **limits).select(
+        F.col("doc_id").alias("__id"), F.col("__hash").alias("__text"), "removed", "kept"
+    )
+    # written, as a filter on the counts would be moved below them and have them computed for each condition
+    verdict = materialize(verdict, "quality").where("kept").drop("kept")
     verdict = verdict.dropDuplicates(["__id", "__text"])
     marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
     passed = marked.join(verdict, marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")))
