@@ -14,8 +14,8 @@ id, so exact copies never enter a bucket twice.  2. Table keys are sorted, and
 a streaming pass pairs each member of a bucket with its first one: rows stay
 linear in the bucket's size and memory is constant.  3. Every pair is
 confirmed on the full sets.  4. Links become components.  5. Rounds follow in which buckets are
-sorted in another random order, and members of different components that come
-to stand beside each other are paired, until a round finds no link: links that
+sorted by two further signatures, other ones each time, and members of
+different components that come to stand beside each other are paired, until a round finds no link: links that
 a star within a bucket passes over are found without forming all pairs.
 
 Shuffles carry ids and hashes.  Sets are shuffled only for documents that met
@@ -139,6 +139,21 @@ def table_keys(reps: DataFrame, keep: list[str]) -> DataFrame:
     return reps.select(*keep, F.explode(keys).alias("k"))
 
 
+def keyed_in_order(labels: DataFrame, turn: int) -> DataFrame:
+    """Table keys (k, o, p, rep, component, n_shingles) in the two orders of a round.
+
+    Members of a bucket are ordered by two other short signatures, so that those
+    which agree in more of them come to stand beside each other.
+    """
+    band = lambda i: F.element_at("bands", i % (2 * M) + 1)
+    orders = [
+        F.struct(F.lit(t).alias("t"), band(5 * t).alias("o"), band(7 * t + 5).alias("p")) for t in (2 * turn, 2 * turn + 1)
+    ]
+    rows = labels.withColumn("order", F.explode(F.array(*orders)))
+    rows = table_keys(rows, ["rep", "component", "n_shingles", "order"])
+    return rows.select(F.xxhash64("k", "order.t").alias("k"), "order.o", "order.p", "rep", "component", "n_shingles")
+
+
 _PAIR = "a long, b long"
 
 
@@ -162,7 +177,7 @@ def _pairs_in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _pairs_across(threshold: int):
-    """From rows (k, order, rep, component, size) sorted by key and order: neighbours in a bucket whose
+    """From rows (k, o, p, rep, component, size) sorted by key and order: neighbours in a bucket whose
     components differ and whose set sizes allow a link.
 
     A component's members beside each other give nothing, so pairs stay linear in the rows of the others.
@@ -171,7 +186,7 @@ def _pairs_across(threshold: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, dtype=np.int64)] * 4
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5)]
             k, d, c, n = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
             held = [x[-1:] for x in (k, d, c, n)]
             least, most = np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1])
@@ -292,10 +307,7 @@ def near_duplicates(
         labels = near.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
             "rep", "bands", "n_shingles", F.coalesce("component", "rep").alias("component")
         )
-        keyed = table_keys(labels, ["rep", "component", "n_shingles"]).select(
-            "k", F.xxhash64("k", "rep", F.lit(turn)).alias("o"), "rep", "component", "n_shingles"
-        )
-        keyed = keyed.repartition(int(parts), "k").sortWithinPartitions("k", "o", "rep")
+        keyed = keyed_in_order(labels, turn).repartition(int(parts), "k").sortWithinPartitions("k", "o", "p", "rep")
         across = keyed.mapInArrow(_pairs_across(threshold), _PAIR).distinct().join(pairs, ["a", "b"], "left_anti")
         across = materialize(across, "across")
         found = materialize(confirmed(across, sets, threshold), "confirmed")
