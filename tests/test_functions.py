@@ -239,3 +239,36 @@ def test_request_stream(spark, tmp_path):
     q = sync.start(sync.request_stream(spark, str(folder)), lambda df, n: got.extend(sync.request_state(df).collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert {(r["request_id"], r["status"], r["events"]) for r in got} == {("r1", "completed", 2), ("r2", "queued", 1)}
+
+
+def test_requests(spark):
+    from foliospark.operators import requests as Q
+
+    for bad in (lambda: Q.SearchRequest("x"), lambda: Q.SearchRequest("xy", top_k=51), lambda: Q.AnswerRequest("why", style="long"), lambda: Q.ChangesRequest(severity="odd")):
+        with pytest.raises(ValueError):
+            bad()
+    assert Q.command(" Search a b ") == ("search", "a b") and Q.command("changes src1") == ("changes", "src1")
+    assert Q.command("") == ("help", None) and Q.command("how?") == ("answer", "how?")
+    import hashlib
+    import hmac
+
+    sig = "v0=" + hmac.new(b"s", b"v0:100:body", hashlib.sha256).hexdigest()
+    assert Q.signature_valid("s", 100, "body", sig, 200) and not Q.signature_valid("s", 100, "body", sig, 500)
+    assert not Q.signature_valid("t", 100, "body", sig, 200)
+    assert one(spark, Q.address_allowed(F.col("a"), ("10.*", "1.1.1.1")), a="10.2.3.4")
+    df = spark.createDataFrame([("a", "updated", ["1", "2", "3"])], "source_id string, event_type string, recommended_actions array<string>")
+    assert Q.compact(df, "changes").first()["recommended_actions"] == ["1", "2"] and Q.limited_sources(df, ("b",)).count() == 0
+
+
+def test_policies_and_embeddings(spark):
+    from foliospark.session import ship
+    from foliospark.sources import embedding as M
+    from foliospark.sources.policies import CRAWL_POLICIES, policies_from_json
+
+    assert len(CRAWL_POLICIES) == 7
+    assert policies_from_json('[{"source_id": "a"}, {"source_id": "a", "max_pages": 3}]')["a"].max_pages == 3
+    ship(spark)
+    df = spark.createDataFrame([("1", "a b c"), ("2", "a b d"), ("3", "x y z"), ("4", None)], "chunk_id string, text string")
+    v = {r["chunk_id"]: r["vector"] for r in M.chunk_embeddings(df, M.hashing_provider(), "hash").collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
+    assert set(v) == {"1", "2", "3"} and abs(dot("1", "1") - 1) < 1e-9 and dot("1", "2") > dot("1", "3")
