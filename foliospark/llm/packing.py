@@ -31,6 +31,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,16 @@ _CLASS[128:] = _DOUBT
 _CLASS[ord("'")] = _DOUBT
 
 
+def _byte_chars() -> list[str]:
+    """Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class Encoder:
     """Ids of texts by units, each encoded once; the cache is emptied when it is full."""
 
@@ -66,9 +77,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.size = size
         self.clear()
 
@@ -79,30 +88,23 @@ class Encoder:
         self.count = np.array([1], dtype=np.int64)
         self.stops = np.array([False])
 
-    def _encode(self, units: list[str]) -> list[np.ndarray]:
-        together = np.array(self.tokenizer.encode(" ".join(units), add_special_tokens=False).ids, dtype=np.uint32)
-        ends = np.flatnonzero(self.closes[together]) + 1
-        if len(ends) == len(units) and (not len(ends) or ends[-1] == len(together)):
-            return np.split(together, ends[:-1])
-        one = self.tokenizer.encode_batch(units, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint32) for e in one]
+    def _encode(self, unit: str) -> list[int]:
+        """Ids of a unit that the tokenizer keeps in one piece: the model's own merges, without its pipeline."""
+        if not unit.isascii():
+            unit = "".join(map(_BYTE_CHARS.__getitem__, unit.lower().encode()))
+        return [t.id for t in self.model.tokenize(unit)]
 
     def _learn(self, hashes: list[int], units: list[bytes], plain: list[bool]) -> None:
         texts = [u.decode() for u in units]
-        got: list[np.ndarray] = [None] * len(units)  # type: ignore[list-item]
-        simple = [k for k, p in enumerate(plain) if p]
-        for at in range(0, len(simple), 4096):
-            part = simple[at : at + 4096]
-            for k, ids in zip(part, self._encode([texts[k] for k in part]), strict=True):
-                got[k] = ids
-        rest = [k for k, p in enumerate(plain) if not p]
-        for k, e in zip(rest, self.tokenizer.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
-            got[k] = np.array(e.ids, dtype=np.uint32)
+        odd = [k for k, p in enumerate(plain) if not p]
+        whole = self.tokenizer.encode_batch([texts[k] for k in odd], add_special_tokens=False)
+        doubtful = {k: e.ids for k, e in zip(odd, whole, strict=True)}
+        got = [doubtful[k] if k in doubtful else self._encode(t) for k, t in enumerate(texts)]
         base = len(self.count)
         counts = np.array([len(g) for g in got], dtype=np.int64)
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
-        self.ids = np.concatenate([self.ids, *got])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum()))])
         self.stops = np.concatenate([self.stops, np.array([u[-1:] in (b".", b"!", b"?") for u in units])])
         self.known.update(zip(hashes, range(base, base + len(units)), strict=True))
 
