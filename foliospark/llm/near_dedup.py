@@ -12,11 +12,12 @@ a group meet along many pairs.
 Steps.  1. Sets are hashed in one pass; equal sets collapse to the smallest
 id, so exact copies never enter a bucket twice.  2. Table keys are sorted, and
 a streaming pass pairs each member of a bucket with its first one: rows stay
-linear in the bucket's size and memory is constant.  3. Every pair is
-confirmed on the full sets.  4. Links become components.  5. Rounds follow in which buckets are
-sorted by two further signatures, other ones each time, and members of
-different components that come to stand beside each other are paired, until a round finds no link: links that
-a star within a bucket passes over are found without forming all pairs.
+linear in the bucket's size and memory is constant.  3. Every pair is confirmed
+on the full sets.  4. Links become components.  5. Rounds follow in which
+buckets are sorted by two further signatures, other ones each time, and members
+of different components that come to stand beside each other are paired, until
+a round adds less than one link in ``REST``: links that a star within a bucket
+passes over are found without forming all pairs.
 
 Shuffles carry ids and hashes.  Sets are shuffled only for documents that met
 another one; a bitmap of fixed size (``BITS``) that is broadcast spares most
@@ -36,7 +37,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
@@ -48,6 +49,8 @@ THRESHOLD = 80  # per cent
 M = 12
 R = 3
 BITS = 25
+REST = 2000
+_SIZES = 0xFFFF
 _ALONE = U64(0x51ED270B2A6B3C5D)
 _C = U64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(80).integers(1, 2**63, size=2 * M * R, dtype=np.uint64) | U64(1)
@@ -140,18 +143,23 @@ def table_keys(reps: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def keyed_in_order(labels: DataFrame, turn: int) -> DataFrame:
-    """Table keys (k, o, p, rep, component, n_shingles) in the two orders of a round.
+    """Table keys (k, o, rep, component) in the two orders of a round.
 
     Members of a bucket are ordered by two other short signatures, so that those
-    which agree in more of them come to stand beside each other.
+    which agree in more of them come to stand beside each other.  One number
+    holds 24 bits of either and, in its last 16, the set's size up to ``_SIZES``.
     """
     band = lambda i: F.element_at("bands", i % (2 * M) + 1)
-    orders = [
-        F.struct(F.lit(t).alias("t"), band(5 * t).alias("o"), band(7 * t + 5).alias("p")) for t in (2 * turn, 2 * turn + 1)
-    ]
-    rows = labels.withColumn("order", F.explode(F.array(*orders)))
-    rows = table_keys(rows, ["rep", "component", "n_shingles", "order"])
-    return rows.select(F.xxhash64("k", "order.t").alias("k"), "order.o", "order.p", "rep", "component", "n_shingles")
+    low = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1))
+    size = F.least("n_shingles", F.lit(_SIZES).cast("long"))
+
+    def order(t: int) -> Column:
+        both = F.shiftleft(low(band(5 * t), 24), 40).bitwiseOR(F.shiftleft(low(band(7 * t + 5), 24), 16))
+        return F.struct(F.lit(t).alias("t"), both.bitwiseOR(size).alias("o"))
+
+    rows = labels.withColumn("order", F.explode(F.array(order(2 * turn), order(2 * turn + 1))))
+    rows = table_keys(rows, ["rep", "component", "order"])
+    return rows.select(F.xxhash64("k", "order.t").alias("k"), "order.o", "rep", "component")
 
 
 _PAIR = "a long, b long"
@@ -177,7 +185,7 @@ def _pairs_in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _pairs_across(threshold: int):
-    """From rows (k, o, p, rep, component, size) sorted by key and order: neighbours in a bucket whose
+    """From rows (k, o, rep, component) sorted by key and order: neighbours in a bucket whose
     components differ and whose set sizes allow a link.
 
     A component's members beside each other give nothing, so pairs stay linear in the rows of the others.
@@ -186,11 +194,13 @@ def _pairs_across(threshold: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, dtype=np.int64)] * 4
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5)]
-            k, d, c, n = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
-            held = [x[-1:] for x in (k, d, c, n)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            k, o, d, c = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
+            held = [x[-1:] for x in (k, o, d, c)]
+            n = o & _SIZES
             least, most = np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1])
-            at = np.flatnonzero((k[1:] == k[:-1]) & (c[1:] != c[:-1]) & (100 * least >= threshold * most))
+            fits = (100 * least >= threshold * most) | (most == _SIZES)
+            at = np.flatnonzero((k[1:] == k[:-1]) & (c[1:] != c[:-1]) & fits)
             yield _distinct(d[at], d[at + 1])
 
     return run
@@ -301,20 +311,22 @@ def near_duplicates(
     sets = materialize(sets_table(rows, met, words_in), "shingles")
     links = materialize(confirmed(pairs, sets, threshold), "confirmed")
     near = reps.join(met.withColumnRenamed("id", "rep"), "rep", "left_semi")
-    turn, groups = 0, components(links)
+    turn, known, groups = 0, links.count(), components(links)
     while True:
         turn += 1
         labels = near.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
             "rep", "bands", "n_shingles", F.coalesce("component", "rep").alias("component")
         )
-        keyed = keyed_in_order(labels, turn).repartition(int(parts), "k").sortWithinPartitions("k", "o", "p", "rep")
+        keyed = keyed_in_order(labels, turn).repartition(int(parts), "k").sortWithinPartitions("k", "o", "rep")
         across = keyed.mapInArrow(_pairs_across(threshold), _PAIR).distinct().join(pairs, ["a", "b"], "left_anti")
         across = materialize(across, "across")
         found = materialize(confirmed(across, sets, threshold), "confirmed")
-        if found.isEmpty():
+        more = found.count()
+        if more:
+            groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
+        if more * REST <= known:
             break
-        pairs = pairs.union(across)
-        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
+        pairs, known = pairs.union(across), known + more
     final = reps.select("set_hi", "set_lo", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     final = final.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
     out = s.select("key", "text_hash", "n_shingles", "set_hi", "set_lo").join(final, ["set_hi", "set_lo"], "left")
