@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.words import Words, slices, texts_of
 from foliospark.session import ship
 
-TRAINING = 1500
+TRAINING = 1000
 _ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", re.I | re.A
 )
@@ -235,7 +235,7 @@ _BARRED = -6.0
 
 
 @lru_cache(maxsize=2)
-def train(count: int = TRAINING, rounds: int = 150, rate: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
+def train(count: int = TRAINING, rounds: int = 60, rate: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
     """Emission weights (features, 3) and transitions (3, 3) by gradient ascent on the log-likelihood."""
     texts, tags = zip(*_sentences(count), strict=True)
     w, hit, rows = features(pa.array(texts))
