@@ -16,8 +16,13 @@ linear in the bucket's size and memory is constant.  3. Every pair is confirmed
 on the full sets.  4. Links become components.  5. Rounds follow in which
 buckets are sorted by two further signatures, other ones each time, and members
 of different components that come to stand beside each other are paired, until
-a round adds less than one link in ``REST``: links that a star within a bucket
-passes over are found without forming all pairs.
+a round adds less than one link in ``REST``: most links that a star within a
+bucket passes over are found without forming all pairs.  6. The rest is exact:
+members of buckets that still hold pairs of different components which no step
+has tried are joined by prefixes.  With shingles in one order, rare ones first,
+two sets of that similarity share one among the first of both; the prefixes of
+documents that only share a long passage hold their own shingles and don't
+meet.  So no link between members of a bucket is left, wherever rounds end.
 
 Shuffles carry ids and hashes.  Sets are shuffled only for documents that met
 another one; a bitmap of fixed size (``BITS``) that is broadcast spares most
@@ -206,6 +211,106 @@ def _pairs_across(threshold: int):
     return run
 
 
+def _open_members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (k, rep, component) sorted by key and rep: members of buckets with untried pairs.
+
+    Each member was tried with the bucket's first one; what is left lies between
+    the others, if they are of two components or more.  Memory: a bucket's ids.
+    """
+
+    def members(k: np.ndarray, d: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        out = np.zeros(0, dtype=np.int64)
+        if len(k):
+            first = np.ones(len(k), dtype=bool)
+            first[1:] = k[1:] != k[:-1]
+            k, d, c = k[~first], d[~first], c[~first]
+        if len(k):
+            new = np.ones(len(k), dtype=bool)
+            new[1:] = k[1:] != k[:-1]
+            starts = np.flatnonzero(new)
+            mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
+            out = np.unique(d[mixed[np.cumsum(new) - 1]])
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["rep"])
+
+    for whole in _whole_keys(batches, 3):
+        yield members(*whole)
+
+
+def _whole_keys(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first column, cut where it changes."""
+    held: list[list[np.ndarray]] = []  # of the open key
+    for batch in batches:
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
+        if not len(new[0]):
+            continue
+        at = int(np.searchsorted(new[0], new[0][-1]))
+        if held and at == 0 and held[0][0][0] == new[0][0]:
+            held.append(new)
+            continue
+        yield [np.concatenate(x) for x in zip(*held, [x[:at] for x in new], strict=True)]
+        held = [[x[at:] for x in new]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def prefixes(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(token, rep, component, n, at): a set's first shingles in the order of frequency and hash.
+
+    Sets of sizes n and m that reach the threshold share max(n, m) threshold / 100 or more, so
+    one of each set's first n - threshold n / 100 + 1 at least.  Shingles that only one set holds
+    count in the places ``at`` but meet nothing.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                each = [_unpacked(x).view(np.int64) for x in part.column(1).to_pylist()]
+                ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in each])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(each))], ["rep", "token"])
+
+    own = sets.join(members.select(F.col("rep").alias("id")), "id", "left_semi")
+    rows = own.select("id", "s").mapInArrow(run, "rep long, token long")
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    ordered = rows.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
+    n = F.size("t")
+    first = F.expr(f"slice(t, 1, size(t) - cast(ceil({threshold} * size(t) / 100) as int) + 1)")
+    out = ordered.select("rep", n.cast("long").alias("n"), F.posexplode(first).alias("at", "x")).where("x.f > 1")
+    out = out.join(members.select("rep", "component"), "rep")
+    return out.select(F.col("x.token").alias("token"), "rep", "component", "n", F.col("at").cast("long").alias("at"))
+
+
+def _pairs_by_prefix(threshold: int):
+    """From rows (token, rep, component, n, at) sorted by token: pairs of different components that can reach the threshold.
+
+    What two sets share from a common shingle on is no more than what either has left there.  At
+    their first common one that is all they share, so it never drops a link.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, d, c, n, p in _whole_keys(batches, 5):
+            left = n - p
+            at, step = np.arange(len(k)), 0
+            while len(at):
+                step += 1
+                at = at[at + step < len(k)]
+                at = at[k[at] == k[at + step]]
+                to = at + step
+                most = np.minimum(left[at], left[to])
+                hit = (c[at] != c[to]) & ((100 + threshold) * most >= threshold * (n[at] + n[to]))
+                if hit.any():
+                    yield _distinct(d[at[hit]], d[to[hit]])
+
+    return run
+
+
+def prefix_pairs(rows: DataFrame, threshold: int, parts: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in ``prefixes``."""
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    rows = rows.join(mixed.select("token"), "token", "left_semi").select("token", "rep", "component", "n", "at")
+    return rows.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_pairs_by_prefix(threshold), _PAIR).distinct()
+
+
 def _distinct(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
     pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
@@ -312,21 +417,36 @@ def near_duplicates(
     links = materialize(confirmed(pairs, sets, threshold), "confirmed")
     near = reps.join(met.withColumnRenamed("id", "rep"), "rep", "left_semi")
     turn, known, groups = 0, links.count(), components(links)
-    while True:
-        turn += 1
-        labels = near.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
+
+    def labelled() -> DataFrame:
+        return near.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
             "rep", "bands", "n_shingles", F.coalesce("component", "rep").alias("component")
         )
-        keyed = keyed_in_order(labels, turn).repartition(int(parts), "k").sortWithinPartitions("k", "o", "rep")
+
+    def joined(more: DataFrame) -> DataFrame:
+        return components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+
+    while True:
+        turn += 1
+        keyed = keyed_in_order(labelled(), turn).repartition(int(parts), "k").sortWithinPartitions("k", "o", "rep")
         across = keyed.mapInArrow(_pairs_across(threshold), _PAIR).distinct().join(pairs, ["a", "b"], "left_anti")
         across = materialize(across, "across")
         found = materialize(confirmed(across, sets, threshold), "confirmed")
         more = found.count()
+        pairs, known = pairs.union(across), known + more
         if more:
-            groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
-        if more * REST <= known:
+            groups = joined(found)
+        if more * REST <= known - more:
             break
-        pairs, known = pairs.union(across), known + more
+    keyed = table_keys(labelled(), ["rep", "component"]).select("k", "rep", "component")
+    keyed = keyed.repartition(int(parts), "k").sortWithinPartitions("k", "rep")
+    rest = materialize(keyed.mapInArrow(_open_members, "rep long").distinct(), "open")
+    members = labelled().join(rest, "rep", "left_semi").select("rep", "component")
+    firsts = materialize(prefixes(members, sets, threshold), "prefixes")
+    across = materialize(prefix_pairs(firsts, threshold, int(parts)).join(pairs, ["a", "b"], "left_anti"), "across")
+    found = materialize(confirmed(across, sets, threshold), "confirmed")
+    if not found.isEmpty():
+        groups = joined(found)
     final = reps.select("set_hi", "set_lo", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     final = final.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
     out = s.select("key", "text_hash", "n_shingles", "set_hi", "set_lo").join(final, ["set_hi", "set_lo"], "left")

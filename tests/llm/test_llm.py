@@ -403,6 +403,26 @@ def test_near_duplicates(spark):
     assert [got[i] for i in range(len(texts))] == _components(texts)
 
 
+def _passage(n, seed=5):
+    """Documents around one passage, most of them below the threshold to each other, and a near copy of every tenth."""
+    rng = np.random.default_rng(seed)
+    shared = [f"p{i}" for i in range(160)]
+    texts = []
+    for i in range(n):
+        own = [f"u{i}x{k}" for k in range(int(rng.integers(22, 30)))]
+        texts.append(shared + own)
+    near = [t[:-15] + [f"e{i}x{k}" for k in range(15)] for i, t in enumerate(texts[::10])]
+    order = rng.permutation(n + len(near))
+    return [" ".join((texts + near)[i]) for i in order]
+
+
+def test_near_duplicates_stop_rule(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REST", 0)  # rounds end after the first one: what is left has to be found without them
+    texts = _passage(500)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in _components(texts)]
+
+
 def test_near_duplicates_awkward(spark):
     df = awkward(spark)
     out = near_dedup.near_duplicates(df).collect()
