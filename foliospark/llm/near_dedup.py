@@ -55,6 +55,8 @@ M = 12
 R = 3
 BITS = 25
 REST = 2000
+BLOCK = 4096
+_WITHIN = 2
 _SIZES = 0xFFFF
 _ALONE = U64(0x51ED270B2A6B3C5D)
 _C = U64(0x9E3779B97F4A7C15)
@@ -281,14 +283,14 @@ def prefixes(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _pairs_by_prefix(threshold: int):
-    """From rows (token, rep, component, n, at) sorted by token: pairs of different components that can reach the threshold.
+    """From rows (k, rep, component, n, at, side) sorted by k: pairs of different components that can reach the threshold.
 
     What two sets share from a common shingle on is no more than what either has left there.  At
     their first common one that is all they share, so it never drops a link.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, d, c, n, p in _whole_keys(batches, 5):
+        for k, d, c, n, p, e in _whole_keys(batches, 6):
             left = n - p
             at, step = np.arange(len(k)), 0
             while len(at):
@@ -297,18 +299,29 @@ def _pairs_by_prefix(threshold: int):
                 at = at[k[at] == k[at + step]]
                 to = at + step
                 most = np.minimum(left[at], left[to])
-                hit = (c[at] != c[to]) & ((100 + threshold) * most >= threshold * (n[at] + n[to]))
+                fits = (100 + threshold) * most >= threshold * (n[at] + n[to])
+                hit = fits & (c[at] != c[to]) & ((e[at] != e[to]) | (e[at] == _WITHIN))
                 if hit.any():
                     yield _distinct(d[at[hit]], d[to[hit]])
 
     return run
 
 
-def prefix_pairs(rows: DataFrame, threshold: int, parts: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in ``prefixes``."""
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    rows = rows.join(mixed.select("token"), "token", "left_semi").select("token", "rep", "component", "n", "at")
-    return rows.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_pairs_by_prefix(threshold), _PAIR).distinct()
+def prefix_pairs(rows: DataFrame, threshold: int, parts: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of different components that meet in ``prefixes``.
+
+    A shingle of more than ``block`` rows is dealt into blocks, and every two of them meet under a
+    key of their own: all pairs are still formed, a block within itself once, by many tasks.
+    """
+    counts = F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")
+    mixed = rows.groupBy("token").agg(*counts).where("lo != hi")
+    mixed = mixed.select("token", F.ceil(F.col("rows") / block).cast("long").alias("g"))
+    rows = rows.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    side = F.when(F.col("own") == F.col("other"), _WITHIN).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(key.alias("k"), "rep", "component", "n", "at", side.cast("long").alias("side"))
+    return rows.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_pairs_by_prefix(threshold), _PAIR).distinct()
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:

@@ -423,6 +423,26 @@ def test_near_duplicates_stop_rule(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [c for _, c in _components(texts)]
 
 
+def test_near_duplicates_hot_buckets(spark):
+    texts = ["unrelated first " + " ".join(f"p{i}" for i in range(160))] + _passage(1300, seed=6)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in _components(texts)]
+
+
+def test_prefix_pairs_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(t, i, int(rng.integers(30)) + 1000, 100, int(rng.integers(15))) for t in range(3) for i in rng.permutation(200)[:120].tolist()]
+    want = {
+        (min(a, b), max(a, b))
+        for t, a, c, n, p in rows for u, b, e, m, q in rows
+        if t == u and c != e and 180 * min(n - p, m - q) >= 80 * (n + m)
+    }
+    df = spark.createDataFrame(rows, "token long, rep long, component long, n long, at long")
+    for block in (7, 64, 4096):
+        got = near_dedup.prefix_pairs(df, 80, 4, block).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def test_near_duplicates_awkward(spark):
     df = awkward(spark)
     out = near_dedup.near_duplicates(df).collect()
