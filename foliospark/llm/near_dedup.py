@@ -13,16 +13,16 @@ Steps.  1. Sets are hashed in one pass; equal sets collapse to the smallest
 id, so exact copies never enter a bucket twice.  2. Table keys are sorted, and
 a streaming pass pairs each member of a bucket with its first one: rows stay
 linear in the bucket's size and memory is constant.  3. Every pair is confirmed
-on the full sets.  4. Links become components.  5. Rounds follow in which
-buckets are sorted by two further signatures, other ones each time, and members
-of different components that come to stand beside each other are paired, until
-a round adds less than one link in ``REST``: most links that a star within a
-bucket passes over are found without forming all pairs.  6. The rest is exact:
+on the full sets.  4. Links become components.  5. In a round
+buckets are sorted by two further signatures, in two orders, and members of
+different components that come to stand beside each other are paired: most
+links that a star within a bucket passes over are found without forming all
+pairs.  6. The rest is exact:
 members of buckets that still hold pairs of different components which no step
 has tried are joined by prefixes.  With shingles in one order, rare ones first,
 two sets of that similarity share one among the first of both; the prefixes of
 documents that only share a long passage hold their own shingles and don't
-meet.  So no link between members of a bucket is left, wherever rounds end.
+meet.  So no link between members of a bucket is left.
 
 Shuffles carry ids and hashes.  Sets are shuffled only for documents that met
 another one; a bitmap of fixed size (``BITS``) that is broadcast spares most
@@ -54,7 +54,6 @@ THRESHOLD = 80  # per cent
 M = 12
 R = 3
 BITS = 25
-REST = 2000
 BLOCK = 4096
 _WITHIN = 2
 _SIZES = 0xFFFF
@@ -429,7 +428,7 @@ def near_duplicates(
     sets = materialize(sets_table(rows, met, words_in), "shingles")
     links = materialize(confirmed(pairs, sets, threshold), "confirmed")
     near = reps.join(met.withColumnRenamed("id", "rep"), "rep", "left_semi")
-    turn, known, groups = 0, links.count(), components(links)
+    groups = components(links)
 
     def labelled() -> DataFrame:
         return near.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -439,18 +438,13 @@ def near_duplicates(
     def joined(more: DataFrame) -> DataFrame:
         return components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
-    while True:
-        turn += 1
-        keyed = keyed_in_order(labelled(), turn).repartition(int(parts), "k").sortWithinPartitions("k", "o", "rep")
-        across = keyed.mapInArrow(_pairs_across(threshold), _PAIR).distinct().join(pairs, ["a", "b"], "left_anti")
-        across = materialize(across, "across")
-        found = materialize(confirmed(across, sets, threshold), "confirmed")
-        more = found.count()
-        pairs, known = pairs.union(across), known + more
-        if more:
-            groups = joined(found)
-        if more * REST <= known - more:
-            break
+    keyed = keyed_in_order(labelled(), 1).repartition(int(parts), "k").sortWithinPartitions("k", "o", "rep")
+    across = keyed.mapInArrow(_pairs_across(threshold), _PAIR).distinct().join(pairs, ["a", "b"], "left_anti")
+    across = materialize(across, "across")
+    found = materialize(confirmed(across, sets, threshold), "confirmed")
+    if not found.isEmpty():
+        groups = joined(found)
+    pairs = pairs.union(across)
     keyed = table_keys(labelled(), ["rep", "component"]).select("k", "rep", "component")
     keyed = keyed.repartition(int(parts), "k").sortWithinPartitions("k", "rep")
     rest = materialize(keyed.mapInArrow(_open_members, "rep long").distinct(), "open")
