@@ -97,6 +97,17 @@ def test_pfair_deviation():
     assert sorted(slots) == list(range(1350)) and collections.Counter(slots.values()) == {"a": 400, "b": 900, "c": 50}
 
 
+def test_no_drift_from_given_weights():
+    weights = {"a": 0.6180339, "b": 0.3815, "c": 0.0004661}  # c is below one slot in 1024
+    plan = mixing.phases({"a": 61_000, "b": 60_000, "c": 400}, weights)
+    p, total = plan[0], sum(weights.values())
+    at = lambda s, j: j // p.quota[s] * sum(p.quota.values()) + p.slots[s][j % p.quota[s]]
+    for s, n in p.blocks.items():
+        for j in range(n):
+            t = at(s, j)
+            assert j - 1e-6 < (t + 1) * weights[s] / total and t * weights[s] / total < j + 1 + 1e-6
+
+
 def test_mixing(spark):
     df = awkward(spark, [(i, "x" * (i % 90), f"src{0 if i % 3 else i % 7}") for i in range(800)] + [(None, None, None)] * 2)
     out = mixing.mix_sources(df, block_bytes=500).toPandas()
