@@ -79,6 +79,21 @@ def test_quality_lines(spark):
     assert quality.clean_documents(df, 3).columns == df.columns
 
 
+def test_lines_above_limit_same_as_sql(spark):
+    import duckdb
+
+    n = quality.MAX_LINE_DOCS + 30
+    rows = [(i, "Common  line of the host\n" + " ".join(f"w{i}x{k}" for k in range(44 + i % 20)), "h") for i in range(n)]
+    rows += [(n + i, f"common line of the host\nother {i}", "small") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    documents = pa.Table.from_pylist([dict(zip(("doc_id", "text", "source"), r, strict=True)) for r in rows])
+    con.register("documents", documents)
+    want, got = con.execute(quality.SQL).df(), quality.quality_query(df).toPandas()
+    assert rows_of(got) == rows_of(want)
+    assert (got.n_removed_lines > 0).sum() == n - 1 and (got.kept != ~got.base_failed).any()
+
+
 # 2 Mixing ---------------------------------------------------------------------------------------------
 
 
