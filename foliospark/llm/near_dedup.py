@@ -9,30 +9,30 @@ Two sets of similarity s meet in some table with probability
 (1 - (1 - s^R)^M)^2: 0.9996 at s = 0.8 with R = 3 and M = 12, and documents of
 a group meet along many pairs.
 
-Steps.  1. Sets are hashed in one pass; equal sets collapse to the smallest
-id, so exact copies never enter a bucket twice.  2. Table keys are sorted, and
-a streaming pass pairs each member of a bucket with its first one: rows stay
+Steps.  1. Sets are hashed in one pass; equal sets collapse to one node, so
+exact copies never enter a bucket twice.  2. Table keys are sorted, and a
+streaming pass pairs each member of a bucket with its first one: rows stay
 linear in the bucket's size and memory is constant.  3. Every pair is confirmed
-on the full sets.  4. Links become components.  5. In a round
-buckets are sorted by two further signatures, in two orders, and members of
-different components that come to stand beside each other are paired: most
-links that a star within a bucket passes over are found without forming all
-pairs.  6. The rest is exact:
-members of buckets that still hold pairs of different components which no step
-has tried are joined by prefixes.  With shingles in one order, rare ones first,
-two sets of that similarity share one among the first of both; the prefixes of
-documents that only share a long passage hold their own shingles and don't
-meet.  So no link between members of a bucket is left.
+on the full sets.  4. Links become components.  5. The rest is exact: members
+of buckets that hold several components are joined by prefixes.  With shingles
+in one order, rare ones first, two sets of that similarity share one among the
+first of both; the prefixes of documents that only share a long passage hold
+their own shingles and don't meet.  In a shuffled order each member of a prefix
+shingle is first tried with ``STEPS`` members behind it, which joins most
+components, and what then are still pairs of different components are all
+formed, in blocks that many tasks share.  So no link between members of a
+bucket is left, and no number of rounds or partners is set.
 
 Shuffles carry ids and hashes.  Sets are shuffled only for documents that met
-another one; a bitmap of fixed size (``BITS``) that is broadcast spares most
-others the work, and an exact join follows it.
+another one; a bitmap with 8 to 16 bits for each of them, up to ``MAX_BITS``
+in all, is broadcast and spares most others the work.  An exact join on the
+set's identity follows it, so a full bitmap costs time, never a link.
 
 Cases: a null text, or one without words, has an empty set and links with
 nothing; a document of one word has that word as its only shingle; equal sets
-share a component whatever their texts; repeated rows each return; a row
-without id takes the component of its set; an empty table gives no rows; other
-columns are ignored.
+share a component whatever their texts; repeated rows each return; two texts
+under one id are two sets, each with its own links; a row without id takes the
+component of its set; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,10 +53,10 @@ from foliospark.session import ship
 THRESHOLD = 80  # per cent
 M = 12
 R = 3
-BITS = 25
+MAX_BITS = 28
 BLOCK = 4096
+STEPS = 32
 _WITHIN = 2
-_SIZES = 0xFFFF
 _ALONE = U64(0x51ED270B2A6B3C5D)
 _C = U64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(80).integers(1, 2**63, size=2 * M * R, dtype=np.uint64) | U64(1)
@@ -148,26 +148,6 @@ def table_keys(reps: DataFrame, keep: list[str]) -> DataFrame:
     return reps.select(*keep, F.explode(keys).alias("k"))
 
 
-def keyed_in_order(labels: DataFrame, turn: int) -> DataFrame:
-    """Table keys (k, o, rep, component) in the two orders of a round.
-
-    Members of a bucket are ordered by two other short signatures, so that those
-    which agree in more of them come to stand beside each other.  One number
-    holds 24 bits of either and, in its last 16, the set's size up to ``_SIZES``.
-    """
-    band = lambda i: F.element_at("bands", i % (2 * M) + 1)
-    low = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1))
-    size = F.least("n_shingles", F.lit(_SIZES).cast("long"))
-
-    def order(t: int) -> Column:
-        both = F.shiftleft(low(band(5 * t), 24), 40).bitwiseOR(F.shiftleft(low(band(7 * t + 5), 24), 16))
-        return F.struct(F.lit(t).alias("t"), both.bitwiseOR(size).alias("o"))
-
-    rows = labels.withColumn("order", F.explode(F.array(order(2 * turn), order(2 * turn + 1))))
-    rows = table_keys(rows, ["rep", "component", "order"])
-    return rows.select(F.xxhash64("k", "order.t").alias("k"), "order.o", "rep", "component")
-
-
 _PAIR = "a long, b long"
 
 
@@ -190,51 +170,15 @@ def _pairs_in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _distinct(head[inner], d[inner])
 
 
-def _pairs_across(threshold: int):
-    """From rows (k, o, rep, component) sorted by key and order: neighbours in a bucket whose
-    components differ and whose set sizes allow a link.
+def open_members(labels: DataFrame) -> DataFrame:
+    """(rep) of buckets that hold untried pairs of different components; ``labels`` has rep, component and bands.
 
-    A component's members beside each other give nothing, so pairs stay linear in the rows of the others.
+    Each member was tried with the bucket's first one, so two members leave no pair.
     """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 4
-        for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            k, o, d, c = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
-            held = [x[-1:] for x in (k, o, d, c)]
-            n = o & _SIZES
-            least, most = np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1])
-            fits = (100 * least >= threshold * most) | (most == _SIZES)
-            at = np.flatnonzero((k[1:] == k[:-1]) & (c[1:] != c[:-1]) & fits)
-            yield _distinct(d[at], d[at + 1])
-
-    return run
-
-
-def _open_members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (k, rep, component) sorted by key and rep: members of buckets with untried pairs.
-
-    Each member was tried with the bucket's first one; what is left lies between
-    the others, if they are of two components or more.  Memory: a bucket's ids.
-    """
-
-    def members(k: np.ndarray, d: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        out = np.zeros(0, dtype=np.int64)
-        if len(k):
-            first = np.ones(len(k), dtype=bool)
-            first[1:] = k[1:] != k[:-1]
-            k, d, c = k[~first], d[~first], c[~first]
-        if len(k):
-            new = np.ones(len(k), dtype=bool)
-            new[1:] = k[1:] != k[:-1]
-            starts = np.flatnonzero(new)
-            mixed = np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts)
-            out = np.unique(d[mixed[np.cumsum(new) - 1]])
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["rep"])
-
-    for whole in _whole_keys(batches, 3):
-        yield members(*whole)
+    keyed = table_keys(labels, ["rep", "component"])
+    counts = F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    mixed = keyed.groupBy("k").agg(*counts).where("n > 2 and lo < hi").select("k")
+    return keyed.join(mixed, "k", "left_semi").select("rep").distinct()
 
 
 def _whole_keys(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
@@ -248,14 +192,15 @@ def _whole_keys(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[list[
         if held and at == 0 and held[0][0][0] == new[0][0]:
             held.append(new)
             continue
-        yield [np.concatenate(x) for x in zip(*held, [x[:at] for x in new], strict=True)]
+        if held or at:
+            yield [np.concatenate(x) for x in zip(*held, [x[:at] for x in new], strict=True)]
         held = [[x[at:] for x in new]]
     if held:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def prefixes(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(token, rep, component, n, at): a set's first shingles in the order of frequency and hash.
+    """(token, rep, n, at): a set's first shingles in the order of frequency and hash.
 
     Sets of sizes n and m that reach the threshold share max(n, m) threshold / 100 or more, so
     one of each set's first n - threshold n / 100 + 1 at least.  Shingles that only one set holds
@@ -272,55 +217,112 @@ def prefixes(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     own = sets.join(members.select(F.col("rep").alias("id")), "id", "left_semi")
     rows = own.select("id", "s").mapInArrow(run, "rep long, token long")
-    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    # written, so that a shingle of many sets is a skewed join key that adaptive execution may split
+    often = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("f")), "often")
     ordered = rows.join(often, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
     n = F.size("t")
     first = F.expr(f"slice(t, 1, size(t) - cast(ceil({threshold} * size(t) / 100) as int) + 1)")
     out = ordered.select("rep", n.cast("long").alias("n"), F.posexplode(first).alias("at", "x")).where("x.f > 1")
-    out = out.join(members.select("rep", "component"), "rep")
-    return out.select(F.col("x.token").alias("token"), "rep", "component", "n", F.col("at").cast("long").alias("at"))
+    return out.select(F.col("x.token").alias("token"), "rep", "n", F.col("at").cast("long").alias("at"))
 
 
-def _pairs_by_prefix(threshold: int):
-    """From rows (k, rep, component, n, at, side) sorted by k: pairs of different components that can reach the threshold.
+def _pairs_by_prefix(threshold: int, most_at_once: int = 1 << 20):
+    """From rows (k, side, rep, component, n, at) sorted by k and side: pairs of different components that can reach the threshold.
 
-    What two sets share from a common shingle on is no more than what either has left there.  At
-    their first common one that is all they share, so it never drops a link.
+    Rows of side 0 meet those of side 1, rows of side ``_WITHIN`` each other.  What two sets share
+    from a common shingle on is no more than what either has left there.  At their first common one
+    that is all they share, so it never drops a link.  Pairs are formed ``most_at_once`` at a time.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, d, c, n, p, e in _whole_keys(batches, 6):
+        for k, e, d, c, n, p in _whole_keys(batches, 6):
+            left = n - p
+            end = np.searchsorted(k, k, side="right")
+            low = np.arange(1, len(k) + 1)  # a row within its block meets the ones behind it
+            ones = np.cumsum(e == 1) - (e == 1)
+            first = end - (np.concatenate([ones, [ones[-1] + (e[-1] == 1)]])[end] - ones)  # of the key's rows of side 1
+            low = np.where(e == 0, first, np.where(e == 1, end, low))
+            until = np.cumsum(end - low)
+            at = 0
+            while at < len(k):
+                done = until[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(until, done + most_at_once, side="right")))
+                counts = (end - low)[at:stop]
+                a = np.repeat(np.arange(at, stop), counts)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low[at:stop], counts)
+                at = stop
+                most = np.minimum(left[a], left[b])
+                hit = (c[a] != c[b]) & ((100 + threshold) * most >= threshold * (n[a] + n[b]))
+                if hit.any():
+                    yield _distinct(d[a[hit]], d[b[hit]])
+
+    return run
+
+
+def _pairs_beside(threshold: int, steps: int):
+    """From rows (token, rep, component, n, at) sorted by token and a shuffled order: pairs at most ``steps`` apart."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64)] * 5
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            k, d, c, n, p = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
+            known = len(held[0])
+            held = [x[-steps:] for x in (k, d, c, n, p)]
             left = n - p
-            at, step = np.arange(len(k)), 0
-            while len(at):
-                step += 1
-                at = at[at + step < len(k)]
-                at = at[k[at] == k[at + step]]
-                to = at + step
-                most = np.minimum(left[at], left[to])
-                fits = (100 + threshold) * most >= threshold * (n[at] + n[to])
-                hit = fits & (c[at] != c[to]) & ((e[at] != e[to]) | (e[at] == _WITHIN))
+            for step in range(1, steps + 1):
+                b = np.arange(max(step, known), len(k))
+                a = b - step
+                fits = (100 + threshold) * np.minimum(left[a], left[b]) >= threshold * (n[a] + n[b])
+                hit = (k[a] == k[b]) & (c[a] != c[b]) & fits
                 if hit.any():
-                    yield _distinct(d[at[hit]], d[to[hit]])
+                    yield _distinct(d[a[hit]], d[b[hit]])
 
     return run
 
 
+def pairs_beside(rows: DataFrame, threshold: int, parts: int, steps: int = STEPS) -> DataFrame:
+    """Pairs (a, b) of different components that stand near each other among a shingle's rows, in shuffled order.
+
+    Range partitions cut a shingle of many rows anywhere; what is missed there is left to :func:`prefix_pairs`.
+    """
+    order = rows.select("token", "rep", "component", "n", "at", F.xxhash64("rep", "token").alias("h"))
+    order = order.repartitionByRange(parts, "token", "h").sortWithinPartitions("token", "h").drop("h")
+    return order.mapInArrow(_pairs_beside(threshold, steps), _PAIR).distinct()
+
+
 def prefix_pairs(rows: DataFrame, threshold: int, parts: int, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of different components that meet in ``prefixes``.
 
-    A shingle of more than ``block`` rows is dealt into blocks, and every two of them meet under a
-    key of their own: all pairs are still formed, a block within itself once, by many tasks.
+    Of a shingle's rows, those of its largest component meet only the rest; the rest meets all.  Either
+    is dealt into blocks of some ``block`` rows, and two blocks meet under a key of their own: all
+    pairs are still formed, by many tasks, but none within a large group of copies.
     """
-    counts = F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")
-    mixed = rows.groupBy("token").agg(*counts).where("lo != hi")
-    mixed = mixed.select("token", F.ceil(F.col("rows") / block).cast("long").alias("g"))
-    rows = rows.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    side = F.when(F.col("own") == F.col("other"), _WITHIN).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(key.alias("k"), "rep", "component", "n", "at", side.cast("long").alias("side"))
-    return rows.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_pairs_by_prefix(threshold), _PAIR).distinct()
+    per = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("token").agg(
+        F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts")
+    )
+    deal = lambda n: F.ceil(n / block).cast("long")
+    mixed = mixed.where("parts > 1").select(
+        "token", F.col("m.component").alias("top"), deal(F.col("m.n")).alias("g"), deal(F.col("all") - F.col("m.n")).alias("r")
+    )
+    # written for the same reason as the frequencies
+    joined = rows.join(materialize(mixed, "mixed"), "token")
+    h, zero = F.xxhash64("rep"), F.lit(0).cast("long")
+    key = lambda kind, x, y, side: F.struct(F.xxhash64("token", F.lit(kind), x, y).alias("k"), F.lit(side).cast("long").alias("side"))
+    own, other = F.pmod(h, F.col("g")), F.pmod(h, F.col("r"))
+    top = F.transform(F.sequence(zero, F.col("r") - 1), lambda j: key(0, own, j, 0))
+    rest = F.transform(F.sequence(zero, F.col("g") - 1), lambda i: key(0, i, other, 1))
+
+    def among(j: Column) -> Column:
+        side = F.when(other == j, _WITHIN).when(other < j, 0).otherwise(1).cast("long").alias("side")
+        return F.struct(F.xxhash64("token", F.lit(1), F.least(other, j), F.greatest(other, j)).alias("k"), side)
+
+    rest = F.concat(rest, F.transform(F.sequence(zero, F.col("r") - 1), among))
+    keyed = joined.select(F.explode(F.when(F.col("component") == F.col("top"), top).otherwise(rest)).alias("x"), "rep", "component", "n", "at")
+    keyed = keyed.select("x.k", "x.side", "rep", "component", "n", "at")
+    keyed = keyed.repartition(parts, "k").sortWithinPartitions("k", "side")
+    return keyed.mapInArrow(_pairs_by_prefix(threshold), _PAIR).distinct()
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -329,17 +331,18 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def bitmap(ids: DataFrame, column: str, bits: int = BITS, hashed: bool = False) -> bytes:
-    """Fixed-size bitmap of hashed ids: 2**bits bits reach the driver, whatever the input.
+def bits_for(n: int) -> int:
+    """Exponent of a bitmap for ``n`` ids: 8 to 16 bits for each, between 2**16 and 2**MAX_BITS."""
+    return max(16, min(MAX_BITS, (8 * n).bit_length()))
 
-    ``hashed``: the column holds numbers below 2**bits already.
-    """
-    h = F.col(column) if hashed else F.pmod(F.xxhash64(column), F.lit(1 << bits))
-    words = ids.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h + 1)").alias("n")).agg(
+
+def bitmap(hashed: DataFrame, bits: int) -> bytes:
+    """Bitmap of numbers below 2**bits (column h): 2**bits bits reach the driver, whatever the input."""
+    words = hashed.groupBy(F.expr("bitmap_bucket_number(h + 1)").alias("n")).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(h + 1))").alias("m")
     )
     out = bytearray((1 << bits) // 8)
-    for n, m in words.collect():
+    for n, m in words.toLocalIterator():
         # Spark counts positive numbers from 1: h + 1 is bit h % 32768 of bucket 1 + h // 32768
         at = (n - 1) * 4096
         out[at : at + len(m)] = m
@@ -357,23 +360,33 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def sets_table(docs: DataFrame, met: DataFrame, words_in: int = 2) -> DataFrame:
-    """(id, set) of the documents in ``met`` (id), sets as sorted 48-bit hashes."""
+    """(id, s): the sets of the nodes in ``met`` (rep, key, set_hi, set_lo) as sorted 48-bit hashes.
+
+    ``docs`` has key and text.  A set is known by its identity, so one key may stand over several.
+    """
     spark = docs.sparkSession
-    hashed = docs.withColumn("h", F.pmod(F.xxhash64("key"), F.lit(1 << BITS)))
-    seen = spark.sparkContext.broadcast(bitmap(met, "id"))  # 2**BITS / 8 bytes
+    bits = bits_for(met.count())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).alias("h")
+    seen = spark.sparkContext.broadcast(bitmap(met.select(place("key")), bits))  # 2**MAX_BITS / 8 bytes at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(seen.value, dtype=np.uint8)
+        known = np.frombuffer(seen.value, dtype=np.uint8)
         for batch in batches:
-            h = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1)
+            h = batch.column(1).to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero((known[h >> 3] >> (h & 7).astype(np.uint8)) & 1)
             for at in range(0, len(hit), 1024):
                 part = batch.take(pa.array(hit[at : at + 1024]))
-                sets = [_packed(s) for s in sets_of(part.column(1), words_in)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "s"])
+                identity, sets = [], []
+                for s in sets_of(part.column(0), words_in):
+                    identity.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sets.append(_packed(s))
+                two = np.frombuffer(b"".join(identity), dtype="<i8").reshape(-1, 2)
+                columns = [pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["set_hi", "set_lo", "s"])
 
-    made = hashed.where("key is not null").mapInArrow(run, "id long, s binary")
-    return made.join(met, "id", "left_semi").dropDuplicates(["id"])
+    made = docs.where("key is not null").select("text", place("key")).mapInArrow(run, "set_hi long, set_lo long, s binary")
+    found = made.join(met.select("set_hi", "set_lo", F.col("rep").alias("id")), ["set_hi", "set_lo"])
+    return found.dropDuplicates(["set_hi", "set_lo"]).select("id", "s")
 
 
 def _confirm(threshold: int):
@@ -413,49 +426,39 @@ def near_duplicates(
     rows = docs.select(F.col(key).cast("long").alias("key"), body.alias("text"))
     hashed = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(body, F.lit(""))), body)
     s = materialize(signed(hashed, words_in), "signed")
+    unique = s.where("n_shingles > 0 and key is not null").groupBy("set_hi", "set_lo").agg(
+        F.min(F.struct("key", "n_shingles", "bands")).alias("m")
+    )
+    # a set's number is fixed as the table is written
     reps = materialize(
-        s.where("n_shingles > 0 and key is not null")
-        .groupBy("set_hi", "set_lo")
-        .agg(F.min(F.struct("key", "n_shingles", "bands")).alias("m"))
-        .select("set_hi", "set_lo", F.col("m.key").alias("rep"), "m.n_shingles", "m.bands"),
-        "sets",
+        unique.select(F.monotonically_increasing_id().alias("rep"), "set_hi", "set_lo", "m.key", "m.bands"), "sets"
     )
     keyed = table_keys(reps, ["rep"]).select("k", "rep").repartition(int(parts), "k").sortWithinPartitions("k", "rep")
     pairs = materialize(keyed.mapInArrow(_pairs_in_order, _PAIR).distinct(), "pairs")
-    met = materialize(
-        pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "met"
-    )
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    met = materialize(reps.join(ids, "rep", "left_semi"), "met")
     sets = materialize(sets_table(rows, met, words_in), "shingles")
-    links = materialize(confirmed(pairs, sets, threshold), "confirmed")
-    near = reps.join(met.withColumnRenamed("id", "rep"), "rep", "left_semi")
-    groups = components(links)
-
-    def labelled() -> DataFrame:
-        return near.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "rep", "bands", "n_shingles", F.coalesce("component", "rep").alias("component")
-        )
-
-    def joined(more: DataFrame) -> DataFrame:
-        return components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-
-    keyed = keyed_in_order(labelled(), 1).repartition(int(parts), "k").sortWithinPartitions("k", "o", "rep")
-    across = keyed.mapInArrow(_pairs_across(threshold), _PAIR).distinct().join(pairs, ["a", "b"], "left_anti")
-    across = materialize(across, "across")
-    found = materialize(confirmed(across, sets, threshold), "confirmed")
-    if not found.isEmpty():
-        groups = joined(found)
-    pairs = pairs.union(across)
-    keyed = table_keys(labelled(), ["rep", "component"]).select("k", "rep", "component")
-    keyed = keyed.repartition(int(parts), "k").sortWithinPartitions("k", "rep")
-    rest = materialize(keyed.mapInArrow(_open_members, "rep long").distinct(), "open")
-    members = labelled().join(rest, "rep", "left_semi").select("rep", "component")
-    firsts = materialize(prefixes(members, sets, threshold), "prefixes")
-    across = materialize(prefix_pairs(firsts, threshold, int(parts)).join(pairs, ["a", "b"], "left_anti"), "across")
-    found = materialize(confirmed(across, sets, threshold), "confirmed")
-    if not found.isEmpty():
-        groups = joined(found)
-    final = reps.select("set_hi", "set_lo", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    final = final.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
+    groups = components(confirmed(pairs, sets, threshold))
+
+    def labelled(nodes: DataFrame) -> DataFrame:
+        named = groups.select(F.col("node").alias("rep"), "component")
+        return nodes.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    def joined(found: DataFrame) -> DataFrame:
+        return components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
+
+    rest = materialize(open_members(labelled(met.select("rep", "bands"))), "open")
+    firsts = materialize(prefixes(rest, sets, threshold), "prefixes")
+    tried = materialize(pairs_beside(labelled(firsts), threshold, int(parts)).join(pairs, ["a", "b"], "left_anti"), "tried")
+    groups = joined(confirmed(tried, sets, threshold))
+    across = prefix_pairs(labelled(firsts), threshold, int(parts)).join(pairs.union(tried), ["a", "b"], "left_anti")
+    groups = joined(confirmed(across, sets, threshold))
+    # a component is known by its smallest key; nodes alone keep their own
+    nodes = groups.union(groups.select("component", "component").distinct()).withColumnsRenamed({"node": "rep"})
+    least = nodes.join(reps.select("rep", "key"), "rep").groupBy("component").agg(F.min("key").alias("least"))
+    named = nodes.join(materialize(least, "least"), "component").select("rep", "least")
+    final = reps.select("set_hi", "set_lo", "rep", "key").join(named, "rep", "left")
+    final = final.select("set_hi", "set_lo", F.coalesce("least", "key").alias("component"))
     out = s.select("key", "text_hash", "n_shingles", "set_hi", "set_lo").join(final, ["set_hi", "set_lo"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.col("component"))
     return out.select(

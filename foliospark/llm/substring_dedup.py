@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.near_dedup import BITS, bitmap
+from foliospark.llm.near_dedup import bitmap, bits_for
 from foliospark.llm.shared import materialize
 from foliospark.llm.words import _BASE, _INVERSE, U64, Words, mix, powers, slices, windows
 from foliospark.session import ship
@@ -170,7 +170,7 @@ def regions(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[n
 
 
 def _hits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    h = h & U64((1 << BITS) - 1)
+    h = h & U64(8 * len(bits) - 1)
     return np.flatnonzero((bits[(h >> U64(3)).astype(np.int64)] >> (h & U64(7)).astype(np.uint8)) & 1)
 
 
@@ -337,10 +337,11 @@ def spans_of_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     counted = docs.select("text").mapInArrow(_counts(window), "m long, c long")
     seen = counted.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("a"), F.max("c").alias("b"))
     seen = materialize(seen.where("n > 1").select("m", (F.col("a") == F.col("b")).alias("uniform")), "minimizers")
-    low = F.col("m").bitwiseAND((1 << BITS) - 1).alias("b")
-    bits = spark.sparkContext.broadcast(bitmap(seen.select(low), "b", hashed=True))  # 2**BITS / 8 bytes
+    size = bits_for(seen.count())
+    low = F.col("m").bitwiseAND((1 << size) - 1).alias("h")
+    bits = spark.sparkContext.broadcast(bitmap(seen.select(low), size))  # 2**MAX_BITS / 8 bytes at most
     mixed = seen.where("not uniform")
-    mixed_bits = spark.sparkContext.broadcast(bitmap(mixed.select(low), "b", hashed=True))
+    mixed_bits = spark.sparkContext.broadcast(bitmap(mixed.select(low), size))
     contents = docs.select("text").mapInArrow(_contents(mixed_bits, window), "m long, c long, w binary, n long")
     contents = contents.join(mixed.select("m"), "m", "left_semi").groupBy("m", "c").agg(
         F.min("w").alias("w"), F.sum("n").alias("n")

@@ -442,13 +442,37 @@ def _passage(n, seed=5):
     return [" ".join((texts + near)[i]) for i in order]
 
 
-def test_near_duplicates_stop_rule(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "REST", 0, raising=False)  # where rounds had a stop rule, it held after the first
+def test_near_duplicates_passage(spark):
     texts = _passage(500)
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == [c for _, c in _components(texts)]
 
 
+def test_near_duplicates_hub_of_many_links(spark):
+    """2400 documents near one text, most of them not near each other, among 200 others: recall is 1."""
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(300)]
+    star = []
+    for i in range(2400):
+        t = list(base)
+        for k, at in enumerate(rng.choice(300, 15, replace=False)):
+            t[at] = f"s{i}x{k}"
+        star.append(" ".join(t))
+    texts = [" ".join(base), *star, *(" ".join(f"o{i}y{k}" for k in range(60)) for i in range(200))]
+    order = rng.permutation(len(texts)).tolist()
+    rows = [(d, texts[i]) for d, i in enumerate(order)]
+    got = dict(spark.createDataFrame(rows, "doc_id long, text string").transform(near_dedup.near_duplicates).select("doc_id", "component_id").collect())
+    hub = [d for d, i in enumerate(order) if i <= 2400]
+    assert {got[d] for d in hub} == {min(hub)} and all(got[d] == d for d, i in enumerate(order) if i > 2400)
+
+
+def test_near_duplicates_two_texts_of_one_id(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(1, x), (1, y), (2, x + " more"), (3, y + " more"), (4, "alone " + x[:20])]
+    got = [(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_near_duplicates_hot_buckets(spark):
     texts = ["unrelated first " + " ".join(f"p{i}" for i in range(160))] + _passage(1300, seed=6)
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
