@@ -8,21 +8,28 @@ together; no row is exploded and nothing is shuffled.
 
 Line frequency.  Lines are normalised (lower case, blanks collapsed, trimmed)
 and hashed; for each host (``source``) the distinct documents that hold a line
-are counted, where exact copies count as one document.  A line found in more
-than ``max_line_docs`` documents of a host is removed from all of that host's
-documents but the one with the smallest id, so no line is lost from the
-corpus.  A document is depleted, and rejected, if fewer than ``min_words``
-words remain or less than ``min_share`` of its words.
-
-Scale.  Distinct counts aggregate on the map side, so a hot host or line
-arrives as partial rows; frequent lines join back on (host, line hash), where
-adaptive execution may split a hot key or broadcast a side it measured as
-small.  Text is never shuffled.
+are counted.  The limit of a host is ``MAX_LINE_SHARE`` of its documents, but
+``MIN_LINE_DOCS`` at least, so it means the same at every size.  Lines above it
+are removed from all documents of the host.  A document that lost lines is
+depleted, and rejected, if fewer than ``min_words`` words remain or less than
+``min_share`` of its words.
+
+Two parameters, off by default, soften the rule: ``copies_once`` counts exact
+copies of a text as one document (for use before deduplication, where a clean
+document's copies would make its own lines frequent), and ``keep_first`` leaves
+a line in the document with the smallest id.
+
+Scale.  A first pass counts a line's rows, combined on the map side, and drops
+what can't be above a limit; what is left, a few lines, is counted by distinct
+documents.  So narrow rows are shuffled once for each line of text, and
+documents only meet the lines they lose.  Hot hosts and lines are join keys
+between stored tables, which adaptive execution may split, or broadcast where a
+side was measured as small.
 
 Cases: a null text is empty: no words, base_failed; a null host is a host of
-its own; repeated rows each keep their own result; documents without id are
-told apart by their text; an empty table gives no rows; other columns are
-neither read nor returned.
+its own; repeated rows are one document and each keep the same result; rows
+without id are told apart by their text; an empty table gives no rows; other
+columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -35,7 +42,8 @@ from foliospark.llm.shared import materialize
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-MAX_LINE_DOCS = 100
+MIN_LINE_DOCS = 5
+MAX_LINE_SHARE = 0.05
 MIN_SHARE = 0.5
 MIN_WORDS = 50
 
@@ -97,97 +105,118 @@ def base_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each non-blank line: id, text hash, host, line hash, words."""
-    line = F.btrim(F.regexp_replace(F.lower("line"), BLANK_RUN, " "))
-    rows = docs.select(
-        "doc_id",
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
-        F.col("source").alias("host"),
-        F.explode(F.split("text", "\n", -1)).alias("line"),
-    )
-    rows = rows.select("doc_id", "text_hash", "host", line.alias("line")).where("line != ''")
-    return rows.select(
-        "doc_id", "text_hash", "host",
-        F.xxhash64("line").alias("line_hash"),
-        (F.regexp_count("line", F.lit(" ")) + 1).cast("long").alias("words"),
-    )
+def line_hash(line: Column) -> Column:
+    """Hash of a normalised line; null if it is blank."""
+    plain = F.btrim(F.regexp_replace(F.lower(line), BLANK_RUN, " "))
+    return F.when(plain != "", F.xxhash64(plain))
 
 
-def frequent_lines(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
-    """Lines above the limit: host, line_hash, n_docs and the document that keeps the line."""
-    per_doc = line_rows(docs).groupBy("host", "line_hash", "text_hash").agg(F.min("doc_id").alias("doc_id"))
-    counted = per_doc.groupBy("host", "line_hash").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("keeper")
-    )
-    return counted.where(F.col("n_docs") > max_line_docs)
+def line_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns, place, hash and number of words of each non-blank line."""
+    rows = docs.select(*keep, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "line"))
+    rows = rows.select(*keep, "place", F.btrim(F.regexp_replace(F.lower("line"), BLANK_RUN, " ")).alias("line"))
+    words = (F.regexp_count("line", F.lit(" ")) + 1).cast("long")
+    return rows.where("line != ''").select(*keep, "place", F.xxhash64("line").alias("line_hash"), words.alias("words"))
 
 
-def removed_lines(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
-    """Lines that documents lose: doc_id, text_hash, line_hash, words, lines (times it stands there)."""
-    rows = line_rows(docs).groupBy("doc_id", "text_hash", "host", "line_hash").agg(
-        F.sum("words").alias("words"), F.count(F.lit(1)).alias("lines")
-    )
-    hot = frequent_lines(docs, max_line_docs).withColumnRenamed("host", "hot_host")
-    hit = rows.join(hot, rows["host"].eqNullSafe(hot["hot_host"]) & (rows["line_hash"] == hot["line_hash"]))
-    return hit.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select(
-        "doc_id", "text_hash", rows["line_hash"], "words", "lines"
-    )
+def marked(docs: DataFrame) -> DataFrame:
+    """id, text hash, host and text of every row; ``doc`` tells documents apart."""
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", text_hash.alias("text_hash"), F.col("source").alias("host"), "text")
+    return rows.withColumn("doc", F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("t")))
+
+
+def _same(a: DataFrame, b: DataFrame, columns: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & a[c].eqNullSafe(b[f"__{c}"])
+    return out
+
+
+def _renamed(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"__{c}" for c in columns})
 
 
-def quality_columns(
+def removed_lines(
     docs: DataFrame,
-    max_line_docs: int = MAX_LINE_DOCS,
-    min_share: float = MIN_SHARE,
-    min_words: int = MIN_WORDS,
-    keep: tuple[str, ...] = (),
+    min_line_docs: int = MIN_LINE_DOCS,
+    max_line_share: float = MAX_LINE_SHARE,
+    copies_once: bool = False,
+    keep_first: bool = False,
 ) -> DataFrame:
-    """Counts and verdict for every row of ``docs``; ``keep`` adds columns of it."""
-    own = [c for c in keep if c != "doc_id"]
-    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    base = base_features(marked, ["doc_id", "__hash", *(c for c in own if c != "text")])
-    lost = removed_lines(docs.select("doc_id", "text", "source"), max_line_docs).groupBy("doc_id", "text_hash").agg(
-        F.sum("lines").alias("n_removed_lines"), F.sum("words").alias("n_removed_words"),
-        F.collect_set("line_hash").alias("removed"),
+    """What documents lose: doc_id, text_hash, host, n_lines, n_words and the set of line hashes (removed)."""
+    rows = marked(docs)
+    who = F.col("text_hash") if copies_once else F.col("doc")
+    hosts = rows.groupBy("host").agg(F.count_distinct(who).alias("n"))
+    hosts = hosts.select("host", F.greatest(F.lit(min_line_docs), F.col("n") * max_line_share).alias("limit"))
+    often = line_rows(rows, ["host"]).groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n"))
+    often = materialize(often.where(F.col("n") > min_line_docs), "often")
+    hosts = _renamed(materialize(hosts, "hosts"), ("host",))
+    often = often.join(hosts, _same(often, hosts, ("host",))).where("n > limit").select("host", "line_hash", "limit")
+    often = _renamed(materialize(often, "candidates"), ("host", "line_hash"))
+    lines = line_rows(rows, ["doc_id", "text_hash", "host", "doc"])
+    hits = lines.join(often, _same(lines, often, ("host", "line_hash")))
+    hits = hits.select("doc_id", "text_hash", "host", "doc", "place", "line_hash", "words", "limit").distinct()
+    hits = materialize(hits, "hits")
+    hot = hits.groupBy("host", "line_hash").agg(
+        F.count_distinct(who).alias("n"), F.min("doc_id").alias("first"), F.first("limit").alias("limit")
+    )
+    hot = hot.where("n > limit").select("host", "line_hash", "first")
+    hot = _renamed(materialize(hot, "lines"), ("host", "line_hash"))
+    gone = hits.join(hot, _same(hits, hot, ("host", "line_hash")))
+    if keep_first:
+        gone = gone.where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return gone.groupBy("doc_id", "text_hash", "host").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("words").alias("n_words"), F.collect_set("line_hash").alias("removed")
+    )
+
+
+def judged(docs: DataFrame, keep: list[str], min_share: float, min_words: int, **rule) -> DataFrame:
+    """``keep`` columns, counts, verdict and removed lines of every row."""
+    own = docs.select(
+        *(F.col(c).alias(f"__own_{k}") for k, c in enumerate(keep)), "doc_id", "text", F.col("source").alias("host"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
     )
-    lost = lost.withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
-    out = base.join(lost, base["doc_id"].eqNullSafe(lost["__id"]) & (base["__hash"] == lost["__text"]), "left")
-    left = F.col("n_words") - F.coalesce("n_removed_words", F.lit(0))
+    lost = materialize(removed_lines(docs.select("doc_id", "text", "source"), **rule), "lost")
+    key = ("doc_id", "text_hash", "host")
+    lost = _renamed(lost, (*key, "n_lines", "n_words"))
+    rows = own.join(lost, _same(own, lost, key), "left")
+    lines, words = (F.coalesce(f"__n_{x}", F.lit(0)).cast("long") for x in ("lines", "words"))
+    rows = rows.withColumns({"n_removed_lines": lines, "n_removed_words": words})
+    kept = [f"__own_{k}" for k in range(len(keep))]
+    out = base_features(rows, ["doc_id", "n_removed_lines", "n_removed_words", "removed", *kept])
+    left = F.col("n_words") - F.col("n_removed_words")
     depleted = (left < min_words) | (left < F.lit(min_share) * F.col("n_words"))
-    gone = F.coalesce("n_removed_words", F.lit(0)) > 0
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~(gone & depleted)).alias("kept"),
-        F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"),
-        F.coalesce("n_removed_words", F.lit(0)).cast("long").alias("n_removed_words"),
-        "__hash", "removed", *(c for c in own if c != "text"),
+    return out.withColumn("kept", ~F.col("base_failed") & ~((F.col("n_removed_words") > 0) & depleted))
+
+
+def quality_columns(docs: DataFrame, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS, **rule) -> DataFrame:
+    """Counts and verdict for every row of ``docs``; ``rule`` goes to :func:`removed_lines`."""
+    return judged(docs, [], min_share, min_words, **rule).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_removed_lines", "n_removed_words",
     )
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
-    return quality_columns(docs).drop("__hash", "removed")
+    return quality_columns(docs)
 
 
-def clean_documents(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, **limits) -> DataFrame:
+def clean_documents(docs: DataFrame, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS, **rule) -> DataFrame:
     """Documents that pass, with their columns and without the lines above the limit.
 
-    A document's removed lines come as a set of line hashes, no longer than the document.
+    A document's removed lines come as a set of line hashes, no longer than the document.  Text is
+    shuffled only if the documents that lose lines are too many to broadcast.
     """
-    verdict = quality_columns(docs, max_line_docs, **limits).select(
-        F.col("doc_id").alias("__id"), F.col("__hash").alias("__text"), "removed", "kept"
-    )
-    # written, as a filter on the counts would be moved below them and have them computed for each condition
-    verdict = materialize(verdict, "quality").where("kept").drop("kept")
-    verdict = verdict.dropDuplicates(["__id", "__text"])
-    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    passed = marked.join(verdict, marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")))
-
-    def stays(line: Column) -> Column:
-        return ~F.array_contains("removed", F.xxhash64(F.btrim(F.regexp_replace(F.lower(line), BLANK_RUN, " "))))
-
-    cut = F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut)
-    return passed.withColumn("text", text).select(*docs.columns)
+    columns = docs.columns
+    own = {c: f"__own_{k}" for k, c in enumerate(columns)}
+    rows = judged(docs, columns, min_share, min_words, **rule)
+    # a row number that isn't deterministic keeps the filter from moving below the counts and computing them twice
+    rows = rows.withColumn("__row", F.monotonically_increasing_id()).where("kept")
+    text = F.col(own["text"])
+    lines = F.filter(F.split(text, "\n", -1), lambda x: ~F.coalesce(F.array_contains("removed", line_hash(x)), F.lit(False)))
+    cut = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(lines, "\n"))
+    return rows.select(*(cut.alias(c) if c == "text" else F.col(own[c]).alias(c) for c in columns))
 
 
 _SEPARATED = "regexp_split_to_array(trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\\x20\\x09-\\x0D]+')"
@@ -210,13 +239,15 @@ WITH d AS (
   SELECT rid, doc_id, source, text,
          trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
   FROM d
+), size AS (
+  SELECT source, count(DISTINCT coalesce(doc_id::VARCHAR, 'text ' || text)) AS n FROM d GROUP BY source
 ), hot AS (
-  SELECT source, line, min(doc_id) AS keeper FROM l WHERE line <> ''
-  GROUP BY source, line HAVING count(DISTINCT text) > {MAX_LINE_DOCS}
+  SELECT l.source, line FROM l JOIN size ON l.source IS NOT DISTINCT FROM size.source WHERE line <> ''
+  GROUP BY l.source, line
+  HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'text ' || text)) > greatest({MIN_LINE_DOCS}, any_value(size.n) * {MAX_LINE_SHARE}::DOUBLE)
 ), lost AS (
   SELECT l.rid, count(*) AS n_lines, sum(len(string_split(l.line, ' '))) AS n_gone
-  FROM l JOIN hot ON l.source IS NOT DISTINCT FROM hot.source AND l.line = hot.line
-  WHERE l.doc_id IS DISTINCT FROM hot.keeper GROUP BY l.rid
+  FROM l JOIN hot ON l.source IS NOT DISTINCT FROM hot.source AND l.line = hot.line GROUP BY l.rid
 ), f AS (
   SELECT w.rid, doc_id, len(words) AS n_words,
          length(text) - length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS blanks, text,

@@ -71,27 +71,44 @@ def test_quality_lines(spark):
     rows = [(i, f"Shared  LINE here\n{' '.join(words)} {i}", "h") for i in range(5)]
     rows += [(10, "shared line HERE\n" + "y " * 60, "other"), (20, "shared line here\nshared line here", "h")]
     df = awkward(spark, rows)
-    out = {r["doc_id"]: r for r in quality.quality_columns(df, max_line_docs=3).collect()}
-    assert [out[i]["n_removed_lines"] for i in (0, 1, 4, 10, 20)] == [0, 1, 1, 0, 2]
+    out = {r["doc_id"]: r for r in quality.quality_columns(df, min_line_docs=3).collect()}
+    assert [out[i]["n_removed_lines"] for i in (0, 1, 4, 10, 20)] == [1, 1, 1, 0, 2]
     assert out[0]["kept"] and out[4]["kept"] and not out[20]["kept"]
-    kept = {r["doc_id"]: r["text"] for r in quality.clean_documents(df, 3).collect()}
-    assert kept[0] == rows[0][1] and kept[1] == rows[1][1].split("\n")[1] and 20 not in kept
-    assert quality.clean_documents(df, 3).columns == df.columns
+    kept = {r["doc_id"]: r["text"] for r in quality.clean_documents(df, min_line_docs=3).collect()}
+    assert kept[0] == rows[0][1].split("\n")[1] and 20 not in kept and 10 not in kept
+    assert quality.clean_documents(df, min_line_docs=3).columns == df.columns
+    first = {r["doc_id"]: r["n_removed_lines"] for r in quality.quality_columns(df, min_line_docs=3, keep_first=True).collect()}
+    assert [first[i] for i in (0, 1, 20)] == [0, 1, 2]
+
+
+def test_quality_repeated_rows_and_copies(spark):
+    """Repeated rows are one document and lose what one row loses; copies count unless they count once."""
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(80))
+    rows = [(i, f"the line\n{body(i)}", "h") for i in range(7)] + [(4, f"the line\n{body(4)}", "h")] * 2
+    rows += [(100 + i, body("copy"), "h") for i in range(9)] + [(None, f"the line\n{body('no id')}", None)]
+    df = awkward(spark, rows)
+    out = collections.Counter((r["doc_id"], r["n_removed_lines"], r["n_removed_words"], r["kept"]) for r in quality.quality_columns(df).collect())
+    assert out[(4, 1, 2, True)] == 3 and out[(None, 0, 0, True)] == 1 and out[(100, 1, 80, False)] == 1
+    once = {r["doc_id"]: r["kept"] for r in quality.quality_columns(df, copies_once=True).collect()}
+    assert once[100] and once[4]
+    assert quality.clean_documents(df, copies_once=True).count() == len(rows)
 
 
 def test_lines_above_limit_same_as_sql(spark):
     import duckdb
 
-    n = quality.MAX_LINE_DOCS + 30
+    n = 130
     rows = [(i, "Common  line of the host\n" + " ".join(f"w{i}x{k}" for k in range(44 + i % 20)), "h") for i in range(n)]
-    rows += [(n + i, f"common line of the host\nother {i}", "small") for i in range(20)]
+    rows += [(n + i, f"common line of the host\nother {i}\n\ncommon line of the host", "small") for i in range(20)]
+    rows += [(3, rows[3][1], "h"), (None, rows[5][1], "h"), (None, None, None)]
+    rows += [(500 + i, f"rare line\n{i}", "h") for i in range(7)] + [(600 + i, "\n".join(f"own {i} {k}" for k in range(30)), "h") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     con = duckdb.connect()
     documents = pa.Table.from_pylist([dict(zip(("doc_id", "text", "source"), r, strict=True)) for r in rows])
     con.register("documents", documents)
-    want, got = con.execute(quality.SQL).df(), quality.quality_query(df).toPandas()
+    want, got = (x.astype({"doc_id": float}) for x in (con.execute(quality.SQL).df(), quality.quality_query(df).toPandas()))
     assert rows_of(got) == rows_of(want)
-    assert (got.n_removed_lines > 0).sum() == n - 1 and (got.kept != ~got.base_failed).any()
+    assert (got.n_removed_lines > 0).sum() == n + 22 and (got.kept != ~got.base_failed).any()
 
 
 # 2 Mixing ---------------------------------------------------------------------------------------------
@@ -399,12 +416,13 @@ def test_pii_columns(spark):
 # 9 Near-duplicates ------------------------------------------------------------------------------------
 
 
-def _components(texts):
+def _components(texts, words_in=2):
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = []
     for t in texts:
         w = (t or "").encode().translate(low).split()
-        sets.append({tuple(w)} if len(w) == 1 else set(zip(w, w[1:], strict=False)))
+        few = {tuple(w)} if w else set()
+        sets.append(few if len(w) < words_in else {tuple(w[i : i + words_in]) for i in range(len(w) - words_in + 1)})
     root = list(range(len(texts)))
 
     def find(a):
@@ -551,7 +569,7 @@ def test_pipeline(spark, sf_dir):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = dict(docs.select("doc_id", "text").collect())
-    kept = {r["doc_id"] for r in quality.quality_query(docs).where("kept").collect()}
+    kept = {r["doc_id"] for r in quality.quality_columns(docs, copies_once=True).where("kept").collect()}
     left = {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
@@ -564,7 +582,7 @@ def test_pipeline(spark, sf_dir):
         if name == "quality rules":
             assert set(left) == kept
             ids = sorted(left)
-            unique = {ids[c] for _, c in _components([left[i] for i in ids])}
+            unique = {ids[c] for _, c in _components([left[i] for i in ids], 5)}
         elif name == "near duplicates":
             assert set(left) == unique
         elif name == "secret scan":
