@@ -7,7 +7,6 @@ return the columns of ``documents``; the last returns the packed pieces.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +15,23 @@ from foliospark.llm.shared import documents, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines above the limit go from those that stay."""
-    return quality.clean_documents(docs)
+    """Rejected documents go; lines above the limit go from those that stay.
+
+    Exact copies count as one document here: the next stage keeps one of them.
+    """
+    return quality.clean_documents(docs, copies_once=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs, text_hash=True).where("kept")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
-    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    same = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__hash"] == kept["__text"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    """One document of each group stays: the one with the smallest id.
+
+    Text is shuffled once, by two hashes of id and text, and repeated rows go within their partition.
+    """
+    groups = near_dedup.near_duplicates(docs, words_in=5, text_hash=True).where("kept")
+    known = lambda i, h: (F.xxhash64(i, h).alias("__a"), F.xxhash64(h, i, F.lit(1)).alias("__b"))
+    kept = groups.select(*known(F.col("doc_id"), F.col("text_hash")))
+    marked = docs.select("*", *known(F.col("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))))
+    return marked.join(kept, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +46,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences, each split of the written files in its order."""
+    import public_tokenizers
+
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
