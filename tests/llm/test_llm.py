@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import math
 import os
 import re
 import sys
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +118,7 @@ def test_lines_above_limit_same_as_sql(spark):
 
 def test_pfair_deviation():
     weights = {"a": 0.5, "b": 0.3, "c": 0.2}
-    plan = mixing.phases({"a": 400, "b": 900, "c": 50}, weights, frame=64)
+    plan = mixing.phases({"a": 400, "b": 900, "c": 50}, weights)
     slots = {}
     for p in plan:
         total = sum(p.quota.values())
@@ -140,19 +142,75 @@ def test_no_drift_from_given_weights():
             assert j - 1e-6 < (t + 1) * weights[s] / total and t * weights[s] / total < j + 1 + 1e-6
 
 
+def _edf(blocks, weights):
+    """Slots of all blocks by plain earliest deadline first with exact fractions."""
+    left, base, out = {s: n for s, n in blocks.items() if n}, 0, {}
+    sent = dict.fromkeys(left, 0)
+    while left:
+        total = sum(mixing.exact_shares({s: weights[s] for s in left}).values())
+        w = {s: Fraction(q, total) for s, q in mixing.exact_shares({s: weights[s] for s in left}).items()}
+        done, t = dict.fromkeys(left, 0), 0
+        while True:
+            ready = [(math.ceil((done[s] + 1) / w[s]), s) for s in left if math.floor(done[s] / w[s]) <= t]
+            s = min(ready)[1]
+            if done[s] == left[s]:
+                break
+            out[s, sent[s] + done[s]] = base + t
+            done[s] += 1
+            t += 1
+        base += t
+        for s in done:
+            sent[s] += done[s]
+        left = {s: left[s] - done[s] for s in left if left[s] > done[s]}
+    return out
+
+
+@pytest.mark.parametrize("most", [1000, 4])
+def test_mixing_same_as_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", most)
+    data = [(i, "x" * (i * 31 % 700), f"s{0 if i % 3 else i % 7}") for i in range(500)] + [(900, "z" * 90, None), (901, "y" * 80, "")]
+    df = awkward(spark, [*data, data[5], data[5]])
+    h = "xxhash64(doc_id, xxhash64(text))"
+    rows = df.selectExpr("doc_id", "source", "octet_length(text) size", f"pmod({h}, 256) part", f"{h} h").collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    weight = {s: max(n, 1) ** 0.5 for s, n in sizes.items()}
+    top = sorted(sizes, key=lambda s: (-weight[s], -sizes[s], s is not None, s or ""))[:most]
+    group = {s: top.index(s) if s in top else most for s in sizes}
+    of, target = collections.Counter(), collections.Counter()
+    for s in sizes:
+        of[group[s]] += sizes[s]
+        target[group[s]] += weight[s]
+    slots = _edf({g: n // 1000 + 1 for g, n in of.items()}, target)
+    at, want = collections.Counter(), []
+    for r in sorted(rows, key=lambda r: (r["part"], r["h"], r["doc_id"], r["size"])):
+        g = group[r["source"]]
+        want.append((r["doc_id"], r["size"], at[g], at[g] // 1000, slots[g, at[g] // 1000]))
+        at[g] += r["size"]
+    got = mixing.mix_sources(df, block_bytes=1000).select("doc_id", "size", "offset", "block", "slot").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    placed = dict(zip(((w[0], w[2]) for w in want), (w[4] for w in want), strict=True))
+    order = [r["doc_id"] for r in mixing.mixed_documents(df, block_bytes=1000).collect()]
+    last = {}  # equal rows that a block's start divides stand together in the later one
+    for (doc, _), slot in placed.items():
+        last[doc] = max(slot, last.get(doc, slot))
+    assert len(order) == len(rows) and [last[d] for d in order] == sorted(last[d] for d in order)
+
+
 def test_mixing(spark):
     df = awkward(spark, [(i, "x" * (i % 90), f"src{0 if i % 3 else i % 7}") for i in range(800)] + [(None, None, None)] * 2)
-    out = mixing.mix_sources(df, block_bytes=500).toPandas()
+    out = mixing.mix_sources(df, {"src0": 0.5, "src1": 0.1}, block_bytes=500).toPandas()
     assert len(out) == 802 and sorted(out.doc_id.dropna().astype(int)) == list(range(800))
-    for _, part in out.groupby("source"):
-        part = part.sort_values(["offset", "size"])
-        assert (part["size"].cumsum().shift(fill_value=0) == part.offset).all() and (part.offset // 500 == part.block).all()
-        assert part.groupby("block").slot.nunique().max() == 1
-    assert mixing.mix_sources(empty(spark)).count() == 0
+    assert mixing.mix_sources(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
     ordered = mixing.mixed_documents(df, block_bytes=500)
     assert ordered.columns == df.columns and ordered.count() == 802
-    with pytest.raises(ValueError):
-        mixing.mix_sources(awkward(spark, [(i, "x", f"s{i}") for i in range(mixing.MAX_SOURCES + 1)]))
+
+
+def test_mixing_schedule_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 50)
+    out = mixing.mix_sources(awkward(spark, [(i, "x" * 500, f"s{i % 4}") for i in range(400)]), block_bytes=10).toPandas()
+    assert out.slot.max() < 60 and out.groupby(["source", "block"]).slot.nunique().max() == 1
 
 
 # 3 Secrets --------------------------------------------------------------------------------------------
