@@ -2,7 +2,7 @@
 
 Each kind has a proposing pattern, an optional validator (Luhn for cards,
 mod-97 for IBANs, octet range for addresses, digit count for phones, area and
-group rules for social security numbers) and a base score.  Words within
+group rules for social security numbers) and a base score.  Whole words within
 ``CONTEXT`` characters move the score; a span is reported when its score
 reaches ``threshold``.  The base kinds (email, ip, card, phone) score above it
 once validated, so context raises them but never drops them; the added kinds
@@ -43,14 +43,15 @@ _DIGITS = re.compile(r"[^0-9]")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 _NEAR = {
-    "email": ("mail", "contact", "@"),
-    "ip": ("ip", "host", "server", "address"),
+    "email": ("mail", "email", "contact", "write"),
+    "ip": ("ip", "host", "server", "address", "addr"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "bank", "account", "konto", "cuenta", "compte"),
     "ssn": ("ssn", "social", "security", "tax"),
     "passport": ("passport", "passeport", "pasaporte", "reisepass"),
 }
+#: Words that speak against the added kinds.
 _AGAINST = ("version", "example", "invoice", "order", "isbn", "part no")
 _BASE = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.7, "ssn": 0.5, "passport": 0.3}
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "passport")
@@ -132,13 +133,29 @@ _FIND = {
 _HAS_DIGIT = re.compile(r"[0-9]")
 
 
+def _any_word(words: tuple[str, ...]) -> re.Pattern:
+    inner = "|".join(map(re.escape, words))
+    return re.compile(rf"(?<![^\W_])(?:{inner})(?![^\W_])", re.I)
+
+
+_NEAR_WORDS = {k: _any_word(w) for k, w in _NEAR.items()}
+_AGAINST_WORDS = _any_word(_AGAINST)
+
+
+def near(words: re.Pattern, text: str, start: int, end: int) -> bool:
+    """Whether a whole word stands within ``CONTEXT`` characters before or after a span."""
+    if words.search(text, max(0, start - CONTEXT), start):  # a look-behind sees what is before the window
+        return True
+    after = words.search(text, end, end + CONTEXT + 1)  # one more character, so that a word cut off doesn't count
+    return after is not None and (after.end() <= end + CONTEXT or after.end() == len(text))
+
+
 def score(kind: str, text: str, start: int, end: int) -> float:
     """Base score of a confirmed span, moved by words near it, within 0 and 1."""
-    near = text[max(0, start - CONTEXT) : start].lower() + " " + text[end : end + CONTEXT].lower()
     value = _BASE[kind]
-    if any(w in near for w in _NEAR[kind]):
+    if near(_NEAR_WORDS[kind], text, start, end):
         value += 0.35
-    if kind not in BASE_KINDS and any(w in near for w in _AGAINST):
+    if kind not in BASE_KINDS and near(_AGAINST_WORDS, text, start, end):
         value -= 0.25
     return max(0.0, min(1.0, value))
 

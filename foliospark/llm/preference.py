@@ -15,8 +15,9 @@ weight on one task.
 Cases: null role or text counts as empty; equal turn numbers are ordered by
 role, then text; repeated turns stay; a conversation without partner gives a
 row whose other side is null and whose prompt is empty; identical
-conversations give a full prompt and two empty completions; turns without
-conversation id form one pair of their own (null pair_id); role marks inside a
+conversations give a full prompt and two empty completions; a turn without
+conversation id belongs to no conversation and gives a row of its own (null
+pair_id, status ``unpaired``), never joined with another; role marks inside a
 text are broken by a blank so they can't end a turn; an empty table gives no
 rows; other columns are ignored.
 """
@@ -74,12 +75,16 @@ def format_pairs(sides: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
-    turns = F.sort_array(F.collect_list(F.struct("side", "turn", "role", "text")))
-    grouped = rows.groupBy("pair_id").agg(
+    turn = F.struct("side", "turn", "role", "text")
+    known = rows.where("pair_id is not null")
+    grouped = known.groupBy("pair_id").agg(
         F.min(F.when(F.col("side") == 0, F.col("conv_id"))).alias("chosen_id"),
         F.min(F.when(F.col("side") == 1, F.col("conv_id"))).alias("rejected_id"),
-        turns.alias("turns"),
+        F.sort_array(F.collect_list(turn)).alias("turns"),
     )
+    none = F.lit(None).cast(rows.schema["conv_id"].dataType)
+    alone = rows.where("pair_id is null").select("pair_id", none.alias("chosen_id"), none.alias("rejected_id"), F.array(turn).alias("turns"))
+    grouped = grouped.union(alone)
     own = lambda k: F.transform(
         F.filter("turns", lambda t: t["side"] == k),
         lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")),
@@ -118,28 +123,30 @@ def neighbours(conversations: DataFrame) -> DataFrame:
 
 SQL = """
 WITH t AS (
-  SELECT (conv_id // 2)::BIGINT AS pair_id, conv_id % 2 AS side, conv_id, coalesce(role, '') AS role,
-         replace(coalesce(text, ''), '<|', '< |') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
-  FROM conversations
+  SELECT *, row_number() OVER (PARTITION BY grp, side ORDER BY turn, role, text) AS pos
+  FROM (SELECT coalesce(floor(conv_id / 2)::BIGINT::VARCHAR, 'row ' || row_number() OVER ()) AS grp,
+               floor(conv_id / 2)::BIGINT AS pair_id, coalesce((conv_id % 2 + 2) % 2, 0) AS side, conv_id, turn,
+               coalesce(role, '') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+        FROM conversations)
 ), ids AS (
-  SELECT pair_id, min(conv_id) FILTER (side = 0) AS chosen_id, min(conv_id) FILTER (side = 1) AS rejected_id,
+  SELECT grp, any_value(pair_id) AS pair_id,
+         min(conv_id) FILTER (side = 0) AS chosen_id, min(conv_id) FILTER (side = 1) AS rejected_id,
          count(*) FILTER (side = 0) AS n_c, count(*) FILTER (side = 1) AS n_r
-  FROM t GROUP BY pair_id
+  FROM t GROUP BY grp
 ), m AS (
-  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, min(coalesce(c.pos, r.pos)) AS pos
+  SELECT coalesce(c.grp, r.grp) AS grp, min(coalesce(c.pos, r.pos)) AS pos
   FROM (SELECT * FROM t WHERE side = 0) c FULL JOIN (SELECT * FROM t WHERE side = 1) r
-    ON c.pair_id = r.pair_id AND c.pos = r.pos
+    ON c.grp = r.grp AND c.pos = r.pos
   WHERE c.pos IS NULL OR r.pos IS NULL OR c.role <> r.role OR c.text <> r.text
   GROUP BY 1
 ), x AS (
   SELECT t.*, coalesce(m.pos, least(n_c, n_r) + 1) - 1 AS n, '<|' || role || '|>' || chr(10) AS mark,
          text || '<|end|>' || chr(10) AS said
-  FROM t JOIN ids USING (pair_id) LEFT JOIN m USING (pair_id)
+  FROM t JOIN ids USING (grp) LEFT JOIN m USING (grp)
 ), y AS (
-  SELECT *, (sum(length(mark) + length(said)) OVER (PARTITION BY pair_id, side, pos > n ORDER BY pos))::BIGINT AS until FROM x
+  SELECT *, (sum(length(mark) + length(said)) OVER (PARTITION BY grp, side, pos > n ORDER BY pos))::BIGINT AS until FROM x
 ), s AS (
-  SELECT pair_id, any_value(n) AS n,
+  SELECT grp, any_value(n) AS n,
     coalesce(string_agg(mark || said, '' ORDER BY pos) FILTER (side = 0 AND pos <= n), '') AS prompt,
     coalesce(string_agg(mark || said, '' ORDER BY pos) FILTER (side = 0 AND pos > n), '') AS c,
     coalesce(string_agg(mark || said, '' ORDER BY pos) FILTER (side = 1 AND pos > n), '') AS r,
@@ -147,11 +154,11 @@ WITH t AS (
       FILTER (side = 0 AND pos > n AND role = 'assistant'), '') AS cm,
     coalesce(string_agg((until - length(said)) || ':' || (until - 1), ',' ORDER BY pos)
       FILTER (side = 1 AND pos > n AND role = 'assistant'), '') AS rm
-  FROM y GROUP BY pair_id
+  FROM y GROUP BY grp
 )
 SELECT pair_id, chosen_id, rejected_id, n::BIGINT AS n_prompt_turns, prompt,
        CASE WHEN n_c > 0 THEN c END AS chosen, CASE WHEN n_c > 0 THEN cm END AS chosen_mask,
        CASE WHEN n_r > 0 THEN r END AS rejected, CASE WHEN n_r > 0 THEN rm END AS rejected_mask,
        CASE WHEN n_c = 0 OR n_r = 0 THEN 'unpaired' WHEN c = '' AND r = '' THEN 'identical' ELSE 'pair' END AS status
-FROM s JOIN ids USING (pair_id)
+FROM s JOIN ids USING (grp)
 """

@@ -421,17 +421,38 @@ def test_preferences(spark):
         (6, 0, "user", "<|end|>"), (7, 1, "assistant", ""),
     ]
     turns = spark.createDataFrame([(*r, 9, 9) for r in rows], "conv_id long, turn long, role string, text string, side int, pair_id int")
-    out = {r["pair_id"]: r for r in preference.format_pairs(preference.neighbours(turns.drop("side", "pair_id"))).collect()}
+    found = preference.format_pairs(preference.neighbours(turns.drop("side", "pair_id"))).collect()
+    out = {r["pair_id"]: r for r in found}
+    lost = [r for r in found if r["pair_id"] is None]  # a row each, never joined into a conversation
+    assert [(r["status"], r["chosen"], r["rejected"]) for r in lost] == [("unpaired", "<|user|>\nlost<|end|>\n", None)] * 2
     a = out[0]
     assert a["prompt"] == "<|user|>\nhi<|end|>\n" and a["n_prompt_turns"] == 1
     assert a["chosen"] == "<|assistant|>\nyes<|end|>\n" and a["rejected"].endswith("<|user|>\nwhy<|end|>\n")
     s, e = map(int, a["chosen_mask"].split(":"))
     assert a["chosen"][s:e] == "yes<|end|>" and len(a["rejected_mask"].split(",")) == 1
-    assert out[1]["status"] == "identical" and out[1]["chosen"] == "" and out[2]["status"] == out[None]["status"] == "unpaired"
+    assert out[1]["status"] == "identical" and out[1]["chosen"] == "" and out[2]["status"] == "unpaired"
     assert "< |end|>" in out[3]["chosen"] and out[3]["rejected_mask"] == "14:21"
     assert preference.format_pairs(preference.neighbours(turns.limit(0))).count() == 0
 
 
+def test_preferences_same_as_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        role, text = (("user", "assistant", None, "system")[rng.integers(4)], ("a", "b", "<|x", None, "")[rng.integers(5)])
+        rows.append((None if i % 7 == 0 else int(rng.integers(40)), int(rng.integers(4)), role, text))
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", pa.Table.from_pylist([dict(zip(turns.columns, r, strict=True)) for r in rows]))
+    want = con.execute(preference.SQL).df()
+    got = preference.format_pairs(preference.neighbours(turns)).toPandas()
+    ids = ["pair_id", "chosen_id", "rejected_id"]
+    assert rows_of(got.astype(dict.fromkeys(ids, float))) == rows_of(want.astype(dict.fromkeys(ids, float)))
+    assert got.pair_id.isna().sum() == sum(r[0] is None for r in rows)
+
+
 # 8 Personal data --------------------------------------------------------------------------------------
 
 _BASE = (
@@ -466,7 +487,28 @@ def test_pii_validators_and_context():
     assert pii.redact("a@b.cd x", pii.find("a@b.cd x")) == "[EMAIL] x"
 
 
+def test_pii_context_is_whole_words():
+    ssn = lambda t: [s[0] for s in pii.find(t)]
+    assert ssn("we stay at the hotel, syntax 123-45-6789") == [] and ssn("my tax 123-45-6789") == ["ssn"]
+    assert ssn("123-45-6789 is for tax") == ["ssn"] and ssn("123-45-6789" + " " * 45 + "taxes") == []
+    assert ssn("123-45-6789" + " " * 45 + "tax") == ["ssn"] and ssn("syn" + "tax" + " " * 45 + "123-45-6789") == []
+    assert ssn("description of the border: SSN 123-45-6789") == ["ssn"]
+    assert [round(s[3], 2) for s in pii.find("a description 1.2.3.4")] == [0.8] and [s[3] for s in pii.find("ip 1.2.3.4")] == [1.0]
+
+
 def test_pii_columns(spark):
+    """Every column of the query against plain patterns."""
+    texts = ["a@b.cd, +1 (234) 567-8901 é 10.0.0.1", "4111 1111-1111 1111 a@b.c@d.e-f.g", "999.1.1.1 0001.2.3.4 SSN 123-45-6789"]
+    df = awkward(spark, [(i, t, "s") for i, t in enumerate([*texts, None, "", texts[0]])])
+    got = {r["doc_id"]: r for r in pii.pii_columns(df).collect()}
+    for r in df.collect():
+        base, row = _base(r["text"]), got[r["doc_id"]]
+        said = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert row["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert [row[f"n_{k}"] for k, _, _ in _BASE] == [sum(x[0] == k for x in base) for k, _, _ in _BASE]
+        spans = [x for x in row["spans"].split(",") if x]
+        assert [x for x in spans if x.split(":")[0] in pii.BASE_KINDS] == said and row["n_spans"] == len(spans)
+    assert "ssn:" in got[2]["spans"]
     df = awkward(spark)
     assert pii.pii_columns(df).count() == df.count() and pii.pii_columns(empty(spark)).count() == 0
 
