@@ -171,30 +171,36 @@ def removed_lines(
     )
 
 
-def judged(docs: DataFrame, keep: list[str], min_share: float, min_words: int, **rule) -> DataFrame:
-    """``keep`` columns, counts, verdict and removed lines of every row."""
-    own = docs.select(
-        *(F.col(c).alias(f"__own_{k}") for k, c in enumerate(keep)), "doc_id", "text", F.col("source").alias("host"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
-    )
+def _with_removed(rows: DataFrame, docs: DataFrame, **rule) -> DataFrame:
+    """``rows`` (doc_id, text_hash, host, ...) with n_removed_lines, n_removed_words and removed.
+
+    Documents that lose lines grow with the corpus, so they are merged, never broadcast.
+    """
     lost = materialize(removed_lines(docs.select("doc_id", "text", "source"), **rule), "lost")
     key = ("doc_id", "text_hash", "host")
-    lost = _renamed(lost, (*key, "n_lines", "n_words"))
-    rows = own.join(lost, _same(own, lost, key), "left")
+    lost = _renamed(lost, (*key, "n_lines", "n_words")).hint("merge")
     lines, words = (F.coalesce(f"__n_{x}", F.lit(0)).cast("long") for x in ("lines", "words"))
-    rows = rows.withColumns({"n_removed_lines": lines, "n_removed_words": words})
-    kept = [f"__own_{k}" for k in range(len(keep))]
-    out = base_features(rows, ["doc_id", "n_removed_lines", "n_removed_words", "removed", *kept])
+    both = rows.join(lost, _same(rows, lost, key), "left").drop(*(f"__{c}" for c in key))
+    return both.withColumns({"n_removed_lines": lines, "n_removed_words": words}).drop("__n_lines", "__n_words")
+
+
+def _kept(min_share: float, min_words: int) -> Column:
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (left < min_words) | (left < F.lit(min_share) * F.col("n_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~((F.col("n_removed_words") > 0) & depleted))
+    return ~F.col("base_failed") & ~((F.col("n_removed_words") > 0) & depleted)
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
 
 
 def quality_columns(docs: DataFrame, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS, **rule) -> DataFrame:
-    """Counts and verdict for every row of ``docs``; ``rule`` goes to :func:`removed_lines`."""
-    return judged(docs, [], min_share, min_words, **rule).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_removed_lines", "n_removed_words",
+    """Counts and verdict for every row of ``docs``; ``rule`` goes to :func:`removed_lines`.  Text isn't shuffled."""
+    rows = docs.select("doc_id", "text", F.col("source").alias("host"), _text_hash())
+    counted = _with_removed(base_features(rows, ["doc_id", "text_hash", "host"]), docs, **rule)
+    return counted.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        _kept(min_share, min_words).alias("kept"), "n_removed_lines", "n_removed_words",
     )
 
 
@@ -205,18 +211,20 @@ def quality_query(docs: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS, **rule) -> DataFrame:
     """Documents that pass, with their columns and without the lines above the limit.
 
-    A document's removed lines come as a set of line hashes, no longer than the document.  Text is
-    shuffled only if the documents that lose lines are too many to broadcast.
+    Text is shuffled once, to meet its removed lines: a set of line hashes, no longer than the document.
     """
-    columns = docs.columns
-    own = {c: f"__own_{k}" for k, c in enumerate(columns)}
-    rows = judged(docs, columns, min_share, min_words, **rule)
+    own = {c: f"__own_{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.select(
+        *(F.col(c).alias(o) for c, o in own.items()), "doc_id", "text", F.col("source").alias("host"), _text_hash()
+    )
+    rows = _with_removed(rows, docs, **rule)
+    rows = base_features(rows, ["n_removed_words", "removed", *own.values()])
     # a row number that isn't deterministic keeps the filter from moving below the counts and computing them twice
-    rows = rows.withColumn("__row", F.monotonically_increasing_id()).where("kept")
+    rows = rows.withColumns({"__kept": _kept(min_share, min_words), "__row": F.monotonically_increasing_id()}).where("__kept")
     text = F.col(own["text"])
     lines = F.filter(F.split(text, "\n", -1), lambda x: ~F.coalesce(F.array_contains("removed", line_hash(x)), F.lit(False)))
     cut = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(lines, "\n"))
-    return rows.select(*(cut.alias(c) if c == "text" else F.col(own[c]).alias(c) for c in columns))
+    return rows.select(*(cut.alias(c) if c == "text" else F.col(o).alias(c) for c, o in own.items()))
 
 
 _SEPARATED = "regexp_split_to_array(trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\\x20\\x09-\\x0D]+')"
