@@ -2,13 +2,18 @@
 
 Patterns find assignments, access key ids and long hexadecimal runs; they
 always stand.  The field tags each word B (a secret begins), I (it goes on) or
-O from its shape (length, digits, case mix, class changes, symbols), the words
-beside it (credential words one or two places away) and features of the whole
-file (how many credential words and how much code it has), and adds the spans
-it decodes outside the patterns' ones.
+O from its shape (length, digits, case mix, class changes, symbols, ending),
+the words beside it (credential words up to three places away, links such as
+"is" or "=") and features of the whole file (how many credential words and how
+much code it has), and adds the spans it decodes outside the patterns' ones.
+
+Words of eight bytes or more that look unusual, or that stand behind a
+credential word, have learned scores, so a plain-looking secret is found by its
+neighbours.  All other words have the constant score ``_PLAIN``, in training and
+decoding alike, and come out as O.
 
 Training maximises the conditional log-likelihood over ``TRAINING`` generated
-sentences with a fixed seed, on the driver, in a second or so; the corpus isn't
+sentences with a fixed seed, on the driver, in seconds; the corpus isn't
 used.  The weights, some hundred numbers, travel with the function.
 
 Decoding is exact Viterbi, but cheap.  If a word's O score leads by more than
@@ -26,8 +31,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +59,13 @@ CREDENTIAL_WORDS = (
     "password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "access", "auth", "bearer",
     "credential", "credentials", "private", "signature", "client_secret", "access_token", "secret_key",
 )
+#: Words that link a credential word to its value.
+LINKS = ("is", "was", "=", ":", ":=", "->", "=>", "to", "as", "set")
+#: Endings that ordinary long words have.
+ENDINGS = (
+    "ed", "ng", "on", "ly", "le", "nt", "al", "er", "rs", "ty", "us", "ve", "es", "ns", "ts", "ce", "ic", "cs", "or",
+    "ry", "re", "te", "ss", "ge",
+)
 _DRESS = ("{}", "{}:", "{}=", '"{}":', "'{}':", '"{}"', "({})", "{},", "{}.", "--{}", "<{}>")
 
 
@@ -87,7 +101,9 @@ for _k in (_DIGIT, _UPPER, _LOWER, _VALUE):
 NAMES = (
     "bias", "len8", "len12", "len16", "len20", "len32", "len64", "digit", "digits20", "digits50", "all_digits",
     "upper", "mixed_case", "mixed_all", "changes3", "changes6", "changes_dense", "symbol", "hex16", "other",
-    "plain", "near1", "near2", "after1", "shape_near", "shape_file", "code_file", "credential_file",
+    "plain", "near1", "near2", "after1", "shape_near", "shape_file", "code_file", "credential_file", "linked",
+    "ending", "ending_plain", "plain_linked", "plain12_linked", "plain16_linked", "plain20_linked", "inner_upper",
+    "digit_linked", "opened",
 )
 
 
@@ -97,11 +113,18 @@ def _credential_hashes() -> np.ndarray:
     return np.sort(Words.of(pa.array(words), lower=True).hashes)
 
 
-def features(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words of some texts, indices of those that could be of interest, and their feature rows.
+@lru_cache(maxsize=1)
+def _link_hashes() -> np.ndarray:
+    return np.sort(Words.of(pa.array(LINKS), lower=True).hashes)
 
-    All other words are plain: short or of one class, whose O score leads anyway.
-    """
+
+_ENDS = np.sort(np.array([e.encode()[0] << 8 | e.encode()[1] for e in ENDINGS]))
+_STOP = np.zeros(256, dtype=bool)
+_STOP[list(b"\"'),;:.!?>]}")] = True
+
+
+def features(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words of some texts, indices of those that could be of interest, and their feature rows."""
     raw, offsets = texts_of(column)
     w = Words(raw, offsets)
     n = len(w.starts)
@@ -124,9 +147,12 @@ def features(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     changes = sums[w.ends] - sums[np.minimum(w.starts + 1, len(raw))]
     ascii_only = count(raw >= 128) == 0
     shaped = (size >= 8) & ((digits > 0) | (((changes >= 6) | (size >= 32)) & ascii_only))
-    hit = np.flatnonzero(shaped)
     lowered = Words(raw, offsets, lower=True).hashes
     credential = np.isin(lowered, _credential_hashes())
+    behind = np.zeros(n, dtype=bool)
+    for step in (1, 2, 3):
+        behind[step:] |= credential[:-step] & (w.doc[step:] == w.doc[:-step])
+    hit = np.flatnonzero(shaped | (behind & ~credential & (size >= 8)))
     per_doc = np.zeros(len(offsets) - 1, dtype=np.int64)
     np.add.at(per_doc, w.doc[credential], 1)
     code = within(_KINDS[_CODE][raw])
@@ -145,6 +171,20 @@ def features(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
 
     near1, near2, after1 = beside(-1), beside(-2) | beside(-3), beside(1)
     many = np.maximum(s, 1)
+    before = np.maximum(hit - 1, 0)
+    same = (hit > 0) & (w.doc[before] == doc) if n else near1
+    link = same & np.isin(lowered[before], _link_hashes())
+    assigned = near1 & np.isin(raw[w.ends[before] - 1], np.frombuffer(b":=>", dtype=np.uint8)) if n else near1
+    linked = (link & near2) | assigned
+    last = w.ends[hit] - 1
+    for _ in range(2):  # closing marks
+        last = np.where((last > w.starts[hit]) & _STOP[raw[last]], last - 1, last) if n else last
+    pair = (raw[np.maximum(last - 1, 0)].astype(np.int64) << 8 | raw[last]) if n else last
+    ending = np.isin(pair, _ENDS)
+    plain = d + symbol == 0
+    inner = within(_KINDS[_UPPER][raw])
+    inner = inner[w.ends[hit]] - inner[np.minimum(w.starts[hit] + 1, len(raw))] > 0
+    opened = np.isin(raw[w.starts[hit]], np.frombuffer(b"\"'`<(", dtype=np.uint8)) if n else near1
     x = np.stack(
         [
             np.ones(len(hit), dtype=bool), s >= 8, s >= 12, s >= 16, s >= 20, s >= 32, s >= 64,
@@ -152,7 +192,8 @@ def features(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
             ch >= 3, ch >= 6, ch * 4 > many, symbol > 0, (hexd >= s - 2) & (s >= 16) & (d > 0) & (d < s),
             s - d - u - lo - symbol > 2, d + symbol == 0, near1, near2, after1,
             (s >= 16) & (ch >= 4) & (near1 | near2), (s >= 16) & (ch >= 6) & (d > 0), codes[doc] * 50 > chars[doc],
-            per_doc[doc] > 0,
+            per_doc[doc] > 0, linked, ending, ending & plain, plain & linked, plain & linked & (s >= 12),
+            plain & linked & (s >= 16), plain & linked & (s >= 20), inner & (lo > 0), (d > 0) & linked, opened,
         ],
         axis=1,
     )
@@ -193,6 +234,10 @@ def _sentences(count: int, seed: int = 11) -> Iterator[tuple[str, list[int]]]:
             return f"{run(letters, 3, 12)}_{run(letters, 3, 12)}({run(letters, 1, 5)});"
         return ".".join(str(rng.integers(256)) for _ in range(4))
 
+    def ordinary() -> str:
+        w = run(letters, 4, 10) + pick(ENDINGS)
+        return w + (pick(",.;") if rng.random() < 0.3 else "")
+
     def secret() -> list[str]:
         k = rng.random()
         if k < 0.45:
@@ -205,6 +250,17 @@ def _sentences(count: int, seed: int = 11) -> Iterator[tuple[str, list[int]]]:
             return [".".join(run(base62 + "_-", 18, 40) for _ in range(3))]
         return [run(base62 + "+/", 60, 65) for _ in range(int(rng.integers(2, 4)))]
 
+    def chosen() -> str:
+        """A secret that a person made up."""
+        k = rng.random()
+        if k < 0.35:
+            return "".join(run(letters, 3, 8) for _ in range(int(rng.integers(3, 5))))
+        if k < 0.55:
+            return "-".join(run(letters, 3, 8) for _ in range(int(rng.integers(3, 5))))
+        if k < 0.75:
+            return run(letters, 3, 9).capitalize() + run(letters + letters.upper(), 5, 14)
+        return run(letters, 5, 10) + run("0123456789", 1, 5) + run("!@#$%&*", 1, 3)
+
     for _ in range(count):
         words: list[str] = []
         tags: list[int] = []
@@ -216,7 +272,15 @@ def _sentences(count: int, seed: int = 11) -> Iterator[tuple[str, list[int]]]:
                 value = secret()
                 words += lead + value
                 tags += [O] * len(lead) + [B] + [I] * (len(value) - 1)
-            elif k < 0.14:
+            elif k < 0.12:
+                lead = [pick(CREDENTIAL_WORDS), pick(LINKS)] if rng.random() < 0.6 else [pick(CREDENTIAL_WORDS) + pick(":=")]
+                words += [*lead, chosen()]
+                tags += [O] * len(lead) + [B]
+            elif k < 0.20:
+                lead = [pick(CREDENTIAL_WORDS)] + ([pick(["is", "was", "to", "as", word()])] if rng.random() < 0.7 else [])
+                words += [*lead, ordinary()]
+                tags += [O] * (len(lead) + 1)
+            elif k < 0.24:
                 words.append(pick(CREDENTIAL_WORDS))
                 tags.append(O)
             else:
@@ -351,22 +415,31 @@ def scan(column: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> Iterator[lis
         for first, end in decode(w, hit, rows, model):
             found.setdefault(int(w.doc[first]), []).append((int(w.starts[first]), int(w.ends[end - 1])))
         _, offsets = texts_of(part)
+        points = np.zeros(len(w.bytes) + 1, dtype=np.int64)  # code points before each byte
+        np.cumsum((w.bytes & 0xC0) != 0x80, out=points[1:])
         for k, text in enumerate(part):
-            text = text.as_py() or ""
-            spans = base_spans(text)
-            base = list(spans)
+            base = base_spans(text.as_py() or "")
+            more = []
             for s, e in found.get(k, ()):
-                begin = int(offsets[k])
                 raw = w.bytes[s:e].tobytes()
                 lead = _NAME.match(raw).end()
                 size = len(raw.rstrip(_TAIL))
-                if size - lead < 8:
-                    continue
-                start = len(w.bytes[begin : s + lead].tobytes().decode())
-                stop = start + len(raw[lead:size].decode())
-                if all(stop <= x or start >= y for x, _, y in base):
-                    spans.append((start, 3, stop))
-            yield sorted(spans)
+                if size - lead >= 8:
+                    begin = points[offsets[k]]
+                    more.append((int(points[s + lead] - begin), 3, int(points[s + size] - begin)))
+            yield sorted(base + _apart(more, base)) if more else base
+
+
+def _apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``spans`` that overlap none of ``base``, which is sorted."""
+    starts = [s for s, _, _ in base]
+    until = list(accumulate((e for _, _, e in base), max))
+    out = []
+    for s, k, e in spans:
+        n = bisect_left(starts, e)
+        if not n or until[n - 1] <= s:
+            out.append((s, k, e))
+    return out
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:

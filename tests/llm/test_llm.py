@@ -244,7 +244,86 @@ def test_field_is_exact_and_accurate():
     assert len(got & gold) > 0.95 * len(gold) and len(got & gold) > 0.95 * len(got)
 
 
+def test_field_sees_neighbours():
+    """Plain-looking secrets are found by the words beside them, ordinary words there are left alone."""
+    model = secrets.train()
+    found = lambda t: [t[a:b] for a, k, b in next(secrets.scan(pa.array([t]), model)) if k == 3]
+    for value in ("correcthorsebatterystaple", "abcdEFGHijklMNOP", "hunter2x!", "mysecretvalue", "four-words-in-a-row"):
+        assert found(f"hello, the password is {value} and so on") == [value]
+        assert found(f"hello, the weather is {value} and so on") == []
+    for t in ("the password is required for users", "your token was unavailable", "the signature is deterministic", "key differences"):
+        assert found(t) == []
+
+
+def _prose(n, seed):
+    """Notes with and without secrets, from templates that the training doesn't use."""
+    import random
+    import string
+
+    rng = random.Random(seed)
+    nouns = "report meeting garden schedule invoice engine harbour library festival mountain".split()
+    verbs = "describes considers explains rejects mentions supports".split()
+    fill = lambda: f"The {rng.choice(nouns)} {rng.choice(verbs)} a {rng.choice(nouns)} from {rng.randint(1900, 2030)}."
+    token = lambda k, chars=string.ascii_letters + string.digits: "".join(rng.choice(chars) for _ in range(k))
+    for _ in range(n):
+        value = rng.choice([token(24), token(40), "".join(rng.sample(nouns, 3)), token(6, string.ascii_lowercase) + token(4, string.digits) + "!", "-".join(rng.sample(nouns, 3))])
+        hot = rng.choice(["Log in, the password is {} for now.", "Their secret was {} all along,", "Please set token to {} before noon.", "My api_key is {} by the way."])
+        cold = rng.choice(["Resetting a password is recommended for everyone.", "The token was invalidated by administrators.", "A secret to happiness.", "That key is important: documentation follows."])
+        yield fill() + " " + (hot.format(value) if rng.random() < 0.5 else cold) + " " + fill(), value
+
+
+def test_field_on_other_prose():
+    model = secrets.train()
+    texts, values = zip(*_prose(400, 8), strict=True)
+    hits = [[t[a:b] for a, _, b in s] for t, s in zip(texts, secrets.scan(pa.array(texts), model), strict=True)]
+    gold = sum(v in t for t, v in zip(texts, values, strict=True))
+    right = sum(h == [v] for h, v in zip(hits, values, strict=True))
+    print("held out: precision", right / sum(map(len, hits)), "recall", right / gold)
+    assert right > 0.9 * gold and right > 0.9 * sum(map(len, hits))
+
+
+_PLAIN_BASE = (
+    (0, re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 8),
+    (1, re.compile(r"AKIA[A-Z0-9]+"), 16),
+    (2, re.compile(r"[0-9a-f]+"), 32),
+)
+
+
+def _plain_spans(text):
+    return sorted((m.start(), k, m.end()) for k, p, least in _PLAIN_BASE for m in p.finditer(text or "") if len(m[2 if k == 0 else 0]) >= least)
+
+
+def _secret_texts():
+    import random
+
+    rng = random.Random(4)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "AKIA", "é", " ", "  ", ":", "=", '"', "'", "abc", "0af3", "9" * 9, "XYZ0", "\n", "ſecret", "/_.=-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 90))) for _ in range(600)]
+    return [*texts, "AKIA" * 9, "0123456789abcdef" * 3, "token=" * 20, "password:" + "x" * 5000, None, ""]
+
+
+def test_secret_base_same_as_plain_patterns():
+    for t in _secret_texts():
+        assert secrets.base_spans(t or "") == _plain_spans(t)
+
+
 def test_secret_columns(spark):
+    """Every column of the query against plain patterns and spans."""
+    texts = [*_secret_texts()[::4], "é password: abcdefgh12 the secret is correcthorsebatterystaple é"]
+    df = awkward(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r for r in secrets.secret_columns(df).collect()}
+    for i, t in enumerate(texts):
+        base, row = _plain_spans(t), got[i]
+        said = [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert (row["n_assign"], row["n_access"], row["n_hex"]) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
+        assert row["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        spans = [x for x in row["spans"].split(",") if x]
+        assert [x for x in spans if not x.startswith("crf")] == said and row["n_crf"] == len(spans) - len(said)
+        for x in spans:
+            if x.startswith("crf"):
+                s, e = map(int, x.split(":")[1:])
+                assert all(e <= a or s >= b for a, _, b in base)
+    assert "crf:37:62" in got[len(texts) - 1]["spans"]
     df = awkward(spark)
     out = secrets.secret_columns(df)
     assert out.count() == df.count() and secrets.secret_columns(empty(spark)).count() == 0
@@ -255,6 +334,15 @@ def test_secret_columns(spark):
     assert clean == {1: "é password: [SECRET] end", 2: None} and secrets.redact_secrets(hot).columns == hot.columns
 
 
+def test_secrets_in_a_very_long_text():
+    import time
+
+    text = "word password is Abc%dXyz9 token=abcdefgh12 " * 60_000
+    began = time.perf_counter()
+    spans = next(secrets.scan(pa.array([text]), secrets.train()))
+    assert len(spans) >= 60_000 and time.perf_counter() - began < 30
+
+
 # 4 Substrings -----------------------------------------------------------------------------------------
 
 
