@@ -47,13 +47,13 @@ def op9_near_duplicates(spark, sf_dir):
 
 
 def op10_virtual_slots(spark, sf_dir):
-    """Law ``bytes``: slots are dealt so that shards hold nearly equal bytes."""
+    """Law ``bytes``: slots are dealt so that shards hold nearly equal bytes; the map is then edited for 25 shards."""
     from pyspark.sql import functions as F
 
-    placed = sharding.shard_documents(documents(spark, sf_dir), n_shards=24)
+    placed = sharding.shard_documents(documents(spark, sf_dir), n_shards=24, grown=25)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_version", "next_shard",
     )
 
 
@@ -72,4 +72,4 @@ QUERIES = {
         op10_virtual_slots,
     )
 }
-SQL = {"op1_quality_rules": quality.SQL, "op7_preference_pairs": preference.SQL}
+SQL = {"op1_quality_rules": quality.SQL, "op7_preference_pairs": preference.SQL, "op10_virtual_slots": sharding.sql()}

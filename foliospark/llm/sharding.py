@@ -4,7 +4,9 @@ A record is hashed into one of ``n_slots`` virtual slots, a number that never
 changes.  Bytes and rows are aggregated for each slot, and a versioned map
 deals slots to shards: largest slot first, to the lightest shard.  When shards
 are added or sizes drift, :meth:`SlotMap.rebalance` edits the map instead of
-building another: it moves the fewest bytes that bring the shards level.
+building another: it moves the fewest bytes that bring the shards level.  The registered
+query stores two versions, for 24 shards and edited for 25, and says where each
+row lies in either.
 
 Only slot totals reach the driver: ``n_slots`` rows, whatever the input.  The
 text never moves; ranking inside a slot shuffles four narrow columns.
@@ -35,8 +37,9 @@ def text_of(docs: DataFrame) -> Column:
 
 
 def virtual_slot(key: Column, text: Column, n_slots: int = N_SLOTS) -> Column:
-    h = F.when(key.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key))
-    return F.pmod(h, F.lit(n_slots)).cast("int")
+    """The first 32 bits of a digest that other systems have too, modulo the number of slots."""
+    digest = F.md5(F.coalesce(key.cast("string"), text))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n_slots)).cast("int")
 
 
 @dataclass
@@ -131,15 +134,20 @@ def slot_totals(docs: DataFrame, key: str = "doc_id", n_slots: int = N_SLOTS) ->
     return rows, sizes
 
 
-def place(docs: DataFrame, slots: SlotMap, key: str = "doc_id") -> DataFrame:
-    """Key, size, checksum, shard, place in the shard (from 0, no gaps), virtual slot and map version."""
+def place(docs: DataFrame, slots: SlotMap, key: str = "doc_id", later: SlotMap | None = None) -> DataFrame:
+    """Key, size, checksum, shard, place in the shard (from 0, no gaps), virtual slot and map version.
+
+    With a ``later`` map also its version and shard.
+    """
     spark, n_slots = docs.sparkSession, len(slots.shard)
     before, start = [0] * slots.n_shards, []
     for s, to in enumerate(slots.shard):
         start.append(before[to])
         before[to] += slots.rows[s]
+    after = later or slots
     deal = spark.createDataFrame(
-        [(s, slots.shard[s], start[s]) for s in range(n_slots)], "virtual_slot int, shard int, start long"
+        [(s, slots.shard[s], start[s], after.shard[s]) for s in range(n_slots)],
+        "virtual_slot int, shard int, start long, next_shard int",
     )
     text = text_of(docs)
     rows = docs.select(
@@ -159,11 +167,17 @@ def place(docs: DataFrame, slots: SlotMap, key: str = "doc_id") -> DataFrame:
         (F.col("start") + F.col("rank")).alias("slot"),
         "virtual_slot",
         F.lit(slots.version).alias("map_version"),
+        *([F.lit(after.version).alias("next_version"), "next_shard"] if later else []),
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
-    """Builds, stores and applies the first version of a map for ``docs``."""
+def shard_documents(
+    docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, path: str | None = None, grown: int | None = None
+) -> DataFrame:
+    """Builds, stores and applies the first version of a map for ``docs``.
+
+    ``grown``: number of shards for which a second version is edited, stored and applied beside it.
+    """
     spark = docs.sparkSession
     slots = SlotMap.build(*slot_totals(docs, n_slots=n_slots), n_shards)
     if path is None:
@@ -171,4 +185,56 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS,
 
         path = f"{shared_dir(spark)}/folio/slot-map-{uuid.uuid4().hex}"
     slots.save(spark, path)
-    return place(docs, SlotMap.load(spark, path, slots.version, n_shards))
+    stored = SlotMap.load(spark, path, slots.version, n_shards)
+    if grown is None:
+        return place(docs, stored)
+    stored.rebalance(grown).save(spark, path)
+    return place(docs, stored, later=SlotMap.load(spark, path, slots.version + 1, grown))
+
+
+def sql(n_shards: int = 24, n_slots: int = N_SLOTS) -> str:
+    """The query in DuckDB SQL: the map by recursion over slots, the checksum from its bit rule."""
+    return f"""
+WITH RECURSIVE bits(n, c, k) AS (
+  SELECT n::UINTEGER, n::UINTEGER, 0 FROM range(256) r(n) UNION ALL
+  SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), tab AS (SELECT list(c ORDER BY n) AS l FROM bits WHERE k = 8
+), b AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+         ('0x' || md5(coalesce(doc_id::VARCHAR, text, ''))[1:8])::BIGINT % {n_slots} AS vs,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UINTEGER) AS bytes
+  FROM documents
+), d AS (
+  SELECT doc_id, size, vs, xor(list_reduce(list_prepend(4294967295::UINTEGER, bytes),
+         lambda a, x: xor(a >> 8, l[(xor(a, x) & 255) + 1])), 4294967295::UINTEGER)::BIGINT AS crc
+  FROM b, tab
+), tot AS (
+  SELECT r.vs, count(d.vs) AS n, coalesce(sum(size), 0)::BIGINT AS size
+  FROM range({n_slots}) r(vs) LEFT JOIN d ON d.vs = r.vs GROUP BY r.vs
+), ord AS (SELECT vs, size, row_number() OVER (ORDER BY size DESC, vs) AS k FROM tot
+), build(k, loads, vs, shard) AS (
+  SELECT 0::BIGINT, list_transform(range({n_shards}), lambda x: 0::BIGINT), NULL::BIGINT, NULL::BIGINT UNION ALL
+  SELECT o.k, list_transform(loads, lambda v, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN v + o.size ELSE v END),
+         o.vs, CASE WHEN o.size > 0 THEN list_position(loads, list_min(loads)) - 1 ELSE o.vs % {n_shards} END
+  FROM build JOIN ord o ON o.k = build.k + 1
+), map1 AS (SELECT b.vs, shard, n, size FROM build b JOIN tot USING (vs)
+), held AS (
+  SELECT vs, shard, size, row_number() OVER (ORDER BY shard, size DESC, vs DESC) AS k,
+         sum(size) OVER (PARTITION BY shard) AS load, sum(size) OVER () AS total
+  FROM map1
+), edit(k, shard, load, new, vs, moved) AS (
+  SELECT 0::BIGINT, -1::BIGINT, 0::HUGEINT, 0::HUGEINT, NULL::BIGINT, false UNION ALL
+  SELECT k, shard, CASE WHEN moves THEN now - size ELSE now END, CASE WHEN moves THEN new + size ELSE new END, vs, moves
+  FROM (SELECT *, now * {n_shards + 1} > total AND new + size < now AS moves
+        FROM (SELECT h.k, h.shard, h.vs, h.size, h.total, e.new, CASE WHEN h.shard = e.shard THEN e.load ELSE h.load END AS now
+              FROM edit e JOIN held h ON h.k = e.k + 1))
+), map AS (
+  SELECT m.vs, m.shard, CASE WHEN moved THEN {n_shards} ELSE m.shard END AS next_shard,
+         sum(n) OVER (PARTITION BY m.shard ORDER BY m.vs) - n AS start
+  FROM map1 m JOIN edit e ON e.vs = m.vs
+)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard::INT AS shard,
+       (start + row_number() OVER (PARTITION BY d.vs ORDER BY doc_id NULLS FIRST, crc, size) - 1)::BIGINT AS slot,
+       NULL::INT AS grown_shard, d.vs::INT AS virtual_slot, 1 AS map_version, 2 AS next_version, next_shard::INT AS next_shard
+FROM d JOIN map ON map.vs = d.vs
+"""

@@ -749,6 +749,19 @@ def test_sharding(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
+def test_sharding_same_as_sql_on_awkward_rows(spark):
+    """Ties, repeated rows, null ids and texts, clashing names."""
+    import duckdb
+
+    df = awkward(spark, [(i % 90, "é" * (i % 7 * 9), "s") for i in range(300)] + [(None, None, None), (None, "x", None), (None, "x", None)])
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([r.asDict() for r in df.select("doc_id", "text").collect()]))
+    got = sharding.shard_documents(df, 5, 64, grown=6).toPandas()
+    want = con.execute(sharding.sql(5, 64)).df()[got.columns.tolist()]
+    kinds = {c: float for c in got.columns}
+    assert rows_of(got.astype(kinds)) == rows_of(want.astype(kinds)) and (got.next_shard == 5).any()
+
+
 # Pipeline ---------------------------------------------------------------------------------------------
 
 
