@@ -18,7 +18,10 @@ Tokens.  The tokenizer never joins text across white space, nor across the
 classes letter, digit and punctuation.  So texts are cut into such units with
 the vectorised word kernel, each new unit is encoded once for a worker (in a
 bounded cache) and ids are gathered by index.  Units whose class is in doubt
-(other scripts, apostrophes, special-token brackets) stay whole words.
+(other scripts, apostrophes, special-token brackets) stay whole words.  This
+holds for vocabularies whose file names the pipeline in ``PIPELINE``; the file is
+checked, and with any other one whole texts are encoded.  Texts of over
+``LONG_TEXT`` bytes are cut at blanks, which gives the same ids in bounded memory.
 
 Cases: a null or empty text is the closing id alone; repeated rows are packed
 once for each row; a document longer than a sequence or a block is cut into
@@ -28,6 +31,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -51,6 +55,13 @@ INSIDE_PENALTY = 40
 CACHE = 500_000
 LONG_TEXT = 1 << 22
 
+#: Normaliser, splitting pattern and word end that cutting into units relies on.
+PIPELINE = (
+    ("NFC", "Replace", "Lowercase"),
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "</w>",
+)
+
 _LETTER, _DIGIT, _OTHER, _DOUBT = 1, 2, 3, 4
 _CLASS = np.full(256, _OTHER, dtype=np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = _LETTER
@@ -70,6 +81,20 @@ def _byte_chars() -> list[str]:
 _BYTE_CHARS = _byte_chars()
 
 
+def pipeline(path: str) -> tuple | None:
+    """Normaliser, splitting pattern and word end of a vocabulary file, None where they are of another form."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    try:
+        split, byte_level = parts["pre_tokenizer"]["pretokenizers"]
+        if (split["behavior"], split["invert"], byte_level["type"], byte_level["add_prefix_space"]) != ("Removed", True, "ByteLevel", False):
+            return None
+        names = tuple(n["type"] for n in parts["normalizer"]["normalizers"])
+        return names, split["pattern"]["Regex"], parts["model"]["end_of_word_suffix"]
+    except (KeyError, TypeError, ValueError):
+        return None
+
+
 class Encoder:
     """Ids of texts by units, each encoded once; the cache is emptied when it is full."""
 
@@ -78,6 +103,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_units = pipeline(path) == PIPELINE
         self.size = size
         self.clear()
 
@@ -305,9 +331,18 @@ def _long(enc: Encoder, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.array([END_ID], dtype=np.uint32)]), np.concatenate(stops)
 
 
+def _whole(enc: Encoder, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for text, e in zip(texts, enc.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        ends = [k + 1 for k, (_, stop) in enumerate(e.offsets) if text[stop - 1 : stop] in (".", "!", "?")]
+        yield np.array([*e.ids, END_ID], dtype=np.uint32), np.array(ends, dtype=np.int64)
+
+
 def encoded(enc: Encoder, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and sentence ends of each text of a column, in order."""
     for a, b in slices(column):
+        if not enc.by_units:
+            yield from _whole(enc, [t or "" for t in column.slice(a, b - a).to_pylist()])
+            continue
         raw, offsets = texts_of(column.slice(a, b - a))
         if len(raw) > LONG_TEXT:
             yield _long(enc, raw)

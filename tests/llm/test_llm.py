@@ -462,6 +462,18 @@ def test_encoder(vocabulary):
     assert ids.tolist() == whole.tolist() and stops.tolist() == stop.tolist()
 
 
+def test_encoder_of_another_vocabulary():
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    texts = ["Hello World, it's 2024. Two  blanks! é 日本", "", None, "x" * 50]
+    enc = packing.Encoder(path)
+    got = list(packing.encoded(enc, pa.array(texts)))
+    assert not enc.by_units
+    assert [g.tolist() for g, _ in got] == [[*e.ids, 1] for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert len(got[0][1]) == 2
+
+
 def test_cuts_are_cheapest():
     rng = np.random.default_rng(5)
     for _ in range(40):
@@ -493,10 +505,17 @@ def test_packing(spark, vocabulary):
     for _, part in got.groupby("sequence_id"):
         part = part.sort_values("offset")
         assert (part.length.cumsum().shift(fill_value=0) == part.offset).all()
-    one = got[got.doc_id == 8].sort_values("start")
-    ids = np.array([*plain.encode(df.where("doc_id = 8").first()["text"], add_special_tokens=False).ids, 1], dtype="<u4")
-    assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in zip(one.start, one.length, one.ids_crc32, strict=True))
-    assert one.length.sum() == len(ids) and packing.pack(empty(spark), vocabulary).count() == 0
+    # every document: its pieces, put together, are its ids
+    texts = collections.Counter((r["doc_id"], r["text"] or "") for r in df.collect())
+    made = collections.Counter()
+    for (doc_id, text), copies in texts.items():
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
+        own = got[got.doc_id.isna() if doc_id is None else got.doc_id == doc_id]
+        own = own[own.doc_tokens == len(ids)]
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in zip(own.start, own.length, own.ids_crc32, strict=True))
+        assert own.length.sum() == copies * len(ids) and (own.start == 0).sum() == copies
+        made[doc_id] += copies * len(ids)
+    assert sum(made.values()) == got.length.sum() and packing.pack(empty(spark), vocabulary).count() == 0
 
 
 # 7 Preferences ----------------------------------------------------------------------------------------
