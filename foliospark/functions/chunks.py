@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark.functions.lexicon import MAX_CHARS
-from foliospark.functions.text import WS, normalize_whitespace, trim_ws
+from foliospark.functions.text import WS, let, normalize_whitespace, trim_ws
 
 _NONE = "array<string>"
 
@@ -16,16 +16,17 @@ def sections(text: Column) -> Column:
     parts = F.split(text, r"(?m)(?=^## )", -1)
 
     def section(part: Column) -> Column:
-        body = normalize_whitespace(part)
         first = F.split(part, "\n", 2)[0]
         heading = F.when(part.startswith("## "), F.nullif(trim_ws(F.substring(first, F.lit(4), F.length(first))), F.lit("")))
-        lang = F.nullif(F.lower(F.regexp_extract(body, r"(?i)```([a-z0-9_+-]+)\n", 1)), F.lit(""))
-        return F.struct(body.alias("text"), heading.alias("heading_path"), lang.alias("code_lang"))
+        lang = lambda body: F.nullif(F.lower(F.regexp_extract(body, r"(?i)```([a-z0-9_+-]+)\n", 1)), F.lit(""))
+        made = lambda body: F.struct(body.alias("text"), heading.alias("heading_path"), lang(body).alias("code_lang"))
+        return let(normalize_whitespace(part), made)
 
     made = F.filter(F.transform(parts, section), lambda s: s["text"] != "")
     none = F.lit(None).cast("string")
-    alone = F.array(F.struct(normalize_whitespace(text).alias("text"), none.alias("heading_path"), none.alias("code_lang")))
-    return F.when(F.size(made) > 0, made).otherwise(alone)
+    # only a text without visible characters has no section
+    alone = F.array(F.struct(F.lit("").alias("text"), none.alias("heading_path"), none.alias("code_lang")))
+    return F.when(text.isNotNull(), let(made, lambda all_: F.when(F.size(all_) > 0, all_).otherwise(alone)))
 
 
 def pack_paragraphs(text: Column, max_chars: int = MAX_CHARS) -> Column:

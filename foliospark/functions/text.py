@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.lexicon import BLOCK_TAGS, INJECTION, INJECTION_TAG, STOPWORDS
+from foliospark.functions.lexicon import BLOCK_TAGS, INJECTION, INJECTION_WORDS, STOPWORDS
 
 #: White space of the web platform; the same class in Java's and RE2's syntax.
 WS = r"[\t\n\x0B\f\r \x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -16,6 +18,11 @@ _ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&q
 NOISE = tuple(rf"(?is)<{t}\b.*?</{t}>" for t in ("nav", "aside", "footer"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once for a row, however often ``then`` and its lambdas use it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def sub(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by))
 
@@ -122,37 +129,45 @@ def strip_noise_lines(text: Column, patterns: tuple[str, ...]) -> Column:
     return normalize_whitespace(F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n"))
 
 
-def injection_pattern(name: str, left: str = LEFT, right: str = RIGHT) -> str:
-    """Regular expression of an injection family; limits differ by dialect."""
-    (head, gap, tail), *more = INJECTION[name]
-    out = rf"(?i){left}(?:{head}){right}[^\n]{{0,{gap}}}{left}(?:{tail}){right}"
-    for gap, tail in more:
-        out += rf"[^\n]{{0,{gap}}}{left}(?:{tail}){right}"
-    return out
+def injection_pattern(name: str) -> str:
+    """The family's pattern with ASCII word limits, which Java's \\b doesn't have."""
+    parts = INJECTION[name].split(r"\b")
+    out = parts[0]
+    for k, part in enumerate(parts[1:]):
+        out += (LEFT if k % 2 == 0 else RIGHT) + part  # limits come in pairs around a group
+    return f"(?i){out}"
 
 
-def injection_patterns(left: str = LEFT, right: str = RIGHT) -> dict[str, str]:
-    tag = INJECTION_TAG if left == r"\b" else INJECTION_TAG.replace(r"\b", right)
-    return {name: injection_pattern(name, left, right) for name in INJECTION} | {"prompt_tag": f"(?i){tag}"}
+def injection_signals(text: Column) -> Column:
+    """Ids of the injection families found in a text; patterns run only where a word they begin with occurs."""
 
+    def found(low: Column) -> Column:
+        hits = []
+        for name in INJECTION:
+            some = F.lit(False)
+            for w in INJECTION_WORDS[name]:
+                some = some | F.contains(low, F.lit(w))
+            hits.append(F.when(some & text.rlike(injection_pattern(name)), F.lit(name)))
+        return F.array_compact(F.array(*hits))
 
-def injection_signals(text: Column) -> Column:
-    """Ids of the injection families found in a text."""
-    found = [F.when(text.rlike(p), F.lit(name)) for name, p in injection_patterns().items()]
-    return F.array_compact(F.array(*found))
+    return let(F.lower(text), found)
 
 
 def sanitize_lines(text: Column) -> Column:
     """Struct of the text without short lines that carry signals, their number and their signals."""
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), injection_signals(x).alias("found")))
     bad = lambda s: (F.size(s["found"]) > 0) & (F.length(trim_ws(s["line"])) <= 300)
-    kept = F.transform(F.filter(lines, lambda s: ~bad(s)), lambda s: s["line"])
-    gone = F.filter(lines, bad)
-    return F.struct(
-        normalize_whitespace(F.array_join(kept, "\n")).alias("text"),
-        F.size(gone).cast("long").alias("removed_lines"),
-        F.array_distinct(F.flatten(F.transform(gone, lambda s: s["found"]))).alias("findings"),
-    )
+
+    def split(all_: Column) -> Column:
+        kept = F.transform(F.filter(all_, lambda s: ~bad(s)), lambda s: s["line"])
+        gone = F.filter(all_, bad)
+        return F.struct(
+            normalize_whitespace(F.array_join(kept, "\n")).alias("text"),
+            F.size(gone).cast("long").alias("removed_lines"),
+            F.array_distinct(F.flatten(F.transform(gone, lambda s: s["found"]))).alias("findings"),
+        )
+
+    return let(lines, split)
 
 
 def token_count(text: Column) -> Column:

@@ -134,29 +134,50 @@ def has_word(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def changed_sections(previous: Column, next_: Column) -> Column:
-    """Sections of the next text that are new or differ after normalising; of equal earlier headings the last counts."""
-    before = F.transform(C.diff_sections(previous), lambda s: F.struct(s["heading"].alias("h"), T.diff_form(s["body"]).alias("b")))
+    """Sections of the next text that are new or differ after normalising; of equal earlier headings the last counts.
 
-    def is_changed(s: Column) -> Column:
-        same = F.filter(before, lambda p: p["h"] == s["heading"])
-        last = F.element_at(F.when(F.size(same) > 0, same).otherwise(F.lit(None)), -1)["b"]
-        return last.isNull() | (last == "") | (last != T.diff_form(s["body"]))
+    Either text is cut and normalised once.
+    """
+    form = lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body"), T.diff_form(s["body"]).alias("form"))
+
+    def changed(before: Column) -> Column:
+        def is_changed(s: Column) -> Column:
+            same = F.filter(before, lambda p: p["heading"] == s["heading"])
+            return F.coalesce(F.try_element_at(same, F.lit(-1))["form"], F.lit("")) != s["form"]
+
+        return F.filter(F.transform(C.diff_sections(next_), form), is_changed)
+
+    return T.let(F.transform(C.diff_sections(previous), form), changed)
+
+
+def introduced(previous: Column, changed: Column) -> Column:
+    """Whether changed sections bring in wording of breaking changes and of deprecations that the previous text lacked."""
 
-    return F.filter(C.diff_sections(next_), is_changed)
+    def flags(both: Column) -> Column:
+        before, now = both["before"], both["now"]
+        return F.struct(
+            (has_word(now, BREAKING) & ~has_word(before, BREAKING)).alias("breaking"),
+            (has_word(now, DEPRECATION) & ~has_word(before, DEPRECATION)).alias("deprecated"),
+        )
+
+    joined = T.diff_form(F.array_join(F.transform(changed, lambda s: s["body"]), "\n"))
+    return T.let(F.struct(T.diff_form(previous).alias("before"), joined.alias("now")), flags)
 
 
 def change_events(pairs: DataFrame, keep: list[str]) -> DataFrame:
     """Events of changed documents; ``pairs`` has previous, next and title. Equal texts give none."""
     moved = pairs.where(~F.col("previous").eqNullSafe(F.col("next")))
-    staged = moved.select(*keep, "title", "previous", changed_sections(F.col("previous"), F.col("next")).alias("changed"))
-    joined = T.diff_form(F.array_join(F.transform("changed", lambda s: s["body"]), "\n"))
-    before = T.diff_form(F.col("previous"))
-    judged = staged.withColumns(
-        {
-            "breaking": ~has_word(before, BREAKING) & has_word(joined, BREAKING),
-            "deprecated": ~has_word(before, DEPRECATION) & has_word(joined, DEPRECATION),
-        }
-    )
+
+    def judge(changed: Column) -> Column:
+        return F.struct(
+            introduced(F.col("previous"), changed).alias("flags"),
+            F.slice(F.transform(changed, lambda s: s["heading"]), 1, 10).alias("headings"),
+            F.size(changed).alias("n"),
+        )
+
+    seen = T.let(changed_sections(F.col("previous"), F.col("next")), judge)
+    judged = moved.select(*keep, "title", F.explode(F.array(seen)).alias("j"))  # exploded, so that it is computed once
+    judged = judged.withColumns({"breaking": F.col("j.flags.breaking"), "deprecated": F.col("j.flags.deprecated")})
     none = F.lit(None).cast("string")
 
     def event(kind: str, severity: str, detector: str, family: Column, lead: str) -> Column:
@@ -170,19 +191,13 @@ def change_events(pairs: DataFrame, keep: list[str]) -> DataFrame:
         F.when(F.col("deprecated"), event("deprecation", "medium", "section_diff_keyword", F.lit("deprecation"), "New deprecation wording in ")),
         F.when(~F.col("breaking") & ~F.col("deprecated"), event("updated", "low", "section_diff", none, "Updated: ")),
     )
-    headings = F.slice(F.transform("changed", lambda s: s["heading"]), 1, 10)
     return judged.select(
         *keep, F.explode(F.array_compact(found)).alias("e"),
-        headings.alias("changed_sections"), F.size("changed").alias("changed_section_count"),
+        F.col("j.headings").alias("changed_sections"), F.col("j.n").alias("changed_section_count"),
     ).select(*keep, "e.*", "changed_sections", F.col("changed_section_count").cast("long").alias("changed_section_count"))
 
 
 def primary_event(previous: Column, next_: Column) -> Column:
     """Type of the first event of a change."""
-    joined = T.diff_form(F.array_join(F.transform(changed_sections(previous, next_), lambda s: s["body"]), "\n"))
-    before = T.diff_form(previous)
-    return (
-        F.when(~has_word(before, BREAKING) & has_word(joined, BREAKING), "breaking_change")
-        .when(~has_word(before, DEPRECATION) & has_word(joined, DEPRECATION), "deprecation")
-        .otherwise("updated")
-    )
+    kind = lambda f: F.when(f["breaking"], "breaking_change").when(f["deprecated"], "deprecation").otherwise("updated")
+    return T.let(T.let(changed_sections(previous, next_), lambda changed: introduced(previous, changed)), kind)

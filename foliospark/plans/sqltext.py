@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from foliospark.functions.lexicon import BLOCK_TAGS, STOPWORDS
-from foliospark.functions.text import WS, injection_patterns
+from foliospark.functions.text import WS
 
 
 def q(value: str) -> str:
@@ -75,10 +75,18 @@ def canonical(x: str) -> str:
     )
 
 
+#: Written by hand, so that a wrong constant of the engine shows.
+_FAMILIES = {
+    "override_instructions": r"(?i)\b(ignore|disregard|override|bypass)\b.{0,50}\b(instruction|system|developer|prompt|policy|guardrail|previous)\b",
+    "reveal_sensitive": r"(?i)\b(reveal|exfiltrate|leak|print|expose)\b.{0,50}\b(secret|token|api key|credential|system prompt|hidden prompt)\b",
+    "do_not_follow_policy": r"(?i)\b(do not|don't)\b.{0,40}\b(follow|obey)\b.{0,40}\b(instruction|policy|guardrail|system|developer)\b",
+    "tool_abuse": r"(?i)\b(call|run|execute)\b.{0,30}\b(tool|function)\b.{0,60}\b(delete|transfer|override|bypass)\b",
+    "prompt_tag_payload": r"(?i)<\s*(system|assistant|developer)\s*>|BEGIN\s+(SYSTEM|PROMPT)",
+}
+
+
 def signals(x: str) -> str:
-    parts = ", ".join(
-        f"CASE WHEN regexp_matches({x}, {q(p)}) THEN {q(name)} END" for name, p in injection_patterns(r"\b", r"\b").items()
-    )
+    parts = ", ".join(f"CASE WHEN regexp_matches({x}, {q(p)}) THEN {q(name)} END" for name, p in _FAMILIES.items())
     return f"list_filter([{parts}], lambda s: s IS NOT NULL)"
 
 
