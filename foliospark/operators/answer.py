@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
@@ -80,30 +79,39 @@ def pick_lines(lines: DataFrame, budget: int = 900, most: int = 4) -> DataFrame:
     return grouped.select("query_id", F.array_join(F.aggregate("items", start, step, lambda a: a["chosen"]), "\n").alias("answer"))
 
 
+def concise_answers(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """An answer for every query: chosen lines, else the first result's text, else empty."""
+    picked = pick_lines(answer_lines(results))
+    first = results.where("rank = 1").select("query_id", F.col("text").alias("first"))
+    both = queries.select("query_id").join(picked, "query_id", "left").join(first, "query_id", "left")
+    return both.select("query_id", F.coalesce(F.nullif("answer", F.lit("")), "first", F.lit("")).alias("answer"))
+
+
 def verdicts(queries: DataFrame, results: DataFrame, as_of: Column, blocked: DataFrame | None = None) -> DataFrame:
-    """Status, age, conflict and confidence of every query.
+    """Status, age, conflict and confidence of every query, from one grouping of its few results.
 
     ``blocked`` lists queries (query_id) whose tenant has no permitted source.
     """
-    risky = F.size(T.injection_signals(F.col("text"))) > 0
-    seen = results.withColumn("risky", risky)
-    any_safe = F.min(F.col("risky").cast("int")).over(W.partitionBy("query_id")) == 0
-    used = seen.withColumn("any_safe", any_safe).where(~F.col("risky") | ~F.col("any_safe"))
-    age = F.greatest(
+    minutes_old = F.greatest(
         F.lit(0),
         F.round((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("last_changed_at").cast("timestamp"))) / 6e7),
     ).cast("long")
-    ordered = used.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
-    per_query = ordered.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("citations"),
-        F.max(age).alias("age"),
-        F.count_distinct("source_id").alias("sources"),
-        F.max(F.when(F.col("n") == 1, F.col("score"))).alias("first"),
-        F.max(F.when(F.col("n") == 2, F.col("score"))).alias("second"),
-        F.max("risky").alias("unsafe"),
+    risky = F.size(T.injection_signals(F.col("text"))) > 0
+    seen = results.select(
+        "query_id", F.struct("rank", "score", "source_id", minutes_old.alias("age"), risky.alias("risky")).alias("r")
     )
-    flags = seen.groupBy("query_id").agg(F.max("risky").alias("any_risky"))
-    all_ = queries.select("query_id").join(per_query, "query_id", "left").join(flags, "query_id", "left")
+    grouped = seen.groupBy("query_id").agg(F.sort_array(F.collect_list("r")).alias("all"))  # at most top_k each
+    safe = F.filter("all", lambda r: ~r["risky"])
+    used = grouped.select("query_id", "all", F.when(F.size(safe) > 0, safe).otherwise(F.col("all")).alias("used"))
+    score = lambda k: F.get("used", k)["score"]
+    per_query = used.select(
+        "query_id", F.size("used").alias("citations"),
+        F.array_max(F.transform("used", lambda r: r["age"])).alias("age"),
+        F.size(F.array_distinct(F.transform("used", lambda r: r["source_id"]))).alias("sources"),
+        score(0).alias("first"), score(1).alias("second"),
+        F.get("used", 0)["risky"].alias("unsafe"), F.exists("all", lambda r: r["risky"]).alias("any_risky"),
+    )
+    all_ = queries.select("query_id").join(per_query, "query_id", "left")
     if blocked is not None:
         all_ = all_.join(blocked.select("query_id", F.lit(True).alias("denied")), "query_id", "left")
     else:

@@ -21,11 +21,10 @@ from foliospark.functions.lexicon import (
     REFERENCE,
     SCHEMA_TYPES,
     SEARCH_SYNONYMS,
-    STOPWORDS,
 )
 
-
-MAX_SHORT = 10_000
+#: Queries that are tried against all texts at once; more come in further blocks.
+BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -95,11 +94,30 @@ def with_terms(queries: DataFrame) -> DataFrame:
 
 
 def chunk_tokens(chunks: DataFrame) -> DataFrame:
-    """Adds the distinct full-text tokens of text and title; an index build would store them."""
+    """Adds the distinct runs of letters, digits and _ of text and title; an index build would store them."""
     if "tokens" in chunks.columns:
         return chunks
     runs = F.regexp_extract_all(F.lower(F.concat_ws(" ", "text", "title")), F.lit("[a-z0-9_]{2,}"), F.lit(0))
-    return chunks.withColumn("tokens", F.array_except(runs, F.array(*map(F.lit, STOPWORDS))))
+    return chunks.withColumn("tokens", F.array_distinct(runs))
+
+
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """(token, gram): every token with its runs of two and three characters, for equi-joins on parts of tokens."""
+    tokens = chunk_tokens(chunks).select(F.explode("tokens").alias("token")).distinct()
+    at = F.sequence(F.lit(1), F.length("token") - 1)
+    pairs = F.transform(at, lambda k: F.substring(F.col("token"), k, F.lit(2)))
+    threes = F.filter(F.transform(at, lambda k: F.substring(F.col("token"), k, F.lit(3))), lambda g: F.length(g) == 3)
+    return tokens.select("token", F.explode(F.array_distinct(F.concat(pairs, threes))).alias("gram"))
+
+
+def probe(query: Column) -> Column:
+    """The longest run of letters and digits in a query, the first of equal ones; null if none has two characters.
+
+    It holds no wildcard, so a text that contains the query has a token that contains the run.
+    """
+    runs = F.regexp_extract_all(F.lower(query), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda r: F.length(r)))
+    return F.get(F.filter(runs, lambda r: F.length(r) == longest), 0)
 
 
 def _like(column: str) -> Column:
@@ -111,57 +129,70 @@ def _ilike_score() -> Column:
     return F.when(_like("text"), 0.8).otherwise(0.0) + F.when(_like("title"), 0.2).otherwise(0.0)
 
 
-def matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def _tried_on_all(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Substring scores of queries without a probe: a stated set of queries against all rows, ``BLOCK`` at a time."""
+    order = W.orderBy("query_id")
+    placed = queries.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    blocks = placed.groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
+    like = lambda c, q: F.ilike(F.col(c), F.concat(F.lit("%"), q["query"], F.lit("%")))
+    hit = F.filter("asked", lambda q: like("text", q) | like("title", q))
+    found = chunks.join(blocks).select("chunk_id", "text", "title", F.explode(hit).alias("q"))
+    return found.select(F.col("q.query_id").alias("query_id"), "chunk_id", "text", "title", F.col("q.query").alias("query"))
+
+
+def matches(queries: DataFrame, chunks: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Pairs of query and chunk that match at all: query_id, chunk_id, ilike_score, fts_score.
 
-    A chunk matches by one term of the query: an equi-join of exploded tokens
-    with the small query side, summed to hit counts, without text.  It also
-    matches if text or title hold the whole query as a substring.  With three
-    terms or more all inner ones are then tokens of the chunk, so only pairs
-    with that many hits are looked at; shorter queries are tried one by one,
-    which needs their table broadcast: at most ``MAX_SHORT`` of them are taken
-    at once.
+    A chunk matches by one term of the query, or if text or title hold the
+    whole query as a substring, in which % and _ are wildcards.  Both are found
+    by one equi-join of exploded tokens with the small query side: the terms,
+    and the tokens of the vocabulary (``words``) that contain the query's
+    longest run, whose texts are then looked at.  No text is read for other
+    pairs, and none is shuffled.
 
     The full-text score is the best of all terms (if each occurs), all expanded
     terms (likewise) and the share of terms that occur.
     """
-    q = with_terms(queries).select("query_id", "query", "terms", "expanded")
-    c = chunks.select("chunk_id", "text", "title")
-    own = chunk_tokens(chunks).select("chunk_id", F.explode("tokens").alias("token"))
-    asked = q.select(
-        "query_id", F.size("terms").alias("n"), F.size("expanded").alias("n_expanded"), "terms", F.explode("expanded").alias("token")
-    ).withColumn("own", F.array_contains("terms", F.col("token")).cast("int")).drop("terms")
+    q = with_terms(queries).select("query_id", "query", "terms", "expanded", probe(F.col("query")).alias("probe"))
+    indexed = chunk_tokens(chunks)
+    words = vocabulary(indexed) if words is None else words
+    own = indexed.select("chunk_id", F.explode("tokens").alias("token"))
+    one, none = F.lit(1), F.lit(0)
+    terms = q.select("query_id", "terms", F.explode("expanded").alias("token"))
+    terms = terms.select("query_id", "token", F.array_contains("terms", F.col("token")).cast("int").alias("own"), one.alias("exp"), none.alias("part"))
+    probes = q.where("probe is not null").select("query_id", "probe", F.substring("probe", 1, 3).alias("gram"))
+    parts = words.join(probes, "gram").where(F.contains("token", F.col("probe")))
+    parts = parts.select("query_id", "token", none.alias("own"), none.alias("exp"), one.alias("part"))
+    asked = terms.union(parts).groupBy("query_id", "token").agg(*(F.max(c).alias(c) for c in ("own", "exp", "part")))
     hits = own.join(asked, "token").groupBy("query_id", "chunk_id").agg(
-        F.sum("own").alias("hits"), F.count(F.lit(1)).alias("hits_expanded"),
-        F.max("n").alias("n"), F.max("n_expanded").alias("n_expanded"),
-    )
-    hits = hits.where("hits > 0")
+        F.sum("own").alias("hits"), F.sum("exp").alias("hits_expanded"), F.max("part").alias("part")
+    )
+    hits = hits.where("hits > 0 or part > 0").join(q.select("query_id", F.size("terms").alias("n"), F.size("expanded").alias("n_expanded")), "query_id")
     whole = (F.col("hits") == F.col("n")) | (F.col("hits_expanded") == F.col("n_expanded"))
-    scored = hits.withColumn("fts_score", F.when(whole, 1.0).otherwise(F.col("hits") / F.col("n")))
-    short = q.where(F.size("terms") < 3).select("query_id", "query")
-    if len(short.select("query_id").head(MAX_SHORT + 1)) > MAX_SHORT:
-        raise ValueError(f"more than {MAX_SHORT} queries of less than three terms: ask in blocks")
-    likely = hits.where("n >= 3 and hits >= n - 2").select("query_id", "chunk_id").join(q.select("query_id", "query"), "query_id")
-    found = likely.join(c, "chunk_id").select("query_id", "chunk_id", _ilike_score().alias("ilike_score"))
-    wide = c.join(F.broadcast(short), _like("text") | _like("title")).select("query_id", "chunk_id", _ilike_score().alias("ilike_score"))
-    substring = found.where("ilike_score > 0").union(wide)
-    both = scored.select("query_id", "chunk_id", "fts_score").join(substring, ["query_id", "chunk_id"], "full")
-    return both.select(
-        "query_id", "chunk_id",
-        F.coalesce("ilike_score", F.lit(0.0)).alias("ilike_score"), F.coalesce("fts_score", F.lit(0.0)).alias("fts_score"),
-    )
+    fts = F.when(F.col("hits") == 0, 0.0).when(whole, 1.0).otherwise(F.col("hits") / F.greatest("n", one))
+    scored = hits.select("query_id", "chunk_id", "part", fts.alias("fts_score"))
+    # only pairs that may hold the query meet its text
+    likely = scored.where("part > 0").join(q.select("query_id", "query"), "query_id")
+    likely = likely.join(chunks.select("chunk_id", "text", "title"), "chunk_id")
+    likely = likely.select("query_id", "chunk_id", "fts_score", _ilike_score().alias("ilike_score"))
+    rest = scored.where("part = 0").select("query_id", "chunk_id", "fts_score", F.lit(0.0).alias("ilike_score"))
+    by_token = likely.where("ilike_score > 0 or fts_score > 0").union(rest)
+    wide = _tried_on_all(q.where("probe is null").select("query_id", "query"), chunks.select("chunk_id", "text", "title"))
+    wide = wide.select("query_id", "chunk_id", F.lit(0.0).alias("fts_score"), _ilike_score().alias("ilike_score"))
+    both = by_token.union(wide).groupBy("query_id", "chunk_id").agg(F.max("ilike_score").alias("ilike_score"), F.max("fts_score").alias("fts_score"))
+    return both
 
 
 def candidate_limit(top_k: int) -> int:
     return max(5 * top_k, 25)
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
+def candidates(queries: DataFrame, chunks: DataFrame, top_k: int, words: DataFrame | None = None) -> DataFrame:
     """The best matches by substring score, full-text score and last change; ties by chunk id.
 
     Ranking sees narrow rows; terms and text are joined to what is left.
     """
-    dated = matches(queries, chunks).join(chunks.select("chunk_id", "last_changed_at"), "chunk_id")
+    dated = matches(queries, chunks, words).join(chunks.select("chunk_id", "last_changed_at"), "chunk_id")
     order = W.partitionBy("query_id").orderBy(
         F.desc("ilike_score"), F.desc("fts_score"), F.desc("last_changed_at"), "chunk_id"
     )
@@ -190,10 +221,11 @@ def parse_embedding(stored: Column) -> Column:
     return inner
 
 
-def attach_semantic(found: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame) -> DataFrame:
-    """semantic_score of candidates only: vectors (chunk_id, vector) are joined after the limit."""
+def attach_semantic(found: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, model: str | None = None) -> DataFrame:
+    """semantic_score of candidates only: vectors (chunk_id, model, vector) of one model are joined after the limit."""
     q = query_vectors.select("query_id", normalized(F.col("vector")).alias("qv"))
-    c = chunk_vectors.select("chunk_id", normalized(F.col("vector")).alias("cv"))
+    c = chunk_vectors if model is None else chunk_vectors.where(F.col("model") == model)
+    c = c.select("chunk_id", normalized(F.col("vector")).alias("cv"))
     both = found.join(q, "query_id", "left").join(c, "chunk_id", "left")
     return both.withColumn("semantic_score", cosine(F.col("qv"), F.col("cv"))).drop("qv", "cv")
 
@@ -264,7 +296,7 @@ def rerank(found: DataFrame, top_k: int, as_of: Column) -> DataFrame:
 
 def search(
     queries: DataFrame, chunks: DataFrame, top_k: int, as_of: Column, filters: Filters | None = None,
-    query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, model: str | None = None,
 ) -> DataFrame:
     """Top results of each query; without vectors every candidate has the same semantic score."""
     if not 1 <= top_k <= 50:
@@ -272,7 +304,7 @@ def search(
     pool = apply_filters(chunks, filters) if filters else chunks
     found = candidates(queries, pool, top_k)
     if query_vectors is not None and chunk_vectors is not None:
-        found = attach_semantic(found, query_vectors, chunk_vectors)
+        found = attach_semantic(found, query_vectors, chunk_vectors, model)
     else:
         found = found.withColumn("semantic_score", F.lit(0.0))
     return rerank(found, top_k, as_of)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,10 +47,15 @@ def local(cores: int = 8, partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary one is set only where it is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``; a temporary one is set only in local mode, where it is unset (tests).
+
+    On a cluster executors don't see the driver's temporary folders, so a session without one is refused.
+    """
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="folio-shared-")
         sc.setCheckpointDir(place)
     return place
@@ -68,6 +74,18 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and latest change of a table's files: differs once the table was written anew."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(target, True)
+    size = last = 0
+    while files.hasNext():
+        status = files.next()
+        size, last = size + status.getLen(), max(last, status.getModificationTime())
+    return size, last
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 

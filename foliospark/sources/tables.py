@@ -176,13 +176,55 @@ PAIRS_SQL = (
 )
 
 
+ACTING = "configure webhook "
+
+
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query for each benchmark item: its second to fifth word; its source filter by item."""
+    """A request for each benchmark item, in one of five forms by item.
+
+    The whole text; four of its words; those after words that ask for an action; those with % and with _
+    as wildcards.  People's requests are short, so most are four words.
+    """
     b = read(spark, sf_dir, "benchmark")
-    words = F.slice(F.split("text", " ", -1), 2, 4)
-    return b.select(F.col("item_id").alias("query_id"), F.lower(F.array_join(words, " ")).alias("query"))
+    k = F.pmod("item_id", F.lit(10))
+    four = F.array_join(F.slice(F.split("text", " ", -1), 2, 4), " ")
+    form = (
+        F.when(k == 9, F.col("text")).when(k.isin(1, 4), F.concat(F.lit(ACTING), four))
+        .when(k == 2, F.replace(four, F.lit(" "), F.lit("%"))).when(k == 6, F.replace(four, F.lit("e"), F.lit("_")))
+        .otherwise(four)
+    )
+    return b.select(F.col("item_id").alias("query_id"), F.lower(form).alias("query"))
 
 
-QUERIES_SQL = """q AS (
-  SELECT item_id AS query_id, lower(array_to_string(string_split(text, ' ')[2:5], ' ')) AS query FROM benchmark
+_FOUR = "array_to_string(string_split(text, ' ')[2:5], ' ')"
+QUERIES_SQL = f"""q AS (
+  SELECT item_id AS query_id, lower(CASE WHEN item_id % 10 = 9 THEN text WHEN item_id % 10 IN (1, 4) THEN '{ACTING}' || {_FOUR}
+    WHEN item_id % 10 = 2 THEN replace({_FOUR}, ' ', '%') WHEN item_id % 10 = 6 THEN replace({_FOUR}, 'e', '_')
+    ELSE {_FOUR} END) AS query
+  FROM benchmark
 )"""
+
+MODEL = "hashed-64"
+
+
+def chunk_vectors(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """chunk_embedding: two chunks of five have no vector of the current model."""
+    kind = F.pmod(F.col("doc_id") + F.col("chunk_index"), F.lit(5))
+    rows = chunks.where(kind > 0).select(
+        "chunk_id", F.when(kind == 1, "older").otherwise(MODEL).alias("model"),
+        F.pmod(F.col("doc_id") * 31 + F.col("chunk_index") * 7, F.lit(500)).alias("vec_id"),
+    )
+    v = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    return rows.join(v, "vec_id").select("chunk_id", "model", "vector")
+
+
+def query_vectors(queries: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Vectors of requests; every seventh has none."""
+    q = queries.where("query_id % 7 <> 0").select("query_id", F.pmod(F.col("query_id") * 13, F.lit(500)).alias("vec_id"))
+    return q.join(embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), "vec_id").select("query_id", "vector")
+
+
+VECTORS_SQL = """unit AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)),
+qvec AS (SELECT query_id, v AS qv FROM q JOIN unit ON unit.vec_id = (query_id * 13) % 500 WHERE query_id % 7 <> 0),
+cvec AS (SELECT chunk_id, v AS cv FROM chunk JOIN unit ON unit.vec_id = (doc_id * 31 + chunk_index * 7) % 500 WHERE (doc_id + chunk_index) % 5 NOT IN (0, 1))"""

@@ -275,3 +275,28 @@ def test_policies_and_embeddings(spark):
     v = {r["chunk_id"]: r["vector"] for r in M.chunk_embeddings(df, M.hashing_provider(), "hash").collect()}
     dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
     assert set(v) == {"1", "2", "3"} and abs(dot("1", "1") - 1) < 1e-9 and dot("1", "2") > dot("1", "3")
+
+
+# Matches --------------------------------------------------------------------------------------------
+
+
+def test_matches_same_as_ilike(spark):
+    """Whole-query substrings with wildcards, parts of tokens, stopwords, blanks and other scripts."""
+    texts = ["one two xx three yy four zz five", "ONE twxx thyy fozz five", "configured widgets", "this island is", "é 日本 x", "a_b abc a%c", "", "q"]
+    queries = ["one tw%xx th%yy fo%zz five", "one two", "igur", "is", "s is", "é", "%", "a_c", "日本", "_bc", "q", "o", "ee yy fou", ""]
+    c = spark.createDataFrame([(str(i), t, f"title {i}") for i, t in enumerate(texts)], "chunk_id string, text string, title string")
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    got = {(r["query_id"], r["chunk_id"]): r["ilike_score"] for r in R.matches(q, c).where("ilike_score > 0").collect()}
+    like = lambda col: F.expr(f"{col} ilike concat('%', query, '%')")
+    score = F.when(like("text"), 0.8).otherwise(0.0) + F.when(like("title"), 0.2).otherwise(0.0)
+    want = {(r["query_id"], r["chunk_id"]): r["s"] for r in q.crossJoin(c).withColumn("s", score).where("s > 0").collect()}
+    assert got == want and got[0, "0"] == 0.8
+
+
+def test_vectors_of_one_model_after_the_limit(spark):
+    found = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a")], "query_id int, chunk_id string")
+    stored = spark.createDataFrame([("a", "m", "[3, 4]"), ("a", "old", "[1, 0]"), ("b", "m", '"[0, 2]"'), ("c", "m", "[1]")], "chunk_id string, model string, json string")
+    vectors = stored.select("chunk_id", "model", R.parse_embedding(F.col("json")).alias("vector"))
+    asked = spark.createDataFrame([(1, [0.0, 5.0])], "query_id int, vector array<double>")
+    out = {(r["query_id"], r["chunk_id"]): round(r["semantic_score"], 9) for r in R.attach_semantic(found, asked, vectors, "m").collect()}
+    assert out == {(1, "a"): 0.8, (1, "b"): 1.0, (1, "c"): 0.0, (2, "a"): 0.0}
