@@ -11,21 +11,22 @@ from foliospark.session import materialize
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, policy: CrawlPolicy) -> DataFrame:
-    """Accepted pages with the depth and place at which the crawl takes them.
+    """Accepted pages (base, url, depth, place): the depth and place at which the crawl of a base takes them.
 
-    ``pages`` has canonical_url, links and accepted; ``seeds`` has url and base.
+    ``pages`` has canonical_url, links and accepted; ``seeds`` has url, n (their order) and base.
     A round for each depth: the frontier joins pages, its links are filtered by
-    scope, and known URLs are left out by an anti-join.  The number of rounds
-    is the policy's depth; the page cap applies to accepted pages, in queue order.
+    scope, and known URLs are left out by an anti-join.  Queue order is a
+    page's path of places, one number for each depth, so no round ranks all its
+    rows.  The number of rounds is the policy's depth; the page cap applies to
+    a base's accepted pages, in queue order.
     """
     pages = pages.select("canonical_url", "links", "accepted")
-    base = seeds.select(canonical_url(F.col("base")).alias("base")).distinct()
-    frontier = seeds.select(canonical_url(F.col("url")).alias("url"), F.col("n").cast("long").alias("n"))
-    frontier = frontier.groupBy("url").agg(F.min("n").alias("n"))
+    seeds = seeds.select(canonical_url(F.col("base")).alias("base"), canonical_url(F.col("url")).alias("url"), F.col("n").cast("long"))
+    frontier = seeds.groupBy("base", "url").agg(F.array(F.min("n")).alias("path"))
     found = None
     for depth in range(policy.max_depth + 1):
         here = frontier.join(pages, F.col("url") == F.col("canonical_url")).select(
-            "url", F.lit(depth).alias("depth"), "n", "links", "accepted"
+            "base", "url", F.lit(depth).alias("depth"), "path", "links", "accepted"
         )
         # each round is written, as the next one reads it three times
         here = materialize(here, "crawl")
@@ -33,11 +34,11 @@ def crawl(pages: DataFrame, seeds: DataFrame, policy: CrawlPolicy) -> DataFrame:
         if depth == policy.max_depth:
             break
         # a page's links follow those of pages before it: order by (page, place in page)
-        step = here.where("accepted").select("n", F.posexplode("links").alias("pos", "url")).join(F.broadcast(base))
+        step = here.where("accepted").select("base", "path", F.posexplode("links").alias("pos", "url"))
         step = step.where(in_scope(F.col("url"), F.col("base"), policy))
-        first = step.groupBy("url").agg(F.min(F.struct("n", "pos")).alias("m"))
-        fresh = first.join(found.select("url"), "url", "left_anti")
-        order = W.orderBy("m.n", "m.pos", "url")
-        frontier = materialize(fresh.select("url", F.row_number().over(order).cast("long").alias("n")), "frontier")
-    placed = found.where("accepted").withColumn("place", F.row_number().over(W.orderBy("depth", "n", "url")))
-    return placed.where(F.col("place") <= policy.max_pages).select("url", "depth", F.col("place").cast("long").alias("place"))
+        path = F.concat("path", F.array(F.col("pos").cast("long")))
+        first = step.groupBy("base", "url").agg(F.min(path).alias("path"))
+        frontier = materialize(first.join(found.select("base", "url"), ["base", "url"], "left_anti"), "frontier")
+    order = W.partitionBy("base").orderBy("depth", "path", "url")
+    placed = found.where("accepted").withColumn("place", F.row_number().over(order).cast("long"))
+    return placed.where(F.col("place") <= policy.max_pages).select("base", "url", "depth", "place")

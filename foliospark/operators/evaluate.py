@@ -61,8 +61,13 @@ def doc_gate(changes: DataFrame, decisions: DataFrame) -> DataFrame:
     return risky.join(F.broadcast(held)).withColumn("passed", (F.col("risky") == 0) & (F.col("blocked") == 0))
 
 
+# Wording of log lines about processes killed for memory.
+KILLS = r"(?i)oom|out of memory|Process appears to have been OOM killed|node killed"
+
+
 def memory_kills(lines: DataFrame, as_of: Column, minutes: int = 30, least: int = 1) -> DataFrame:
-    """Counts log lines (value) of killed processes in the last minutes."""
-    at = F.try_to_timestamp(F.regexp_extract("value", r"(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)", 1), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    hit = F.col("value").rlike(r"(?i)out of memory|oom[- _]?kill|killed process") & (at >= as_of - F.make_dt_interval(mins=F.lit(minutes)))
-    return lines.agg(F.count_if(hit).alias("kills")).withColumn("alarm", F.col("kills") >= least)
+    """Counts log lines (value) of killed processes in the last minutes; a line without a time counts as recent."""
+    stamp = F.regexp_extract("value", r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(?:\.\d+)?Z\s", 1)
+    at = F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz")
+    recent = at.isNull() | (at >= as_of - F.make_dt_interval(mins=F.lit(minutes)))
+    return lines.agg(F.count_if(F.col("value").rlike(KILLS) & recent).alias("kills")).withColumn("alarm", F.col("kills") >= least)

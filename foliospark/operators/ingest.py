@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions import chunks as C
@@ -13,10 +14,27 @@ from foliospark.functions.lexicon import BREAKING, DEPRECATION
 MIN_PAGE_CHARS = 120
 
 
-def page_documents(pages: DataFrame, noise_lines: tuple[str, ...] = ()) -> DataFrame:
-    """Pages (source_id, url, status, html, ...) to documents; short or failed pages have accepted = false."""
+def without_noise(text: Column, source: Column, policies: dict[str, U.CrawlPolicy]) -> Column:
+    """A page's text without the noise lines that its source's policy names; other sources keep theirs."""
+
+    def cut(whole: Column) -> Column:
+        out = whole
+        for name, p in policies.items():
+            out = F.when(source == name, T.strip_noise_lines(whole, p.noise_lines)).otherwise(out)
+        return out
+
+    return T.let(text, cut)
+
+
+def page_documents(pages: DataFrame, policies: dict[str, U.CrawlPolicy] | None = None) -> DataFrame:
+    """Pages (source_id, url, status, html, ...) to documents; short or failed pages have accepted = false.
+
+    ``policies`` by source id name the noise lines to leave out.
+    """
     main = T.main_html(F.col("html"))
-    text = T.strip_noise_lines(T.html_to_text(T.strip_html_noise(main)), noise_lines)
+    text = T.html_to_text(T.strip_html_noise(main))
+    if policies:
+        text = without_noise(text, F.col("source_id"), policies)
     staged = pages.select(
         "*",
         U.canonical_url(F.col("url")).alias("canonical_url"),
@@ -114,16 +132,80 @@ def replace_chunks(chunks: DataFrame, documents: DataFrame, at: Column) -> DataF
 
 def touch_not_modified(documents: DataFrame, not_modified: DataFrame, at: Column) -> DataFrame:
     """Marks documents (all versions of source and URL) whose fetch said they didn't change."""
+    given = lambda c: F.col(c) if c in not_modified.columns else F.lit(None)
     seen = not_modified.select(
-        "source_id", "canonical_url", F.coalesce("status", F.lit(304)).alias("__status"), F.col("etag").alias("__etag")
-    )
+        "source_id", "canonical_url", F.coalesce(given("status"), F.lit(304)).alias("__status"),
+        given("etag").cast("string").alias("__etag"), given("last_modified").cast("string").alias("__modified"),
+        F.coalesce(given("checked_at").cast("timestamp_ntz"), at).alias("__checked"),
+    )
     both = documents.join(seen, ["source_id", "canonical_url"], "left")
     hit = F.col("__status").isNotNull()
     new = {
-        "last_seen_at": at, "fetch_last_checked_at": at, "fetch_last_status": F.col("__status"),
-        "fetch_etag": F.coalesce("__etag", "fetch_etag"),
+        "last_seen_at": at, "fetch_last_checked_at": F.col("__checked"), "fetch_last_status": F.col("__status"),
+        "fetch_etag": F.coalesce("__etag", F.col("fetch_etag")) if "fetch_etag" in documents.columns else None,
+        "fetch_last_modified": F.coalesce("__modified", F.col("fetch_last_modified")) if "fetch_last_modified" in documents.columns else None,
     }
-    return both.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in documents.columns])
+    return both.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if new.get(c) is not None else c for c in documents.columns])
+
+
+def run_events(merged: DataFrame, keep: list[str]) -> DataFrame:
+    """Events of a run: document_added for inserts, change events for updates.
+
+    ``merged`` has action, title, previous (text) and next (text).
+    """
+    added = merged.where("action = 'insert'").select(
+        *keep, F.lit("document_added").alias("event_type"), F.lit("low").alias("severity"), F.lit("new_document").alias("detector"),
+        F.lit(None).cast("string").alias("keyword_family"), F.concat(F.lit("Added: "), "title").alias("summary"),
+        F.array().cast("array<string>").alias("changed_sections"), F.lit(0).cast("long").alias("changed_section_count"),
+    )
+    return added.union(change_events(merged.where("action = 'update'"), keep))
+
+
+def run_counters(merged: DataFrame, events: DataFrame) -> DataFrame:
+    """Documents inserted and updated, chunks written and events made by source; ``merged`` has action and n_chunks."""
+    done = merged.groupBy("source_id").agg(
+        F.count_if(F.col("action") == "insert").alias("inserted_documents"),
+        F.count_if(F.col("action") == "update").alias("updated_documents"),
+        F.sum(F.when(F.col("action") != "touch", F.col("n_chunks")).otherwise(0)).cast("long").alias("inserted_chunks"),
+    )
+    made = events.groupBy("source_id").agg(F.count(F.lit(1)).alias("change_events"))
+    return done.join(made, "source_id", "left").withColumn("change_events", F.coalesce("change_events", F.lit(0)))
+
+
+def run_line(counters: DataFrame) -> DataFrame:
+    """A line for the log of each source's run; ``counters`` has run_status too."""
+    part = lambda name, c: F.concat(F.lit(f"{name}="), F.col(c).cast("string"))
+    line = F.concat_ws(
+        " ", part("source", "source_id"), part("docs_inserted", "inserted_documents"), part("docs_updated", "updated_documents"),
+        part("chunks_inserted", "inserted_chunks"), part("change_events", "change_events"), part("status", "run_status"),
+    )
+    return counters.select("source_id", line.alias("line"))
+
+
+def _first(rows: DataFrame, order: list, value: str, most: int, by: str, name: str) -> DataFrame:
+    """The first ``most`` values of each source, joined; ranks are cut before rows meet."""
+    ranked = rows.withColumn("__n", F.row_number().over(W.partitionBy("source_id").orderBy(*order))).where(F.col("__n") <= most)
+    grouped = ranked.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("__n", F.col(value).alias("v")))).alias("__v"))
+    return grouped.select("source_id", F.array_join(F.transform("__v", lambda x: x["v"]), by).alias(name))
+
+
+def run_snapshots(pages: DataFrame, request: Column) -> DataFrame:
+    """A snapshot row for each source's run: first eight URLs fetched, first ten errors, status.
+
+    ``pages`` has source_id, url, status, accepted, removed_lines, error and place (order of fetches).
+    """
+    urls = _first(pages.where("error is null"), ["place", "url"], "url", 8, ",", "raw_blob_ref")
+    errors = _first(pages.where("error is not null"), ["place", "url"], "error", 10, " | ", "error")
+    both = run_status(pages).join(urls, "source_id", "left").join(errors, "source_id", "left")
+    ref = F.coalesce("raw_blob_ref", F.concat(F.lit("queue://source-sync/"), request))
+    return both.select("source_id", ref.alias("raw_blob_ref"), F.col("run_status").alias("status"), "error")
+
+
+def document_text(chunks: DataFrame) -> DataFrame:
+    """A document's text as its chunks give it, joined by blank lines."""
+    parts = F.sort_array(F.collect_list(F.struct("chunk_index", "text")))
+    grouped = chunks.groupBy("document_id").agg(parts.alias("p"))
+    return grouped.select("document_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def has_word(text: Column, words: tuple[str, ...]) -> Column:

@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions.lexicon import CHANGE_SENSITIVE, HIGH_STAKES, HOW_TO, SEVERITY
@@ -44,6 +45,13 @@ class TenantPolicy:
             return False
         return self.allow_sources is None or source in self.allow_sources
 
+    def sync_column(self, source: Column) -> Column:
+        """:meth:`may_sync` for a column of sources."""
+        if self.sync_allowed_sources is not None:
+            return source.isin(*self.sync_allowed_sources)
+        ok = F.lit(True) if self.allow_sources is None else source.isin(*self.allow_sources)
+        return ok & ~source.isin(*self.deny_sources)
+
 
 def parse_policies(raw: str | None) -> dict[str, TenantPolicy]:
     """Policies by tenant from JSON; malformed text gives none; trust is clamped to 0..1."""
@@ -150,13 +158,68 @@ def select_alerts(events: DataFrame, least: str = "medium", include_updated: boo
     return out.orderBy(severity_weight(F.col("severity")).desc(), F.desc("detected_at"), "id").limit(max(1, most))
 
 
-def alert_message(alerts: DataFrame, source: str) -> DataFrame:
-    """One text for a batch of alerts, or no row."""
-    line = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "event_type", F.lit(": "), "title", F.lit(" <"), "url", F.lit(">"))
-    item = F.struct((-severity_weight(F.col("severity"))).alias("w"), F.negate(F.unix_micros(F.col("detected_at").cast("timestamp"))).alias("t"), "id", line.alias("line"))
-    grouped = alerts.agg(F.sort_array(F.collect_list(item)).alias("items")).where(F.size("items") > 0)
-    head = F.concat(F.lit(f"{source}: "), F.size("items").cast("string"), F.lit(" changes\n"))
-    return grouped.select(F.concat(head, F.array_join(F.transform("items", lambda x: x["line"]), "\n")).alias("message"))
+def alert_actions(kind: Column, severity: Column) -> Column:
+    """The shorter list that goes with an alert."""
+    is_ = lambda k: kind == k
+    other = ~kind.isin("breaking_change", "deprecation", "updated")
+    return F.array_compact(
+        F.array(
+            F.when(is_("breaking_change"), F.lit("Plan a migration; hold the deploy until checks pass.")),
+            F.when(is_("breaking_change"), F.lit("Test the paths concerned.")),
+            F.when(is_("deprecation"), F.lit("File a ticket with an owner.")),
+            F.when(is_("deprecation"), F.lit("Find uses and plan their replacement.")),
+            F.when(is_("updated"), F.lit("Read the update against runbooks.")),
+            F.when(other, F.lit("Read the new page and extend internal notes.")),
+            F.when(severity.isin("high", "critical"), F.lit("Tell the platform owner before merging.")),
+        )
+    )
+
+
+def alert_messages(events: DataFrame, least: str = "medium", include_updated: bool = False, most: int = 8) -> DataFrame:
+    """One text for each source with events worth an alert, the severest and newest ``most`` of them.
+
+    Ranks are cut before rows meet, so a source with many events sends few.
+    """
+    out = events.where(severity_weight(F.col("severity")) >= SEVERITY[least])
+    if not include_updated:
+        out = out.where(~F.col("event_type").isin("updated", "document_added"))
+    order = W.partitionBy("source_id").orderBy(severity_weight(F.col("severity")).desc(), F.desc("detected_at"), "id")
+    top = out.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(1, most))
+    action = F.get(alert_actions(F.col("event_type"), F.col("severity")), 0)
+    block = F.concat(
+        F.lit("- ["), F.upper("severity"), F.lit("] "), "event_type", F.lit(": "), "title", F.lit("\n  "), "summary",
+        F.lit("\n  Next: "), action, F.lit("\n  "), "url",
+    )
+    grouped = top.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("n", block.alias("block")))).alias("b"))
+    head = F.concat("source_id", F.lit(": "), F.size("b").cast("string"), F.when(F.size("b") == 1, " change").otherwise(" changes"))
+    message = F.concat(head, F.lit("\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n"))
+    return grouped.select("source_id", F.size("b").cast("long").alias("events"), message.alias("message"))
+
+
+def sources_by_id(freshness: DataFrame) -> DataFrame:
+    return freshness.orderBy("source_id")
+
+
+def resolve_policies(tenants: DataFrame, policies: dict[str, TenantPolicy]) -> DataFrame:
+    """Policy of each tenant (tenant_id): its own, else the default one, else none; at most as many rows as policies are sent."""
+    spark = tenants.sparkSession
+    rows = [(k, p.allow_sources, list(p.deny_sources), p.min_trust_score, p.sync_allowed_sources) for k, p in policies.items()]
+    kinds = "name string, allow array<string>, deny array<string>, min_trust double, sync array<string>"
+    known = spark.createDataFrame([(a, b and list(b), c, d, e and list(e)) for a, b, c, d, e in rows], kinds)
+    names = F.array(*map(F.lit, policies)) if policies else F.array().cast("array<string>")
+    pick = F.when(F.array_contains(names, F.col("tenant_id")), F.col("tenant_id")).otherwise("default")
+    asked = tenants.select("tenant_id", pick.alias("name"))
+    return asked.join(known, "name", "left").select("tenant_id", "allow", "deny", "min_trust", "sync")
+
+
+def telemetry_rows(requests: DataFrame, at: Column) -> DataFrame:
+    """Rows of the telemetry table: latency from 0 and rounded half up, metadata never null."""
+    fields = F.concat_ws("|", "tenant_id", "endpoint", "request_id")
+    return requests.select(
+        F.concat(F.lit("tel_"), F.sha2(fields, 256)).alias("id"), "tenant_id", "endpoint", "auth_subject",
+        F.greatest(F.lit(0), F.floor(F.col("latency_ms") + 0.5)).cast("long").alias("latency_ms"), "http_status", "decision_status",
+        F.coalesce("metadata", F.lit("{}")).alias("metadata"), at.alias("created_at"),
+    )
 
 
 def telemetry_summary(events: DataFrame, as_of: Column, days: int = 7) -> DataFrame:

@@ -78,6 +78,76 @@ def signature_valid(secret: str, timestamp: int, body: str, signature: str, now:
     return hmac.compare_digest(f"v0={want}", signature)
 
 
+def signature_ok(secret: str, timestamp: Column, body: Column, signature: Column, now: Column, skew: int = 300) -> Column:
+    """The same verdict for a table of requests, by JVM functions: two nested digests with the padded key."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in key).hex()))
+    message = F.encode(F.concat(F.lit("v0:"), timestamp.cast("string"), F.lit(":"), body), "utf-8")
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message), 256))
+    want = F.concat(F.lit("v0="), F.sha2(F.concat(pad(0x5C), inner), 256))
+    return F.coalesce((F.abs(now - timestamp) <= skew) & (want == signature), F.lit(False))
+
+
+def defaulted(requests: DataFrame) -> DataFrame:
+    """Requests with the values that unset fields stand for."""
+    given = {"top_k": 10, "max_citations": 5, "limit": 20, "days": 7}
+    values = {c: F.coalesce(c, F.lit(v)) for c, v in given.items() if c in requests.columns}
+    if "style" in requests.columns:
+        values["style"] = F.coalesce("style", F.lit("concise"))
+    return requests.withColumns(values)
+
+
+def violations(requests: DataFrame) -> DataFrame:
+    """Adds the names of the fields whose values a request may not have; an empty list for a valid one."""
+    within = lambda c, low, high: F.when(~F.coalesce(F.col(c).between(low, high), F.lit(False)), F.lit(c))
+    length = lambda c, n: F.when(F.length(F.coalesce(c, F.lit(""))) < n, F.lit(c))
+    rules = {
+        "query": length("query", 2), "question": length("question", 3), "top_k": within("top_k", 1, 50),
+        "max_citations": within("max_citations", 1, 10), "limit": within("limit", 1, 100), "days": within("days", 1, 90),
+        "event_type": F.when(~F.col("event_type").isin(*EVENT_TYPES), F.lit("event_type")),
+        "severity": F.when(~F.col("severity").isin(*SEVERITIES), F.lit("severity")),
+        "style": F.when(~F.col("style").isin("concise", "detailed"), F.lit("style")),
+    }
+    found = [rule for c, rule in rules.items() if c in requests.columns]
+    return requests.withColumn("violations", F.array_compact(F.array(*found)))
+
+
+def iso(at: Column) -> Column:
+    """A time as the wire has it, in UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def wire(rows: DataFrame) -> DataFrame:
+    """Rows as they are sent: empty texts as null, times in ISO form, decimals as numbers."""
+    out = []
+    for f in rows.schema.fields:
+        c, kind = F.col(f.name), f.dataType.typeName()
+        if kind == "string":
+            c = F.nullif(c, F.lit(""))
+        elif kind.startswith("timestamp"):
+            c = iso(c)
+        elif kind.startswith("decimal"):
+            c = c.cast("double")
+        out.append(c.alias(f.name))
+    return rows.select(*out)
+
+
+def commands(text: Column) -> Column:
+    """Struct of verb and argument for a column of chat commands; the same grammar as :func:`command`."""
+    blank = r"[\s\x1c-\x1f\x85\p{Z}]"
+    line = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(rf"^{blank}+|{blank}+\z"), F.lit(""))
+    low = F.lower(line)
+    rest = F.nullif(F.regexp_replace(F.substring(line, F.lit(8), F.length(line)), F.lit(rf"^{blank}+|{blank}+\z"), F.lit("")), F.lit(""))
+    second = F.nullif(F.regexp_extract(line, rf"^[^\s]+{blank}+([^\s]+)", 1), F.lit(""))
+    none = F.lit(None).cast("string")
+    is_help, is_search, is_changes = (low == "") | (low == "help"), low.startswith("search "), low.startswith("changes")
+    return F.struct(
+        F.when(is_help, "help").when(is_search, "search").when(is_changes, "changes").otherwise("answer").alias("verb"),
+        F.when(is_help, none).when(is_search, rest).when(is_changes, second).otherwise(line).alias("argument"),
+    )
+
+
 def command(text: str) -> tuple[str, str | None]:
     """A chat command as (verb, argument): help, search, changes, or a question."""
     line = text.strip()

@@ -11,7 +11,7 @@ from foliospark.operators import evaluate as E
 from foliospark.operators import ingest as I
 from foliospark.operators import ops as O
 from foliospark.plans import sqltext as S
-from foliospark.session import ship
+from foliospark.session import materialize, ship
 from foliospark.sources import tables as D
 from foliospark.streaming import sync
 
@@ -112,7 +112,15 @@ def run_status(spark, sf_dir):
     return I.run_status(I.page_documents(_fetched(spark, sf_dir))).select("source_id", "documents", "errors", "run_status")
 
 
-@query()
+_SITE = "replace(html, '</article>', '<a href=\"/p/' || (2 * page_id + 1) || '\">more</a><a href=\"/p/' || (2 * page_id + 2) || '\">more</a></article>')"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT page_id, page_id % 11 <> 0 AND page_id % 13 <> 0 AS fetched, length({S.page_text(S.denoise(S.main_html(_SITE)))}) >= 120 AS long FROM pages),
+ good AS (SELECT page_id FROM p WHERE fetched AND long),
+ tree(page_id, depth) AS (SELECT page_id, 0 FROM good WHERE page_id = 1 UNION ALL
+  SELECT g.page_id, depth + 1 FROM tree t JOIN good g ON g.page_id IN (2 * t.page_id + 1, 2 * t.page_id + 2) WHERE depth < 4),
+ placed AS (SELECT *, row_number() OVER (ORDER BY depth, page_id) AS place FROM tree)
+SELECT 'https://site.example.org/p' AS base, 'https://site.example.org/p/' || page_id AS url, depth, place FROM placed WHERE place <= 40""")
 def crawl_frontier(spark, sf_dir):
     """Breadth-first crawl of a site made of the pages, each of which links to two more; see the tests for order and caps."""
     site = "https://site.example.org/p/"
@@ -121,7 +129,8 @@ def crawl_frontier(spark, sf_dir):
     html = F.replace("html", F.lit("</article>"), F.concat(child(1), child(2), F.lit("</article>")))
     url = F.concat(F.lit(site), F.col("page_id").cast("string"))
     fetched = p.select("source_id", url.alias("url"), "status", html.alias("html"))
-    pages = I.page_documents(fetched).select("canonical_url", "links", "accepted").persist()  # read once for each depth
+    pages = I.page_documents(fetched).select("canonical_url", "links", "accepted")
+    pages = materialize(pages, "pages")  # read once for each depth
     seeds = spark.createDataFrame([(f"{site}1", 0, "https://site.example.org/p")], "url string, n int, base string")
     return K.crawl(pages, seeds, U.CrawlPolicy("pages", max_pages=40, max_depth=4))
 
@@ -250,9 +259,13 @@ def request_state(spark, sf_dir):
     return sync.request_state(e.select(request.alias("request_id"), F.col("ts").alias("at"), status.alias("status")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT 'user_' || user_id AS key, event_id AS id, ts AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ w(key, id, t, n, opened, used, ok) AS (SELECT key, id, t, n, t, 1, true FROM e WHERE n = 1 UNION ALL
+  SELECT key, id, t, n, CASE WHEN over THEN t ELSE opened END, CASE WHEN over THEN 1 ELSE least(used + 1, 2) END, over OR used < 2
+  FROM (SELECT e.*, opened, used, e.t >= opened + INTERVAL 6 HOURS AS over FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1))
+SELECT key, id, t AS "at", ok AS allowed, CASE WHEN ok THEN 0 ELSE ceil(epoch_us(opened + INTERVAL 6 HOURS - t) / 1e6) END::BIGINT AS retry_after FROM w""")
 def rate_limit(spark, sf_dir):
-    """Windows that open at a key's first request; sequential, so checked against a plain loop in the tests."""
+    """Windows that open at a key's first request."""
     ship(spark)
     e = D.read(spark, sf_dir, "events")
     r = e.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("id"), F.col("ts").alias("at"))

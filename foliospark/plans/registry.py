@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from foliospark.plans import operations, retrieval, text
+from foliospark.plans import ingest, operations, retrieval, service, text
 
-QUERIES = {**text.QUERIES, **retrieval.QUERIES, **operations.QUERIES}
-SQL = {**text.SQL, **retrieval.SQL, **operations.SQL}
+_MODULES = (text, retrieval, operations, ingest, service)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

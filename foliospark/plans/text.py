@@ -156,12 +156,27 @@ def chunk_documents(spark, sf_dir):
     )
 
 
-@query()
+_SPLIT = "replace(replace(html, '<p><b>', '<h2>Part ' || page_id || '</h2><p>'), '.</p>', '.</p><p></p><br><br>')"
+_SLICES = "list_transform(range(0, ((length(p) + 1799) // 1800)::BIGINT), lambda i: [chr(1) || substr(p, (i * 1800 + 1)::BIGINT, 1800)])"
+
+
+@query(f"""WITH t AS (SELECT page_id, {S.page_text(S.denoise(S.main_html(_SPLIT)))} AS text FROM pages),
+ part AS (SELECT page_id, unnest(x) AS part, generate_subscripts(x, 1) AS s FROM (SELECT page_id, string_split(replace(chr(10) || text, chr(10) || '## ', chr(10) || chr(2) || '## '), chr(10) || chr(2)) AS x FROM t)),
+ sec AS (SELECT page_id, s, {S.normalize('part')} AS text, CASE WHEN starts_with(part, '## ') THEN nullif({S.trim_ws("substr(string_split(part, chr(10))[1], 4)")}, '') END AS heading_path FROM part),
+ para AS (SELECT *, list_filter(list_transform(regexp_split_to_array(text, '\\n\\n+'), lambda x: {S.trim_ws('x')}), lambda x: x <> '') AS ps FROM sec WHERE text <> ''),
+ unit AS (SELECT page_id, s, heading_path, text, flatten(list_transform(ps, lambda p: CASE WHEN length(p) > 1800 THEN {_SLICES} ELSE [[p]] END)) AS units FROM para),
+ packed AS (SELECT page_id, s, heading_path, CASE WHEN length(text) <= 1800 THEN [text] ELSE list_reduce(units, lambda a, b:
+   CASE WHEN starts_with(a[-1], chr(1)) OR starts_with(b[1], chr(1)) OR length(a[-1]) + 2 + length(b[1]) > 1800 THEN a || b
+   ELSE a[:-2] || [a[-1] || chr(10) || chr(10) || b[1]] END) END AS pieces FROM unit),
+ piece AS (SELECT page_id, s, heading_path, unnest(pieces) AS text, generate_subscripts(pieces, 1) AS n FROM packed)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY s, n) - 1)::INT AS chunk_index, heading_path, sha256(replace(text, chr(1), '')) AS text_sha256 FROM piece""")
 def chunk_pages(spark, sf_dir):
-    """Sections, fences and packing over page text; expected pieces are fixed in the tests."""
-    text = T.html_to_text(T.strip_html_noise(T.main_html(F.col("html"))))
+    """Sections, and packing of paragraphs, over the text of pages with headings and blank lines put in."""
+    html = F.replace("html", F.lit("<p><b>"), F.concat(F.lit("<h2>Part "), F.col("page_id").cast("string"), F.lit("</h2><p>")))
+    html = F.replace(html, F.lit(".</p>"), F.lit(".</p><p></p><br><br>"))
+    text = T.html_to_text(T.strip_html_noise(T.main_html(html)))
     p = _pages(spark, sf_dir).select("page_id", F.posexplode(C.chunks(text)).alias("chunk_index", "c"))
-    return p.select("page_id", "chunk_index", "c.*")
+    return p.select("page_id", "chunk_index", "c.heading_path", F.sha2("c.text", 256).alias("text_sha256"))
 
 
 @query(f"""WITH {D.CHUNKS_SQL} SELECT source_id, count(*) AS chunks, max(length(text))::BIGINT AS longest,

@@ -86,6 +86,11 @@ def version(spark: SparkSession, path: str) -> tuple[int, int]:
     return size, last
 
 
+def remember(spark: SparkSession, path: str) -> None:
+    """Has a folder removed when the driver's interpreter ends."""
+    atexit.register(_forget, spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
@@ -94,6 +99,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
+    remember(spark, path)
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)

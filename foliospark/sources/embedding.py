@@ -29,16 +29,19 @@ def hashing_provider(dimensions: int = 64) -> Provider:
         for text in texts:
             v = [0.0] * dimensions
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                v[h % dimensions] += 1.0 if h >> 63 else -1.0
+                h = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+                v[h % dimensions] += 1.0 if h >> 31 else -1.0
             out.append(v if any(v) else None)
         return out
 
     return embed
 
 
-def embed_column(text: Column, provider: Provider, batch: int = 128) -> Column:
-    """Unit vectors of texts trimmed to ``MAX_CHARS``; null where the provider gives none or fails."""
+def embed_column(text: Column, provider: Provider, batch: int = 128, failures=None) -> Column:
+    """Unit vectors of texts trimmed to ``MAX_CHARS``; null where the provider gives none or fails.
+
+    ``failures``: an accumulator that counts the texts of batches for which the provider raised.
+    """
 
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -51,13 +54,16 @@ def embed_column(text: Column, provider: Provider, batch: int = 128) -> Column:
                     got = provider(asked)
                 except Exception:  # a provider's failure leaves chunks without vectors; search then scores them 0
                     got = [None] * len(asked)
+                    if failures is not None:
+                        failures.add(len(asked))
                 out += [unit(v) for v in got]
             yield pd.Series(out, dtype=object)
 
     return run(text)
 
 
-def chunk_embeddings(chunks: DataFrame, provider: Provider, model: str) -> DataFrame:
+def chunk_embeddings(chunks: DataFrame, provider: Provider, model: str, failures=None) -> DataFrame:
     """chunk_id, model and vector of chunks that got one."""
-    made = chunks.select("chunk_id", F.lit(model).alias("model"), embed_column(F.col("text"), provider).alias("vector"))
+    vector = embed_column(F.col("text"), provider, failures=failures).alias("vector")
+    made = chunks.select("chunk_id", F.lit(model).alias("model"), vector)
     return made.where("vector is not null")
