@@ -219,8 +219,9 @@ def clean_documents(docs: DataFrame, min_share: float = MIN_SHARE, min_words: in
     )
     rows = _with_removed(rows, docs, **rule)
     rows = base_features(rows, ["n_removed_words", "removed", *own.values()])
-    # a row number that isn't deterministic keeps the filter from moving below the counts and computing them twice
-    rows = rows.withColumns({"__kept": _kept(min_share, min_words), "__row": F.monotonically_increasing_id()}).where("__kept")
+    # a row number that isn't deterministic keeps the filter from moving below the counts, which would be computed for each condition
+    rows = rows.withColumns({"__kept": _kept(min_share, min_words), "__row": F.monotonically_increasing_id()})
+    rows = rows.where("__kept and __row >= 0")
     text = F.col(own["text"])
     lines = F.filter(F.split(text, "\n", -1), lambda x: ~F.coalesce(F.array_contains("removed", line_hash(x)), F.lit(False)))
     cut = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(lines, "\n"))
