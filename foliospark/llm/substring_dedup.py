@@ -8,20 +8,22 @@ words (leftmost if equal), a function of the window's words alone.  Successive
 windows with the same minimizer form a region, about one for 14 words.
 
 1. Regions are counted by minimizer: 16 bytes a region are shuffled, combined
-   on the map side.  A minimizer seen once has no repeats.
-2. If all regions of a minimizer have one content, all of it repeats.
+on the map side.  A minimizer seen once has no repeats.
+2. If all regions of a minimizer have one content, all of it repeats; its
+automaton would be a single path that is walked as often as the content occurs.
 3. Otherwise the distinct contents are a reference shard: a suffix automaton is
-   built over their words, where each prefix adds its content's number of
-   occurrences; contents stream through it, and a window repeats if the state
-   of its matching statistic counts two occurrences or more.  A shard of over
-   ``SHARD`` contents goes window by window through a grouped count instead,
-   which is exact too and has no group in one task.
+built over their words, where each prefix adds its content's number of
+occurrences; contents stream through it, and a window repeats if the state of
+its matching statistic counts two occurrences or more.  A shard holds at most
+``SHARD`` contents.  A larger one is dealt anew by the 2, then 4, 8, ... smallest
+hashes of each window, still functions of the window's words alone, until its
+parts fit or all hashes are used; so no answer comes from a count of windows.
 4. Spans go back to their documents, whose kept words are hashed.
 
 An automaton of every shard sent to every document would cost documents times
 shards; keyed shards give the same spans.  :func:`reference_spans` is the plain
-form for a reference of proven size: its automata are broadcast and documents
-stream past them.
+form for a reference of proven size: its automata are broadcast shard by shard
+and documents stream past them.
 
 Cases: a null text has no words; repeated rows and copies repeat each other
 and lose every word under a window; documents shorter than a window keep all;
@@ -32,6 +34,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,69 +49,92 @@ from foliospark.session import ship
 
 WINDOW = 35
 ANCHOR = 8
-SHARD = 8192  # contents of some 60 words: an automaton of at most a few hundred MB
+SHARD = 1024  # contents of some 60 words: an automaton of about 100,000 states, some 10 MB
 MAX_REFERENCE_WORDS = 2_000_000
 
 
 class SuffixAutomaton:
-    """Suffix automaton of several word sequences; ``count`` holds occurrences once :meth:`close` ran."""
+    """Suffix automaton of several word sequences; ``count`` holds occurrences once :meth:`close` ran.
 
-    def __init__(self) -> None:
-        self.next: list[dict] = [{}]
-        self.link = [-1]
-        self.length = [0]
-        self.count = [0]
+    States are places in arrays.  Most have one way on, which is kept in them; a dictionary holds those that branch.
+    """
 
-    def _state(self, length: int, moves: dict, link: int) -> int:
-        self.next.append(moves)
+    def __init__(self) -> None:
+        self.ids: dict = {}
+        self.word, self.to = array("q", [-1]), array("q", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length, self.count = array("q", [-1]), array("q", [0]), array("q", [0])
+
+    def _state(self, length: int, like: int, link: int) -> int:
+        """A new state with the ways on of ``like``, or with none."""
+        new = len(self.link)
+        self.word.append(-1 if like < 0 else self.word[like])
+        self.to.append(-1 if like < 0 else self.to[like])
+        if like in self.more:
+            self.more[new] = dict(self.more[like])
         self.length.append(length)
         self.link.append(link)
         self.count.append(0)
-        return len(self.link) - 1
+        return new
+
+    def _next(self, state: int, word: int) -> int:
+        if self.word[state] == word:
+            return self.to[state]
+        others = self.more.get(state)
+        return -1 if others is None else others.get(word, -1)
+
+    def _lead(self, state: int, word: int, to: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.to[state] = word, to
+        else:
+            self.more.setdefault(state, {})[word] = to
 
-    def _split(self, p: int, q: int, word) -> int:
+    def _split(self, p: int, q: int, word: int) -> int:
         """The part of state q that holds strings reached from p."""
-        clone = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
+        clone = self._state(self.length[p] + 1, q, self.link[q])
         self.link[q] = clone
-        while p >= 0 and self.next[p].get(word) == q:
-            self.next[p][word] = clone
+        while p >= 0 and self._next(p, word) == q:
+            self._lead(p, word, clone)
             p = self.link[p]
         return clone
 
-    def _extend(self, last: int, word) -> int:
-        q = self.next[last].get(word, -1)
+    def _extend(self, last: int, word: int) -> int:
+        q = self._next(last, word)
         if q >= 0:  # another sequence has this prefix
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, word)
-        new = self._state(self.length[last] + 1, {}, 0)
+        new = self._state(self.length[last] + 1, -1, 0)
         p = last
-        while p >= 0 and word not in self.next[p]:
-            self.next[p][word] = new
+        while p >= 0 and self._next(p, word) < 0:
+            self._lead(p, word, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][word]
+            q = self._next(p, word)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, word)
         return new
 
     def add(self, words: list, weight: int = 1) -> None:
         last = 0
         for w in words:
-            last = self._extend(last, w)
+            last = self._extend(last, self.ids.setdefault(w, len(self.ids)))
             self.count[last] += weight
 
     def close(self) -> None:
         """Adds each state's occurrences to its suffixes, longest first."""
-        for s in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
+        for s in np.argsort(np.frombuffer(self.length, dtype=np.int64), kind="stable")[:0:-1].tolist():
             self.count[self.link[s]] += self.count[s]
 
     def statistics(self, words: list) -> Iterator[tuple[int, int]]:
         """For each place the longest match that ends there, and its state."""
         state = matched = 0
         for w in words:
-            while state and w not in self.next[state]:
+            k = self.ids.get(w, -2)
+            q = self._next(state, k)
+            while state and q < 0:
                 state = self.link[state]
                 matched = self.length[state]
-            if w in self.next[state]:
-                state = self.next[state][w]
+                q = self._next(state, k)
+            if q >= 0:
+                state = q
                 matched += 1
             yield matched, state
 
@@ -277,44 +303,76 @@ def _through_automata(window: int):
     return run
 
 
-def _each_window(window: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m, c, at, n, lo, hi = [], [], [], [], [], []
-            for a, b, w, k in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                words = w.split()
-                for i in range(len(words) - window + 1):
-                    d = hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest()
-                    m.append(a), c.append(b), at.append(i), n.append(k)
-                    lo.append(int.from_bytes(d[:8], "little", signed=True))
-                    hi.append(int.from_bytes(d[8:], "little", signed=True))
-            cols = [pa.array(x, pa.int64()) for x in (lo, hi, m, c, at, n)]
-            yield pa.RecordBatch.from_arrays(cols, ["lo", "hi", "m", "c", "i", "n"])
+def _keys_by_level(value: np.ndarray, at: np.ndarray, width: int, level: int) -> np.ndarray:
+    """For windows that begin at ``at``, a hash of the ``level`` smallest distinct ones of their ``width`` run hashes."""
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64)
+    each = np.sort(np.lib.stride_tricks.sliding_window_view(value, width)[at], axis=1)
+    new = np.ones(each.shape, dtype=bool)
+    new[:, 1:] = each[:, 1:] != each[:, :-1]
+    rank = np.cumsum(new, axis=1)
+    marked = mix(each + rank.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    return np.where(new & (rank <= level), marked, U64(0)).sum(axis=1, dtype=np.uint64)
 
-    return run
 
+def _dealt_anew(window: int, level: int, anchor: int = ANCHOR):
+    """Rows (m, c, w, n): the parts of each content whose windows have the same key of ``level`` hashes."""
 
-def _from_windows(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, c, at = (x.to_pylist() for x in batch.columns)
-            yield _found([(a, b, covered(sorted(i), window)) for a, b, i in zip(m, c, at, strict=True)])
+            texts = batch.column(2).cast(pa.string())
+            for a, b in slices(texts):
+                words = Words.of(texts.slice(a, b - a))
+                h, n = words.hashes, len(words.hashes)
+                last = words.first[1:][words.doc] - window
+                starts = np.flatnonzero(np.arange(n) <= last)
+                key = _keys_by_level(windows(h, anchor), starts, window - anchor + 1, level)
+                doc = words.doc[starts]
+                new = np.ones(len(starts), dtype=bool)
+                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                first = np.flatnonzero(new)
+                s = starts[first]
+                e = starts[np.append(first[1:], len(starts)) - 1] + window if len(first) else s
+                sums = np.zeros(n + 1, dtype=np.uint64)
+                np.cumsum(h * powers(_BASE, n), out=sums[1:])
+                content = mix((sums[e] - sums[s]) * powers(_INVERSE, n + 1)[s] + (e - s).astype(np.uint64))
+                raw = words.bytes.tobytes()
+                text = [b" ".join(raw[x:y].split()) for x, y in zip(words.starts[s].tolist(), words.ends[e - 1].tolist(), strict=True)]
+                of = pa.array(doc[first] + a)
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(key[first]), _signed(content), pa.array(text, pa.binary()), batch.column(3).take(of), batch.column(0).take(of),
+                     batch.column(1).take(of), pa.array((s - words.first[doc[first]]).astype(np.int32))],
+                    ["m", "c", "w", "n", "pm", "pc", "at"],
+                )
 
     return run
 
 
 def repeated_contents(contents: DataFrame, window: int, parts: int) -> DataFrame:
-    """Spans (m, c, spans) of repeated words in the contents (m, c, w, n) of each shard m."""
-    sizes = contents.groupBy("m").agg(F.count(F.lit(1)).alias("size"))
-    sized = contents.join(sizes, "m")
-    small = sized.where(F.col("size") <= SHARD).select("m", "c", "w", "n")
-    small = small.repartition(parts, "m").sortWithinPartitions("m", "c").mapInArrow(_through_automata(window), _FOUND)
-    each = sized.where(F.col("size") > SHARD).select("m", "c", "w", "n").mapInArrow(
-        _each_window(window), "lo long, hi long, m long, c long, i long, n long"
-    )
-    twice = each.groupBy("lo", "hi").agg(F.sum("n").alias("t")).where("t > 1").select("lo", "hi")
-    large = each.join(twice, ["lo", "hi"]).groupBy("m", "c").agg(F.collect_set("i").alias("i"))
-    return small.union(large.mapInArrow(_from_windows(window), _FOUND))
+    """Spans (m, c, spans) of repeated words in the contents (m, c, w, n) of each shard m; a content may have several rows."""
+    width = window - ANCHOR + 1
+    levels = [*(1 << k for k in range(1, width.bit_length()) if 1 << k < width), width]
+    rounds, pieces, parted = [], contents, []
+    for level in [*levels, None]:
+        # written, so that the shards of many contents are joined by size
+        large = materialize(pieces.groupBy("m").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SHARD).select("m"), "large")
+        last = level is None or large.isEmpty()
+        small = pieces if last else pieces.join(large, "m", "left_anti")
+        small = small.select("m", "c", "w", "n").repartition(parts, "m").sortWithinPartitions("m", "c")
+        rounds.append(small.mapInArrow(_through_automata(window), _FOUND))
+        if last:
+            break
+        big = pieces.join(large, "m", "left_semi").select("m", "c", "w", "n")
+        kinds = "m long, c long, w binary, n long, pm long, pc long, at int"
+        cut = materialize(big.mapInArrow(_dealt_anew(window, level), kinds), "parts")
+        parted.append(cut.select("m", "c", "pm", "pc", "at"))
+        pieces = materialize(cut.groupBy("m", "c").agg(F.min("w").alias("w"), F.sum("n").alias("n")), "contents")
+    found = rounds.pop()
+    while rounds:  # back to the contents that were parted
+        up = found.join(parted.pop(), ["m", "c"])
+        up = up.select(F.col("pm").alias("m"), F.col("pc").alias("c"), F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
+        found = rounds.pop().union(up)
+    return found
 
 
 def _digest(spans: list[int] | None, words: list[bytes]) -> tuple[int, int, str]:
@@ -395,7 +453,7 @@ def reference_spans(
     """
     texts = [t.encode().split() for t in reference if t]
     if sum(map(len, texts)) > MAX_REFERENCE_WORDS:
-        raise ValueError(f"a broadcast reference may hold {MAX_REFERENCE_WORDS} words")
+        raise ValueError(f"a broadcast reference may hold {MAX_REFERENCE_WORDS} words; key larger ones as remove_repeats does")
     ship(docs.sparkSession)
     shards, size = [], MAX_REFERENCE_WORDS // 10
     room = 0

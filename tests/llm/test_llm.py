@@ -354,7 +354,7 @@ def _repeats(texts, window):
         yield len(x), len(gone), sha([y for i, y in enumerate(x) if i not in gone])
 
 
-@pytest.mark.parametrize("shard", [8192, 1])
+@pytest.mark.parametrize("shard", [1024, 3, 1])
 def test_substring_dedup(spark, monkeypatch, shard):
     monkeypatch.setattr(sub, "SHARD", shard)
     periodic = ["x " * 200, "p q r " * 50 + "end", "p q r " * 40]
@@ -370,6 +370,18 @@ def test_substring_awkward(spark):
     assert got == collections.Counter(_repeats(texts, 35)) and sub.remove_repeats(empty(spark)).count() == 0
 
 
+def test_substring_dedup_of_a_hot_run(spark, monkeypatch):
+    """A run of words in hundreds of documents, in ever other company: its shard is dealt anew until its parts fit."""
+    monkeypatch.setattr(sub, "SHARD", 40)
+    rng = np.random.default_rng(1)
+    hot = [f"hot{i}" for i in range(20)]
+    word = lambda: f"w{rng.integers(400)}"
+    texts = [" ".join([word() for _ in range(30)] + hot + [word() for _ in range(30)]) for _ in range(300)]
+    texts += [" ".join(t.split()[k : k + 60]) for k, t in enumerate(texts[:40])]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sub.remove_repeats(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(_repeats(texts, 35)) and got[301][1] > 0
+
+
 def test_automaton():
     a = sub.SuffixAutomaton()
     texts = ["abcbc", "bcb", "zabc"]
