@@ -84,6 +84,13 @@ def merge_actions(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return joined.select(*[incoming[c] for c in incoming.columns], current["content_hash"].alias("previous_hash"), action.alias("action"))
 
 
+def plain_documents(chunks: DataFrame) -> DataFrame:
+    """(document_id, chunks_plain): whether none of a document's chunks has a heading or a language; blank ones count as none."""
+    blank = lambda c: F.coalesce(T.trim_ws(F.col(c)), F.lit("")) == ""
+    bare = blank("heading_path") & blank("code_lang")
+    return chunks.groupBy("document_id").agg((F.count(F.lit(1)) == F.count_if(bare)).alias("chunks_plain"))
+
+
 def merged_documents(current: DataFrame, incoming: DataFrame, at: Column) -> DataFrame:
     """Next version of the document table: new rows, updated rows and untouched ones, by a full outer join.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from foliospark.functions import chunks as C
 from foliospark.functions import urls as U
 from foliospark.functions.lexicon import CHANGE_SENSITIVE, HIGH_STAKES, HOW_TO
 from foliospark.operators import crawl as K
@@ -11,7 +14,7 @@ from foliospark.operators import evaluate as E
 from foliospark.operators import ingest as I
 from foliospark.operators import ops as O
 from foliospark.plans import sqltext as S
-from foliospark.session import materialize, ship
+from foliospark.session import materialize, remember, shared_dir, ship
 from foliospark.sources import tables as D
 from foliospark.streaming import sync
 
@@ -30,15 +33,21 @@ def query(sql: str | None = None):
 
 # Ingest -----------------------------------------------------------------------------------------------
 
-_CURRENT = "SELECT source_id, url AS canonical_url, NULL::VARCHAR AS version_tag, sha256(previous) AS content_hash, doc_id % 10 = 0 AS chunks_plain FROM pair WHERE doc_id % 7 <> 0"
+# Fixture: every seventh document isn't known yet; of the stored ones every tenth but five has a heading in its chunks.
+_CURRENT = """SELECT source_id, url AS canonical_url, NULL::VARCHAR AS version_tag, sha256(previous) AS content_hash, doc_id % 10 <> 5 AS chunks_plain FROM pair WHERE doc_id % 7 <> 0"""
 
 
 def _current(spark, sf_dir):
+    """Stored documents, with what their stored chunks say about headings and languages."""
     p = D.document_pairs(spark, sf_dir).where("doc_id % 7 <> 0")
-    return p.select(
-        "source_id", F.col("url").alias("canonical_url"), F.lit(None).cast("string").alias("version_tag"),
-        F.sha2("previous", 256).alias("content_hash"), (F.col("doc_id") % 10 == 0).alias("chunks_plain"),
-    )
+    stored = F.when(F.col("doc_id") % 10 == 5, F.concat(F.lit("## Intro\n"), "previous")).otherwise(F.col("previous"))
+    chunks = p.select(F.col("url").alias("document_id"), F.explode(C.chunks(stored)).alias("c")).select("document_id", "c.*")
+    plain = I.plain_documents(chunks)
+    rows = p.select(
+        "source_id", F.col("url").alias("canonical_url"), F.lit(None).cast("string").alias("version_tag"), F.sha2("previous", 256).alias("content_hash")
+    )
+    rows = rows.join(plain.withColumnRenamed("document_id", "canonical_url"), "canonical_url", "left")
+    return rows.withColumn("chunks_plain", F.coalesce("chunks_plain", F.lit(False)))
 
 
 def _incoming(spark, sf_dir):
@@ -259,6 +268,28 @@ def request_state(spark, sf_dir):
     return sync.request_state(e.select(request.alias("request_id"), F.col("ts").alias("at"), status.alias("status")))
 
 
+@query(f"""WITH {_STEPS}, l AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY t DESC, status DESC) AS n FROM steps),
+ k AS (SELECT request_id, count(DISTINCT status) AS seen FROM steps GROUP BY request_id)
+SELECT request_id, seen FROM k""")
+def request_stream(spark, sf_dir):
+    """Requests that arrive twice in a folder of files: a stream keeps each state of a request once."""
+    e = D.read(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "processing")
+    status = status.when(F.col("event_type") == "error", "failed").otherwise("completed")
+    request = F.concat(F.lit("req_"), F.floor(F.col("event_id") / 4).cast("string"))
+    # arrival in one hour, so that none is late for the watermark
+    rows = e.select(request.alias("request_id"), F.lit("src1").alias("source_id"), status.alias("status"),
+                    (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("event_id") % 3600)).alias("at"))
+    place = f"{shared_dir(spark)}/folio/requests-{uuid.uuid4().hex}"
+    remember(spark, place)
+    rows.union(rows).write.json(f"{place}/in")
+    out = f"{place}/out"
+    run = sync.start(sync.request_stream(spark, f"{place}/in"), lambda df, n: df.write.mode("append").parquet(out), f"{place}/checkpoint")
+    run.awaitTermination()
+    seen = spark.read.schema(sync.REQUEST).parquet(out)
+    return seen.groupBy("request_id").agg(F.count(F.lit(1)).alias("seen"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT 'user_' || user_id AS key, event_id AS id, ts AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
  w(key, id, t, n, opened, used, ok) AS (SELECT key, id, t, n, t, 1, true FROM e WHERE n = 1 UNION ALL
   SELECT key, id, t, n, CASE WHEN over THEN t ELSE opened END, CASE WHEN over THEN 1 ELSE least(used + 1, 2) END, over OR used < 2

@@ -8,10 +8,10 @@ from foliospark.functions import text as T
 from foliospark.functions.lexicon import INTENT_SYNONYMS, SEARCH_SYNONYMS
 from foliospark.operators import answer as A
 from foliospark.operators import evaluate as E
-from foliospark.operators import rank
+from foliospark.operators import fulltext as X
 from foliospark.operators import retrieve as R
 from foliospark.plans import sqltext as S
-from foliospark.session import materialize, ship, version
+from foliospark.session import materialize, version
 from foliospark.sources import tables as D
 
 QUERIES, SQL = {}, {}
@@ -47,6 +47,12 @@ def _index(spark, sf_dir):
     return _stored(spark, sf_dir)[0]
 
 
+@query(f"""WITH {D.CHUNKS_SQL} SELECT chunk_id, len(list_distinct(regexp_extract_all(lower(text || ' ' || title), '[a-z0-9_]{{2,}}'))) AS tokens FROM chunk""")
+def search_index(spark, sf_dir):
+    """The stored index: chunks, their tokens, vocabulary and vectors; later searches of a session read it."""
+    return _index(spark, sf_dir).select("chunk_id", F.size("tokens").cast("long").alias("tokens"))
+
+
 def _joined(c: str):
     return F.array_join(F.sort_array(F.array_distinct(c)), ",")
 
@@ -134,15 +140,62 @@ def fts_match_all(spark, sf_dir):
     return hits.where("k = n").select("query_id", "chunk_id")
 
 
-@query()
+# Letters with a digit behind them are their own stems, so that SQL can follow matching and rank.
+_NUMBERED = r"regexp_replace(lower({x}), '([a-z]+)', '\1' || '7', 'g')"
+
+
+@query(f"""WITH {D.CHUNKS_SQL}, {D.QUERIES_SQL},
+ nq AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array({_NUMBERED.format(x='query')}, '[^a-z0-9_]+'), lambda t: length(t) >= 2)) AS terms FROM q),
+ nc AS (SELECT chunk_id, regexp_extract_all({_NUMBERED.format(x="text || ' ' || title")}, '[a-z0-9_]+') AS words FROM chunk),
+ place AS (SELECT chunk_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM nc),
+ asked AS (SELECT query_id, len(terms) AS n, unnest(terms) AS w FROM nq),
+ hit AS (SELECT query_id, chunk_id, n, w, pos FROM asked JOIN place USING (w)),
+ single AS (SELECT query_id, chunk_id, count(*) / any_value(n) AS each_ FROM hit GROUP BY query_id, chunk_id),
+ full_ AS (SELECT query_id, chunk_id FROM hit GROUP BY query_id, chunk_id HAVING count(DISTINCT w) = any_value(n)),
+ h AS (SELECT hit.* FROM hit JOIN full_ USING (query_id, chunk_id)),
+ lasts AS (SELECT a.query_id, a.chunk_id, a.pos, a.n, b.w, max(b.pos) AS last FROM h a JOIN h b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos <= a.pos GROUP BY ALL),
+ begins AS (SELECT query_id, chunk_id, pos, n, min(last) AS begin FROM lasts GROUP BY ALL HAVING count(*) = n),
+ covers AS (SELECT query_id, chunk_id, begin, any_value(n) AS n, min(pos) AS pos FROM begins GROUP BY query_id, chunk_id, begin),
+ dense AS (SELECT query_id, chunk_id, sum(least(1.0, n / (pos - begin + 1))) AS d FROM covers GROUP BY query_id, chunk_id)
+SELECT query_id, chunk_id, round(greatest(each_, coalesce(d, 0)), 6)::DOUBLE AS fts_rank FROM single LEFT JOIN dense USING (query_id, chunk_id)""")
 def fts_rank(spark, sf_dir):
-    """Cover density of stemmed terms over candidates, best first; checked in the tests on hand-made texts."""
-    ship(spark)
-    chunks, words, _ = _stored(spark, sf_dir)
-    found = R.candidates(D.search_queries(spark, sf_dir), chunks, TOP_K, words)
-    both = F.concat_ws(" ", "text", "title")
-    score = F.greatest(rank.rank_column(both, F.col("terms")), rank.rank_column(both, F.col("terms"), any_of=True))
-    return found.select("query_id", "chunk_id", F.round(score, 6).alias("fts_rank"))
+    """Every full-text match with its rank, the largest of three."""
+    numbered = lambda c: F.regexp_replace(F.lower(c), F.lit("([a-z]+)"), F.lit("$17")).alias(c)
+    chunks = _index(spark, sf_dir).select("chunk_id", numbered("text"), numbered("title"))
+    queries = D.search_queries(spark, sf_dir).select("query_id", numbered("query"))
+    found = X.stem_search(queries, chunks, materialize(X.stem_index(chunks), "stems"))
+    return found.select("query_id", "chunk_id", F.round("fts_score", 6).alias("fts_rank"))
+
+
+@query()
+def fts_search(spark, sf_dir):
+    """Stemmed matches with rank, best thirty of each query; stems are fixed in the tests."""
+    from pyspark.sql import Window as W
+
+    chunks = _index(spark, sf_dir)
+    found = X.stem_search(D.search_queries(spark, sf_dir), chunks, materialize(X.stem_index(chunks), "stems"))
+    order = W.partitionBy("query_id").orderBy(F.desc("fts_score"), "chunk_id")
+    return found.withColumn("n", F.row_number().over(order)).where("n <= 30").select("query_id", "chunk_id", F.round("fts_score", 6).alias("fts_score"))
+
+
+_FOUR_CONTEXTS = " AND ".join(f"(text ILIKE '%{w}%' OR title ILIKE '%{w}%' OR url ILIKE '%{w}%')" for w in ("the", "and", "on", "example.org"))
+
+
+@query(f"WITH {D.CHUNKS_SQL} SELECT chunk_id FROM chunk WHERE {_FOUR_CONTEXTS}")
+def search_context(spark, sf_dir):
+    """The four context filters: region, plan, deployment type and cloud."""
+    f = R.Filters.of(region="the", plan="and", deployment_type="on", cloud="example.org")
+    return R.apply_filters(D.chunks(spark, sf_dir), f).select("chunk_id")
+
+
+@query(f"""WITH {D.CHUNKS_SQL}, {D.SOURCES_SQL} SELECT chunk.chunk_id, doc.doc_id, doc.url, src.source_id, src.trust_score::DOUBLE AS trust_score
+FROM (SELECT chunk_id, doc_id FROM chunk) chunk JOIN doc ON doc.doc_id = chunk.doc_id JOIN src ON src.source_id = doc.source_id""")
+def chunk_sources(spark, sf_dir):
+    """Chunk, document and source by their keys; two equi-joins of which the planner broadcasts what is small."""
+    c = _index(spark, sf_dir).select("chunk_id", "doc_id")
+    d = D.documents(spark, sf_dir).select("doc_id", "url", "source_id")
+    s = D.sources(spark, sf_dir).select("source_id", F.col("trust_score").cast("double").alias("trust_score"))
+    return c.join(d, "doc_id").join(s, "source_id").select("chunk_id", "doc_id", "url", "source_id", "trust_score")
 
 
 def _vectors(spark, sf_dir):

@@ -86,16 +86,26 @@ def version(spark: SparkSession, path: str) -> tuple[int, int]:
     return size, last
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def remember(spark: SparkSession, path: str) -> None:
-    """Has a folder removed when the driver's interpreter ends."""
-    atexit.register(_forget, spark, path)
+    """Has a folder removed by :func:`drop_tables`, or else when the driver's interpreter ends."""
+    _written.append((spark, path))
+
+
+@atexit.register
+def drop_tables() -> None:
+    """Removes all intermediate tables written so far; call it once the results that read them are stored."""
+    while _written:
+        _forget(*_written.pop())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
     Cuts the lineage: a lost executor costs a reread, not a recomputation.
-    The table lives until the driver's interpreter ends.
+    The table lives until :func:`drop_tables` or the end of the driver's interpreter.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"

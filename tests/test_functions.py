@@ -300,3 +300,64 @@ def test_vectors_of_one_model_after_the_limit(spark):
     asked = spark.createDataFrame([(1, [0.0, 5.0])], "query_id int, vector array<double>")
     out = {(r["query_id"], r["chunk_id"]): round(r["semantic_score"], 9) for r in R.attach_semantic(found, asked, vectors, "m").collect()}
     assert out == {(1, "a"): 0.8, (1, "b"): 1.0, (1, "c"): 0.0, (2, "a"): 0.0}
+
+
+def test_stem_search(spark):
+    """Stems match other forms of a word; ranks are those of the plain functions."""
+    from foliospark.operators import fulltext
+
+    texts = ["Configuring webhooks for payments", "configure it", "no such thing", "setup and enabling the tokens: configured twice, configures", ""]
+    c = spark.createDataFrame([(str(i), t, "title") for i, t in enumerate(texts)], "chunk_id string, text string, title string")
+    q = spark.createDataFrame([(1, "configure payment"), (2, "things"), (3, "the of")], "query_id int, query string")
+    got = {(r["query_id"], r["chunk_id"]): r["fts_score"] for r in fulltext.stem_search(q, c).collect()}
+    want = {}
+    asked = {r["query_id"]: r for r in R.with_terms(q).collect()}
+    for k, r in asked.items():
+        own, more = ({rank.stem(x) for x in r[f]} for f in ("terms", "expanded"))
+        for i, t in enumerate(texts):
+            places = rank.lexemes(t + " title")
+            if own & set(places):
+                each = sum(rank.cover_density({w}, places) for w in own) / len(own)
+                want[k, str(i)] = max(rank.cover_density(own, places), rank.cover_density(more, places), each)
+    assert got == want and set(got) == {(1, "0"), (1, "1"), (1, "3"), (2, "2")}
+
+
+def test_decide_same_as_plain_loop():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        times = np.sort(rng.integers(0, 60, size=40).astype(float))
+        start, count, want = None, 0, []
+        for t in times:
+            if start is None or t >= start + 10:
+                start, count = t, 0
+            ok = count < 3
+            count += ok
+            want.append((ok, 0 if ok else int(-(-(start + 10 - t) // 1))))
+        ok, retry, s, n = sync.decide(times, None, 0, 10, 3)
+        assert list(zip(ok.tolist(), retry.tolist(), strict=True)) == want and (s, n) == (start, count)
+        # the state carries over from part to part
+        a, b, s1, n1 = sync.decide(times[:17], None, 0, 10, 3)
+        c, d, s2, n2 = sync.decide(times[17:], s1, n1, 10, 3)
+        assert [*a, *c] == ok.tolist() and [*b, *d] == retry.tolist() and (s2, n2) == (start, count)
+
+
+def test_rate_limit_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [json.dumps({"key": f"k{i % 3}", "at": f"2024-01-01T00:00:{i:02d}Z"}) for i in range(45)]
+    (folder / "a.json").write_text("\n".join(lines))
+    rows = spark.readStream.schema("key string, at timestamp").json(str(folder))
+    out = []
+    q = sync.rate_limit_stream(rows, 20, 2).writeStream.outputMode("append").foreachBatch(lambda df, n: out.extend(df.collect()))
+    q = q.option("checkpointLocation", str(tmp_path / "cp")).start()
+    for _ in range(240):  # timeouts keep the query going, so it is stopped once all verdicts are there
+        if len(out) == 45:
+            break
+        q.awaitTermination(0.5)
+    q.stop()
+    batch = spark.read.schema("key string, at timestamp").json(str(folder))
+    batch = batch.select("key", F.lit(0).cast("long").alias("id"), F.col("at").cast("timestamp_ntz").alias("at"))
+    want = sorted((r["key"], r["allowed"], r["retry_after"]) for r in sync.rate_limit(batch, 20, 2).collect())
+    assert sorted((r["key"], r["allowed"], r["retry_after"]) for r in out) == want and len(out) == 45
