@@ -54,7 +54,7 @@ THRESHOLD = 80  # per cent
 M = 12
 R = 3
 MAX_BITS = 28
-BLOCK = 4096
+BLOCK = 512
 STEPS = 32
 _WITHIN = 2
 _ALONE = U64(0x51ED270B2A6B3C5D)
