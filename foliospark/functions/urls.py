@@ -27,8 +27,18 @@ class CrawlPolicy:
     user_agent: str = "foliospark"
 
 
+#: Characters that a path and a query may not hold as such.
+_IN_PATH, _IN_QUERY = r"[^!-~]|[\"<>^`{}]", r"[^!-~]|[\"<>']"
+
+
+def percent_encoded(text: Column, pattern: str) -> Column:
+    """A text whose characters that match the pattern are percent-encoded; others, % too, stay."""
+    one = lambda c: F.when(c.rlike(pattern), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)
+    return F.when(text.rlike(pattern), F.array_join(F.transform(F.split(text, "", -1), one), "")).otherwise(text)
+
+
 def canonical_url(url: Column) -> Column:
-    """Scheme and host lower-cased, default port, fragment, tracking keys and one trailing slash removed.
+    """Scheme and host lower-cased, default port, fragment, tracking keys and one trailing slash removed, path and query encoded.
 
     Null for what is not an absolute URL.
     """
@@ -36,10 +46,10 @@ def canonical_url(url: Column) -> Column:
     scheme = F.lower(part(1))
     host = F.lower(part(2))
     host = F.when(scheme == "http", sub(host, r":80$", "")).when(scheme == "https", sub(host, r":443$", "")).otherwise(host)
-    path = F.when(part(3) == "", F.lit("/")).otherwise(part(3))
+    path = F.when(part(3) == "", F.lit("/")).otherwise(percent_encoded(part(3), _IN_PATH))
     path = F.when((F.length(path) > 1) & path.endswith("/"), F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
     pairs = F.filter(F.split(F.substring(part(4), F.lit(2), F.length(part(4))), "&", -1), lambda p: (p != "") & ~p.rlike(f"^{_DROPPED}$"))
-    query = F.array_join(pairs, "&")
+    query = percent_encoded(F.array_join(pairs, "&"), _IN_QUERY)
     whole = F.concat(scheme, F.lit("://"), host, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
     return F.when(url.rlike(_URL), whole)
 

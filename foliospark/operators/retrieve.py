@@ -140,7 +140,9 @@ def _tried_on_all(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.select(F.col("q.query_id").alias("query_id"), "chunk_id", "text", "title", F.col("q.query").alias("query"))
 
 
-def matches(queries: DataFrame, chunks: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def matches(
+    queries: DataFrame, chunks: DataFrame, words: DataFrame | None = None, fulltext: DataFrame | None = None
+) -> DataFrame:
     """Pairs of query and chunk that match at all: query_id, chunk_id, ilike_score, fts_score.
 
     A chunk matches by one term of the query, or if text or title hold the
@@ -151,7 +153,8 @@ def matches(queries: DataFrame, chunks: DataFrame, words: DataFrame | None = Non
     pairs, and none is shuffled.
 
     The full-text score is the best of all terms (if each occurs), all expanded
-    terms (likewise) and the share of terms that occur.
+    terms (likewise) and the share of terms that occur.  With ``fulltext``
+    (query_id, chunk_id, fts_score), as stemmed search gives it, that one counts.
     """
     q = with_terms(queries).select("query_id", "query", "terms", "expanded", probe(F.col("query")).alias("probe"))
     indexed = chunk_tokens(chunks)
@@ -169,6 +172,8 @@ def matches(queries: DataFrame, chunks: DataFrame, words: DataFrame | None = Non
     )
     hits = hits.where("hits > 0 or part > 0").join(q.select("query_id", F.size("terms").alias("n"), F.size("expanded").alias("n_expanded")), "query_id")
     whole = (F.col("hits") == F.col("n")) | (F.col("hits_expanded") == F.col("n_expanded"))
+    if fulltext is not None:
+        hits = hits.where("part > 0").withColumns({"hits": F.lit(0), "hits_expanded": F.lit(0)})
     fts = F.when(F.col("hits") == 0, 0.0).when(whole, 1.0).otherwise(F.col("hits") / F.greatest("n", one))
     scored = hits.select("query_id", "chunk_id", "part", fts.alias("fts_score"))
     # only pairs that may hold the query meet its text
@@ -179,7 +184,10 @@ def matches(queries: DataFrame, chunks: DataFrame, words: DataFrame | None = Non
     by_token = likely.where("ilike_score > 0 or fts_score > 0").union(rest)
     wide = _tried_on_all(q.where("probe is null").select("query_id", "query"), chunks.select("chunk_id", "text", "title"))
     wide = wide.select("query_id", "chunk_id", F.lit(0.0).alias("fts_score"), _ilike_score().alias("ilike_score"))
-    both = by_token.union(wide).groupBy("query_id", "chunk_id").agg(F.max("ilike_score").alias("ilike_score"), F.max("fts_score").alias("fts_score"))
+    found = by_token.union(wide)
+    if fulltext is not None:
+        found = found.union(fulltext.select("query_id", "chunk_id", "fts_score", F.lit(0.0).alias("ilike_score")))
+    both = found.groupBy("query_id", "chunk_id").agg(F.max("ilike_score").alias("ilike_score"), F.max("fts_score").alias("fts_score"))
     return both
 
 
@@ -187,12 +195,14 @@ def candidate_limit(top_k: int) -> int:
     return max(5 * top_k, 25)
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, top_k: int, words: DataFrame | None = None) -> DataFrame:
+def candidates(
+    queries: DataFrame, chunks: DataFrame, top_k: int, words: DataFrame | None = None, fulltext: DataFrame | None = None
+) -> DataFrame:
     """The best matches by substring score, full-text score and last change; ties by chunk id.
 
     Ranking sees narrow rows; terms and text are joined to what is left.
     """
-    dated = matches(queries, chunks, words).join(chunks.select("chunk_id", "last_changed_at"), "chunk_id")
+    dated = matches(queries, chunks, words, fulltext).join(chunks.select("chunk_id", "last_changed_at"), "chunk_id")
     order = W.partitionBy("query_id").orderBy(
         F.desc("ilike_score"), F.desc("fts_score"), F.desc("last_changed_at"), "chunk_id"
     )

@@ -283,6 +283,17 @@ def hybrid_topk(spark, sf_dir):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "url", "source_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def hybrid_stemmed(spark, sf_dir):
+    """The same with English stems: full-text matches and ranks as stemmed search gives them."""
+    chunks, words, vectors = _stored(spark, sf_dir)
+    queries = D.search_queries(spark, sf_dir)
+    found = R.candidates(queries, chunks, TOP_K, words, X.stem_search(queries, chunks, materialize(X.stem_index(chunks), "stems")))
+    found = R.attach_semantic(found, D.query_vectors(queries, D.read(spark, sf_dir, "embeddings")), vectors, D.MODEL)
+    out = R.rerank(found, TOP_K, D.as_of())
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("fts", 6).alias("fts"), F.round("score", 6).alias("score"))
+
+
 # Answers ----------------------------------------------------------------------------------------------
 
 

@@ -59,16 +59,24 @@ def page_text(x: str) -> str:
     return normalize(decode(sub(x, "<[^>]+>", " ")))
 
 
+def encoded(x: str, pattern: str) -> str:
+    return (
+        f"CASE WHEN regexp_matches({x}, {q(pattern)}) THEN array_to_string(list_transform(string_split({x}, ''), "
+        f"lambda c: CASE WHEN regexp_matches(c, {q(pattern)}) THEN url_encode(c) ELSE c END), '') ELSE {x} END"
+    )
+
+
 def canonical(x: str) -> str:
     url = q(r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$")
     part = lambda k: f"regexp_extract({x}, {url}, {k})"
     host = f"regexp_replace(lower({part(2)}), CASE lower({part(1)}) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '')"
-    path = f"CASE WHEN {part(3)} = '' THEN '/' WHEN length({part(3)}) > 1 AND ends_with({part(3)}, '/') THEN left({part(3)}, -1) ELSE {part(3)} END"
+    raw = f"CASE WHEN {part(3)} = '' THEN '/' WHEN length({part(3)}) > 1 AND ends_with({part(3)}, '/') THEN left({part(3)}, -1) ELSE {part(3)} END"
+    path = encoded(f"({raw})", r'[^!-~]|["<>^`{}]')
     pairs = (
         f"list_filter(string_split(substr({part(4)}, 2), '&'), lambda p: p <> '' AND NOT "
         f"regexp_full_match(p, '(?:utm_[^=&]*|ref|source)(?:=[^&]*)?'))"
     )
-    query = f"array_to_string({pairs}, '&')"
+    query = encoded(f"array_to_string({pairs}, '&')", r"""[^!-~]|["<>']""")
     return (
         f"CASE WHEN regexp_matches({x}, {url}) THEN lower({part(1)}) || '://' || {host} || {path} || "
         f"CASE WHEN coalesce({query}, '') = '' THEN '' ELSE '?' || {query} END END"

@@ -20,6 +20,9 @@ from foliospark.sources import sinks
 from foliospark.sources.registry import read_registry
 from foliospark.streaming import sync
 
+AT = dt.datetime(2024, 1, 30)
+
+
 def at():
     return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
 
@@ -59,6 +62,8 @@ def test_title_and_main(spark):
         ("http://e.org", "http://e.org/"),
         ("http://e.org/?source=1", "http://e.org/"),
         ("no url", None),
+        ("https://x.org/f\u00fcr und/?k=\u00fc'", "https://x.org/f%C3%BCr%20und?k=%C3%BC%27"),
+        ("https://x.org/100%25/{a}", "https://x.org/100%25/%7Ba%7D"),
     ],
 )
 def test_canonical_url(spark, url, want):
@@ -361,3 +366,16 @@ def test_rate_limit_stream(spark, tmp_path):
     batch = batch.select("key", F.lit(0).cast("long").alias("id"), F.col("at").cast("timestamp_ntz").alias("at"))
     want = sorted((r["key"], r["allowed"], r["retry_after"]) for r in sync.rate_limit(batch, 20, 2).collect())
     assert sorted((r["key"], r["allowed"], r["retry_after"]) for r in out) == want and len(out) == 45
+
+
+def test_stems_in_hybrid_search(spark):
+    """A word's other forms make a candidate and count in its score."""
+    from foliospark.operators import fulltext
+
+    rows = [("a", "we are configuring hooks"), ("b", "hook it up"), ("c", "nothing of the kind"), ("d", "unhooked")]
+    c = spark.createDataFrame([(i, t, "title", "u", None, AT) for i, t in rows], "chunk_id string, text string, title string, url string, heading_path string, last_changed_at timestamp_ntz")
+    q = spark.createDataFrame([(1, "configure hook")], "query_id int, query string")
+    plain = {r["chunk_id"] for r in R.candidates(q, c, 5).collect()}
+    out = R.candidates(q, c, 5, fulltext=fulltext.stem_search(q, c)).withColumn("semantic_score", F.lit(0.0))
+    ranked = [(r["chunk_id"], round(r["fts"], 3)) for r in R.rerank(out, 5, at()).orderBy("rank").collect()]
+    assert plain == {"b"} and ranked[0][0] == "a" and {x for x, _ in ranked} == {"a", "b"} and ranked[0][1] == 1.0
