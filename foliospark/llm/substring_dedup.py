@@ -401,9 +401,9 @@ def spans_of_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     mixed = seen.where("not uniform")
     mixed_bits = spark.sparkContext.broadcast(bitmap(mixed.select(low), size))
     contents = docs.select("text").mapInArrow(_contents(mixed_bits, window), "m long, c long, w binary, n long")
-    contents = contents.join(mixed.select("m"), "m", "left_semi").groupBy("m", "c").agg(
-        F.min("w").alias("w"), F.sum("n").alias("n")
-    )
+    # those of further minimizers, which a bitmap lets pass, are solved for nothing; joining them away would gather a
+    # frequent minimizer's contents in one task
+    contents = contents.groupBy("m", "c").agg(F.min("w").alias("w"), F.sum("n").alias("n"))
     found = materialize(repeated_contents(materialize(contents, "contents"), window, parts), "repeats")
     places = docs.select("key", "h", "text").mapInArrow(
         _places(bits, window), "key long, h long, m long, c long, s int, e int"
