@@ -11,9 +11,14 @@ from foliospark.functions.text import WS, let, normalize_whitespace, trim_ws
 _NONE = "array<string>"
 
 
+def _parts(text: Column) -> Column:
+    """A text cut before its ``## `` lines; one without the mark isn't searched for them."""
+    return F.when(F.contains(text, F.lit("## ")), F.split(text, r"(?m)(?=^## )", -1)).otherwise(F.array(text))
+
+
 def sections(text: Column) -> Column:
     """Sections at ``## `` lines as (text, heading_path, code_lang); the heading line stays in the text."""
-    parts = F.split(text, r"(?m)(?=^## )", -1)
+    parts = _parts(text)
 
     def section(part: Column) -> Column:
         first = F.split(part, "\n", 2)[0]
@@ -64,7 +69,7 @@ def chunks(text: Column, max_chars: int = MAX_CHARS) -> Column:
 
 def diff_sections(text: Column) -> Column:
     """Sections for change detection as (heading, body): heading lines excluded, empty bodies dropped."""
-    parts = F.split(text, r"(?m)(?=^## )", -1)
+    parts = _parts(text)
 
     def section(part: Column) -> Column:
         headed = part.startswith("## ")

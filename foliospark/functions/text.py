@@ -11,6 +11,7 @@ from foliospark.functions.lexicon import BLOCK_TAGS, INJECTION, INJECTION_WORDS,
 
 #: White space of the web platform; the same class in Java's and RE2's syntax.
 WS = r"[\t\n\x0B\f\r \x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_NO_BLANK = WS.replace(r"\r ", r"\r")
 #: ASCII word limits; Java's \b also counts letters of other scripts.
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
@@ -180,7 +181,8 @@ def content_hash(text: Column) -> Column:
 
 
 def diff_form(text: Column) -> Column:
-    return trim_ws(sub(F.lower(text), rf"{WS}+", " "))
+    """Lower case with runs of white space as one blank; single blanks, most of them, are no match."""
+    return F.btrim(sub(F.lower(text), rf" {WS}+|{_NO_BLANK}{WS}*", " "))
 
 
 # Query terms --------------------------------------------------------------------------------------

@@ -22,6 +22,7 @@ from foliospark.functions.lexicon import (
     SCHEMA_TYPES,
     SEARCH_SYNONYMS,
 )
+from foliospark.session import materialize
 
 #: Queries that are tried against all texts at once; more come in further blocks.
 BLOCK = 1000
@@ -120,8 +121,14 @@ def probe(query: Column) -> Column:
     return F.get(F.filter(runs, lambda r: F.length(r) == longest), 0)
 
 
+def holds(text: Column, query: Column) -> Column:
+    """Case-insensitive LIKE of a whole query; without wildcards a plain search, which compiles no pattern."""
+    like = F.ilike(text, F.concat(F.lit("%"), query, F.lit("%")))
+    return F.when(query.rlike(r"[%_\\]"), like).otherwise(F.contains(F.lower(text), F.lower(query)))
+
+
 def _like(column: str) -> Column:
-    return F.ilike(column, F.concat(F.lit("%"), "query", F.lit("%")))
+    return holds(F.col(column), F.col("query"))
 
 
 def _ilike_score() -> Column:
@@ -134,8 +141,7 @@ def _tried_on_all(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     order = W.orderBy("query_id")
     placed = queries.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
     blocks = placed.groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
-    like = lambda c, q: F.ilike(F.col(c), F.concat(F.lit("%"), q["query"], F.lit("%")))
-    hit = F.filter("asked", lambda q: like("text", q) | like("title", q))
+    hit = F.filter("asked", lambda q: holds(F.col("text"), q["query"]) | holds(F.col("title"), q["query"]))
     found = chunks.join(blocks).select("chunk_id", "text", "title", F.explode(hit).alias("q"))
     return found.select(F.col("q.query_id").alias("query_id"), "chunk_id", "text", "title", F.col("q.query").alias("query"))
 
@@ -172,16 +178,21 @@ def matches(
     )
     hits = hits.where("hits > 0 or part > 0").join(q.select("query_id", F.size("terms").alias("n"), F.size("expanded").alias("n_expanded")), "query_id")
     whole = (F.col("hits") == F.col("n")) | (F.col("hits_expanded") == F.col("n_expanded"))
+    hits = hits.withColumn("found", F.col("hits"))
     if fulltext is not None:
         hits = hits.where("part > 0").withColumns({"hits": F.lit(0), "hits_expanded": F.lit(0)})
     fts = F.when(F.col("hits") == 0, 0.0).when(whole, 1.0).otherwise(F.col("hits") / F.greatest("n", one))
-    scored = hits.select("query_id", "chunk_id", "part", fts.alias("fts_score"))
-    # only pairs that may hold the query meet its text
-    likely = scored.where("part > 0").join(q.select("query_id", "query"), "query_id")
+    # written, as it is read for pairs that may hold the query and for the others
+    scored = materialize(hits.select("query_id", "chunk_id", "part", "found", "n", fts.alias("fts_score")), "hits")
+    # only pairs that may hold the query meet its text: without wildcards all its terms but the first and the last are tokens there
+    inner = F.col("query").rlike(r"[%_\\]") | (F.col("found") >= F.col("n") - 2)
+    likely = scored.where("part > 0").join(q.select("query_id", "query"), "query_id").withColumn("likely", inner)
+    unlikely = likely.where("not likely and fts_score > 0").select("query_id", "chunk_id", "fts_score", F.lit(0.0).alias("ilike_score"))
+    likely = likely.where("likely")
     likely = likely.join(chunks.select("chunk_id", "text", "title"), "chunk_id")
     likely = likely.select("query_id", "chunk_id", "fts_score", _ilike_score().alias("ilike_score"))
     rest = scored.where("part = 0").select("query_id", "chunk_id", "fts_score", F.lit(0.0).alias("ilike_score"))
-    by_token = likely.where("ilike_score > 0 or fts_score > 0").union(rest)
+    by_token = likely.where("ilike_score > 0 or fts_score > 0").union(unlikely).union(rest)
     wide = _tried_on_all(q.where("probe is null").select("query_id", "query"), chunks.select("chunk_id", "text", "title"))
     wide = wide.select("query_id", "chunk_id", F.lit(0.0).alias("fts_score"), _ilike_score().alias("ilike_score"))
     found = by_token.union(wide)
