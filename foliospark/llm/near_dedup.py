@@ -342,7 +342,7 @@ def bitmap(hashed: DataFrame, bits: int) -> bytes:
         F.expr("bitmap_construct_agg(bitmap_bit_position(h + 1))").alias("m")
     )
     out = bytearray((1 << bits) // 8)
-    for n, m in words.toLocalIterator():
+    for n, m in words.collect():  # 2**MAX_BITS / 8 bytes at most
         # Spark counts positive numbers from 1: h + 1 is bit h % 32768 of bucket 1 + h // 32768
         at = (n - 1) * 4096
         out[at : at + len(m)] = m
