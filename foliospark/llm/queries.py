@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import mixing, near_dedup, ogg, packing, pii, preference, quality, secrets, sharding, substring_dedup
+from foliospark.llm import mixing, near_dedup, ogg, packing, pii, preference, quality, secrets, sharding, substring_dedup, url_cascade
 from foliospark.llm.shared import documents
 
 
@@ -57,6 +57,10 @@ def op10_virtual_slots(spark, sf_dir):
     )
 
 
+def op13_url_filter(spark, sf_dir):
+    return url_cascade.filter_query(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +74,12 @@ QUERIES = {
         op8_personal_data,
         op9_near_duplicates,
         op10_virtual_slots,
+        op13_url_filter,
     )
 }
-SQL = {"op1_quality_rules": quality.SQL, "op7_preference_pairs": preference.SQL, "op10_virtual_slots": sharding.sql()}
+SQL = {
+    "op1_quality_rules": quality.SQL,
+    "op7_preference_pairs": preference.SQL,
+    "op10_virtual_slots": sharding.sql(),
+    "op13_url_filter": url_cascade.SQL,
+}
