@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import mixing, near_dedup, ogg, packing, pii, preference, quality, secrets, sharding, substring_dedup, url_cascade
+from foliospark.llm import merkle, mixing, near_dedup, ogg, packing, pii, preference, quality, secrets, sharding, substring_dedup, url_cascade
 from foliospark.llm.shared import documents
 
 
@@ -57,6 +57,10 @@ def op10_virtual_slots(spark, sf_dir):
     )
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.manifest_query(documents(spark, sf_dir))
+
+
 def op13_url_filter(spark, sf_dir):
     return url_cascade.filter_query(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -74,6 +78,7 @@ QUERIES = {
         op8_personal_data,
         op9_near_duplicates,
         op10_virtual_slots,
+        op11_merkle_manifest,
         op13_url_filter,
     )
 }
@@ -81,5 +86,6 @@ SQL = {
     "op1_quality_rules": quality.SQL,
     "op7_preference_pairs": preference.SQL,
     "op10_virtual_slots": sharding.sql(),
+    "op11_merkle_manifest": merkle.sql(),
     "op13_url_filter": url_cascade.SQL,
 }
