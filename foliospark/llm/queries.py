@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import merkle, mixing, near_dedup, ogg, packing, pii, preference, quality, secrets, sharding, substring_dedup, url_cascade
+from foliospark.llm import merkle, mixing, near_dedup, ogg, packing, pii, preference, quality, secrets, sharding, substring_dedup, url_cascade, whitening
 from foliospark.llm.shared import documents
 
 
@@ -61,6 +61,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.manifest_query(documents(spark, sf_dir))
 
 
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_url_filter(spark, sf_dir):
     return url_cascade.filter_query(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -79,6 +83,7 @@ QUERIES = {
         op9_near_duplicates,
         op10_virtual_slots,
         op11_merkle_manifest,
+        op12_embedding_whitening,
         op13_url_filter,
     )
 }
