@@ -226,6 +226,8 @@ def manifest(rows: DataFrame, leaf: Column, source: Column, key: Column, altered
     altered = F.lit(None).cast("string") if altered is None else altered
     leaves = rows.select(tree.alias("tree"), key.alias("key"), leaf.alias("digest"), altered.alias("altered"))
     kind = leaves.schema["key"].dataType
+    # written before it is sorted: dealing by range samples its input, and text should be read once
+    leaves = materialize(leaves, "digests")
     leaves = materialize(positions(leaves, ["key", "digest"], "leaves"), "leaves")
     forest = Forest(leaves)
     tops = forest.roots.select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest")
