@@ -31,8 +31,10 @@ set's identity follows it, so a full bitmap costs time, never a link.
 Cases: a null text, or one without words, has an empty set and links with
 nothing; a document of one word has that word as its only shingle; equal sets
 share a component whatever their texts; repeated rows each return; two texts
-under one id are two sets, each with its own links; a row without id takes the
-component of its set; an empty table gives no rows; other columns are ignored.
+under one id are two sets, each with its own links; rows without id are linked like
+others and take the smallest id of their component; a component without any id
+has none, and of its sets one is kept; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -384,7 +386,7 @@ def sets_table(docs: DataFrame, met: DataFrame, words_in: int = 2) -> DataFrame:
                 columns = [pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["set_hi", "set_lo", "s"])
 
-    made = docs.where("key is not null").select("text", place("key")).mapInArrow(run, "set_hi long, set_lo long, s binary")
+    made = docs.select("text", place("key")).mapInArrow(run, "set_hi long, set_lo long, s binary")
     found = made.join(met.select("set_hi", "set_lo", F.col("rep").alias("id")), ["set_hi", "set_lo"])
     return found.dropDuplicates(["set_hi", "set_lo"]).select("id", "s")
 
@@ -426,12 +428,10 @@ def near_duplicates(
     rows = docs.select(F.col(key).cast("long").alias("key"), body.alias("text"))
     hashed = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(body, F.lit(""))), body)
     s = materialize(signed(hashed, words_in), "signed")
-    unique = s.where("n_shingles > 0 and key is not null").groupBy("set_hi", "set_lo").agg(
-        F.min(F.struct("key", "n_shingles", "bands")).alias("m")
-    )
+    unique = s.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("key").alias("key"), F.first("bands").alias("bands"))
     # a set's number is fixed as the table is written
     reps = materialize(
-        unique.select(F.monotonically_increasing_id().alias("rep"), "set_hi", "set_lo", "m.key", "m.bands"), "sets"
+        unique.select(F.monotonically_increasing_id().alias("rep"), "set_hi", "set_lo", "key", "bands"), "sets"
     )
     keyed = table_keys(reps, ["rep"]).select("k", "rep").repartition(int(parts), "k").sortWithinPartitions("k", "rep")
     pairs = materialize(keyed.mapInArrow(_pairs_in_order, _PAIR).distinct(), "pairs")
@@ -456,15 +456,17 @@ def near_duplicates(
     # a component is known by its smallest key; nodes alone keep their own
     nodes = groups.union(groups.select("component", "component").distinct()).withColumnsRenamed({"node": "rep"})
     least = nodes.join(reps.select("rep", "key"), "rep").groupBy("component").agg(F.min("key").alias("least"))
-    named = nodes.join(materialize(least, "least"), "component").select("rep", "least")
+    named = nodes.join(materialize(least, "least"), "component").select("rep", "component", "least")
     final = reps.select("set_hi", "set_lo", "rep", "key").join(named, "rep", "left")
-    final = final.select("set_hi", "set_lo", F.coalesce("least", "key").alias("component"))
+    # of a component without any id, the set with the component's number is kept
+    first = F.col("rep") == F.coalesce("component", "rep")
+    final = final.select("set_hi", "set_lo", F.coalesce("least", "key").alias("component"), first.alias("first"))
     out = s.select("key", "text_hash", "n_shingles", "set_hi", "set_lo").join(final, ["set_hi", "set_lo"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.col("component"))
     return out.select(
         F.col("key").alias(key),
         "n_shingles",
         component.alias("component_id"),
-        F.col("key").eqNullSafe(component).alias("kept"),
+        F.coalesce(F.col("key") == component, component.isNull() & F.coalesce("first", F.lit(True)), F.lit(False)).alias("kept"),
         *(["text_hash"] if text_hash else []),
     )

@@ -34,14 +34,14 @@ from __future__ import annotations
 import json
 import zlib
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.words import _BASE, _INVERSE, _LOWER, _SPACE, _TABLE, U64, mix, powers, slices, texts_of
@@ -356,8 +356,13 @@ def encoded(enc: Encoder, column: pa.Array) -> Iterator[tuple[np.ndarray, np.nda
             at, low = end, high
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """A row for each piece of a document in a sequence; partitions are packed on their own, in order."""
+def pack(
+    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, order: Sequence[Column] = ()
+) -> DataFrame:
+    """A row for each piece of a document in a sequence; partitions are packed on their own, in order.
+
+    With an ``order`` rows are dealt by range first, so that sequences, by their ids, follow it from first to last.
+    """
     names = ["key", *(p.split()[0] for p in PIECES.split(", "))]
     ship(docs.sparkSession)
 
@@ -376,5 +381,9 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         if rows:
             yield table(rows)
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    places = [c.alias(f"__place{k}") for k, c in enumerate(order)]
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *places)
+    if places:
+        names_of = [f"__place{k}" for k in range(len(places))]
+        rows = rows.repartitionByRange(*names_of).sortWithinPartitions(*names_of).drop(*names_of)
     return rows.mapInArrow(run, f"key long, {PIECES}").withColumnRenamed("key", key)

@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet  # noqa: F401
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -739,6 +740,20 @@ def test_near_duplicates_awkward(spark):
     assert sorted(str(r["component_id"]) for r in out if r["doc_id"] is None) == ["4", "None"]
 
 
+def test_near_duplicates_without_ids(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(5, x), (None, x + " more"), (None, x), (None, y), (None, y + " more"), (None, y), (None, "alone"), (None, None), (8, z + " a"), (9, z)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), text_hash=True)
+    hashes = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(coalesce(text, '')) AS text_hash").distinct()
+    got = sorted(map(str, out.join(hashes, "text_hash").select("doc_id", "text", "component_id", "kept").collect()))
+    by = {(r["doc_id"], r["text"]): (r["component_id"], r["kept"]) for r in out.join(hashes, "text_hash").collect()}
+    assert len(got) == len(rows) and by[(5, x)] == (5, True)
+    assert by[(None, x + " more")] == (5, False) and by[(None, x)] == (5, False)
+    assert {by[(None, y)], by[(None, y + " more")]} == {(None, True), (None, False)}
+    assert by[(None, "alone")] == (None, True) and by[(None, None)] == (None, True)
+    assert by[(8, z + " a")] == (8, True) and by[(9, z)] == (8, False)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 75), (200, 201), (5, 5)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
@@ -821,3 +836,38 @@ def test_pipeline(spark, sf_dir):
             assert all(not secrets.base_spans(t) or "[SECRET]" in t or "[secret" in t.lower() for t in left.values())
     assert len(left) > 0.7 * len(set(texts.values()))
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_packs_in_order_of_the_mix(spark, tmp_path):
+    """Sequence ids ascend with the schedule, though Spark reads the larger of several files first."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{rng.integers(500)}" for _ in range(int(rng.integers(5, 60 if i % 7 else 4000)))), f"s{i % 4}") for i in range(400)]
+    docs = awkward(spark, rows, ())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.source_mix(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(p for p in os.listdir(tmp_path / "mixed") if p.startswith("part-"))
+    want = [i for f in files for i in pa.parquet.read_table(str(tmp_path / "mixed" / f))["doc_id"].to_pylist()]
+    slot = {r["doc_id"]: r["slot"] for r in mixing.mix_sources(docs).collect()}
+    assert len(files) > 3 and [slot[i] for i in want] == sorted(slot.values())
+    out = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    firsts = sorted(out, key=lambda r: (r["sequence_id"], r["offset"]))
+    assert [r["doc_id"] for r in firsts if r["start"] == 0] == want
+
+
+def test_pipeline_stages_take_awkward_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("awkward", awkward(spark)), ("empty", empty(spark))):
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, "")
+            rows = out.count()
+            assert k == 4 or out.columns == docs.columns
+            assert rows == 0 if name == "empty" else rows > 0 or k == 0
+            assert name == "empty" or k not in (2, 3) or rows == docs.count()
