@@ -25,7 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id.
 
-    Text is shuffled once, by two hashes of id and text, and repeated rows go within their partition.
+    Text is shuffled once, by two hashes of id and text, and repeated rows go within their partition: of rows with
+    the same id and text any one stays, whatever their other columns.
     """
     groups = near_dedup.near_duplicates(docs, words_in=5, text_hash=True).where("kept")
     known = lambda i, h: (F.xxhash64(i, h).alias("__a"), F.xxhash64(h, i, F.lit(1)).alias("__b"))
@@ -40,15 +41,24 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the schedule; the next stage packs in that order."""
+    """All documents, in the order of the schedule, which the files keep; the next stage packs in that order."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences, each split of the written files in its order."""
+    """Pieces of documents in sequences that follow the schedule.
+
+    Spark reads files by size, so rows are put back into the order in which they were written: by the number of
+    the file, its name, and the place in it.  Docs that come from no file keep the order of their partitions.
+    """
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    written = ()
+    if docs.inputFiles():
+        name = F.col("_metadata.file_name")
+        number = F.try_to_number(F.regexp_extract(name, r"^part-(\d+)", 1), F.lit("999999999")).cast("long")
+        written = (number, name, F.col("_metadata.row_index"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), order=written)
 
 
 STAGES = [
