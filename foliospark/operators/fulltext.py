@@ -1,38 +1,81 @@
-"""English full-text search: stems, three ways to match, rank by cover density.
-
-An index row holds a chunk's stems by position, stopwords as empty places.  A
-chunk matches a query if it has all stems of the query, or all stems of the
-expanded query, or any stem of the query; its rank is the largest of the three
-ranks.  Matching is an equi-join of distinct stems with the small query side;
-positions are joined only to what matched and was kept.
+"""English full-text search on an inverted index with positions and impacts.
+
+A posting says how often and where a chunk holds a stem.  Postings are stored by
+bucket of the stem, a stem's strongest first, and positions stand in a column
+of their own that only the chunks which can still win are asked for.
+
+A chunk matches a query by any of its stems; the score is the largest of three
+ranks: cover density of all stems, of all expanded stems, and the mean count
+of single stems.  Covers begin at different places and each holds all stems, so
+there are no more of them than occurrences of the rarest one, and each counts
+one at most: the third rank is never below the others.  So the score is a sum
+of impacts, and :func:`matches` reads no positions.
+
+:func:`best_covers` ranks chunks that hold all stems by the density of their
+covers.  The rarest stem's count bounds it.  The best by bound are measured; the
+worst of them is a floor, and only chunks whose bound reaches it are measured
+too.  Densities are array expressions; Python only stems words, as the index is
+built and for the words of queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.operators.rank import cover_density, lexemes, stem
+from foliospark.operators.rank import lexemes, stem
 from foliospark.operators.retrieve import with_terms
-from foliospark.session import ship
+from foliospark.session import materialize, ship
+
+BUCKETS = 64
+#: Tasks that write a bucket, so that a stem of every chunk is no task's alone.
+SPREAD = 4
+
+
+def bucket_of(word: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
-def stem_index(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, places): the stems of text and title by position; an index build would store them."""
+def postings(chunks: DataFrame, keys: Iterable[str] = ("chunk_id",)) -> DataFrame:
+    """(keys, stem, tf, places, bucket) for each stem of a chunk's text and title; stopwords only take up places."""
     ship(chunks.sparkSession)
+    keys = list(keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                places = [lexemes(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places, pa.list_(pa.string()))], ["chunk_id", "places"])
-
-    rows = chunks.select("chunk_id", F.concat_ws(" ", "text", "title").alias("text"))
-    return rows.mapInArrow(run, "chunk_id string, places array<string>")
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                rows, stems, places = [], [], []
+                for k, text in enumerate(part.column(len(keys)).to_pylist()):
+                    found: dict[str, list[int]] = {}
+                    for place, s in enumerate(lexemes(text or "")):
+                        if s:
+                            found.setdefault(s, []).append(place)
+                    rows += [k] * len(found)
+                    stems += found
+                    places += found.values()
+                take = pa.array(rows, pa.int64())
+                counts = pa.array(np.fromiter(map(len, places), dtype=np.int32, count=len(places)))
+                own = [part.column(c).take(take) for c in range(len(keys))]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(stems, pa.string()), counts, pa.array(places, pa.list_(pa.int32()))], [*keys, "stem", "tf", "places"]
+                )
+
+    rows = chunks.select(*keys, F.concat_ws(" ", "text", "title").alias("text"))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    out = rows.mapInArrow(run, f"{kinds}, stem string, tf int, places array<int>")
+    return out.withColumn("bucket", bucket_of(F.col("stem")))
+
+
+def write_postings(rows: DataFrame, path: str) -> None:
+    """By bucket, a stem's strongest postings first."""
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD)))
+    dealt.sortWithinPartitions("bucket", "stem", F.desc("tf"), "chunk_id").write.partitionBy("bucket").parquet(path)
 
 
 def stemmed_queries(queries: DataFrame) -> DataFrame:
@@ -50,38 +93,83 @@ def stemmed_queries(queries: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, f"query_id {key}, terms array<string>, expanded array<string>")
 
 
-def stem_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, hits, n) of every pair that matches; ``queries`` from :func:`stemmed_queries`.
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query_id, n, i, stem, bucket) for each stem of a query."""
+    rows = queries.select("query_id", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "stem"))
+    return rows.withColumn("bucket", bucket_of(F.col("stem")))
 
-    A chunk with all expanded stems has all stems of the query, so it matches by any stem already.
-    """
-    asked = queries.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("stem"))
-    own = index.select("chunk_id", F.explode(F.array_distinct("places")).alias("stem")).where("stem <> ''")
-    return own.join(asked, "stem").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n"))
 
+def _read(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings in the buckets that are asked for: at most BUCKETS numbers reach the plan."""
+    wanted = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
+    return index.where(F.col("bucket").isin(wanted))
 
-def stem_ranks(pairs: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, fts_score) of the given pairs: the largest of the three ranks."""
-    rows = pairs.select("query_id", "chunk_id").join(queries, "query_id").join(index, "chunk_id")
-    rows = rows.select("query_id", "chunk_id", "terms", "expanded", "places")
 
-    def score(terms: list[str], expanded: list[str], places: list[str]) -> float:
-        any_ = sum(cover_density({t}, places) for t in terms) / max(1, len(terms))
-        return max(cover_density(set(terms), places), cover_density(set(expanded), places), any_)
+def matches(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, hits, weakest, n, fts_score) of every match: stems found, the rarest one's count, the score."""
+    asked = _asked(queries)
+    hits = _read(index, asked).select("bucket", "stem", "chunk_id", "tf").join(asked, ["bucket", "stem"])
+    out = hits.groupBy("query_id", "chunk_id").agg(
+        F.count(F.lit(1)).alias("hits"), F.min("tf").alias("weakest"), F.max("n").alias("n"), F.sum("tf").alias("tf")
+    )
+    return out.withColumn("fts_score", F.col("tf") / F.col("n")).drop("tf")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                scores = [score(*row) for row in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64())], ["query_id", "chunk_id", "fts_score"])
 
-    key = rows.schema["query_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"query_id {key}, chunk_id string, fts_score double")
+def _first(rows: DataFrame, limit: int, score: str) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def best_matches(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best chunks of each query by score, ties by chunk: query_id, chunk_id, fts_score, rank."""
+    return _first(matches(queries, index).select("query_id", "chunk_id", "fts_score"), limit, "fts_score")
+
+
+def cover_density(events: Column, n: Column) -> Column:
+    """Sum of shares of the shortest covers of all n stems; ``events`` are (place, i), by place.
+
+    A cover no longer than the stems counts one, a longer one the share of stems in it.
+    """
+    state = F.struct(
+        F.array_repeat(F.lit(-1), n).alias("last"), F.lit(0.0).alias("score"), F.lit(-1).alias("done")
+    )
+
+    def step(s: Column, e: Column) -> Column:
+        last = F.transform(s["last"], lambda v, i: F.when(i == e["i"], e["place"]).otherwise(v))
+        begin = F.array_min(last)
+        new = begin > s["done"]
+        share = F.when(new, F.least(F.lit(1.0), n / (e["place"] - begin + 1))).otherwise(0.0)
+        return F.struct(last.alias("last"), (s["score"] + share).alias("score"), F.when(new, begin).otherwise(s["done"]).alias("done"))
+
+    return F.aggregate(events, state, step, lambda s: s["score"])
+
+
+def covers(pairs: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, density) of pairs whose chunk holds all stems; reads their positions."""
+    asked = _asked(queries)
+    wanted = pairs.select("query_id", "chunk_id").join(asked, "query_id")
+    rows = _read(index, asked).select("bucket", "stem", "chunk_id", "places").join(wanted, ["bucket", "stem", "chunk_id"])
+    events = F.transform("places", lambda p: F.struct(p.alias("place"), F.col("i").alias("i")))
+    whole = rows.select("query_id", "chunk_id", "n", events.alias("e")).groupBy("query_id", "chunk_id").agg(
+        F.max("n").alias("n"), F.sort_array(F.flatten(F.collect_list("e"))).alias("e")
+    )
+    return whole.select("query_id", "chunk_id", cover_density(F.col("e"), F.col("n")).alias("density"))
+
+
+def best_covers(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` chunks with all stems of a query whose covers are densest, ties by chunk: query_id, chunk_id, density, rank."""
+    found = matches(queries, index).where("hits = n").select("query_id", "chunk_id", "weakest")
+    found = materialize(found, "matches")
+    likely = _first(found, limit, "weakest").select("query_id", "chunk_id")
+    measured = materialize(covers(likely, queries, index), "covers")
+    floor = measured.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("density").alias("least"))
+    floor = floor.select("query_id", F.when(F.col("c") < limit, 0.0).otherwise(F.col("least")).alias("floor"))
+    open_ = found.join(floor, "query_id").where("weakest >= floor").join(measured, ["query_id", "chunk_id"], "left_anti")
+    both = measured.union(covers(open_, queries, index))
+    return _first(both, limit, "density")
 
 
 def stem_search(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, fts_score) of every match."""
-    index = stem_index(chunks) if index is None else index
-    asked = stemmed_queries(queries)
-    return stem_ranks(stem_matches(asked, index), asked, index)
+    index = postings(chunks) if index is None else index
+    return matches(stemmed_queries(queries), index).select("query_id", "chunk_id", "fts_score")

@@ -2,8 +2,8 @@
 
 Stemming follows Porter, "An algorithm for suffix stripping" (1980); cover
 density follows Clarke, Cormack and Tudhope, "Relevance ranking for one to
-three term queries" (2000).  Both are stateful per row and run as an Arrow
-batch function, after matching has cut the rows down.
+three term queries" (2000).  Stems are made as an index is built;
+:func:`cover_density` is the plain form of the expression in ``fulltext``.
 """
 
 from __future__ import annotations
@@ -11,10 +11,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from foliospark.functions.lexicon import STOPWORDS
 
 _VOWEL = "aeiou"
@@ -114,20 +110,3 @@ def cover_density(terms: set[str], places: list[str]) -> float:
                     score += min(1.0, len(terms) / (at - begin + 1))
                     done = begin
     return score
-
-
-def rank_column(text: Column, terms: Column, any_of: bool = False) -> Column:
-    """Cover density of the terms in the text; with ``any_of`` each term counts on its own."""
-
-    @F.pandas_udf("double")
-    def run(texts: pd.Series, asked: pd.Series) -> pd.Series:
-        out = []
-        for t, q in zip(texts, asked, strict=True):
-            places, wanted = lexemes(t or ""), {stem(x) for x in q if x}
-            if any_of:
-                out.append(sum(cover_density({w}, places) for w in wanted) / max(1, len(wanted)))
-            else:
-                out.append(cover_density(wanted, places))
-        return pd.Series(out)
-
-    return run(text, terms)

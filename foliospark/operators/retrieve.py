@@ -24,9 +24,6 @@ from foliospark.functions.lexicon import (
 )
 from foliospark.session import materialize
 
-#: Queries that are tried against all texts at once; more come in further blocks.
-BLOCK = 1000
-
 
 @dataclass(frozen=True)
 class Filters:
@@ -136,19 +133,32 @@ def _ilike_score() -> Column:
     return F.when(_like("text"), 0.8).otherwise(0.0) + F.when(_like("title"), 0.2).otherwise(0.0)
 
 
-def _tried_on_all(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Substring scores of queries without a probe: a stated set of queries against all rows, ``BLOCK`` at a time."""
-    order = W.orderBy("query_id")
-    placed = queries.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    blocks = placed.groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
-    hit = F.filter("asked", lambda q: holds(F.col("text"), q["query"]) | holds(F.col("title"), q["query"]))
-    found = chunks.join(blocks).select("chunk_id", "text", "title", F.explode(hit).alias("q"))
-    return found.select(F.col("q.query_id").alias("query_id"), "chunk_id", "text", "title", F.col("q.query").alias("query"))
+def grams(text: Column) -> Column:
+    """Characters of a text in lower case, and pairs of characters of other scripts or signs; blanks are none."""
+    low = F.lower(text)
+    pairs = F.regexp_extract_all(low, F.lit(r"(?=([^a-z0-9\s]{2}))"), F.lit(1))
+    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(r"\S"), F.lit(0)), pairs))
+
+
+def gram_index(chunks: DataFrame) -> DataFrame:
+    """(gram, chunk_id) of text and title; every chunk also has the empty gram, for queries without any other."""
+    every = F.array_union(F.array(F.lit("")), grams(F.concat_ws("\n", "text", "title")))
+    return chunks.select("chunk_id", F.explode(every).alias("gram"))
+
+
+def _by_grams(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): chunks with all grams of a query (query_id, query) between its wildcards."""
+    own = grams(F.regexp_replace("query", r"[%_\\\\]", " "))
+    own = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("")))
+    asked = queries.select("query_id", own.alias("grams")).select("query_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    hits = index.join(asked, "gram").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    return hits.where("k = n").select("query_id", "chunk_id")
 
 
 def matches(
-    queries: DataFrame, chunks: DataFrame, words: DataFrame | None = None, fulltext: DataFrame | None = None
-) -> DataFrame:
+    queries: DataFrame, chunks: DataFrame, words: DataFrame | None = None, fulltext: DataFrame | None = None,
+    letters: DataFrame | None = None,
+) -> DataFrame:
     """Pairs of query and chunk that match at all: query_id, chunk_id, ilike_score, fts_score.
 
     A chunk matches by one term of the query, or if text or title hold the
@@ -156,7 +166,8 @@ def matches(
     by one equi-join of exploded tokens with the small query side: the terms,
     and the tokens of the vocabulary (``words``) that contain the query's
     longest run, whose texts are then looked at.  No text is read for other
-    pairs, and none is shuffled.
+    pairs, and none is shuffled.  A query without such a run, as those in other
+    scripts, finds its texts by the characters and pairs that it holds (``letters``).
 
     The full-text score is the best of all terms (if each occurs), all expanded
     terms (likewise) and the share of terms that occur.  With ``fulltext``
@@ -193,7 +204,9 @@ def matches(
     likely = likely.select("query_id", "chunk_id", "fts_score", _ilike_score().alias("ilike_score"))
     rest = scored.where("part = 0").select("query_id", "chunk_id", "fts_score", F.lit(0.0).alias("ilike_score"))
     by_token = likely.where("ilike_score > 0 or fts_score > 0").union(unlikely).union(rest)
-    wide = _tried_on_all(q.where("probe is null").select("query_id", "query"), chunks.select("chunk_id", "text", "title"))
+    other = q.where("probe is null").select("query_id", "query")
+    held = _by_grams(other, gram_index(chunks) if letters is None else letters)
+    wide = held.join(other, "query_id").join(chunks.select("chunk_id", "text", "title"), "chunk_id").where(_like("text") | _like("title"))
     wide = wide.select("query_id", "chunk_id", F.lit(0.0).alias("fts_score"), _ilike_score().alias("ilike_score"))
     found = by_token.union(wide)
     if fulltext is not None:

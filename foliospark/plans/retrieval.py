@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.functions.lexicon import INTENT_SYNONYMS, SEARCH_SYNONYMS
+from foliospark.functions.lexicon import INTENT_SYNONYMS, SEARCH_SYNONYMS, STOPWORDS
 from foliospark.operators import answer as A
 from foliospark.operators import evaluate as E
 from foliospark.operators import fulltext as X
 from foliospark.operators import retrieve as R
 from foliospark.plans import sqltext as S
-from foliospark.session import materialize, version
+from foliospark.operators.segments import SearchIndex
+from foliospark.session import cache, materialize, new_folder, version
 from foliospark.sources import tables as D
 
 QUERIES, SQL = {}, {}
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
-_built: dict[tuple, tuple] = {}
+_built = cache()
 
 
 def _stored(spark, sf_dir):
@@ -43,6 +44,16 @@ def _stored(spark, sf_dir):
     return _built[at][1:]
 
 
+def _stems(spark, sf_dir):
+    """The stored postings of all chunks."""
+    chunks, at = _index(spark, sf_dir), ("stems", spark.sparkContext.applicationId, sf_dir)
+    if at not in _built or _built[at][0] is not chunks:
+        path = new_folder(spark, "postings")
+        X.write_postings(X.postings(chunks), path)
+        _built[at] = (chunks, spark.read.parquet(path))
+    return _built[at][1]
+
+
 def _index(spark, sf_dir):
     return _stored(spark, sf_dir)[0]
 
@@ -93,6 +104,24 @@ def search_ilike(spark, sf_dir):
     return found.select("query_id", "chunk_id", "ilike_score")
 
 
+_SCRIPTS = r"""q AS (SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN found ELSE found || '%' || substr(text, 2, 1) END AS query
+ FROM (SELECT item_id, text, regexp_extract(lower(text), '[^\x00-\x7f][^a-z0-9]?') AS found FROM benchmark))"""
+
+
+@query(f"""WITH {D.CHUNKS_SQL}, {_SCRIPTS} SELECT query_id, count(*) AS chunks, sum(CASE WHEN title ILIKE '%' || query || '%' THEN 1 ELSE 0 END)::BIGINT AS titles
+ FROM q JOIN chunk ON text ILIKE '%' || query || '%' OR title ILIKE '%' || query || '%' GROUP BY query_id""")
+def search_scripts(spark, sf_dir):
+    """Substring requests without two ASCII letters or digits in a row: characters of other scripts, wildcards, nothing at all."""
+    b = D.read(spark, sf_dir, "benchmark")
+    found = F.regexp_extract(F.lower("text"), r"[^\x00-\x7f][^a-z0-9]?", 0)
+    more = F.concat(found, F.lit("%"), F.substring("text", 2, 1))
+    asked = b.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 4 == 0, found).otherwise(more).alias("query"))
+    chunks, words, _ = _stored(spark, sf_dir)
+    hits = R.matches(asked, chunks, words).where("ilike_score > 0")
+    title = F.when(F.round("ilike_score", 1).isin(0.2, 1.0), 1).otherwise(0)
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(title).alias("titles"))
+
+
 @query(f"""WITH {D.CHUNKS_SQL} SELECT chunk_id, source_id, url FROM chunk WHERE source_id IN ('src1', 'src2', 'src8')
  AND {D.TRUST_SQL} >= 0.75 AND coalesce(version_tag, 'latest') = 'latest' AND coalesce(language, 'unknown') = 'en'
  AND last_changed_at >= TIMESTAMP '2024-01-28 12:00:00' AND last_changed_at <= TIMESTAMP '2024-01-30 20:00:00'
@@ -129,14 +158,14 @@ _TOKENS = f"tok AS (SELECT *, list_distinct({S.tokens(chr(40) + 'text || chr(32)
 def fts_match_any(spark, sf_dir):
     c = _index(spark, sf_dir).select("chunk_id", F.explode("tokens").alias("t"))
     q = _with_terms(spark, sf_dir).select("query_id", F.explode("terms").alias("t"))
-    return c.join(F.broadcast(q), "t").select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return c.join(q, "t").select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query(f"""WITH {D.CHUNKS_SQL}, {D.QUERIES_SQL}, {_TOKENS} SELECT query_id, chunk_id FROM asked JOIN tok ON len(terms) > 0 AND list_has_all(tokens, terms)""")
 def fts_match_all(spark, sf_dir):
     c = _index(spark, sf_dir).select("chunk_id", F.explode("tokens").alias("t"))
     q = _with_terms(spark, sf_dir).select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("t"))
-    hits = c.join(F.broadcast(q), "t").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    hits = c.join(q, "t").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     return hits.where("k = n").select("query_id", "chunk_id")
 
 
@@ -163,19 +192,55 @@ def fts_rank(spark, sf_dir):
     numbered = lambda c: F.regexp_replace(F.lower(c), F.lit("([a-z]+)"), F.lit("$17")).alias(c)
     chunks = _index(spark, sf_dir).select("chunk_id", numbered("text"), numbered("title"))
     queries = D.search_queries(spark, sf_dir).select("query_id", numbered("query"))
-    found = X.stem_search(queries, chunks, materialize(X.stem_index(chunks), "stems"))
+    found = X.stem_search(queries, chunks, materialize(X.postings(chunks), "stems"))
     return found.select("query_id", "chunk_id", F.round("fts_score", 6).alias("fts_rank"))
 
 
-@query()
+def _stem_sql(chunk: str = "chunk") -> str:
+    """occ: (chunk_id, s, pos) of each stem in a chunk; want: (query_id, n, s) of each stem of a query; st: scores."""
+    stop = ", ".join(S.q(w) for w in STOPWORDS)
+    return f"""term AS (SELECT query_id, unnest(list_distinct({S.tokens('query')})) AS w FROM q),
+ word0 AS (SELECT chunk_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
+   FROM (SELECT chunk_id, regexp_extract_all(lower(text || ' ' || title), '[a-z0-9_]+') AS ws FROM {chunk})),
+ words AS (SELECT w FROM word0 UNION ALL SELECT w FROM term), {S.stems('words')},
+ want AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT DISTINCT query_id, s FROM term JOIN stem USING (w))),
+ occ AS (SELECT chunk_id, s, pos FROM word0 JOIN stem USING (w) WHERE w NOT IN ({stop}) AND s IN (SELECT s FROM want)),
+ st AS (SELECT query_id, chunk_id, count(*) / any_value(n) AS fts_score, count(DISTINCT s) AS hits, any_value(n) AS n FROM want JOIN occ USING (s) GROUP BY query_id, chunk_id)"""
+
+
+@query(f"""WITH {D.CHUNKS_SQL}, {D.QUERIES_SQL}, {_stem_sql()}
+SELECT query_id, chunk_id, round(fts_score, 6)::DOUBLE AS fts_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fts_score DESC, chunk_id) AS k FROM st) WHERE k <= 30""")
 def fts_search(spark, sf_dir):
-    """Stemmed matches with rank, best thirty of each query; stems are fixed in the tests."""
-    from pyspark.sql import Window as W
+    """Stemmed matches, best thirty of each query."""
+    asked = X.stemmed_queries(D.search_queries(spark, sf_dir))
+    return X.best_matches(asked, _stems(spark, sf_dir), 30).select("query_id", "chunk_id", F.round("fts_score", 6).alias("fts_score"))
+
 
-    chunks = _index(spark, sf_dir)
-    found = X.stem_search(D.search_queries(spark, sf_dir), chunks, materialize(X.stem_index(chunks), "stems"))
-    order = W.partitionBy("query_id").orderBy(F.desc("fts_score"), "chunk_id")
-    return found.withColumn("n", F.row_number().over(order)).where("n <= 30").select("query_id", "chunk_id", F.round("fts_score", 6).alias("fts_score"))
+@query(f"""WITH {D.CHUNKS_SQL}, {D.QUERIES_SQL}, {_stem_sql()},
+ h AS (SELECT query_id, chunk_id, n, s, pos FROM st JOIN want USING (query_id, n) JOIN occ USING (chunk_id, s) WHERE hits = n),
+ lasts AS (SELECT a.query_id, a.chunk_id, a.pos, a.n, b.s, max(b.pos) AS last FROM h a JOIN h b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos <= a.pos GROUP BY ALL),
+ begins AS (SELECT query_id, chunk_id, pos, n, min(last) AS begin FROM lasts GROUP BY ALL HAVING count(*) = n),
+ ends AS (SELECT query_id, chunk_id, begin, any_value(n) AS n, min(pos) AS pos FROM begins GROUP BY query_id, chunk_id, begin),
+ dense AS (SELECT query_id, chunk_id, round(sum(least(1.0, n / (pos - begin + 1))), 6)::DOUBLE AS density FROM ends GROUP BY query_id, chunk_id)
+SELECT query_id, chunk_id, density FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY density DESC, chunk_id) AS k FROM dense) WHERE k <= 30""")
+def fts_covers(spark, sf_dir):
+    """Chunks with all stems of a query, best thirty by the density of their covers; positions of those only that can still win."""
+    asked = X.stemmed_queries(D.search_queries(spark, sf_dir))
+    found = X.best_covers(asked, _stems(spark, sf_dir), 30)
+    return found.select("query_id", "chunk_id", F.round("density", 6).alias("density"))
+
+
+@query(f"""WITH {D.CHUNKS_SQL.replace("coalesce(text, '') AS text", f"coalesce(text, '') || CASE WHEN doc_id % 9 = 4 THEN '{D.EDIT}' ELSE '' END AS text").replace("FROM documents", "FROM documents WHERE doc_id % 9 <> 7")}, {D.QUERIES_SQL}, {_stem_sql()}
+SELECT query_id, chunk_id, round(fts_score, 6)::DOUBLE AS fts_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fts_score DESC, chunk_id) AS k FROM st) WHERE k <= 30""")
+def index_delta(spark, sf_dir):
+    """Search after a second sync: one document of nine was edited, another one is gone; only those are indexed, as a segment."""
+    index = SearchIndex(spark, new_folder(spark, "search-index"))
+    index.add(_index(spark, sf_dir))
+    before = D.documents(spark, sf_dir)
+    edited = before.where("doc_id % 9 = 4").withColumn("text", F.concat("text", F.lit(D.EDIT)))
+    index.add(D.chunked(edited), gone=before.where("doc_id % 9 = 7"))
+    asked = X.stemmed_queries(D.search_queries(spark, sf_dir))
+    return X.best_matches(asked, index.postings(), 30).select("query_id", "chunk_id", F.round("fts_score", 6).alias("fts_score"))
 
 
 _FOUR_CONTEXTS = " AND ".join(f"(text ILIKE '%{w}%' OR title ILIKE '%{w}%' OR url ILIKE '%{w}%')" for w in ("the", "and", "on", "example.org"))
@@ -222,12 +287,11 @@ def semantic_topk(spark, sf_dir):
 # The signals, restated in SQL -------------------------------------------------------------------------
 
 _N = TOP_K * 5
-_PAIRS = f"""{D.CHUNKS_SQL}, {D.QUERIES_SQL}, {_TOKENS},
-m AS (SELECT query_id, query, plain, chunk_id, source_id, url, title, last_changed_at, text, terms,
+_SIGNALS = f"""m AS (SELECT query_id, query, plain, chunk_id, source_id, url, title, last_changed_at, text, terms,
  list_distinct(plain) AS intent0, len(list_intersect(terms, tokens)) AS hits, {S.synonyms('terms', SEARCH_SYNONYMS)} AS expanded, tokens,
  (CASE WHEN text ILIKE '%' || query || '%' THEN 0.8 ELSE 0 END + CASE WHEN title ILIKE '%' || query || '%' THEN 0.2 ELSE 0 END)::DOUBLE AS ilike_score
- FROM asked JOIN tok ON list_has_any(tokens, terms) OR text ILIKE '%' || query || '%' OR title ILIKE '%' || query || '%'),
-f AS (SELECT *, CASE WHEN hits = 0 THEN 0.0 WHEN list_has_all(tokens, expanded) THEN 1.0 ELSE hits / len(terms) END AS fts_score FROM m),
+ FROM asked JOIN tok ON FOUND OR text ILIKE '%' || query || '%' OR title ILIKE '%' || query || '%'),
+f AS (SELECT m.*, SCORE AS fts_score FROM m),
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ilike_score DESC, fts_score DESC, last_changed_at DESC, chunk_id) AS candidate_rank FROM f) WHERE candidate_rank <= {_N}),
 {D.VECTORS_SQL},
 sem AS (SELECT cand.*, CASE WHEN qv IS NULL OR cv IS NULL THEN 0.0 ELSE greatest(-1.0, least(1.0, list_dot_product(qv, cv))) END AS semantic_score
@@ -245,6 +309,10 @@ sig AS (SELECT *,
   + CASE WHEN regexp_matches(lower(url), 'stripe\\.com/.+\\b(webhooks|payment-intents|checkout)\\b') THEN 0.1 ELSE 0 END)) END::DOUBLE AS section_type_score,
  1 / (1 + greatest(0.0, epoch_us({D.AS_OF_SQL} - last_changed_at) / 6e7) / 1440) AS recency_score
  FROM h)"""
+_SHARE = _SIGNALS.replace("FOUND", "list_has_any(tokens, terms)").replace(
+    "SCORE", "CASE WHEN hits = 0 THEN 0.0 WHEN list_has_all(tokens, expanded) THEN 1.0 ELSE hits / len(terms) END"
+)
+_PAIRS = f"{D.CHUNKS_SQL}, {D.QUERIES_SQL}, {_TOKENS}, {_SHARE}"
 _SIGNAL = f"WITH {_PAIRS} SELECT query_id, chunk_id, round(SIGNAL, 6) AS SIGNAL FROM sig"
 
 
@@ -269,11 +337,16 @@ def _signal(name: str):
 for _name in ("semantic_score", "intent_score", "phrase_score", "quality_score", "section_type_score", "recency_score"):
     _signal(_name)
 
-_FUSED = f"""{_PAIRS}, top AS (SELECT *, greatest(0.0, least(1.0, (semantic_score + 1) / 2)) AS shifted, max(fts_score) OVER (PARTITION BY query_id) AS best FROM sig),
+_RANKED = """, top AS (SELECT *, greatest(0.0, least(1.0, (semantic_score + 1) / 2)) AS shifted, max(fts_score) OVER (PARTITION BY query_id) AS best FROM sig),
  near AS (SELECT *, max(shifted) OVER (PARTITION BY query_id) AS nearest FROM top),
  fused AS (SELECT *, round(0.20 * ilike_score + 0.22 * CASE WHEN best <= 0 THEN 0 ELSE fts_score / best END + 0.26 * CASE WHEN nearest <= 0 THEN 0 ELSE shifted / nearest END
   + 0.12 * intent_score + 0.09 * phrase_score + 0.08 * section_type_score + 0.02 * quality_score + 0.01 * recency_score, 9) AS score FROM near),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_rank, chunk_id) AS rank FROM fused)"""
+_FUSED = _PAIRS + _RANKED
+_STEMMED = _SIGNALS.replace("FOUND", "(query_id, chunk_id) IN (SELECT (query_id, chunk_id) FROM st)").replace(
+    "SCORE", "coalesce((SELECT any_value(st.fts_score) FROM st WHERE st.query_id = m.query_id AND st.chunk_id = m.chunk_id), 0.0)"
+)
+_STEMMED = f"{D.CHUNKS_SQL}, {D.QUERIES_SQL}, {_TOKENS}, {_stem_sql()}, {_STEMMED}{_RANKED}"
 
 
 @query(f"WITH {_FUSED} SELECT query_id, rank, chunk_id, url, source_id, round(score, 6) AS score FROM ranked WHERE rank <= {TOP_K}")
@@ -283,12 +356,13 @@ def hybrid_topk(spark, sf_dir):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "url", "source_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {_STEMMED} SELECT query_id, rank, chunk_id, round(CASE WHEN best <= 0 THEN 0 ELSE fts_score / best END, 6)::DOUBLE AS fts, round(score, 6) AS score
+ FROM ranked WHERE rank <= {TOP_K}""")
 def hybrid_stemmed(spark, sf_dir):
     """The same with English stems: full-text matches and ranks as stemmed search gives them."""
     chunks, words, vectors = _stored(spark, sf_dir)
     queries = D.search_queries(spark, sf_dir)
-    found = R.candidates(queries, chunks, TOP_K, words, X.stem_search(queries, chunks, materialize(X.stem_index(chunks), "stems")))
+    found = R.candidates(queries, chunks, TOP_K, words, X.stem_search(queries, chunks, _stems(spark, sf_dir)))
     found = R.attach_semantic(found, D.query_vectors(queries, D.read(spark, sf_dir, "embeddings")), vectors, D.MODEL)
     out = R.rerank(found, TOP_K, D.as_of())
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("fts", 6).alias("fts"), F.round("score", 6).alias("score"))

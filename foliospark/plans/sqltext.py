@@ -122,3 +122,54 @@ def bigrams(terms: str) -> str:
 
 def diff_form(x: str) -> str:
     return trim_ws(sub(f"lower({x})", rf"{WS}+", " "))
+
+
+def _shape(x: str) -> str:
+    """Consonants as 0 and vowels as 1; y after a consonant is a vowel."""
+    marked = f"regexp_replace(regexp_replace(regexp_replace({x}, '([^aeiouy])y', '\\1Y', 'g'), '^yy', 'yY'), '([aeiouY]y)y', '\\1Y', 'g')"
+    return f"regexp_replace(regexp_replace({marked}, '[^aeiouY]', '0', 'g'), '[aeiouY]', '1', 'g')"
+
+
+def _measure(x: str) -> str:
+    return f"len(regexp_extract_all({_shape(x)}, '1+0+'))"
+
+
+def _short(x: str) -> str:
+    return f"(regexp_matches({_shape(x)}, '010$') AND NOT regexp_matches({x}, '[wxy]$'))"
+
+
+def stems(words: str) -> str:
+    """Tables ``stem0`` to ``stem`` (w, s): the Porter stem of each distinct w in the table ``words``."""
+    from foliospark.operators.rank import _STEP2, _STEP3, _STEP4
+
+    cut = lambda k: f"s[:-{k + 1}]"
+    ends = lambda e: f"ends_with(s, '{e}')"
+
+    def table(rows) -> str:
+        cases = (f"WHEN {ends(e)} THEN CASE WHEN {_measure(cut(len(e)))} > 0 THEN {cut(len(e))} || '{by}' ELSE s END" for e, by in sorted(rows, key=lambda r: -len(r[0])))
+        return f"CASE {' '.join(cases)} ELSE s END"
+
+    after = f" AND regexp_matches({cut(3)}, '[st]$')"
+    last = " ".join(
+        f"WHEN {ends(e)} THEN CASE WHEN {_measure(cut(len(e)))} > 1{after if e == 'ion' else ''} THEN {cut(len(e))} ELSE s END"
+        for e in sorted(_STEP4, key=len, reverse=True)
+    )
+    vowel = lambda x: f"contains({_shape(x)}, '1')"
+    base = f"CASE WHEN {ends('ed')} AND {vowel(cut(2))} THEN {cut(2)} WHEN {ends('ing')} AND {vowel(cut(3))} THEN {cut(3)} END"
+    steps = (
+        f"CASE WHEN {ends('sses')} OR {ends('ies')} THEN {cut(2)} WHEN {ends('s')} AND NOT {ends('ss')} THEN {cut(1)} ELSE s END",
+        f"CASE WHEN {ends('eed')} THEN CASE WHEN {_measure(cut(3))} > 0 THEN {cut(1)} ELSE s END WHEN ({base}) IS NOT NULL THEN '<' || ({base}) ELSE s END",
+        f"""CASE WHEN s[1] <> '<' THEN s WHEN regexp_matches(s, '(at|bl|iz)$') THEN s[2:] || 'e'
+  WHEN length(s) > 2 AND s[-1] = s[-2] AND {_shape('s[2:]')}[-1] = '0' AND NOT regexp_matches(s, '[lsz]$') THEN s[2:-2]
+  WHEN {_measure('s[2:]')} = 1 AND {_short('s[2:]')} THEN s[2:] || 'e' ELSE s[2:] END""",
+        f"CASE WHEN {ends('y')} AND {vowel(cut(1))} THEN {cut(1)} || 'i' ELSE s END",
+        table(_STEP2),
+        table(_STEP3),
+        f"CASE {last} ELSE s END",
+        f"CASE WHEN {ends('e')} AND ({_measure(cut(1))} > 1 OR ({_measure(cut(1))} = 1 AND NOT {_short(cut(1))})) THEN {cut(1)} ELSE s END",
+        f"CASE WHEN {ends('ll')} AND {_measure('s')} > 1 THEN {cut(1)} ELSE s END",
+    )
+    out = [f"stem0 AS (SELECT w, w AS s, regexp_matches(w, '^[a-z]{{3,}}$') AS ok FROM (SELECT DISTINCT w FROM {words}))"]
+    for k, step in enumerate(steps):
+        out.append(f"stem{k + 1} AS (SELECT w, ok, CASE WHEN ok THEN {step} ELSE s END AS s FROM stem{k})")
+    return ", ".join(out) + f", stem AS (SELECT w, s FROM stem{len(steps)})"

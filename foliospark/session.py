@@ -74,6 +74,14 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(target)) if fs.exists(target) else []
+
+
 def version(spark: SparkSession, path: str) -> tuple[int, int]:
     """Bytes and latest change of a table's files: differs once the table was written anew."""
     jvm = spark.sparkContext._jvm
@@ -87,6 +95,20 @@ def version(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_caches: list[dict] = []
+
+
+def cache() -> dict:
+    """A dictionary of tables that are written once and read again; :func:`drop_tables` empties it."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with the intermediate tables."""
+    path = f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
+    remember(spark, path)
+    return path
 
 
 def remember(spark: SparkSession, path: str) -> None:
@@ -97,6 +119,8 @@ def remember(spark: SparkSession, path: str) -> None:
 @atexit.register
 def drop_tables() -> None:
     """Removes all intermediate tables written so far; call it once the results that read them are stored."""
+    for known in _caches:
+        known.clear()
     while _written:
         _forget(*_written.pop())
 
@@ -108,7 +132,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The table lives until :func:`drop_tables` or the end of the driver's interpreter.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
-    remember(spark, path)
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -56,8 +56,15 @@ DOCUMENTS_SQL = """doc AS (
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk joined with its document's columns; chunk_id is document and index."""
-    d = documents(spark, sf_dir)
-    cut = d.select("*", F.posexplode(C.chunks(F.col("text"))).alias("chunk_index", "c")).drop("text")
+    return chunked(documents(spark, sf_dir))
+
+
+#: What an edit adds to a document.
+EDIT = " Configured webhooks are enabled for payments."
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    cut = docs.select("*", F.posexplode(C.chunks(F.col("text"))).alias("chunk_index", "c")).drop("text")
     return cut.select(
         F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("chunk_index").cast("string")).alias("chunk_id"),
         "doc_id", "source_id", "url", "title", "language", "version_tag", "last_changed_at",

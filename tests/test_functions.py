@@ -379,3 +379,87 @@ def test_stems_in_hybrid_search(spark):
     out = R.candidates(q, c, 5, fulltext=fulltext.stem_search(q, c)).withColumn("semantic_score", F.lit(0.0))
     ranked = [(r["chunk_id"], round(r["fts"], 3)) for r in R.rerank(out, 5, at()).orderBy("rank").collect()]
     assert plain == {"b"} and ranked[0][0] == "a" and {x for x, _ in ranked} == {"a", "b"} and ranked[0][1] == 1.0
+
+
+def _random_chunks(spark, n=60, seed=4):
+    import random
+
+    rng = random.Random(seed)
+    words = ["configure", "configuring", "payments", "payment", "hook", "the", "of", "token", "tokens", "alpha"]
+    rows = [(str(i), i // 2, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))), rng.choice(words)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "chunk_id string, doc_id long, text string, title string")
+
+
+def test_best_covers_same_as_plain(spark, tmp_path):
+    """Bounds leave out no chunk; positions are read of those only that can win."""
+    from foliospark.operators import fulltext
+
+    rows, c = _random_chunks(spark)
+    fulltext.write_postings(fulltext.postings(c), str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    q = spark.createDataFrame([(1, "configure payment"), (2, "hook token alpha"), (3, "the of"), (4, "nothing here")], "query_id int, query string")
+    asked = fulltext.stemmed_queries(q)
+    terms = {r["query_id"]: r["terms"] for r in asked.collect()}
+    for limit in (3, 100):
+        got = {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["density"], 9)) for r in fulltext.best_covers(asked, index, limit).collect()}
+        want = {}
+        for k, own in terms.items():
+            scored = [(-rank.cover_density(set(own), rank.lexemes(f"{t} {title}")), i) for i, _, t, title in rows]
+            for n, (d, i) in enumerate(sorted(x for x in scored if x[0] < 0)[:limit]):
+                want[k, n + 1] = (i, round(-d, 9))
+        assert got == want and {k for k, _ in got} == {1, 2}
+    assert fulltext.best_matches(asked, index, 5).count() == 10
+
+
+def test_segments_same_as_full_build(spark, tmp_path):
+    from foliospark.operators import fulltext
+    from foliospark.operators.segments import SearchIndex
+
+    rows, c = _random_chunks(spark)
+    index = SearchIndex(spark, str(tmp_path))
+    assert index.version() == 0 and index.segments() == []
+    index.add(c)
+    edited = c.where("doc_id % 5 = 1").withColumn("text", F.concat("text", F.lit(" hook hook added")))
+    index.add(edited, gone=c.where("doc_id % 7 = 3").select("doc_id"))
+    index.add(edited.where("doc_id = 6 and chunk_id = '12'"))  # the document has one chunk less
+
+    def postings(df):
+        return sorted((r["chunk_id"], r["stem"], r["tf"], tuple(r["places"])) for r in df.collect())
+
+    kept = c.where("doc_id % 5 <> 1 and doc_id % 7 <> 3").union(edited.where("doc_id <> 6 or chunk_id = '12'"))
+    want = postings(fulltext.postings(kept))
+    assert postings(index.postings()) == want and len(index.segments()) == 3
+    # a writer that was lost before its manifest changes nothing
+    fulltext.write_postings(fulltext.postings(c, ("doc_id", "chunk_id")), str(tmp_path / "segment-lost" / "postings"))
+    (tmp_path / "manifest" / "00000004").mkdir()
+    assert index.version() == 3 and postings(index.postings()) == want
+    (tmp_path / "manifest" / "00000004").rmdir()
+    index.compact()
+    assert postings(index.postings()) == want and len(index.segments()) == 1
+    assert len(index.vacuum()) == 4 and postings(index.postings()) == want and index.vacuum() == []
+
+
+def test_queries_in_other_scripts(spark):
+    texts = ["東京の天気 is fine", "天気予報", "Ünïcode ÉCOLE", "a-b 100% sure", "plain words", "", "é😀😀x", "A"]
+    c = spark.createDataFrame([(str(i), t, "題" if i == 4 else "") for i, t in enumerate(texts)], "chunk_id string, text string, title string")
+    asked = ["天気", "京%気", "é", "0%", "- ", "%", "_", "", "😀😀", "題", "a", "Ü_ï", "気天"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    found = R.matches(q, c).where("ilike_score > 0")
+    got = sorted((r["query_id"], r["chunk_id"]) for r in found.collect())
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE c (i VARCHAR, t VARCHAR, title VARCHAR)")
+    con.executemany("INSERT INTO c VALUES (?, ?, ?)", [(str(i), t, "題" if i == 4 else "") for i, t in enumerate(texts)])
+    want = [(k, i) for k, a in enumerate(asked) for (i,) in con.execute("SELECT i FROM c WHERE t ILIKE '%' || ? || '%' OR title ILIKE '%' || ? || '%'", [a, a]).fetchall()]
+    assert got == sorted(want)
+    assert "Cartesian" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_search_after_tables_were_dropped(spark, sf_dir):
+    from foliospark import session
+    from foliospark.plans import retrieval
+
+    first = sorted(map(tuple, retrieval.search_index(spark, sf_dir).collect()))
+    session.drop_tables()
+    assert sorted(map(tuple, retrieval.search_index(spark, sf_dir).collect())) == first
