@@ -11,7 +11,8 @@ from foliospark.functions.lexicon import BLOCK_TAGS, INJECTION, INJECTION_WORDS,
 
 #: White space of the web platform; the same class in Java's and RE2's syntax.
 WS = r"[\t\n\x0B\f\r \x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_NO_BLANK = WS.replace(r"\r ", r"\r")
+#: The same characters as they are.
+SPACES = "\t\n\x0b\f\r \u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: ASCII word limits; Java's \b also counts letters of other scripts.
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
@@ -29,7 +30,7 @@ def sub(text: Column, pattern: str, by: str) -> Column:
 
 
 def trim_ws(text: Column) -> Column:
-    return sub(text, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def decode_entities(text: Column) -> Column:
@@ -181,8 +182,8 @@ def content_hash(text: Column) -> Column:
 
 
 def diff_form(text: Column) -> Column:
-    """Lower case with runs of white space as one blank; single blanks, most of them, are no match."""
-    return F.btrim(sub(F.lower(text), rf" {WS}+|{_NO_BLANK}{WS}*", " "))
+    """Lower case with runs of white space as one blank."""
+    return F.btrim(sub(F.translate(F.lower(text), SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
 # Query terms --------------------------------------------------------------------------------------

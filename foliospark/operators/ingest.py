@@ -225,32 +225,38 @@ def has_word(text: Column, words: tuple[str, ...]) -> Column:
 def changed_sections(previous: Column, next_: Column) -> Column:
     """Sections of the next text that are new or differ after normalising; of equal earlier headings the last counts.
 
-    Either text is cut and normalised once.
+    Only sections whose text differs as it stands are normalised.  For stored documents see ``changes``, which
+    compares digests.
     """
-    form = lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body"), T.diff_form(s["body"]).alias("form"))
 
     def changed(before: Column) -> Column:
         def is_changed(s: Column) -> Column:
-            same = F.filter(before, lambda p: p["heading"] == s["heading"])
-            return F.coalesce(F.try_element_at(same, F.lit(-1))["form"], F.lit("")) != s["form"]
+            old = F.coalesce(F.try_element_at(F.filter(before, lambda p: p["heading"] == s["heading"]), F.lit(-1))["body"], F.lit(""))
+            return T.let(old, lambda x: (x != s["body"]) & (T.diff_form(x) != T.diff_form(s["body"])))
 
-        return F.filter(F.transform(C.diff_sections(next_), form), is_changed)
+        return F.filter(C.diff_sections(next_), is_changed)
 
-    return T.let(F.transform(C.diff_sections(previous), form), changed)
+    return T.let(C.diff_sections(previous), changed)
 
 
-def introduced(previous: Column, changed: Column) -> Column:
-    """Whether changed sections bring in wording of breaking changes and of deprecations that the previous text lacked."""
+_LEADS = tuple(dict.fromkeys(w.split(" ")[0] for w in (*BREAKING, *DEPRECATION)))
 
-    def flags(both: Column) -> Column:
-        before, now = both["before"], both["now"]
-        return F.struct(
-            (has_word(now, BREAKING) & ~has_word(before, BREAKING)).alias("breaking"),
-            (has_word(now, DEPRECATION) & ~has_word(before, DEPRECATION)).alias("deprecated"),
-        )
 
-    joined = T.diff_form(F.array_join(F.transform(changed, lambda s: s["body"]), "\n"))
-    return T.let(F.struct(T.diff_form(previous).alias("before"), joined.alias("now")), flags)
+def wording(text: Column) -> Column:
+    """(breaking, deprecated): whether a text has wording of breaking changes and of deprecations, after normalising.
+
+    A text without the first word of any of them isn't normalised.
+    """
+    low = F.lower(text)
+    flags = lambda form: F.struct(has_word(form, BREAKING).alias("breaking"), has_word(form, DEPRECATION).alias("deprecated"))
+    return F.when(has_word(low, _LEADS), T.let(T.diff_form(text), flags)).otherwise(F.struct(F.lit(False).alias("breaking"), F.lit(False).alias("deprecated")))
+
+
+def introduced(previous: Column, changed: Column) -> Column:
+    """Whether changed sections bring in wording of breaking changes and of deprecations that the previous text lacked."""
+    now = wording(F.array_join(F.transform(changed, lambda s: s["body"]), "\n"))
+    new = lambda x: F.struct(*((x["now"][k] & ~x["before"][k]).alias(k) for k in ("breaking", "deprecated")))
+    return T.let(F.struct(wording(previous).alias("before"), now.alias("now")), new)
 
 
 def change_events(pairs: DataFrame, keep: list[str]) -> DataFrame:
@@ -258,15 +264,15 @@ def change_events(pairs: DataFrame, keep: list[str]) -> DataFrame:
     moved = pairs.where(~F.col("previous").eqNullSafe(F.col("next")))
 
     def judge(changed: Column) -> Column:
-        return F.struct(
-            introduced(F.col("previous"), changed).alias("flags"),
-            F.slice(F.transform(changed, lambda s: s["heading"]), 1, 10).alias("headings"),
-            F.size(changed).alias("n"),
-        )
+        return F.struct(introduced(F.col("previous"), changed).alias("flags"), changed.alias("changed"))
 
     seen = T.let(changed_sections(F.col("previous"), F.col("next")), judge)
     judged = moved.select(*keep, "title", F.explode(F.array(seen)).alias("j"))  # exploded, so that it is computed once
-    judged = judged.withColumns({"breaking": F.col("j.flags.breaking"), "deprecated": F.col("j.flags.deprecated")})
+    return events_of(judged.select(*keep, "title", "j.flags", F.transform("j.changed", lambda s: s["heading"]).alias("headings")), keep)
+
+
+def events_of(judged: DataFrame, keep: list[str]) -> DataFrame:
+    """Events by the flags (breaking, deprecated) and headings of each changed document."""
     none = F.lit(None).cast("string")
 
     def event(kind: str, severity: str, detector: str, family: Column, lead: str) -> Column:
@@ -275,15 +281,16 @@ def change_events(pairs: DataFrame, keep: list[str]) -> DataFrame:
             family.alias("keyword_family"), F.concat(F.lit(lead), "title").alias("summary"),
         )
 
+    breaking, deprecated = F.col("flags.breaking"), F.col("flags.deprecated")
     found = F.array(
-        F.when(F.col("breaking"), event("breaking_change", "critical", "section_diff_keyword", F.lit("breaking_or_removed"), "Possible breaking change in ")),
-        F.when(F.col("deprecated"), event("deprecation", "medium", "section_diff_keyword", F.lit("deprecation"), "New deprecation wording in ")),
-        F.when(~F.col("breaking") & ~F.col("deprecated"), event("updated", "low", "section_diff", none, "Updated: ")),
+        F.when(breaking, event("breaking_change", "critical", "section_diff_keyword", F.lit("breaking_or_removed"), "Possible breaking change in ")),
+        F.when(deprecated, event("deprecation", "medium", "section_diff_keyword", F.lit("deprecation"), "New deprecation wording in ")),
+        F.when(~breaking & ~deprecated, event("updated", "low", "section_diff", none, "Updated: ")),
     )
     return judged.select(
         *keep, F.explode(F.array_compact(found)).alias("e"),
-        F.col("j.headings").alias("changed_sections"), F.col("j.n").alias("changed_section_count"),
-    ).select(*keep, "e.*", "changed_sections", F.col("changed_section_count").cast("long").alias("changed_section_count"))
+        F.slice("headings", 1, 10).alias("changed_sections"), F.size("headings").cast("long").alias("changed_section_count"),
+    ).select(*keep, "e.*", "changed_sections", "changed_section_count")
 
 
 def primary_event(previous: Column, next_: Column) -> Column:

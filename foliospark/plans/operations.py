@@ -11,6 +11,7 @@ from foliospark.functions import urls as U
 from foliospark.functions.lexicon import CHANGE_SENSITIVE, HIGH_STAKES, HOW_TO
 from foliospark.operators import crawl as K
 from foliospark.operators import evaluate as E
+from foliospark.operators import changes as G
 from foliospark.operators import ingest as I
 from foliospark.operators import ops as O
 from foliospark.plans import sqltext as S
@@ -102,6 +103,17 @@ def change_events(spark, sf_dir):
     return e.select("doc_id", "event_type", "severity", "keyword_family", F.array_join("changed_sections", ",").alias("changed_sections"), "changed_section_count")
 
 
+@query(f"WITH {_EVENTS} SELECT doc_id, event_type, severity, keyword_family, changed_sections, 1::BIGINT AS changed_section_count FROM ev")
+def digest_changes(spark, sf_dir):
+    """The same events from stored tables: section digests and states of a first sync, compared with what a second one brings."""
+    p = D.document_pairs(spark, sf_dir)
+    stored = p.select("doc_id", F.col("previous").alias("text"))
+    digests = materialize(G.section_digests(stored), "digests")
+    states = materialize(G.document_states(stored), "states")
+    e = G.change_events(stored, digests, states, p.select("doc_id", "title", F.col("next").alias("text")))
+    return e.select("doc_id", "event_type", "severity", "keyword_family", F.array_join("changed_sections", ",").alias("changed_sections"), "changed_section_count")
+
+
 _RUN_TEXT = S.page_text(S.denoise(S.main_html("html")))
 
 

@@ -136,6 +136,32 @@ def test_change_events(spark):
     assert got == [(1, "updated"), (2, "deprecation"), (3, "breaking_change"), (4, "deprecation"), (6, "breaking_change"), (6, "deprecation")]
 
 
+def test_changes_by_digest_same_as_by_text(spark):
+    """Many sections, equal headings, blanks only, edits of one section: the same events and headings."""
+    import random
+
+    from foliospark.operators import changes
+
+    rng = random.Random(3)
+    words = ["plain", "deprecated", "sunset", "breaking", "change", "no longer", "supported", "Text", "text "]
+
+    def section():
+        return rng.choice(["## A", "## B", "##  C ", "## ", "## A"]) + "\n" + " ".join(rng.choice(words) for _ in range(rng.randrange(0, 5)))
+
+    rows = []
+    for i in range(300):
+        parts = [section() for _ in range(rng.randrange(0, 6))]
+        after = [p.replace(" ", rng.choice([" ", "\n", "  "])) if rng.random() < 0.3 else section() if rng.random() < 0.2 else p for p in parts]
+        rows.append((i, f"t{i}", "intro\n" + "\n".join(parts), "intro\n" + "\n".join(after)))
+    rows.append((300, "t", None, "new"))
+    pairs = spark.createDataFrame(rows, "doc_id int, title string, previous string, next string")
+    key = lambda df: sorted(map(str, df.collect()))
+    stored = pairs.where("previous IS NOT NULL").select("doc_id", F.col("previous").alias("text"))
+    got = changes.change_events(stored, changes.section_digests(stored), changes.document_states(stored), pairs.select("doc_id", "title", F.col("next").alias("text")))
+    want = key(I.change_events(pairs.where("previous IS NOT NULL"), ["doc_id"]))
+    assert key(got) == want and len(want) > 100 and len({w.split("event_type=")[1][:9] for w in want}) == 3
+
+
 def test_merge(spark):
     cols = "source_id string, canonical_url string, version_tag string, content_hash string, chunks_plain boolean, first_seen_at timestamp, last_seen_at timestamp, last_changed_at timestamp"
     old, now = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
