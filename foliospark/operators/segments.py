@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import fulltext
 from foliospark.session import listing, remove
+from foliospark.sources.store import Manifests
 
 
 class SearchIndex:
@@ -27,24 +28,19 @@ class SearchIndex:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.manifests = Manifests(spark, f"{self.root}/manifest")
 
     def version(self) -> int:
         """Number of the latest complete manifest; 0 for a new index."""
-        names = listing(self.spark, f"{self.root}/manifest")
-        done = (int(n) for n in names if n.isdigit() and "_SUCCESS" in listing(self.spark, f"{self.root}/manifest/{n}"))
-        return max(done, default=0)
+        return self.manifests.version()
 
     def segments(self) -> list[str]:
         """Names in the order in which they were added."""
-        at = self.version()
-        if not at:
-            return []
-        rows = self.spark.read.schema("place int, name string").parquet(f"{self.root}/manifest/{at:08d}").collect()
-        return [r["name"] for r in sorted(rows)]
+        rows = self.manifests.read(self.version())
+        return [name for _, _, _, name in sorted(rows, key=lambda r: r[2])]
 
     def _commit(self, names: list[str]) -> None:
-        table = self.spark.createDataFrame(list(enumerate(names)), "place int, name string").coalesce(1)
-        table.write.parquet(f"{self.root}/manifest/{self.version() + 1:08d}")
+        self.manifests.commit(self.version(), [("segment", "", k, name) for k, name in enumerate(names)])
 
     def add(self, chunks: DataFrame, gone: DataFrame | None = None) -> str:
         """Adds chunks (chunk_id, doc_id, text, title) in place of all earlier ones of their documents.

@@ -13,13 +13,15 @@ from foliospark.functions import urls as U
 from foliospark.operators import ingest as I
 from foliospark.operators import ops as O
 from foliospark.plans import sqltext as S
-from foliospark.session import materialize, remember, shared_dir, ship
+from foliospark.session import materialize, new_folder, remember, shared_dir, ship
 from foliospark.sources import embedding as M
 from foliospark.sources import fetch as X
 from foliospark.sources import sinks
 from foliospark.sources import tables as D
 from foliospark.sources.policies import CRAWL_POLICIES
 from foliospark.sources.registry import read_registry
+from foliospark.sources.store import Store
+from foliospark.streaming import persist as P
 
 QUERIES, SQL = {}, {}
 
@@ -269,14 +271,20 @@ def touched_documents(spark, sf_dir):
 SELECT 'chk_' || sha256(doc_id::VARCHAR || '#' || i) AS id, doc_id::VARCHAR AS document_id, i::INT AS chunk_index, sha256(text) AS text_sha256,
  greatest(len(list_filter(regexp_split_to_array({S.trim_ws('text')}, '{T.WS}+'), lambda w: w <> '')), ceil(length(text) / 4.0))::BIGINT AS token_count, valid_from FROM piece""")
 def replaced_chunks(spark, sf_dir):
-    """Chunks after a run: those of changed documents are all put in anew, numbered from 0."""
+    """Stored chunks after a run: those of changed documents are all put in anew, numbered from 0; other buckets keep their files."""
     p = _pairs(spark, sf_dir)
     seen = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
-    empty = spark.createDataFrame([], "id string, document_id string, chunk_index int, text string, token_count long, heading_path string, code_lang string, valid_from timestamp_ntz, valid_to timestamp")
+    store = Store(spark, new_folder(spark, "store"), 16)
+    empty = spark.createDataFrame([], P.TABLES["chunks"])
     first = I.replace_chunks(empty, p.select(F.col("doc_id").cast("string").alias("document_id"), C.chunks(F.col("previous")).alias("chunks")), seen)
+    build = store.begin()
+    build.overwrite("chunks", first, "document_id")
+    build.commit()
     changed = p.where("previous <> next").select(F.col("doc_id").cast("string").alias("document_id"), C.chunks(F.col("next")).alias("chunks"))
-    out = I.replace_chunks(first, changed, D.as_of())
-    return out.select("id", "document_id", "chunk_index", F.sha2("text", 256).alias("text_sha256"), "token_count", "valid_from")
+    change = store.begin()
+    change.merge("chunks", changed, "document_id", lambda kept, new: I.replace_chunks(kept, new, D.as_of()))
+    change.commit()
+    return store.table("chunks").select("id", "document_id", "chunk_index", F.sha2("text", 256).alias("text_sha256"), "token_count", "valid_from")
 
 
 @query(f"""WITH {D.CHUNKS_SQL} SELECT doc_id::VARCHAR AS document_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)) AS text_sha256 FROM chunk GROUP BY doc_id""")
@@ -304,6 +312,31 @@ def run_snapshots(spark, sf_dir):
     return I.run_snapshots(p, F.concat(F.lit("ssr_"), "source_id"))
 
 
+@query(f"""WITH {_RUN}, ev AS (SELECT doc_id, count(*) AS n FROM run GROUP BY doc_id)
+SELECT url AS canonical_url, CASE WHEN action IN ('insert', 'update') AND doc_id % 6 <> 0 THEN sha256(next) ELSE sha256(previous) END AS content_hash,
+ CASE WHEN action = 'insert' THEN {D.AS_OF_SQL} ELSE TIMESTAMP '2024-01-02 00:00:00' END AS first_seen_at,
+ CASE WHEN doc_id % 6 <> 0 THEN {D.AS_OF_SQL} ELSE TIMESTAMP '2024-01-02 00:00:00' END AS last_seen_at,
+ CASE WHEN action IN ('insert', 'update') AND doc_id % 6 <> 0 THEN {D.AS_OF_SQL} ELSE TIMESTAMP '2024-01-02 00:00:00' END AS last_changed_at,
+ (CASE WHEN action IN ('insert', 'update') AND doc_id % 6 <> 0 THEN n_chunks ELSE greatest(1, (size + 1799) // 1800) END)::BIGINT AS chunks,
+ (CASE WHEN action = 'insert' THEN 1 WHEN action = 'update' AND doc_id % 6 <> 0 THEN 1 + ev.n ELSE 1 END)::BIGINT AS events
+FROM counted LEFT JOIN ev USING (doc_id) WHERE action <> 'insert' OR doc_id % 6 <> 0""")
+def sync_stream(spark, sf_dir):
+    """Two syncs arrive as a stream and are stored batch by batch; the second is handed over twice, which changes nothing."""
+    p = _pairs(spark, sf_dir)
+    seen = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    inbox, checkpoint = new_folder(spark, "inbox"), new_folder(spark, "stream")
+    store = P.create(spark, new_folder(spark, "store"), 16)
+    syncs = (p.where(_KNOWN).withColumn("content", F.col("previous")), seen), (p.where("doc_id % 6 <> 0").withColumn("content", F.col("next")), D.as_of())
+    for rows, at in syncs:
+        rows.select("source_id", F.col("url").alias("canonical_url"), "title", "content", at.alias("at")).write.mode("append").parquet(inbox)
+        P.sync_stream(store, "documents", spark.readStream.schema(P.FETCHED).parquet(inbox), checkpoint, at).awaitTermination()
+    again = rows.select("source_id", F.col("url").alias("canonical_url"), "title", F.lit("replayed").alias("content"), at.alias("at"))
+    P.persist_batch(store, "documents", again, 1, at)
+    count = lambda t: store.table(t).groupBy("document_id").agg(F.count(F.lit(1)).alias(t))
+    out = store.table("documents").join(count("chunks"), "document_id", "left").join(count("events"), "document_id", "left")
+    return out.select("canonical_url", "content_hash", "first_seen_at", "last_seen_at", "last_changed_at", "chunks", "events")
+
+
 @query(f"WITH {_RUN} SELECT doc_id, event_type, severity FROM run")
 def row_inserts(spark, sf_dir):
     """Change events appended to a table in two runs and read back."""

@@ -15,7 +15,7 @@ from foliospark.operators import changes as G
 from foliospark.operators import ingest as I
 from foliospark.operators import ops as O
 from foliospark.plans import sqltext as S
-from foliospark.session import materialize, remember, shared_dir, ship
+from foliospark.session import materialize, new_folder, remember, shared_dir, ship
 from foliospark.sources import tables as D
 from foliospark.streaming import sync
 
@@ -344,9 +344,17 @@ def json_export(spark, sf_dir):
 @query(f"""WITH {D.SOURCES_SQL}, n AS (SELECT source_id, count(*) AS c FROM (SELECT source AS source_id FROM documents) GROUP BY 1)
 SELECT coalesce(src.source_id, n.source_id) AS source_id, coalesce(c, 0)::BIGINT AS documents FROM src FULL JOIN n USING (source_id)""")
 def source_upsert(spark, sf_dir):
-    """Upsert of observed document counts into the source table."""
+    """Upsert of observed document counts into the stored source table; buckets without an observed source keep their files."""
     from foliospark.sources.sinks import upsert
+    from foliospark.sources.store import Store
 
     current = D.sources(spark, sf_dir).select("source_id", F.lit(0).cast("long").alias("documents"))
     seen = D.read(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_id")).agg(F.count(F.lit(1)).alias("documents"))
-    return upsert(current, seen, ["source_id"], ["documents"])
+    store = Store(spark, new_folder(spark, "store"), 16)
+    build = store.begin()
+    build.overwrite("sources", current, "source_id")
+    build.commit()
+    change = store.begin()
+    change.merge("sources", seen, "source_id", lambda old, new: upsert(old, new, ["source_id"], ["documents"]))
+    change.commit()
+    return store.table("sources")
