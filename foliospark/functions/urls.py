@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.idn import ascii_host
 from foliospark.functions.lexicon import IGNORED_EXTENSIONS
 from foliospark.functions.text import sub, trim_ws
 
@@ -37,8 +38,25 @@ def percent_encoded(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.array_join(F.transform(F.split(text, "", -1), one), "")).otherwise(text)
 
 
+def without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments, written plainly or encoded, are resolved; above the root there is nothing."""
+    one, two = r"^(?i:\.|%2e)$", r"^(?i:(\.|%2e){2})$"
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, x: Column) -> Column:
+        up = F.when(F.size(kept) > 0, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
+        return F.when(x.rlike(one), kept).when(x.rlike(two), up).otherwise(F.concat(kept, F.array(x)))
+
+    last = F.element_at(parts, -1)
+    end = F.when(last.rlike(one) | last.rlike(two), F.array(F.lit(""))).otherwise(none)
+    joined = F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, none, step), end), "/"))
+    return F.when(path.rlike(r"/(?i:\.|%2e){1,2}(/|$)"), joined).otherwise(path)
+
+
 def canonical_url(url: Column) -> Column:
-    """Scheme and host lower-cased, default port, fragment, tracking keys and one trailing slash removed, path and query encoded.
+    """Scheme and host lower-cased, the host in ASCII, default port, fragment, tracking keys and one trailing slash removed, dot
+    segments resolved, path and query encoded.
 
     Null for what is not an absolute URL.
     """
@@ -46,7 +64,8 @@ def canonical_url(url: Column) -> Column:
     scheme = F.lower(part(1))
     host = F.lower(part(2))
     host = F.when(scheme == "http", sub(host, r":80$", "")).when(scheme == "https", sub(host, r":443$", "")).otherwise(host)
-    path = F.when(part(3) == "", F.lit("/")).otherwise(percent_encoded(part(3), _IN_PATH))
+    host = ascii_host(host)
+    path = F.when(part(3) == "", F.lit("/")).otherwise(without_dots(percent_encoded(part(3), _IN_PATH)))
     path = F.when((F.length(path) > 1) & path.endswith("/"), F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
     pairs = F.filter(F.split(F.substring(part(4), F.lit(2), F.length(part(4))), "&", -1), lambda p: (p != "") & ~p.rlike(f"^{_DROPPED}$"))
     query = percent_encoded(F.array_join(pairs, "&"), _IN_QUERY)

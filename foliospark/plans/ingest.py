@@ -18,6 +18,7 @@ from foliospark.sources import embedding as M
 from foliospark.sources import fetch as X
 from foliospark.sources import sinks
 from foliospark.sources import tables as D
+from foliospark.sources.memo import EmbeddingMemo
 from foliospark.sources.policies import CRAWL_POLICIES
 from foliospark.sources.registry import read_registry
 from foliospark.sources.store import Store
@@ -153,6 +154,37 @@ def embedded_documents(spark, sf_dir):
     return v.select(F.col("chunk_id").alias("doc_id"), (F.round(weighted, 6) + 0.0).alias("checksum"), F.round(F.array_max("vector"), 6).alias("largest"))
 
 
+@query(SQL["embedded_documents"])
+def embedding_memo(spark, sf_dir):
+    """The same vectors through the memo: half of the documents are known when all are asked for, and equal texts are embedded once."""
+    ship(spark)
+    d = D.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    memo = EmbeddingMemo(spark, new_folder(spark, "memo"), 16)
+    memo.embed(d.where("chunk_id % 2 = 0"), M.hashing_provider(), "words-64")
+    v = memo.embed(d, M.hashing_provider(), "words-64")
+    weighted = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return v.select(F.col("chunk_id").alias("doc_id"), (F.round(weighted, 6) + 0.0).alias("checksum"), F.round(F.array_max("vector"), 6).alias("largest"))
+
+
+# Host names of other scripts and their ASCII forms.
+_HOSTS = {
+    "bücher.example": "xn--bcher-kva.example", "例え.テスト": "xn--r8jz45g.xn--zckzah", "пример.испытание": "xn--e1afmkfd.xn--80akhbyknj4f",
+    "www.español.example": "www.xn--espaol-zwa.example", "plain.example": "plain.example",
+}
+
+
+@query(f"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1) AS path, [{', '.join(map(S.q, _HOSTS.values()))}] AS hosts FROM pages)
+SELECT page_id, 'https://' || hosts[page_id % 5 + 1] || rtrim('/' || regexp_replace(path, '[^/]*$', '') || page_id, '/') AS url FROM u""")
+def url_hosts(spark, sf_dir):
+    """Canonical URLs of hosts in other scripts, with dot segments in their paths."""
+    p = D.read(spark, sf_dir, "pages")
+    host = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % 5 + 1).cast("int"))
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^?#]*)", 1)
+    path = F.regexp_replace(path, "[^/]*$", "")
+    url = F.concat(F.lit("HTTPS://"), host, F.lit("/"), path, F.lit("x/../y/./%2e%2e/"), F.col("page_id").cast("string"), F.lit("/#top"))
+    return p.select("page_id", U.canonical_url(url).alias("url"))
+
+
 # A run ------------------------------------------------------------------------------------------------
 
 # Fixture: every seventh document is not yet known, and every sixth isn't fetched this time.

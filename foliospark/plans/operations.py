@@ -326,6 +326,24 @@ def rate_limit(spark, sf_dir):
     return sync.rate_limit(r, 6 * 3600, 2)
 
 
+@query(SQL["rate_limit"])
+def rate_limit_state(spark, sf_dir):
+    """The same verdicts from a stream whose windows are state: requests arrive in two batches, each decided once the watermark has passed it."""
+    from foliospark.streaming import state
+
+    e = D.read(spark, sf_dir, "events")
+    r = e.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    late = F.lit("2024-01-15").cast("timestamp")
+    end = spark.createDataFrame([("", -1)], "key string, id long").withColumn("at", F.lit("2100-01-01").cast("timestamp"))
+    inbox, checkpoint, out = (new_folder(spark, n) for n in ("requests", "rates", "verdicts"))
+    for part in (r.where(F.col("at") < late), r.where(F.col("at") >= late), end):
+        part.write.mode("append").parquet(inbox)
+        verdicts = state.rate_limit_stream(spark.readStream.schema(r.schema).parquet(inbox), 6 * 3600, 2)
+        sync.start(verdicts, lambda df, n: df.write.mode("append").parquet(out), checkpoint).awaitTermination()
+    seen = spark.read.schema(state.VERDICT).parquet(out).where("id >= 0")
+    return seen.select("key", "id", F.col("at").cast("timestamp_ntz").alias("at"), "allowed", "retry_after")
+
+
 @query("""SELECT count(*) AS total, count(*) FILTER (doc_id % 20 NOT IN (7, 13)) AS correct, round(count(*) FILTER (doc_id % 20 NOT IN (7, 13)) / count(*), 6)::DOUBLE AS accuracy FROM documents""")
 def classifier_accuracy(spark, sf_dir):
     """Accuracy against fixtures of which two of twenty expect another event than the change has."""

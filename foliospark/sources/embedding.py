@@ -59,7 +59,8 @@ def embed_column(text: Column, provider: Provider, batch: int = 128, failures=No
                 out += [unit(v) for v in got]
             yield pd.Series(out, dtype=object)
 
-    return run(text)
+    # not deterministic for the planner: a filter on the vectors isn't moved below, which would ask the provider twice
+    return run.asNondeterministic()(text)
 
 
 def chunk_embeddings(chunks: DataFrame, provider: Provider, model: str, failures=None) -> DataFrame:

@@ -489,3 +489,59 @@ def test_search_after_tables_were_dropped(spark, sf_dir):
     first = sorted(map(tuple, retrieval.search_index(spark, sf_dir).collect()))
     session.drop_tables()
     assert sorted(map(tuple, retrieval.search_index(spark, sf_dir).collect())) == first
+
+
+def test_punycode_same_as_codec(spark):
+    import random
+
+    from foliospark.functions import idn
+
+    rng = random.Random(1)
+    pools = ["abcxyz019-", "äöüßéñ", "日本語天気", "абвгд", "😀🎉", "אבג"]
+    labels = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 30))) for _ in range(300)] + ["ü" * 63, "a" * 60 + "é", "\U0010ffff"]
+    df = spark.createDataFrame(list(enumerate(labels)), "i int, t string")
+    got = {r["i"]: r["p"] for r in df.select("i", idn.punycode(F.col("t")).alias("p")).collect()}
+    assert got == {i: t.encode("punycode").decode() for i, t in enumerate(labels)}
+
+
+def test_hosts_and_dot_segments(spark):
+    cases = {
+        "http://Bücher.Example/a/../b/./c": "http://xn--bcher-kva.example/b/c", "https://例え。テスト:443/": "https://xn--r8jz45g.xn--zckzah/",
+        "http://a.b/../../x": "http://a.b/x", "http://a.b/x/..": "http://a.b/", "http://a.b/x/y/..": "http://a.b/x", "http://a.b/x/%2E%2e/y": "http://a.b/y",
+        "http://a.b/.../x..y/.z": "http://a.b/.../x..y/.z", "http://a.b/x/.": "http://a.b/x",
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "u string")
+    assert {r["u"]: r["c"] for r in df.select("u", U.canonical_url(F.col("u")).alias("c")).collect()} == cases
+
+
+def test_memo_asks_once(spark, tmp_path):
+    from foliospark.session import ship
+    from foliospark.sources import embedding, memo
+
+    ship(spark)
+    asked, failed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    inner = embedding.hashing_provider(64)
+
+    def provider(texts):
+        asked.add(len(texts))
+        if any(t == "fails" for t in texts):
+            raise OSError
+        return inner(texts)
+
+    m = memo.EmbeddingMemo(spark, str(tmp_path), 4)
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "chunk_id int, text string").coalesce(1)
+        before = asked.value
+        out = {r["chunk_id"]: r["vector"] for r in m.embed(df, provider, "words-8", failures=failed).collect()}
+        return out, asked.value - before
+
+    first, n = run([(i, f"text {i % 3}") for i in range(9)])
+    assert n == 3 and len(first) == 9 and first[0] == first[3] == embedding.unit(inner(["text 0"])[0])
+    assert run([(1, "text 1"), (2, " text 2 ")]) == ({1: first[1], 2: first[2]}, 0)
+    again, n = run([(1, "text 1"), (7, "new")])
+    assert n == 1 and again[1] == first[1]
+    assert run([(8, "fails")]) == ({}, 1) and run([(8, "fails")]) == ({}, 1) and failed.value == 2
+    # used last: text 1 and new, then text 2, then text 0
+    assert m.vectors().count() == 4 and m.evict(10) == 4 and m.evict(3) == 3 and m.evict(2) == 2
+    assert run([(0, "text 0"), (1, "text 1"), (2, "text 2"), (3, "new")])[1] == 2
