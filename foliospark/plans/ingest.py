@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -39,31 +38,44 @@ def query(sql: str | None = None):
 
 # Sources ----------------------------------------------------------------------------------------------
 
-_REGISTRY = [
-    {"id": "src1", "name": "First", "kind": "docs", "base_url": "https://one.example.org/docs"},
-    {"id": "src2", "name": "Second", "kind": "docs", "base_url": "https://two.example.org/", "trust_score": 0.8, "poll_interval_minutes": 15,
-     "seed_urls": ["https://two.example.org/a/", "https://two.example.org/a#x", "https://two.example.org/b?utm_source=q"]},
-    {"id": "src1", "name": "First again", "kind": "api", "base_url": "https://one.example.org/api/", "trust_score": 0.95},
-]
-
-
-def _registry(spark):
-    """A registry file, written to the shared folder and read by the source."""
-    path = f"{shared_dir(spark)}/folio/registry-{uuid.uuid4().hex}"
-    remember(spark, path)
-    spark.createDataFrame([(json.dumps(_REGISTRY),)], "value string").coalesce(1).write.text(path)
+def _registry(spark, entries):
+    """A registry file, a JSON array of the entries in order, written to the shared folder and read by the source; a row for each source."""
+    path = new_folder(spark, "registry")
+    fields = [c for c in entries.columns if c != "place"]
+    listed = entries.agg(F.sort_array(F.collect_list(F.struct("place", F.struct(*fields).alias("e")))).alias("all"))
+    listed.select(F.to_json(F.transform("all", lambda x: x["e"])).alias("value")).coalesce(1).write.text(path)
     return read_registry(spark, path)
 
 
-@query("""SELECT * FROM (VALUES ('src1', 'First again', 'api', 0.95::DOUBLE, 60), ('src2', 'Second', 'docs', 0.8::DOUBLE, 15)) v(id, name, kind, trust_score, poll_interval_minutes)""")
+@query("""WITH s AS (SELECT source AS id, count(*) AS n, min(doc_id) AS first FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT id, CASE WHEN n % 3 = 0 THEN 'Second of ' ELSE 'First of ' END || id AS name, CASE WHEN n % 3 = 0 THEN 'api' ELSE 'docs' END AS kind,
+ CASE WHEN n % 3 = 0 THEN 0.95 WHEN n % 2 = 0 THEN 0.8 ELSE 1.0 END::DOUBLE AS trust_score, CASE WHEN n % 3 <> 0 AND n % 5 > 0 THEN 15 ELSE 60 END::INT AS poll_interval_minutes FROM s""")
 def registry_scan(spark, sf_dir):
-    """Of equal ids the last entry counts; unset trust is 1, unset interval an hour."""
-    return _registry(spark).select("id", "name", "kind", F.col("trust_score").cast("double").alias("trust_score"), "poll_interval_minutes")
+    """A registry of the documents' sources, some listed twice: the last entry counts; unset trust is 1, unset interval an hour."""
+    s = D.read(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None)
+    base = F.concat(F.lit("https://docs.example.org/"), "id")
+    first = s.select(
+        F.concat(F.lit("1"), "id").alias("place"), "id", F.concat(F.lit("First of "), "id").alias("name"), F.lit("docs").alias("kind"), base.alias("base_url"),
+        F.when(F.col("n") % 2 == 0, 0.8).alias("trust_score"), F.when(F.col("n") % 5 > 0, 15).alias("poll_interval_minutes"),
+    )
+    again = s.where("n % 3 = 0").select(
+        F.concat(F.lit("2"), "id"), "id", F.concat(F.lit("Second of "), "id"), F.lit("api"), base, F.lit(0.95), none.cast("int")
+    )
+    out = _registry(spark, first.union(again))
+    return out.select("id", "name", "kind", F.col("trust_score").cast("double").alias("trust_score"), "poll_interval_minutes")
 
 
-@query("""SELECT * FROM (VALUES ('src1', 'https://one.example.org/api'), ('src2', 'https://two.example.org/a'), ('src2', 'https://two.example.org/b')) v(id, seed)""")
+@query(f"""WITH h AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS id, page_id, url FROM pages), n AS (SELECT id, count(*) AS n FROM h GROUP BY id),
+ u AS (SELECT id, 'https://' || id || '/' AS u FROM n WHERE n % 2 = 1 UNION ALL SELECT id, url FROM h JOIN n USING (id) WHERE n % 2 = 0)
+SELECT DISTINCT id, {S.canonical('u')} AS seed FROM u""")
 def crawl_seeds(spark, sf_dir):
-    return _registry(spark).select("id", F.explode(U.candidate_seeds(F.col("seed_urls"), F.col("base_url"))).alias("seed"))
+    """Seeds of each host of the pages: its URLs, canonical and once each, or else its base."""
+    h = D.read(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("id"), "url")
+    base = F.concat(F.lit("https://"), "id", F.lit("/"))
+    grouped = h.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("url").alias("urls"))
+    seeds = U.candidate_seeds(F.when(F.col("n") % 2 == 0, F.col("urls")), base)
+    return grouped.select("id", F.explode(seeds).alias("seed"))
 
 
 _SITEMAP = "['https://docs.example.org/p/' || page_id || '/', 'HTTPS://Docs.Example.org:443/p/' || page_id || '#top', 'https://docs.example.org/p/' || page_id || '/x.PNG', 'https://elsewhere.example.org/p/1', 'https://docs.example.org/q?utm_a=1&k=' || page_id, 'no url']"
@@ -85,35 +97,24 @@ def sitemap_links(spark, sf_dir):
     return p.select("page_id", F.explode(U.sitemap_urls(xml, F.lit(f"{site}/"))).alias("url"))
 
 
-def demo_server(url: str, headers: dict[str, str], timeout: float, attempt: int) -> tuple[int, str, dict[str, str]]:
-    """Answers by the number at the end of a URL: some always fail, some at first, some know their state."""
-    n = int(url.rsplit("/", 1)[1])
-    tag = f'"e{n}"'
-    if n % 11 == 0:
-        return 500, "", {}
-    if n % 7 == 0 and attempt < 1 + n % 3:
-        raise TimeoutError("slow")
-    if headers.get("if-none-match") == tag:
-        return 304, "", {"etag": tag}
-    return 200, f"page {n} for {headers['user-agent']}", {"etag": tag, "last-modified": "Mon, 01 Jan 2024 00:00:00 GMT"}
-
-
-@query("""WITH r AS (SELECT page_id AS n, 'https://site.example.org/p/' || page_id AS url, 'src' || (page_id % 12) AS source_id, page_id % 5 = 0 AS known,
-  page_id % 11 = 0 OR (page_id % 7 = 0 AND page_id % 3 = 2) AS lost FROM pages)
-SELECT source_id, url, CASE WHEN n % 11 = 0 THEN 500 WHEN lost THEN 0 WHEN known THEN 304 ELSE 200 END::INT AS status,
- CASE WHEN lost THEN NULL WHEN known THEN '' ELSE 'page ' || n || ' for foliospark' END AS html,
- CASE WHEN lost THEN NULL ELSE '"e' || n || '"' END AS etag, known AND NOT lost AS not_modified,
- (CASE WHEN lost THEN 3 WHEN n % 7 = 0 THEN 2 + n % 3 ELSE 1 END)::INT AS attempts,
- CASE WHEN n % 11 = 0 THEN 'HTTP 500 for ' || url WHEN lost THEN 'TimeoutError: slow' END AS error FROM r""")
+@query("""WITH m AS (SELECT url, max_by(html, page_id) AS html FROM pages GROUP BY url),
+ r AS (SELECT page_id AS n, 'src' || (page_id % 12) AS source_id, CASE WHEN page_id % 9 = 0 THEN url || '/gone' ELSE url END AS url FROM pages),
+ j AS (SELECT r.*, m.html, '"' || md5(m.html) || '"' AS etag, CASE WHEN n % 5 = 0 THEN true ELSE false END AS known FROM r LEFT JOIN m USING (url))
+SELECT source_id, url, CASE WHEN html IS NULL THEN 404 WHEN known THEN 304 ELSE 200 END::INT AS status, CASE WHEN html IS NULL THEN NULL WHEN known THEN '' ELSE html END AS html,
+ CASE WHEN html IS NOT NULL THEN etag END AS etag, known AND html IS NOT NULL AS not_modified, 1::INT AS attempts,
+ CASE WHEN html IS NULL THEN 'HTTP 404 for ' || url END AS error FROM j""")
 def fetch_pages(spark, sf_dir):
-    """Three attempts for each URL and conditional requests, against a server that answers by rule."""
+    """Conditional requests against a stored mirror of the pages: some are known already, some are gone."""
     p = D.read(spark, sf_dir, "pages")
-    url = F.concat(F.lit("https://site.example.org/p/"), F.col("page_id").cast("string"))
-    tag = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit('"e'), F.col("page_id").cast("string"), F.lit('"')))
+    mirror = p.groupBy("url").agg(F.max_by("html", "page_id").alias("html"))
+    mirror = mirror.select("url", "html", F.concat(F.lit('"'), F.md5("html"), F.lit('"')).alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    own = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    latest = p.select("page_id", "url").join(mirror.select("url", "html"), "url")
+    url = F.when(F.col("page_id") % 9 == 0, F.concat("url", F.lit("/gone"))).otherwise(F.col("url"))
     source = F.concat(F.lit("src"), (F.col("page_id") % 12).cast("string"))
-    stored = p.select(source.alias("source_id"), url.alias("canonical_url"), tag.alias("fetch_etag"), F.lit("").alias("fetch_last_modified"))
-    out = X.fetch_pages(X.conditions(stored), demo_server, backoff=0.0)
-    return out.drop("last_modified").withColumn("status", F.coalesce("status", F.lit(0)))
+    tag = F.when(F.col("page_id") % 5 == 0, own).when(F.col("page_id") % 7 == 0, F.lit('"old"'))
+    stored = latest.select(source.alias("source_id"), url.alias("canonical_url"), tag.alias("fetch_etag"), F.lit("").alias("fetch_last_modified"))
+    return X.from_mirror(X.conditions(stored), mirror).drop("last_modified")
 
 
 _FURNITURE = ("On this page", "Was this page helpful?", "Copy page", "Edit this page", "Ask AI", "Blog", "Breadcrumbs", "Kept line")

@@ -61,11 +61,33 @@ def fetch_one(
     return status, None, None, None, False, retries + 1, error
 
 
+def from_mirror(requests: DataFrame, mirror: DataFrame) -> DataFrame:
+    """The same rows from a stored mirror (url, html, etag, last_modified), where the network is closed or a crawl is repeated.
+
+    A request whose etag, or else whose date, is the stored one gets 304; a URL that isn't stored gets 404.  One equi-join.
+    """
+    m = mirror.select("url", F.lit(True).alias("__here"), "html", F.col("etag").alias("__etag"), F.col("last_modified").alias("__modified"))
+    both = requests.select("source_id", "url", "etag", "last_modified").join(m, "url", "left")
+    here = F.col("__here").isNotNull()
+    same = F.when(F.col("etag").isNotNull(), F.col("etag") == F.col("__etag")).otherwise(F.col("last_modified") == F.col("__modified"))
+    same = here & F.coalesce(same, F.lit(False))
+    return both.select(
+        "source_id", "url", F.when(~here, 404).when(same, 304).otherwise(200).alias("status"),
+        F.when(here, F.when(same, F.lit("")).otherwise(F.col("html"))).alias("html"), F.col("__etag").alias("etag"),
+        F.col("__modified").alias("last_modified"), same.alias("not_modified"), F.lit(1).alias("attempts"),
+        F.when(~here, F.concat(F.lit("HTTP 404 for "), "url")).alias("error"),
+    )
+
+
 def fetch_pages(
     requests: DataFrame, transport: Transport = http, timeout: float = 10.0, retries: int = 2, backoff: float = 0.5,
-    agent: str = "foliospark", sleep: Callable[[float], None] = time.sleep,
+    agent: str = "foliospark", sleep: Callable[[float], None] = time.sleep, pause: float = 0.0,
 ) -> DataFrame:
-    """A row for each request (source_id, url, etag, last_modified); a failed one has an error and no text."""
+    """A row for each request (source_id, url, etag, last_modified); a failed one has an error and no text.
+
+    With a ``pause`` all requests to one host are made by one task, one after another, that many seconds apart; hosts
+    are fetched side by side.
+    """
     ship(requests.sparkSession)
     schema = pa.schema(
         [("source_id", pa.string()), ("url", pa.string()), ("status", pa.int32()), ("html", pa.string()), ("etag", pa.string()),
@@ -73,16 +95,22 @@ def fetch_pages(
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                rows = batch.slice(at, 64).to_pylist()
-                made = [
-                    (r["source_id"], r["url"], *fetch_one(r["url"], r["etag"], r["last_modified"], transport, timeout, retries, backoff, agent, sleep))
-                    for r in rows
-                ]
+                made = []
+                for r in batch.slice(at, 64).to_pylist():
+                    if pause and r["host"] == last:
+                        sleep(pause)
+                    last = r.get("host")
+                    made.append((r["source_id"], r["url"], *fetch_one(r["url"], r["etag"], r["last_modified"], transport, timeout, retries, backoff, agent, sleep)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
 
-    return requests.select("source_id", "url", "etag", "last_modified").mapInArrow(run, FETCHED)
+    rows = requests.select("source_id", "url", "etag", "last_modified")
+    if pause:
+        rows = rows.withColumn("host", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)))
+        rows = rows.repartition("host").sortWithinPartitions("host", "url")
+    return rows.mapInArrow(run, FETCHED)
 
 
 def conditions(documents: DataFrame) -> DataFrame:

@@ -181,6 +181,44 @@ def test_crawl_order_and_caps(spark):
     assert got == [e, e + "b", e + "a"]
 
 
+def test_crawl_same_as_queue(spark):
+    """Random sites and two bases: order, caps and depth of a plain queue, and no page read beyond the cap."""
+    import random
+    from collections import deque
+
+    rng = random.Random(7)
+    sites, rows = {}, []
+    for host in ("a", "b"):
+        base = f"https://{host}.org/"
+        urls = [base, *(f"{base}{k}" for k in range(60))]
+        for u in urls:
+            links = [rng.choice(urls + [f"{base}missing{rng.randrange(9)}", "https://c.org/x"]) for _ in range(rng.randrange(0, 7))]
+            sites[u] = (links, rng.random() < 0.6 or u == base)
+            rows.append((u, links, sites[u][1]))
+    pages = spark.createDataFrame(rows, "canonical_url string, links array<string>, accepted boolean")
+    seeds = spark.createDataFrame([(f"https://{h}.org/{x}", n, f"https://{h}.org/") for h in "ab" for n, x in enumerate(("", "5", "missing"))], "url string, n int, base string")
+    for cap, depth in ((4, 3), (12, 2), (500, 3)):
+        want = []
+        for host in "ab":
+            base, taken = f"https://{host}.org/", []
+            queue = deque((u, 0) for u in (base, f"{base}5", f"{base}missing"))
+            known = {u for u, _ in queue}
+            while queue and len(taken) < cap:
+                u, d = queue.popleft()
+                links, ok = sites.get(u, ([], False))
+                if not ok:
+                    continue
+                taken.append((base, u, d, len(taken) + 1))
+                for x in links if d < depth else ():
+                    if x.startswith(base) and x not in known:
+                        known.add(x)
+                        queue.append((x, d + 1))
+            want += taken
+        got = sorted(map(tuple, K.crawl(pages, seeds, U.CrawlPolicy("s", max_pages=cap, max_depth=depth)).collect()))
+        assert got == sorted(want)
+    assert K.crawl(pages, seeds.where("n > 5"), U.CrawlPolicy("s")).count() == 0
+
+
 def test_policies():
     p = O.parse_policies(json.dumps({"a": {"allow_sources": ["x", "y"], "deny_sources": ["y"], "min_trust_score": 7}, "default": {"deny_sources": ["z"]}}))
     assert O.tenant_policy(p, "a").effective() == ("x",) and O.tenant_policy(p, "a").min_trust_score == 1.0

@@ -97,3 +97,38 @@ def test_defaults_and_limits(spark):
     df = spark.createDataFrame([("q", None, None), ("query", 51, "odd"), (None, 3, "concise")], "query string, top_k int, style string")
     got = [(r["top_k"], r["style"], r["violations"]) for r in Q.violations(Q.defaulted(df)).collect()]
     assert got == [(10, "concise", ["query"]), (51, "odd", ["top_k", "style"]), (3, "concise", ["query"])]
+
+
+def test_fetches_by_host(spark, tmp_path):
+    """Three attempts for each URL, conditional requests, and a pause between requests to one host."""
+
+    def server(url, headers, timeout, attempt):
+        """Answers by the number at the end of a URL: some always fail, some at first, some know their state."""
+        n = int(url.rsplit("/", 1)[1])
+        if n % 11 == 0:
+            return 500, "", {}
+        if n % 7 == 0 and attempt < 1 + n % 3:
+            raise TimeoutError("slow")
+        if headers.get("if-none-match") == f'"e{n}"':
+            return 304, "", {"etag": f'"e{n}"'}
+        return 200, f"page {n} for {headers['user-agent']}", {"etag": f'"e{n}"', "last-modified": "then"}
+
+    rows = [(f"s{n}", f"https://h{n % 3}.org/p/{n}", f'"e{n}"' if n % 5 == 0 else None, None) for n in range(1, 60)]
+    asked = spark.createDataFrame(rows, "source_id string, url string, etag string, last_modified string").repartition(7)
+    slept = spark.sparkContext.accumulator(0.0)
+    out = fetch.fetch_pages(asked, server, backoff=0.0, pause=2.0, sleep=lambda x: slept.add(x)).collect()
+    by = {int(r["source_id"][1:]): r for r in out}
+    assert len(out) == 59 and slept.value == 2.0 * (59 - 3)
+    for n, r in by.items():
+        lost = n % 11 == 0 or (n % 7 == 0 and n % 3 == 2)
+        assert r["attempts"] == (3 if lost else 2 + n % 3 if n % 7 == 0 else 1) and (r["error"] is not None) == lost
+        assert r["status"] == (500 if n % 11 == 0 else None if lost else 304 if n % 5 == 0 else 200)
+        assert r["html"] == (None if lost else "" if n % 5 == 0 else f"page {n} for foliospark")
+
+
+def test_fetches_from_a_mirror(spark):
+    mirror = spark.createDataFrame([("u", "text", "e", None), ("v", None, None, "then")], "url string, html string, etag string, last_modified string")
+    rows = [("1", "u", None, None), ("2", "u", "e", None), ("3", "u", "old", "then"), ("4", "v", None, "then"), ("5", "w", "e", None), ("6", None, None, None)]
+    asked = spark.createDataFrame(rows, "source_id string, url string, etag string, last_modified string")
+    got = {r["source_id"]: (r["status"], r["html"], r["not_modified"]) for r in fetch.from_mirror(asked, mirror).collect()}
+    assert got == {"1": (200, "text", False), "2": (304, "", True), "3": (200, "text", False), "4": (304, "", True), "5": (404, None, False), "6": (404, None, False)}
