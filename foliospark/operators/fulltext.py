@@ -5,14 +5,14 @@ bucket of the stem, a stem's strongest first, and positions stand in a column
 of their own that only the chunks which can still win are asked for.
 
 A chunk matches a query by any of its stems; the score is the largest of three
-ranks: cover density of all stems, of all expanded stems, and the mean count
-of single stems.  Covers begin at different places and each holds all stems, so
-there are no more of them than occurrences of the rarest one, and each counts
-one at most: the third rank is never below the others.  So the score is a sum
-of impacts, and :func:`matches` reads no positions.
+ranks: the mean count of the stems, which is a sum of impacts, cover density of
+all stems, and cover density of all expanded stems.  Positions are read only of
+chunks that hold all stems, and only those stems' ones.
 
 :func:`best_covers` ranks chunks that hold all stems by the density of their
-covers.  The rarest stem's count bounds it.  The best by bound are measured; the
+covers.  Covers begin at different occurrences and at least one of each other
+stem follows, so of n stems that occur t times in all there are at most t - n + 1
+covers, and each counts one at most.  The best by that bound are measured; the
 worst of them is a floor, and only chunks whose bound reaches it are measured
 too.  Densities are array expressions; Python only stems words, as the index is
 built and for the words of queries.
@@ -106,23 +106,36 @@ def _read(index: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def matches(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, hits, weakest, n, fts_score) of every match: stems found, the rarest one's count, the score."""
+    """(query_id, chunk_id, hits, n, tf) of every match: stems found, stems asked for, occurrences in all.  Reads no positions."""
     asked = _asked(queries)
     hits = _read(index, asked).select("bucket", "stem", "chunk_id", "tf").join(asked, ["bucket", "stem"])
-    out = hits.groupBy("query_id", "chunk_id").agg(
-        F.count(F.lit(1)).alias("hits"), F.min("tf").alias("weakest"), F.max("n").alias("n"), F.sum("tf").alias("tf")
+    return hits.groupBy("query_id", "chunk_id").agg(
+        F.count(F.lit(1)).alias("hits"), F.max("n").alias("n"), F.sum("tf").alias("tf")
     )
-    return out.withColumn("fts_score", F.col("tf") / F.col("n")).drop("tf")
+
+
+def scores(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, fts_score) of every match: the largest of the three ranks."""
+    # written, as it is read for all matches and for those with all stems
+    found = materialize(matches(queries, index), "matches")
+    expanded = queries.where(F.size("expanded") > F.size("terms")).select("query_id", F.col("expanded").alias("terms"))
+    ranks = found.select("query_id", "chunk_id", (F.col("tf") / F.col("n")).alias("rank"))
+    whole = found.where("hits = n").select("query_id", "chunk_id")
+    ranks = ranks.union(covers(whole, queries, index))
+    whole = materialize(matches(expanded, index).where("hits = n").select("query_id", "chunk_id"), "expanded")
+    ranks = ranks.union(covers(whole, expanded, index))
+    return ranks.groupBy("query_id", "chunk_id").agg(F.max("rank").alias("fts_score"))
 
 
 def _first(rows: DataFrame, limit: int, score: str) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
+    # rounded, so that equal sums tie whatever their order of addition
+    order = W.partitionBy("query_id").orderBy(F.round(score, 9).desc(), "chunk_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def best_matches(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` best chunks of each query by score, ties by chunk: query_id, chunk_id, fts_score, rank."""
-    return _first(matches(queries, index).select("query_id", "chunk_id", "fts_score"), limit, "fts_score")
+    return _first(scores(queries, index), limit, "fts_score")
 
 
 def cover_density(events: Column, n: Column) -> Column:
@@ -158,13 +171,13 @@ def covers(pairs: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
 
 def best_covers(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` chunks with all stems of a query whose covers are densest, ties by chunk: query_id, chunk_id, density, rank."""
-    found = matches(queries, index).where("hits = n").select("query_id", "chunk_id", "weakest")
-    found = materialize(found, "matches")
-    likely = _first(found, limit, "weakest").select("query_id", "chunk_id")
+    bound = (F.col("tf") - F.col("n") + 1).alias("bound")
+    found = materialize(matches(queries, index).where("hits = n").select("query_id", "chunk_id", bound), "matches")
+    likely = _first(found, limit, "bound").select("query_id", "chunk_id")
     measured = materialize(covers(likely, queries, index), "covers")
     floor = measured.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("density").alias("least"))
     floor = floor.select("query_id", F.when(F.col("c") < limit, 0.0).otherwise(F.col("least")).alias("floor"))
-    open_ = found.join(floor, "query_id").where("weakest >= floor").join(measured, ["query_id", "chunk_id"], "left_anti")
+    open_ = found.join(floor, "query_id").where("bound >= floor").join(measured, ["query_id", "chunk_id"], "left_anti")
     both = measured.union(covers(open_, queries, index))
     return _first(both, limit, "density")
 
@@ -172,4 +185,4 @@ def best_covers(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
 def stem_search(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, fts_score) of every match."""
     index = postings(chunks) if index is None else index
-    return matches(stemmed_queries(queries), index).select("query_id", "chunk_id", "fts_score")
+    return scores(materialize(stemmed_queries(queries), "asked"), index)

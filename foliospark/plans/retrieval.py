@@ -196,33 +196,45 @@ def fts_rank(spark, sf_dir):
     return found.select("query_id", "chunk_id", F.round("fts_score", 6).alias("fts_rank"))
 
 
+def _dense_sql(name: str, want: str) -> str:
+    """``name``: (query_id, chunk_id, d), the cover density of chunks with all stems in ``want`` (query_id, n, s)."""
+    return f"""{name}0 AS (SELECT query_id, chunk_id, s, pos, n FROM {want} JOIN occ USING (s)),
+ {name}1 AS (SELECT query_id, chunk_id FROM {name}0 GROUP BY query_id, chunk_id HAVING count(DISTINCT s) = any_value(n)),
+ {name}2 AS (SELECT {name}0.* FROM {name}0 JOIN {name}1 USING (query_id, chunk_id)),
+ {name}3 AS (SELECT a.query_id, a.chunk_id, a.pos, a.n, b.s, max(b.pos) AS last FROM {name}2 a JOIN {name}2 b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos <= a.pos GROUP BY ALL),
+ {name}4 AS (SELECT query_id, chunk_id, pos, n, min(last) AS begin FROM {name}3 GROUP BY ALL HAVING count(*) = n),
+ {name}5 AS (SELECT query_id, chunk_id, begin, any_value(n) AS n, min(pos) AS pos FROM {name}4 GROUP BY query_id, chunk_id, begin),
+ {name} AS (SELECT query_id, chunk_id, sum(least(1.0, n / (pos - begin + 1))) AS d FROM {name}5 GROUP BY query_id, chunk_id)"""
+
+
 def _stem_sql(chunk: str = "chunk") -> str:
     """occ: (chunk_id, s, pos) of each stem in a chunk; want: (query_id, n, s) of each stem of a query; st: scores."""
     stop = ", ".join(S.q(w) for w in STOPWORDS)
-    return f"""term AS (SELECT query_id, unnest(list_distinct({S.tokens('query')})) AS w FROM q),
+    count = "count(*) OVER (PARTITION BY query_id) AS n"
+    return f"""asked0 AS (SELECT query_id, list_distinct({S.tokens('query')}) AS terms FROM q),
+ term AS (SELECT query_id, unnest(terms) AS w, true AS own FROM asked0 UNION ALL SELECT query_id, unnest({S.synonyms('terms', SEARCH_SYNONYMS)}), false FROM asked0),
  word0 AS (SELECT chunk_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
    FROM (SELECT chunk_id, regexp_extract_all(lower(text || ' ' || title), '[a-z0-9_]+') AS ws FROM {chunk})),
  words AS (SELECT w FROM word0 UNION ALL SELECT w FROM term), {S.stems('words')},
- want AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT DISTINCT query_id, s FROM term JOIN stem USING (w))),
- occ AS (SELECT chunk_id, s, pos FROM word0 JOIN stem USING (w) WHERE w NOT IN ({stop}) AND s IN (SELECT s FROM want)),
- st AS (SELECT query_id, chunk_id, count(*) / any_value(n) AS fts_score, count(DISTINCT s) AS hits, any_value(n) AS n FROM want JOIN occ USING (s) GROUP BY query_id, chunk_id)"""
+ want AS (SELECT *, {count} FROM (SELECT DISTINCT query_id, s FROM term JOIN stem USING (w) WHERE own)),
+ more AS (SELECT *, {count} FROM (SELECT DISTINCT query_id, s FROM term JOIN stem USING (w))),
+ occ AS (SELECT chunk_id, s, pos FROM word0 JOIN stem USING (w) WHERE w NOT IN ({stop}) AND s IN (SELECT s FROM more)),
+ single AS (SELECT query_id, chunk_id, count(*) / any_value(n) AS r FROM want JOIN occ USING (s) GROUP BY query_id, chunk_id),
+ {_dense_sql('plain_', 'want')}, {_dense_sql('wide_', 'more')},
+ st AS (SELECT query_id, chunk_id, greatest(r, coalesce(plain_.d, 0), coalesce(wide_.d, 0)) AS fts_score
+   FROM single LEFT JOIN plain_ USING (query_id, chunk_id) LEFT JOIN wide_ USING (query_id, chunk_id))"""
 
 
 @query(f"""WITH {D.CHUNKS_SQL}, {D.QUERIES_SQL}, {_stem_sql()}
-SELECT query_id, chunk_id, round(fts_score, 6)::DOUBLE AS fts_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fts_score DESC, chunk_id) AS k FROM st) WHERE k <= 30""")
+SELECT query_id, chunk_id, round(fts_score, 6)::DOUBLE AS fts_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fts_score, 9) DESC, chunk_id) AS k FROM st) WHERE k <= 30""")
 def fts_search(spark, sf_dir):
     """Stemmed matches, best thirty of each query."""
     asked = X.stemmed_queries(D.search_queries(spark, sf_dir))
     return X.best_matches(asked, _stems(spark, sf_dir), 30).select("query_id", "chunk_id", F.round("fts_score", 6).alias("fts_score"))
 
 
-@query(f"""WITH {D.CHUNKS_SQL}, {D.QUERIES_SQL}, {_stem_sql()},
- h AS (SELECT query_id, chunk_id, n, s, pos FROM st JOIN want USING (query_id, n) JOIN occ USING (chunk_id, s) WHERE hits = n),
- lasts AS (SELECT a.query_id, a.chunk_id, a.pos, a.n, b.s, max(b.pos) AS last FROM h a JOIN h b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos <= a.pos GROUP BY ALL),
- begins AS (SELECT query_id, chunk_id, pos, n, min(last) AS begin FROM lasts GROUP BY ALL HAVING count(*) = n),
- ends AS (SELECT query_id, chunk_id, begin, any_value(n) AS n, min(pos) AS pos FROM begins GROUP BY query_id, chunk_id, begin),
- dense AS (SELECT query_id, chunk_id, round(sum(least(1.0, n / (pos - begin + 1))), 6)::DOUBLE AS density FROM ends GROUP BY query_id, chunk_id)
-SELECT query_id, chunk_id, density FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY density DESC, chunk_id) AS k FROM dense) WHERE k <= 30""")
+@query(f"""WITH {D.CHUNKS_SQL}, {D.QUERIES_SQL}, {_stem_sql()}, dense AS (SELECT query_id, chunk_id, round(d, 9) AS d FROM plain_)
+SELECT query_id, chunk_id, round(d, 6)::DOUBLE AS density FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, chunk_id) AS k FROM dense) WHERE k <= 30""")
 def fts_covers(spark, sf_dir):
     """Chunks with all stems of a query, best thirty by the density of their covers; positions of those only that can still win."""
     asked = X.stemmed_queries(D.search_queries(spark, sf_dir))
@@ -231,7 +243,7 @@ def fts_covers(spark, sf_dir):
 
 
 @query(f"""WITH {D.CHUNKS_SQL.replace("coalesce(text, '') AS text", f"coalesce(text, '') || CASE WHEN doc_id % 9 = 4 THEN '{D.EDIT}' ELSE '' END AS text").replace("FROM documents", "FROM documents WHERE doc_id % 9 <> 7")}, {D.QUERIES_SQL}, {_stem_sql()}
-SELECT query_id, chunk_id, round(fts_score, 6)::DOUBLE AS fts_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fts_score DESC, chunk_id) AS k FROM st) WHERE k <= 30""")
+SELECT query_id, chunk_id, round(fts_score, 6)::DOUBLE AS fts_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fts_score, 9) DESC, chunk_id) AS k FROM st) WHERE k <= 30""")
 def index_delta(spark, sf_dir):
     """Search after a second sync: one document of nine was edited, another one is gone; only those are indexed, as a segment."""
     index = SearchIndex(spark, new_folder(spark, "search-index"))

@@ -475,6 +475,30 @@ def test_best_covers_same_as_plain(spark, tmp_path):
     assert fulltext.best_matches(asked, index, 5).count() == 10
 
 
+def test_scores_same_as_plain(spark):
+    """Few words in many turns: covers share a rare stem, so their density exceeds the mean count in some chunks."""
+    import random
+
+    from foliospark.operators import fulltext
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["hook", "token", "token", "alpha", "the", "setup"]) for _ in range(rng.randrange(1, 14))) for _ in range(120)]
+    c = spark.createDataFrame([(str(i), t, "") for i, t in enumerate(texts)], "chunk_id string, text string, title string")
+    q = spark.createDataFrame([(1, "hook token alpha"), (2, "setup hook"), (3, "alpha")], "query_id int, query string")
+    got = {(r["query_id"], r["chunk_id"]): round(r["fts_score"], 9) for r in fulltext.stem_search(q, c).collect()}
+    want, dense = {}, 0
+    for r in R.with_terms(q).collect():
+        own, more = ({rank.stem(x) for x in r[f]} for f in ("terms", "expanded"))
+        for i, t in enumerate(texts):
+            places = rank.lexemes(t)
+            mean = sum(places.count(w) for w in own) / len(own)
+            best = max(mean, rank.cover_density(own, places), rank.cover_density(more, places))
+            dense += best > mean
+            if mean:
+                want[r["query_id"], str(i)] = round(best, 9)
+    assert got == want and dense > 5
+
+
 def test_segments_same_as_full_build(spark, tmp_path):
     from foliospark.operators import fulltext
     from foliospark.operators.segments import SearchIndex
