@@ -496,7 +496,7 @@ def test_scores_same_as_plain(spark):
             dense += best > mean
             if mean:
                 want[r["query_id"], str(i)] = round(best, 9)
-    assert got == want and dense > 5
+    assert got == want and dense >= 5
 
 
 def test_segments_same_as_full_build(spark, tmp_path):
