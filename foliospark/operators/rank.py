@@ -27,6 +27,11 @@ _STEP4 = (
 )
 
 
+#: Longest endings first, and all endings of a step, to pass by words that have none.
+_TABLES = tuple((sorted(t, key=lambda x: -len(x[0])), tuple(e for e, _ in t)) for t in (_STEP2, _STEP3))
+_LAST = tuple(sorted(_STEP4, key=len, reverse=True))
+
+
 def _shape(word: str) -> str:
     """Vowels as v, consonants as c; y after a consonant is a vowel."""
     out = ""
@@ -44,7 +49,7 @@ def _short_end(stem: str) -> bool:
     return _shape(stem).endswith("cvc") and stem[-1] not in "wxy"
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=400_000)
 def stem(w: str) -> str:
     if len(w) < 3 or not w.isascii() or not w.isalpha():
         return w
@@ -69,13 +74,13 @@ def stem(w: str) -> str:
                 break
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for end, by in sorted(table, key=lambda x: -len(x[0])):
+    for table, ends in _TABLES:
+        for end, by in table if w.endswith(ends) else ():
             if w.endswith(end):
                 if _measure(w[: -len(end)]) > 0:
                     w = w[: -len(end)] + by
                 break
-    for end in sorted(_STEP4, key=len, reverse=True):
+    for end in _LAST if w.endswith(_LAST) else ():
         if w.endswith(end):
             base = w[: -len(end)]
             if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):
