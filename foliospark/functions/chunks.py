@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark.functions.lexicon import MAX_CHARS
-from foliospark.functions.text import WS, let, normalize_whitespace, trim_ws
+from foliospark.functions.text import let, normalize_whitespace, trim_ws
 
 _NONE = "array<string>"
 
@@ -80,7 +80,3 @@ def diff_sections(text: Column) -> Column:
         return F.struct(heading.alias("heading"), trim_ws(rest).alias("body"))
 
     return F.filter(F.transform(parts, section), lambda s: s["body"] != "")
-
-
-def word_split(text: Column) -> Column:
-    return F.filter(F.split(trim_ws(text), rf"{WS}+", -1), lambda w: w != "")
