@@ -19,6 +19,11 @@ def test_runs(name, spark, sf_dir):
     assert registry.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_guarded_verdict_has_all_outcomes(spark, sf_dir):
+    seen = {r["status"] for r in registry.QUERIES["guarded_verdict"](spark, sf_dir).select("status").distinct().collect()}
+    assert {"policy_blocked", "unsafe_content"} <= seen and len(seen) > 2
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
