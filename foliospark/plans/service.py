@@ -147,8 +147,8 @@ _JOBS = """r AS (SELECT 'ssr_' || (event_id // 4) AS job_id, min(ts) AS requeste
 def _jobs(spark, sf_dir):
     e = D.read(spark, sf_dir, "events")
     job = F.concat(F.lit("ssr_"), F.floor(F.col("event_id") / 4).cast("string"))
-    asked = e.select(job.alias("request_id"), F.concat(F.lit("src"), (F.col("user_id") % 12).cast("string")).alias("source_id"), F.col("ts").alias("requested_at"))
-    jobs = J.enqueue(asked, O.TenantPolicy(deny_sources=("src3", "src7")).sync_column(F.col("source_id")))
+    asked = e.select("event_id", job.alias("request_id"), F.concat(F.lit("src"), (F.col("user_id") % 12).cast("string")).alias("source_id"), F.col("ts").alias("requested_at"))
+    jobs = J.enqueue(asked, O.TenantPolicy(deny_sources=("src3", "src7")).sync_column(F.col("source_id")), ("event_id",))
     return J.job_states(jobs, e.select(job.alias("job_id"), (F.col("event_type") != "error").alias("ok")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,13 @@ DELAY_MS = 3000
 KEPT = 1000
 
 
-def enqueue(requests: DataFrame, allowed: Column) -> DataFrame:
+def enqueue(requests: DataFrame, allowed: Column, arrival: Sequence[str] = ()) -> DataFrame:
     """A job for each request id, however often it arrives; what the policy doesn't allow fails at once.
 
-    ``requests`` has request_id, source_id and requested_at.
+    ``requests`` has request_id, source_id and requested_at.  The first request counts; of those
+    with the same time the first by the columns ``arrival``.
     """
-    one = requests.groupBy("request_id").agg(F.min(F.struct("requested_at", "source_id")).alias("r"))
+    one = requests.groupBy("request_id").agg(F.min(F.struct("requested_at", *arrival, "source_id")).alias("r"))
     rows = one.select(F.col("request_id").alias("job_id"), "r.source_id", "r.requested_at")
     ok = F.coalesce(allowed, F.lit(False))
     return rows.select(

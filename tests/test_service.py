@@ -56,6 +56,14 @@ def test_jobs_by_request_id(spark):
     assert out == {"a": ("failed", 3, [3000, 6000]), "b": ("failed", 0, []), "c": ("failed", 0, [])}
 
 
+def test_first_arrival_of_equal_times(spark):
+    """Of requests with one time the one that came first makes the job, whatever its source is called."""
+    rows = [(1, "a", "s9", "2024-01-01"), (2, "a", "s1", "2024-01-01"), (3, "b", "s1", "2024-01-02"), (4, "b", "s9", "2024-01-01")]
+    asked = spark.createDataFrame(rows, "event_id long, request_id string, source_id string, requested_at string")
+    jobs = queue.enqueue(asked, O.TenantPolicy().sync_column(F.col("source_id")), ("event_id",))
+    assert {r["job_id"]: r["source_id"] for r in jobs.collect()} == {"a": "s9", "b": "s9"}
+
+
 @pytest.mark.parametrize("text", ["", "  ", "help", " HELP ", "search  a b ", "Search ", "search", "searching x", "changes", "changes src1 more", "CHANGES  x", "changeset y", "how do I?", " what "])
 def test_commands_same_as_command(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(Q.commands(F.col("t")).alias("c")).first()["c"]
