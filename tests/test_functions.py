@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -607,3 +609,20 @@ def test_memo_asks_once(spark, tmp_path):
     # used last: text 1 and new, then text 2, then text 0
     assert m.vectors().count() == 4 and m.evict(10) == 4 and m.evict(3) == 3 and m.evict(2) == 2
     assert run([(0, "text 0"), (1, "text 1"), (2, "text 2"), (3, "new")])[1] == 2
+
+
+def test_normal_form_same_as_all_patterns(spark):
+    """Patterns run only on texts with their marks; the form is that of all patterns on every text."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab \t\n\r") for _ in range(rng.randrange(14))) for _ in range(500)] + [None, "", "a b", "a\tb", "a \tb", "a\t b"]
+
+    def plain(t):
+        if t is None:
+            return None
+        t = re.sub(r"[ \t]+\n", "\n", t.replace("\r", ""))
+        return re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", t)).strip(T.SPACES)
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["x"] for r in df.select(T.normalize_whitespace(F.col("t")).alias("x")).collect()] == list(map(plain, texts))
+    code = df.select(C.sections(F.concat(F.lit("x\n```Py\n"), "t", F.lit("z")))[0]["code_lang"].alias("x")).where("t is not null")
+    assert {r["x"] for r in code.collect()} == {"py"} and one(spark, C.sections(F.col("t"))[0]["code_lang"], t="``py\n") is None
