@@ -12,7 +12,7 @@ from foliospark.functions import urls as U
 from foliospark.operators import ingest as I
 from foliospark.operators import ops as O
 from foliospark.plans import sqltext as S
-from foliospark.session import materialize, new_folder, remember, shared_dir, ship
+from foliospark.session import materialize, new_folder, remember, remove, shared_dir, ship
 from foliospark.sources import embedding as M
 from foliospark.sources import fetch as X
 from foliospark.sources import sinks
@@ -360,9 +360,13 @@ def sync_stream(spark, sf_dir):
     inbox, checkpoint = new_folder(spark, "inbox"), new_folder(spark, "stream")
     store = P.create(spark, new_folder(spark, "store"), 16)
     syncs = (p.where(_KNOWN).withColumn("content", F.col("previous")), seen), (p.where("doc_id % 6 <> 0").withColumn("content", F.col("next")), D.as_of())
-    for rows, at in syncs:
-        rows.select("source_id", F.col("url").alias("canonical_url"), "title", "content", at.alias("at")).write.mode("append").parquet(inbox)
-        P.sync_stream(store, "documents", spark.readStream.schema(P.FETCHED).parquet(inbox), checkpoint, at).awaitTermination()
+    for k, (rows, at) in enumerate(syncs):
+        arrived = rows.select("source_id", F.col("url").alias("canonical_url"), "title", "content", at.alias("at"))
+        arrived.write.option("compression", "zstd").parquet(f"{inbox}/{k}")
+        P.sync_stream(store, "documents", spark.readStream.schema(P.FETCHED).parquet(f"{inbox}/*"), checkpoint, at).awaitTermination()
+        # stored, so neither what arrived nor the version before is needed
+        remove(spark, f"{inbox}/{k}")
+        store.vacuum()
     again = rows.select("source_id", F.col("url").alias("canonical_url"), "title", F.lit("replayed").alias("content"), at.alias("at"))
     P.persist_batch(store, "documents", again, 1, at)
     count = lambda t: store.table(t).groupBy("document_id").agg(F.count(F.lit(1)).alias(t))

@@ -108,7 +108,7 @@ class Change:
     def _write(self, name: str, rows: DataFrame, key: str) -> list[tuple]:
         folder = f"{name}-{uuid.uuid4().hex}"
         dealt = rows.withColumn("bucket", self.store.bucket(F.col(key))).hint("rebalance", F.col("bucket"))
-        dealt.write.partitionBy("bucket").parquet(f"{self.store.root}/data/{folder}")
+        dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.store.root}/data/{folder}")
         names = listing(self.spark, f"{self.store.root}/data/{folder}")
         return [("data", name, int(n.removeprefix("bucket=")), folder) for n in names if n.startswith("bucket=")]
 
@@ -129,9 +129,14 @@ class Change:
         """Buckets of the given keys: at most as many numbers as there are buckets."""
         return {r[0] for r in incoming.select(self.store.bucket(F.col(key))).distinct().collect()}
 
-    def merge(self, name: str, incoming: DataFrame, key: str, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> set[int]:
-        """Rewrites the buckets that ``incoming`` touches as ``merged(their rows, incoming)``; returns their numbers."""
-        only = self.touched(incoming, key)
+    def merge(
+        self, name: str, incoming: DataFrame, key: str, merged: Callable[[DataFrame, DataFrame], DataFrame], only: set[int] | None = None
+    ) -> set[int]:
+        """Rewrites the buckets that ``incoming`` touches as ``merged(their rows, incoming)``; returns their numbers.
+
+        Give ``only`` if they are known.
+        """
+        only = self.touched(incoming, key) if only is None else only
         old = self.table(name, only)
         new = self._write(name, merged(old, incoming).select(*old.columns), key)
         self.rows = [r for r in self.rows if not (r[:2] == ("data", name) and r[2] in only)] + new

@@ -674,3 +674,12 @@ def test_headings_begin_behind_line_feeds_only(spark):
     for c in "\r\u0085\u2028\u2029":
         assert len(found(f"a{c}## B\nc")) == 1 and [h for _, h in found(f"a{c}## B\n## C\nd")] == [None, "C"]
     assert found("\n## A\nb") == [("## A\nb", "A")] and found("## A\nb") == [("## A\nb", "A")]
+
+
+def test_word_count_same_as_split(spark):
+    """Texts with single blanks are counted by their lengths; all as the pattern would."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["a", "é", " ", "\n", rng.choice(T.SPACES), "—", "漢"]) for _ in range(rng.randrange(9))) for _ in range(600)] + [None, "", " ", "a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [None if t is None else len([w for w in re.split(f"[{T.SPACES}]+", t) if w]) for t in texts]
+    assert [r["n"] for r in df.select(T.word_count(F.col("t")).alias("n")).collect()] == want

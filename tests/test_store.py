@@ -5,6 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.plans import registry
+from foliospark.session import listing, shared_dir
 from foliospark.sources import sinks
 from foliospark.sources.store import Store
 from foliospark.streaming import persist
@@ -100,3 +102,34 @@ def test_stream_is_stored_once(spark, tmp_path):
         persist.persist_batch(store, "docs", _fetched(spark, second), 1, at)
     assert [store.table(t).count() for t in ("documents", "chunks", "events")] == [10, 10, 11]
     assert sorted(r["event_type"] for r in store.table("events").collect()).count("deprecation") == 1
+
+
+def test_batch_in_passes(spark, tmp_path, monkeypatch):
+    """A batch merged in passes gives what one pass gives; its copies and shuffle files are gone afterwards, by one commit."""
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    first = [("s", f"u{i}", f"t{i}", f"text {i}\n## A\nb", "2024-01-01 00:00:00") for i in range(40)]
+    second = [("s", f"u{i}", f"t{i}", f"text {i}" + "\n## B\nis deprecated" * (i % 3), "2024-01-02 00:00:00") for i in range(20, 60)] + [("s", "u20", "late", None, "2024-01-03 00:00:00")]
+    folder = f"{shared_dir(spark)}/folio"
+    before, tables, parts = set(listing(spark, folder)), [], []
+    merge = persist._pass
+    monkeypatch.setattr(persist, "_pass", lambda change, incoming, only, *rest: parts[-1].append(only) or merge(change, incoming, only, *rest))
+    for size in (1 << 40, 1):
+        monkeypatch.setattr(persist, "PASS", size)
+        store = persist.create(spark, str(tmp_path / str(size)), 4)
+        for number, batch in enumerate((first, second)):
+            parts.append([])
+            assert persist.persist_batch(store, "docs", _fetched(spark, batch), number, at) and store.manifests.version() == number + 2
+        tables.append({t: rows(store.table(t)) for t in persist.TABLES})
+    assert tables[0] == tables[1] and [len(tables[0][t]) for t in ("documents", "events")] == [60, 80]
+    assert list(map(len, parts)) == [1, 1, 4, 4] and all(sorted(b for p in found for b in p) == [0, 1, 2, 3] for found in parts)
+    assert set(listing(spark, folder)) == before
+
+
+def test_sync_keeps_one_version(spark, sf_dir):
+    """What arrived and the version before a sync go with it."""
+    folder = f"{shared_dir(spark)}/folio"
+    before = set(listing(spark, folder))
+    assert registry.QUERIES["sync_stream"](spark, sf_dir).count() > 0
+    new = {n.rsplit("-", 1)[0]: n for n in set(listing(spark, folder)) - before}
+    assert set(new) == {"inbox", "store", "stream"} and not listing(spark, f"{folder}/{new['inbox']}")
+    assert not Store(spark, f"{folder}/{new['store']}").vacuum()
